@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, langid, mixing, pii, quality, simhash
+from . import ann, bpe, langid, mixing, pii, quality, simhash, substrings
 from .oracles import ORACLES
 
 QUERIES = {
@@ -13,4 +13,5 @@ QUERIES = {
     "op6_language_id": langid.op6_language_id,
     "op7_simhash": simhash.op7_simhash,
     "op8_pii": pii.op8_pii,
+    "op10_repeated_substrings": substrings.op10_repeated_substrings,
 }
