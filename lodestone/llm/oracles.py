@@ -1,10 +1,49 @@
 """DuckDB SQL of the queries that SQL can express."""
 
+from .licenses import TEMPLATES
 from .quality import STOP_WORDS
 
 _STOPS = "|".join(dict.fromkeys(STOP_WORDS))
+_TEMPLATES = ", ".join(f"('{k}', '{v}')" for k, v in TEMPLATES.items())
+_SPEAKS = r"(?i)licen[sc]e|copyright|\bspdx\b|public domain|all rights reserved|permission is hereby granted"
 
 ORACLES = {
+    "op2_license_scan": rf"""
+WITH f AS (SELECT row_number() OVER () AS uid, doc_id, concat(coalesce(source, '-'), '/', coalesce(lang, '-')) AS dir,
+    array_to_string(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{_SPEAKS}')), chr(10)) AS header FROM documents),
+h AS (SELECT header, count(*) AS n FROM f WHERE header <> '' GROUP BY header),
+tf AS (SELECT header, n, term, count(*)::DOUBLE AS tf FROM (SELECT header, n, unnest(regexp_extract_all(lower(header), '[a-z0-9]+(?:\.[0-9]+)*')) AS term FROM h) GROUP BY ALL),
+df AS (SELECT term, sum(n) AS df FROM tf GROUP BY term),
+idf AS (SELECT term, ln(((SELECT sum(n) FROM h) + 1.0) / (df + 1.0)) + 1.0 AS idf FROM df),
+t AS (SELECT licence, term, count(*)::DOUBLE AS tf FROM (SELECT licence, unnest(regexp_extract_all(lower(body), '[a-z0-9]+(?:\.[0-9]+)*')) AS term FROM (VALUES {_TEMPLATES}) v(licence, body)) GROUP BY ALL),
+tw AS (SELECT licence, t.term, tf * coalesce(idf, ln(coalesce((SELECT sum(n) FROM h), 0) + 1.0) + 1.0) AS w FROM t LEFT JOIN idf USING (term)),
+tn AS (SELECT licence, sqrt(sum(w * w)) AS tn FROM tw GROUP BY licence),
+hw AS (SELECT header, tf.term, tf * idf AS w FROM tf JOIN idf USING (term)),
+hn AS (SELECT header, sqrt(sum(w * w)) AS hn FROM hw GROUP BY header),
+c AS (SELECT header, licence, round(sum(hw.w * tw.w) / any_value(tn) / any_value(hn), 6) AS score FROM hw JOIN tw USING (term) JOIN tn USING (licence) JOIN hn USING (header) GROUP BY header, licence),
+b AS (SELECT header, licence, score FROM c WHERE score >= 0.7 QUALIFY row_number() OVER (PARTITION BY header ORDER BY score DESC, licence) = 1),
+o AS (SELECT f.*, b.licence AS own, b.score FROM f LEFT JOIN b USING (header)),
+d AS (SELECT dir, own AS dl FROM o WHERE own IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dir ORDER BY doc_id) = 1)
+SELECT doc_id, own AS own_licence, score AS own_score, coalesce(own, dl) AS licence,
+  CASE WHEN own IS NOT NULL THEN 'header' WHEN dl IS NOT NULL THEN 'inherited' ELSE 'none' END AS how,
+  CASE WHEN own IS NULL AND dl IS NOT NULL THEN o.dir END AS inherited_from
+FROM o LEFT JOIN d USING (dir)""",
+    "op9_chat_quotes": r"""
+WITH m AS (SELECT row_number() OVER () AS uid, conv_id, turn, role, string_split(regexp_replace(coalesce(text, ''), '[\x01\x02\r]', '', 'g'), chr(10)) AS raw FROM conversations),
+l AS (SELECT uid, conv_id, turn, role, unnest(raw) AS x, generate_subscripts(raw, 1) AS i FROM m),
+p AS (SELECT uid, conv_id, turn, role, i, length(regexp_replace(regexp_extract(x, '^(?:[ \t]?>)+'), '[^>]', '', 'g')) AS level, trim(regexp_replace(x, '^(?:[ \t]?>)+', '')) AS body FROM l),
+k AS (SELECT * FROM p WHERE NOT (level = 0 AND regexp_matches(body, '^(?:On .{1,200} wrote|Am .{1,200} schrieb .{1,100}|Le .{1,200} a écrit ?|El .{1,200} escribió)\s*:\s*$'))),
+g AS (SELECT *, sum(CASE WHEN lag_level IS NULL OR lag_level <> level OR lag_body = '' THEN 1 ELSE 0 END) OVER (PARTITION BY uid ORDER BY i) AS grp
+      FROM (SELECT *, lag(level) OVER (PARTITION BY uid ORDER BY i) AS lag_level, lag(body) OVER (PARTITION BY uid ORDER BY i) AS lag_body FROM k)),
+q AS (SELECT uid, any_value(conv_id) AS conv_id, any_value(turn) AS turn, any_value(level) AS level, trim(regexp_replace(lower(string_agg(body, ' ' ORDER BY i)), '[^\p{L}\p{N}]+', ' ', 'g')) AS norm FROM g GROUP BY uid, grp),
+f AS (SELECT conv_id, norm, min(turn) AS said FROM q WHERE level = 0 AND norm <> '' GROUP BY ALL),
+j AS (SELECT q.uid, count(*) AS n_quotes, count(*) FILTER (WHERE said < turn) AS n_linked, max_by(said, (-level, said)) FILTER (WHERE said < turn) AS linked
+      FROM q LEFT JOIN f ON q.conv_id = f.conv_id AND q.norm = f.norm WHERE level > 0 AND q.norm <> '' GROUP BY q.uid),
+b AS (SELECT uid, trim(regexp_replace(string_agg(body, chr(10) ORDER BY i), '\n{3,}', chr(10) || chr(10), 'g')) AS body FROM k WHERE level = 0 GROUP BY uid),
+t AS (SELECT DISTINCT conv_id, turn + 1 AS turn FROM m)
+SELECT m.conv_id, m.turn, role, coalesce(linked, CASE WHEN t.turn IS NOT NULL THEN m.turn - 1 END) AS reply_to, coalesce(n_quotes, 0)::BIGINT AS n_quotes, coalesce(n_linked, 0)::BIGINT AS n_linked,
+  length(coalesce(b.body, ''))::BIGINT AS body_chars, md5(coalesce(b.body, '')) AS body_md5
+FROM m LEFT JOIN j USING (uid) LEFT JOIN b USING (uid) LEFT JOIN t ON m.conv_id = t.conv_id AND m.turn = t.turn""",
     "op4_quality_rules": rf"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,

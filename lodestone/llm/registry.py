@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, langid, mixing, pii, quality, simhash, substrings
+from . import ann, bpe, langid, licenses, mixing, pii, quality, quotes, simhash, substrings
 from .oracles import ORACLES
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op2_license_scan": licenses.op2_license_scan,
     "op3_nearest": ann.op3_nearest,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_mix_sources": mixing.op5_mix_sources,
     "op6_language_id": langid.op6_language_id,
     "op7_simhash": simhash.op7_simhash,
     "op8_pii": pii.op8_pii,
+    "op9_chat_quotes": quotes.op9_chat_quotes,
     "op10_repeated_substrings": substrings.op10_repeated_substrings,
 }
