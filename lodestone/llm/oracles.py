@@ -39,7 +39,7 @@ q AS (SELECT uid, any_value(conv_id) AS conv_id, any_value(turn) AS turn, any_va
 f AS (SELECT conv_id, norm, min(turn) AS said FROM q WHERE level = 0 AND norm <> '' GROUP BY ALL),
 j AS (SELECT q.uid, count(*) AS n_quotes, count(*) FILTER (WHERE said < turn) AS n_linked, max_by(said, (-level, said)) FILTER (WHERE said < turn) AS linked
       FROM q LEFT JOIN f ON q.conv_id = f.conv_id AND q.norm = f.norm WHERE level > 0 AND q.norm <> '' GROUP BY q.uid),
-b AS (SELECT uid, trim(regexp_replace(string_agg(body, chr(10) ORDER BY i), '\n{3,}', chr(10) || chr(10), 'g')) AS body FROM k WHERE level = 0 GROUP BY uid),
+b AS (SELECT uid, regexp_replace(regexp_replace(string_agg(body, chr(10) ORDER BY i), '\n{3,}', chr(10) || chr(10), 'g'), '^[ \t\n]+|[ \t\n]+$', '', 'g') AS body FROM k WHERE level = 0 GROUP BY uid),
 t AS (SELECT DISTINCT conv_id, turn + 1 AS turn FROM m)
 SELECT m.conv_id, m.turn, role, coalesce(linked, CASE WHEN t.turn IS NOT NULL THEN m.turn - 1 END) AS reply_to, coalesce(n_quotes, 0)::BIGINT AS n_quotes, coalesce(n_linked, 0)::BIGINT AS n_linked,
   length(coalesce(b.body, ''))::BIGINT AS body_chars, md5(coalesce(b.body, '')) AS body_md5

@@ -48,7 +48,8 @@ def parse(messages: DataFrame) -> DataFrame:
     )
     # A passage starts where the level changes or after a blank line.
     mark = F.expr("concat_ws('', transform(l, (s, i) -> concat(if(i = 0 or get(l, i - 1).level <> s.level or get(l, i - 1).body = '', concat('\u0001', s.level, '\u0002'), ' '), s.body)))")
-    body = F.trim(F.regexp_replace(F.concat_ws("\n", F.transform(F.filter("l", lambda s: s["level"] == 0), lambda s: s["body"])), "\n{3,}", "\n\n"))
+    own = F.concat_ws("\n", F.transform(F.filter("l", lambda s: s["level"] == 0), lambda s: s["body"]))
+    body = F.regexp_replace(F.regexp_replace(own, "\n{3,}", "\n\n"), "^[ \t\n]+|[ \t\n]+$", "")
     norm = lambda p: F.trim(F.regexp_replace(F.lower(F.substring_index(p, "\u0002", -1)), r"[^\p{L}\p{N}]+", " "))
     passages = F.filter(
         F.transform(F.split(mark, "\u0001"), lambda p: F.struct(F.substring_index(p, "\u0002", 1).try_cast("int").alias("level"), norm(p).alias("norm"))),

@@ -195,15 +195,19 @@ def _variants(depth: int) -> list[int]:
 
 
 def links(nodes: DataFrame, limit: int = 4096) -> DataFrame:
-    """nodes(fp): distinct fingerprints -> (a, b): links whose components are those of all pairs within four bits."""
-    out, rows = None, nodes.select("fp", F.inline(_keys(1)))
+    """nodes(fp): distinct fingerprints -> (a, b): links whose components are those of all pairs within four bits.
+
+    The rows of one first segment share the depth of their chain: a row finds
+    its neighbours under varied keys of that depth, so none may go deeper alone.
+    """
+    out, rows = None, nodes.select("fp", F.inline(_keys(1))).withColumn("root", F.col("key"))
     for depth in (1, 2, 3):
         big = None
         if depth < 3:
-            big = cut(rows.groupBy("start", "key").count().where(F.col("count") > limit).select("start", "key"))
+            big = cut(rows.groupBy("start", "root", "key").count().where(F.col("count") > limit).select("start", "root").distinct())
             if big.isEmpty():
                 big = None
-        small = rows if big is None else rows.join(big, ["start", "key"], "left_anti")
+        small = rows if big is None else rows.join(big, ["start", "root"], "left_anti")
         stored = small.select("start", "key", "fp", F.lit(0).alias("role"))
         if depth > 1:
             flips = F.array(*[F.lit(v).cast("long") for v in _variants(depth)])
@@ -213,9 +217,8 @@ def links(nodes: DataFrame, limit: int = 4096) -> DataFrame:
         out = found if out is None else out.unionByName(found)
         if big is None:
             break
-        # All rows of a too large bucket go on together: a chain's rows agree on its first segments, so no pair is parted.
-        longer = rows.join(big, ["start", "key"], "left_semi").select("fp", "start")
-        rows = longer.select("fp", "start", F.element_at(_keys(depth + 1), F.col("start") + 1)["key"].alias("key"))
+        longer = rows.join(big, ["start", "root"], "left_semi").select("fp", "start", "root")
+        rows = longer.select("fp", "start", F.element_at(_keys(depth + 1), F.col("start") + 1)["key"].alias("key"), "root")
     return out
 
 
