@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -37,10 +38,17 @@ def written(df: DataFrame) -> DataFrame:
     """Cut the lineage through compressed Parquet in the shared folder, for tables that grow with the texts."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of steps that are over. The driver holds on to the last query until another one runs, hence the empty one."""
+    spark.range(1).count()
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def words(text: Column) -> Column:
     """The words of a text; none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda x: x != "")

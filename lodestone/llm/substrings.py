@@ -26,17 +26,17 @@ empty table gives an empty result; extra columns are not read.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import deepshallow
-from .common import cut, written
+from .common import cut, release, written
 
 LENGTH, GRAM = 50, 26
 WINDOW = LENGTH - GRAM + 1
@@ -73,14 +73,13 @@ def _grams(u: np.ndarray) -> np.ndarray:
 
 
 def _leftmost(v: np.ndarray) -> np.ndarray:
-    """For each WINDOW of values the position of its smallest, the leftmost of equals."""
-    m, at, width = v, np.arange(len(v), dtype=np.int32), 1
+    """For each WINDOW of 32-bit values the position of its smallest, the leftmost of equals: the position rides in the low half."""
+    m, width = (v.astype(np.uint64) << np.uint64(32)) | np.arange(len(v), dtype=np.uint64), 1
     while width < WINDOW:
         step = min(width, WINDOW - width)
-        less = m[step:] < m[:-step]
-        m, at = np.where(less, m[step:], m[:-step]), np.where(less, at[step:], at[:-step])
+        m = np.minimum(m[:-step], m[step:])
         width += step
-    return at
+    return (m & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
 def runs(data: bytes, ends: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -94,7 +93,7 @@ def runs(data: bytes, ends: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     for b in range(0, n, BLOCK):
         v = _grams(u[b : b + BLOCK + LENGTH - 1])
         a = _leftmost((v >> np.uint64(32)).astype(np.uint32))
-        at.append(a.astype(np.int64) + b)
+        at.append(a + b)
         val.append(v[a])
     at, val = np.concatenate(at), np.concatenate(val)
     ok = np.ones(n, bool)
@@ -202,7 +201,7 @@ def shared(held: DataFrame, buckets: int, hot_at: int = HOT) -> DataFrame:
 
 
 def runs_of(held: DataFrame, bits: DataFrame, buckets: int) -> DataFrame:
-    """(gram, off, ctx, id, pack, lo, hot): one row for each run with a shared anchor; ctx covers its strings, off is the anchor's place in it."""
+    """(off, ctx, id, pack, lo, hot): one row for each run with a shared anchor; ctx covers its strings, off is the anchor's place in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -220,12 +219,12 @@ def runs_of(held: DataFrame, bits: DataFrame, buckets: int) -> DataFrame:
                 doc = np.searchsorted(ends, lo[pick], side="right")
                 own = np.array([NO_ID if i is None else i for i in ids], np.int64)[doc]
                 ctx = [data[i : j + LENGTH] for i, j in zip(lo[pick].tolist(), hi[pick].tolist())]
-                cols = [h[pick].view(np.int64), (q - lo)[pick].astype(np.int16), pa.array(ctx, pa.binary()), own, np.full(len(pick), pack, np.int64), lo[pick].astype(np.int32), hot[place[pick]]]
-                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], names=["gram", "off", "ctx", "id", "pack", "lo", "hot"])
+                cols = [(q - lo)[pick].astype(np.int16), pa.array(ctx, pa.binary()), own, np.full(len(pick), pack, np.int64), lo[pick].astype(np.int32), hot[place[pick]]]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], names=["off", "ctx", "id", "pack", "lo", "hot"])
 
     by_pack = bits.groupBy("pack").agg(F.collect_list(F.struct("bucket", "bits")).alias("got"))
     joined = held.join(by_pack, "pack").select("pack", "ids", "ends", "data", "got")
-    return joined.mapInArrow(run, "gram long, off short, ctx binary, id long, pack long, lo int, hot boolean")
+    return joined.mapInArrow(run, "off short, ctx binary, id long, pack long, lo int, hot boolean")
 
 
 def lowest(ctx: list[bytes], gram: np.ndarray, low: np.ndarray) -> list[np.ndarray]:
@@ -322,25 +321,44 @@ def _sorted_bucket(t: pa.Table) -> pa.Table:
 _OUT = "pack long, starts binary, ends_ binary"
 
 
-def _hot(rows: DataFrame) -> DataFrame:
-    """Intervals of runs with a hot anchor: contexts are collapsed first, their strings meet by content after a partial aggregation, and the runs are joined to the verdicts (AQE splits a hot one)."""
-    key = [F.xxhash64("gram", "off", "ctx").alias("k1"), F.xxhash64("ctx", "off", F.lit(1), "gram").alias("k2")]
-    classes = cut(rows.groupBy("off", "ctx", "gram").agg(F.min("id").alias("low"), F.max("id").alias("high")).select(*key, "ctx", "low", "high"))
-    at = F.sequence(F.lit(0), F.length("ctx") - LENGTH)
-    strings = classes.select("k1", "k2", "low", "high", F.posexplode(F.transform(at, lambda i: F.substring(F.col("ctx"), i + 1, F.lit(LENGTH)))).alias("t", "string"))
-    least = cut(strings.groupBy("string").agg(F.min("low").alias("least")))
-    # Only strings that some holder's id exceeds matter.
-    verdict = strings.join(least, "string").where(F.col("least") < F.col("high"))
-    lows = cut(verdict.groupBy("k1", "k2").agg(F.map_from_entries(F.collect_list(F.struct("t", "least"))).alias("lows")))
-    met = rows.select(*key, "id", "pack", "lo").join(lows, ["k1", "k2"])
-    each = met.select("pack", "lo", F.array_sort(F.map_keys(F.map_filter("lows", lambda k, v: v < F.col("id")))).alias("ts")).where(F.size("ts") > 0)
+#: The hash that stands for a run's anchor.
+_ANCHOR = "xxhash64(substring(ctx, off + 1, 26))"
+
+
+def _verdicts(t: pa.Table) -> pa.Table:
+    """For classes of hot runs: the smallest ids of their strings, where some holder's id exceeds one."""
+    lows = lowest(t.column("ctx").to_pylist(), t.column("gram").to_numpy(), t.column("low").to_numpy())
+    high = t.column("high").to_numpy()
+    pick = [i for i, x in enumerate(lows) if x.min() < high[i]]
+    return pa.table({"k1": t.column("k1").take(pick), "k2": t.column("k2").take(pick), "lows": pa.array([lows[i] for i in pick], pa.list_(pa.int64()))})
+
+
+def _hot(rows: DataFrame, buckets: int, limit: int) -> DataFrame:
+    """Intervals of runs with a hot anchor. Runs of equal content are one class after a partial aggregation; the classes are sorted, and the runs
+    are joined to their classes' verdicts (AQE splits a class with very many runs). An anchor with more than ``limit`` classes is not sorted in one
+    bucket: the strings of its classes meet by content, again after a partial aggregation."""
+    key = [F.xxhash64("off", "ctx").alias("k1"), F.xxhash64(F.lit(1), "ctx", "off").alias("k2")]
+    classes = written(rows.groupBy("off", "ctx").agg(F.min("id").alias("low"), F.max("id").alias("high")).select(*key, F.expr(_ANCHOR).alias("gram"), "ctx", "low", "high"))
+    heavy = cut(classes.groupBy("gram").count().where(F.col("count") > limit).select("gram"))
+    light = classes.join(heavy, "gram", "left_anti").groupBy(F.pmod("gram", F.lit(buckets)).alias("bucket"))
+    lows = light.applyInArrow(lambda t: _verdicts(t), "k1 long, k2 long, lows array<bigint>")
+    if not heavy.isEmpty():
+        at = F.sequence(F.lit(0), F.length("ctx") - LENGTH)
+        strings = classes.join(heavy, "gram", "left_semi").select("k1", "k2", "low", F.posexplode(F.transform(at, lambda i: F.substring(F.col("ctx"), i + 1, F.lit(LENGTH)))).alias("t", "string"))
+        least = cut(strings.groupBy("string").agg(F.min("low").alias("least")))
+        of_class = strings.join(least, "string").groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("t", "least")))["least"].alias("lows"))
+        lows = lows.unionByName(of_class)
+    met = rows.select(*key, "id", "pack", "lo").join(written(lows), ["k1", "k2"])
+    at = F.sequence(F.lit(0), F.size("lows") - 1)
+    each = met.select("pack", "lo", F.filter(at, lambda t: F.get("lows", t) < F.col("id")).alias("ts")).where(F.size("ts") > 0)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ts = b.column(2)
-            row = np.repeat(np.arange(b.num_rows), np.diff(ts.offsets.to_numpy()))
-            lo = b.column(1).to_numpy().astype(np.int64)[row] + ts.flatten().to_numpy()
-            yield from _by_pack(b.column(0).to_numpy()[row], lo, lo + LENGTH).to_batches()
+            row = np.repeat(np.arange(b.num_rows), pa.compute.list_value_length(b.column(2)).to_numpy())
+            lo = b.column(1).to_numpy().astype(np.int64)[row] + b.column(2).flatten().to_numpy()
+            turn = np.flatnonzero((lo[1:] != lo[:-1] + 1) | (row[1:] != row[:-1])) + 1
+            first, last = np.concatenate([[0], turn]), np.concatenate([turn, [len(lo)]]) - 1
+            yield from _by_pack(b.column(0).to_numpy()[row[first]], lo[first], lo[last] + LENGTH).to_batches()
 
     return each.mapInArrow(fold, _OUT)
 
@@ -372,26 +390,27 @@ def _finish(held: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
     return joined.mapInArrow(run, f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def _release(spark) -> None:
-    """Let Spark's cleaner drop the shuffle files of steps that are over."""
-    gc.collect()
-    spark._jvm.System.gc()
+def remove_repeats(
+    docs: DataFrame, text: str = "text", id_col: str = "doc_id", bucket_bytes: int = 16 << 20, pack_bytes: int = PACK, hot_at: int = HOT, class_limit: int = 20_000
+) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept_sha256): one row for each input row.
 
-
-def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", bucket_bytes: int = 16 << 20, pack_bytes: int = PACK, hot_at: int = HOT) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256): one row for each input row."""
+    Each step's result is written, so a lost executor repeats one step and the
+    step's shuffle files can go.
+    """
     spark = docs.sparkSession
     held = written(packs(docs, text, id_col, pack_bytes))
     total = held.agg(F.sum(F.element_at("ends", -1).cast("long")).alias("n")).first()["n"] or 0
     buckets = max(1, -(-total // bucket_bytes))
-    bits = cut(shared(held, buckets, hot_at))
-    _release(spark)
+    bits = written(shared(held, buckets, hot_at))
+    release(spark)
     found = written(runs_of(held, bits, buckets))
-    _release(spark)
-    # Buckets of anchors hold about as many bytes as a pack bucket at the most; a bucket is one group of one task.
-    cold = found.where("not hot").groupBy(F.pmod("gram", F.lit(4 * buckets)).alias("bucket")).applyInArrow(lambda t: _sorted_bucket(t), _OUT)
-    gone = written(cold.unionByName(_hot(found.where("hot"))))
-    _release(spark)
+    release(spark)
+    gone = written(_hot(found.where("hot"), 4 * buckets, class_limit))
+    release(spark)
+    cold = found.where("not hot").withColumn("gram", F.expr(_ANCHOR)).groupBy(F.pmod("gram", F.lit(4 * buckets)).alias("bucket"))
+    gone = gone.unionByName(written(cold.applyInArrow(lambda t: _sorted_bucket(t), _OUT)))
+    release(spark)
     return _finish(held, gone, id_col)
 
 
