@@ -13,9 +13,8 @@ from lodestone.llm.common import cut, documents, written
 
 
 def quality_stage(spark, docs, sf_dir):
-    """Keep the documents that the quality rules keep. The verdict passes through a generator, so that the optimizer does not repeat the measuring inside a filter."""
-    judged = quality.judge(docs, keep=tuple(docs.columns))
-    return judged.select(*docs.columns, F.explode(F.when(F.col("kept"), F.array(F.lit(1)))).alias("_kept")).drop("_kept")
+    """Keep the documents that the quality rules keep."""
+    return quality.judge(docs, keep=tuple(docs.columns)).where("kept").select(*docs.columns)
 
 
 def near_duplicate_stage(spark, docs, sf_dir):
