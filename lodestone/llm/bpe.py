@@ -1,6 +1,7 @@
 """BPE encoding and decoding with tree concatenation.
 
-Short texts are encoded whole. A text of more than ``block`` characters is cut
+Short texts are encoded whole (by their stretches between spaces, where the
+tokenizer drops these; see ``Pieces``). A text of more than ``block`` characters is cut
 into blocks that are encoded in parallel, and the encodings are joined
 pairwise up a tree. Around each join a window is re-encoded, and it grows until
 both sides agree exactly: the window must start on a token of the left side and
@@ -145,6 +146,72 @@ def _digest(tok, ids) -> tuple[int, str, str]:
     return len(ids), sha256(np.asarray(ids, dtype="<u4").tobytes()).hexdigest(), sha256(decode(tok, ids).encode("utf-8", "replace")).hexdigest()
 
 
+class Pieces:
+    """Encodings of the stretches between spaces, for tokenizers that drop white space and join decoded tokens by spaces.
+
+    A text's ids are those of its stretches one after another, and stretches
+    recur, so each is encoded once while it is remembered (``most`` of them). A
+    stretch may lose commas and stops behind a letter, where a word always
+    ends, and one of letters only its capitals; new words are encoded together
+    and told apart by their end marks.
+    """
+
+    def __init__(self, tok, most: int = 400_000):
+        self.tok, self.most, self.known = tok, most, {"": (b"", "")}
+        self.words = [tok.id_to_token(i) or "" for i in range(tok.get_vocab_size())]
+        self.ends = np.array([w.endswith("</w>") for w in self.words])
+
+    @staticmethod
+    def fits(tok) -> bool:
+        """Whether the tokenizer is of that kind."""
+        ids = lambda x: tok.encode(x, add_special_tokens=False).ids
+        return tok.decoder is None and not ids(" \n\t") and ids("ab, \nc\td.") == ids("ab") + ids(",") + ids("c") + ids("d") + ids(".") and ids("Ab") == ids("ab") and tok.id_to_token(ids("ab")[-1]).endswith("</w>")
+
+    def _put(self, piece: str, ids) -> None:
+        self.known[piece] = (np.asarray(ids, "<u4").tobytes(), " ".join([self.words[i] for i in ids]))
+
+    def _encode(self, pieces: list[str]) -> None:
+        plain = [p for p in pieces if p.isalpha() and max(p) < "\u0250"]
+        for lo in range(0, len(plain), 1000):
+            part = plain[lo : lo + 1000]
+            ids = np.array(self.tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype=np.int64)
+            to = np.flatnonzero(self.ends[ids]) + 1
+            if len(to) == len(part) and (not len(ids) or to[-1] == len(ids)):
+                for p, a, b in zip(part, [0, *to.tolist()], to.tolist()):
+                    self._put(p, ids[a:b].tolist())
+        rest = [p for p in pieces if p not in self.known]
+        for p, e in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False)):
+            self._put(p, e.ids)
+
+    def learn(self, pieces: set[str]) -> None:
+        new = [p for p in pieces if p not in self.known]
+        core = {}
+        for p in new:
+            c = p.rstrip(".,")
+            if not c or not c[-1].isalpha() or c[-1] >= "\u0100":
+                c = p
+            core[p] = (c.lower() if c.isascii() and c.isalpha() else c, p[len(c) :])
+        need = {x for pair in core.values() for x in pair if x and x not in self.known}
+        self._encode(list(need))
+        for p, (c, tail) in core.items():
+            if p not in self.known:
+                a = self.known[c]
+                b = self.known[tail] if tail else (b"", "")
+                self.known[p] = (a[0] + b[0], " ".join([x for x in (a[1], b[1]) if x]))
+
+    def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
+        """(ids as little-endian bytes, decoded text) of each text."""
+        if len(self.known) > self.most:
+            self.known = {"": (b"", "")}
+        split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
+        self.learn(set().union(*split))
+        known, out = self.known, []
+        for pieces in split:
+            got = [known[p] for p in pieces]
+            out.append((b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[0]])))
+        return out
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", id_col: str = "doc_id", block: int = BLOCK, with_ids: bool = True) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256[, ids]): one row for each input row, of its whole text.
 
@@ -165,10 +232,19 @@ def encode(docs: DataFrame, path: str, text: str = "text", id_col: str = "doc_id
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = load(path)
+        pieces = Pieces(tok) if Pieces.fits(tok) else None
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 s = b.slice(lo, 256)
-                yield rows(s.column(0), [e.ids for e in tok.encode_batch_fast(s.column(1).to_pylist(), add_special_tokens=False)], tok)
+                texts = s.column(1).to_pylist()
+                if pieces is None:
+                    yield rows(s.column(0), [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)], tok)
+                    continue
+                got = pieces.encode(texts)
+                cols = [s.column(0), pa.array([len(x) // 4 for x, _ in got], pa.int64()), pa.array([sha256(x).hexdigest() for x, _ in got]), pa.array([sha256(d.encode("utf-8", "replace")).hexdigest() for _, d in got])]
+                if with_ids:
+                    cols.append(pa.array([np.frombuffer(x, "<i4") for x, _ in got], pa.list_(pa.int32())))
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = load(path)
