@@ -16,7 +16,7 @@ def markdown(spark: SparkSession, path: str, recursive: bool = False, glob: str
     read = spark.read.text(path, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=recursive)
     rows = read.select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("text"))
     stem = F.regexp_replace(T.base_name(F.col("file_path")), r"\.[^.]*$", "")
-    return rows.where(F.length(F.trim("text")) > 0).select("file_path", stem.alias("stem"), T.title(F.col("text"), stem).alias("title"), "text")
+    return rows.where(F.col("text").rlike(r"\S")).select("file_path", stem.alias("stem"), T.title(F.col("text"), stem).alias("title"), "text")
 
 
 def binary(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
