@@ -302,14 +302,13 @@ def _by_pack(pack: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Table:
 
 
 def _classes(t: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Contexts, grams and smallest ids of the distinct (gram, off, ctx), and each row's id and class."""
+    """Contexts, anchors (as hashes that hold within the task) and smallest ids of the distinct (off, ctx), and each row's id and class."""
     seen: dict[tuple, int] = {}
-    gram, ids = t.column("gram").to_numpy(), t.column("id").to_numpy()
-    ctx = t.column("ctx").to_pylist()
-    cls = np.fromiter((seen.setdefault(k, len(seen)) for k in zip(gram.tolist(), t.column("off").to_pylist(), ctx)), np.int64, len(ctx))
+    ids, ctx = t.column("id").to_numpy(), t.column("ctx").to_pylist()
+    cls = np.fromiter((seen.setdefault(k, len(seen)) for k in zip(t.column("off").to_pylist(), ctx)), np.int64, len(ctx))
     low = np.full(len(seen), NO_ID, np.int64)
     np.minimum.at(low, cls, ids)
-    return [k[2] for k in seen], np.array([k[0] for k in seen], np.int64), low, ids, cls
+    return [c for _, c in seen], np.array([hash(c[o : o + GRAM]) for o, c in seen], np.int64), low, ids, cls
 
 
 def _sorted_bucket(t: pa.Table) -> pa.Table:
@@ -408,7 +407,8 @@ def remove_repeats(
     release(spark)
     gone = written(_hot(found.where("hot"), 4 * buckets, class_limit))
     release(spark)
-    cold = found.where("not hot").withColumn("gram", F.expr(_ANCHOR)).groupBy(F.pmod("gram", F.lit(4 * buckets)).alias("bucket"))
+    dealt = F.pmod(F.expr(_ANCHOR), F.lit(4 * buckets)).cast("int").alias("bucket")
+    cold = found.where("not hot").select(dealt, "off", "ctx", "id", "pack", "lo").groupBy("bucket")
     gone = gone.unionByName(written(cold.applyInArrow(lambda t: _sorted_bucket(t), _OUT)))
     release(spark)
     return _finish(held, gone, id_col)
