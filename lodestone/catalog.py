@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from .plans import histories, relational, retrieval, streams, textual
+from .plans import answer, histories, relational, retrieval, streams, textual
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (retrieval, textual, histories, relational, streams):
+for _module in (retrieval, textual, histories, relational, streams, answer):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
 FLAGSHIP = "funnel"

@@ -213,3 +213,54 @@ def test_sources(spark, tmp_path):
 
 def test_config():
     assert corpus.resolve({"a": {"b": "x"}, "p": "${a.b}/y", "q": ["${p}/z", "${no.such}"]})["q"] == ["x/y/z", "${no.such}"]
+
+
+def test_models(spark):
+    from lodestone.operators import models
+
+    d = spark.createDataFrame([(1, "red fox"), (2, None)], "id long, text string")
+    v = {r.id: r.v for r in d.select("id", models.embed(F.col("text")).alias("v")).collect()}
+    assert len(v[1]) == 64 and sum(x * x for x in v[1]) == pytest.approx(1, abs=1e-6) and not any(v[2])
+
+    def broken():
+        def run(pairs):
+            raise ValueError
+
+        return run
+
+    rows = cands(spark, ["a", "b"])
+    assert {r.method for r in rerank.rerank(rows, 2, lambda q, t: models.score(q, t, broken)).collect()} == {"fallback"}
+    ctx = spark.createDataFrame([(1, "red fox", "The red fox ran. Cats sleep. A fox is red. Dogs bark.")], "query_id long, query string, context string")
+    got = {r.temperature: r.answer for r in models.generate(ctx, (0.0, 1.0), 2).collect()}
+    assert got == {0.0: "The red fox ran. A fox is red.", 1.0: "Cats sleep. Dogs bark."}
+
+
+def test_summaries(spark):
+    from lodestone.operators import models
+
+    long = "\n".join(f"# Part {i}\nSentence one of {i}. " + "More words here. " * 40 for i in range(30))
+    d = spark.createDataFrame([(1, long), (2, "Short. Text. Here."), (3, "x " * 20000)], "k long, text string")
+    got = {r.k: r for r in models.summarise(d, "k", "text", budget=300, size=200, overlap=10).collect()}
+    assert got[2].summary == "Short. Text." and got[2].rounds == 0 and got[1].rounds >= 1 and set(got) == {1, 2, 3}
+    assert all(len(r.summary) // 4 <= 300 for r in got.values())
+
+
+def test_answer(spark):
+    from lodestone.plans.answer import answer
+
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["The red fox jumped over the lazy dog in the yard.", "Blue whales sing long songs in the deep sea.", "Stones are hard."])], "doc_id long, text string")
+    q = spark.createDataFrame([(1, "red fox jumped"), (2, " ")], "query_id long, query string")
+    got = answer(q, docs).collect()
+    assert len(got) == 1 and "red fox" in got[0].answer and got[0].grounding_ratio > 0
+
+
+def test_streams_twice(spark, tmp_path):
+    """Files that come later join what was said before; the fold's state goes on."""
+    from lodestone.streaming import events as S
+
+    schema = "conversation_id long, seq int, type string, payload string"
+    for n, rows in enumerate([[(1, 1, "token", "He"), (2, 1, "token", "x")], [(1, 2, "token", "llo"), (1, 3, "done", None)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{n}"))
+    stream = S.read(spark, str(tmp_path / "in" / "*"), spark.createDataFrame([], schema).schema)
+    got = {r.conversation_id: (r.answer, r.done) for r in S.drain(S.token_state(stream), "fold_twice").collect()}
+    assert got == {1: ("Hello", 1), 2: ("x", 0)}
