@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import cut, written
 
 _PREFIX = r"^(?:[ \t]?>)+"
 #: Lines that announce a quote, in the languages served.
@@ -69,8 +69,11 @@ def link(messages: DataFrame) -> DataFrame:
     good = F.col("said_turn") < F.col("turn")
     near = F.max(F.when(good, F.struct((-F.col("level")).alias("near"), "said_turn")))["said_turn"]
     per = met.groupBy("uid").agg(F.count("*").alias("n_quotes"), F.count_if(good).alias("n_linked"), near.alias("linked"))
-    turns = held.select("conv_id", (F.col("turn") + 1).alias("turn")).distinct().withColumn("has_before", F.lit(True))
-    out = held.drop("passages").join(per, "uid", "left").join(turns, ["conv_id", "turn"], "left")
+    turns = held.select("conv_id", (F.col("turn") + 1).alias("turn")).distinct()
+    before = held.select("uid", "conv_id", "turn").join(turns, ["conv_id", "turn"], "left_semi").select("uid", F.lit(True).alias("has_before"))
+    # The bodies are joined once, by row; with both sides cut off AQE may broadcast what is small.
+    about = cut(per.join(before, "uid", "full_outer"))
+    out = held.drop("passages").join(about, "uid", "left")
     reply = F.coalesce("linked", F.when(F.col("has_before"), F.col("turn") - 1))
     return out.select("conv_id", "turn", "role", reply.alias("reply_to"), F.coalesce("n_quotes", F.lit(0)).cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), "body")
 
