@@ -231,13 +231,15 @@ def grounding_summary(spark, sf):
 
 @query(f"WITH {_BM25}, tr AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)) SELECT count(*) AS n_queries, round(avg(CASE WHEN r IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, round(avg(coalesce(1 / r, 0)), 6) AS mrr FROM (SELECT t.query_id, min(lx.rank) AS r FROM tr t LEFT JOIN lx ON lx.query_id = t.query_id AND lx.doc_id = t.doc_id AND lx.rank <= 10 GROUP BY t.query_id)")
 def retrieval_hit_rate(spark, sf):
-    """Truth: documents that hold a passage word for word, among the lexical search's own candidates' complement too: passages are met by their first 40 characters' hash at every word start, then checked."""
-    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
-    n = 40
-    lead = b.where(F.length("passage") >= n).select("query_id", "passage", F.xxhash64(F.substring("passage", 1, n)).alias("h"))
+    """Truth: the documents that hold a passage word for word. A passage's second to seventh words are met by hash with every six words of the documents, then the whole passage is checked."""
+    n = 6
+    words = lambda c: F.split(F.trim(c), r"\s+")
+    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"), words(F.col("text")).alias("w"))
+    lead = b.where(F.size("w") > n + 1).select("query_id", "passage", F.xxhash64(F.array_join(F.slice("w", 2, n), " ")).alias("h"))
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    at = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text") - n + 1)), lambda i: F.xxhash64(F.substring(F.col("text"), i, F.lit(n))))
-    met = docs.select("doc_id", F.explode(F.array_distinct(at)).alias("h")).join(lead, "h").select("doc_id", "query_id", "passage")
+    w = docs.select("doc_id", words(F.col("text")).alias("w")).where(F.size("w") >= n)
+    at = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(n)), " ")))
+    met = w.select("doc_id", F.explode(F.array_distinct(at)).alias("h")).join(lead, "h").select("doc_id", "query_id", "passage")
     truth = met.join(docs, "doc_id").where(F.contains("text", F.col("passage"))).select("query_id", "doc_id")
     return E.retrieval(_lexical(spark, sf, 10), truth, 10)
 
