@@ -41,9 +41,10 @@ def build(docs: DataFrame, text: str = "text", id_col: str = "doc_id", markdown:
     postings = toks.select("doc_id", F.explode("tokens").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
     corpus = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.crossJoin(corpus.select("n")).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # one row: a scalar
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    terms = raw.crossJoin(mean).select("term", "df", F.when(F.col("raw") < 0, eps * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    n = corpus.select("n").scalar()
+    raw = df.withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    mean = raw.agg(F.avg("raw").alias("mean")).scalar()
+    terms = raw.select("term", "df", F.when(F.col("raw") < 0, eps * mean).otherwise(F.col("raw")).alias("idf"))
     return Index(postings, lengths, terms, corpus)
 
 
@@ -56,8 +57,9 @@ def query_terms(queries: DataFrame, text: str = "text", id_col: str = "query_id"
 def search(index: Index, terms: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query_id, rank, doc_id, score): the k best of the documents that hold a query term; ties go to the smaller id. Scores are rounded to six places before ranking."""
     weighted = terms.join(index.terms.select("term", "idf"), "term")
-    hits = weighted.join(index.postings, "term").join(index.docs, "doc_id").crossJoin(index.corpus.select("avgdl"))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    hits = weighted.join(index.postings, "term").join(index.docs, "doc_id")
+    avgdl = index.corpus.select("avgdl").scalar()
+    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
     scored = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")

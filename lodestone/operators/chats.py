@@ -35,10 +35,9 @@ def threads(entries: DataFrame, thread: str, at: str, text: str, name: int = 50)
 def page(rows: DataFrame, order: list, cursor: str | int | None, key: str, size: int) -> DataFrame:
     """(.., pos, has_next): the rows after the cursor's in the given order; an unknown cursor starts at the first. The window is over one partition of keys that a page query has already narrowed."""
     ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*order)))
-    start = ranked.where(F.col(key) == F.lit(cursor)).agg(F.coalesce(F.max("rank"), F.lit(0)).alias("_start"))
-    total = ranked.agg(F.max("rank").alias("_total"))
-    held = ranked.crossJoin(start).crossJoin(total)  # one row each: scalars
-    return held.where((F.col("rank") > F.col("_start")) & (F.col("rank") <= F.col("_start") + size)).withColumn("has_next", F.col("_start") + size < F.col("_total")).drop("_start", "_total")
+    start = ranked.where(F.col(key) == F.lit(cursor)).agg(F.coalesce(F.max("rank"), F.lit(0))).scalar()
+    total = ranked.agg(F.max("rank")).scalar()
+    return ranked.where((F.col("rank") > start) & (F.col("rank") <= start + size)).withColumn("has_next", start + size < total)
 
 
 def steps(entries: DataFrame, keys: list[str], query: str, answer: str) -> DataFrame:
@@ -54,9 +53,9 @@ def feedback(steps_: DataFrame, entries: DataFrame) -> DataFrame:
     nested-loop join.
     """
     ids = entries.where(F.length("entry_id") > 0).select("entry_id", F.length("entry_id").alias("n"))
-    sizes = ids.agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    cut = steps_.crossJoin(sizes).where(F.least(F.length("step_id"), F.col("hi")) >= F.col("lo"))
-    tried = cut.select("step_id", "value", F.explode(F.sequence(F.col("lo"), F.least(F.length("step_id"), F.col("hi")))).alias("n"))
+    lo, hi = ids.agg(F.min("n")).scalar(), ids.agg(F.max("n")).scalar()
+    cut = steps_.withColumns({"_lo": lo, "_hi": F.least(F.length("step_id"), hi)}).where("_hi >= _lo")
+    tried = cut.select("step_id", "value", F.explode(F.sequence("_lo", "_hi")).alias("n"))
     met = tried.withColumn("entry_id", F.expr("substring(step_id, 1, n)")).join(ids, ["entry_id", "n"])
     return met.groupBy("step_id", "value").agg(F.max_by("entry_id", "n").alias("entry_id"))
 

@@ -94,8 +94,7 @@ def session_summary(spark, sf):
 @query("SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 10 DAY")
 def retention(spark, sf):
     e = table(spark, sf, "events")
-    now = e.agg(F.max("ts").alias("now"))
-    return traces.retained(e.crossJoin(now), "ts", F.col("now"), 10).select("event_id")
+    return traces.retained(e, "ts", e.agg(F.max("ts")).scalar(), 10).select("event_id")
 
 
 @query("SELECT event_id, user_id, sum(CASE WHEN event_type = 'view' THEN 1 WHEN event_type = 'click' THEN -1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS depth FROM events")

@@ -83,7 +83,8 @@ def bm25_terms(spark, sf):
 @query(f"WITH {_BM25} SELECT (SELECT n FROM cor) AS n_docs, round((SELECT avgdl FROM cor), 6) AS avgdl, (SELECT count(*) FROM trm) AS n_terms, (SELECT count(*) FROM post) AS n_postings")
 def bm25_corpus(spark, sf):
     i = _index(spark, sf)
-    return i.corpus.select(F.col("n").alias("n_docs"), F.round("avgdl", 6).alias("avgdl")).crossJoin(i.terms.agg(F.count("*").alias("n_terms"))).crossJoin(i.postings.agg(F.count("*").alias("n_postings")))
+    n_terms, n_postings = (x.agg(F.count("*")).scalar() for x in (i.terms, i.postings))
+    return i.corpus.select(F.col("n").alias("n_docs"), F.round("avgdl", 6).alias("avgdl"), n_terms.alias("n_terms"), n_postings.alias("n_postings"))
 
 
 _KNN = """SELECT q.vec_id AS query_id, r.vec_id AS id, r.label, round(list_sum(list_transform(list_zip(q.embedding, r.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE))), 6) AS distance
