@@ -264,3 +264,15 @@ def test_streams_twice(spark, tmp_path):
     stream = S.read(spark, str(tmp_path / "in" / "*"), spark.createDataFrame([], schema).schema)
     got = {r.conversation_id: (r.answer, r.done) for r in S.drain(S.token_state(stream), "fold_twice").collect()}
     assert got == {1: ("Hello", 1), 2: ("x", 0)}
+
+
+def test_records(spark):
+    from lodestone.operators import records as R
+
+    row = spark.sql("select array(1.00005D, 2.00015D, 3.0D) as s, map('a', 1.0D, 'b', 2.0D, 'c', 2.0D) as m, array(named_struct('title', 't', 'file_path', 'p'), named_struct('title', null, 'file_path', 'q'), named_struct('title', null, 'file_path', null)) as d")
+    got = row.select(R.capped(F.col("s"), 2).alias("s"), R.top_of_map(F.col("m"), 2).alias("m"), R.display_sources(F.col("d")).alias("d"), R.zipped(F.array(F.lit("x"), F.lit("y")), F.array(F.lit(1.0))).alias("z"), R.filled("a {b} {b}", b=F.lit("c")).alias("f")).first()
+    assert got.s == [1.0, 2.0002] and [tuple(x) for x in got.m] == [(2.0, "b"), (2.0, "c")] and got.d == ["t", "q", "Unknown"] and [tuple(x) for x in got.z] == [(1, "x", 1.0)] and got.f == "a c c"
+    assert spark.range(1).select(R.sse_line("id").alias("x")).first().x == 'data: {"id":0}\n\n'
+    for bad in ({"query": " "}, {"query": "q", "k": 101}, {"query": "q", "collection": 3}, {"query": "q" * 2001}):
+        with pytest.raises(ValueError):
+            R.SearchRequest(**bad)
