@@ -228,7 +228,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
     nodes = cut(fps.groupBy("fp").agg(F.min(id_col).alias("low")))
     comp = components(links(nodes.select("fp")))
     joined = nodes.join(comp, nodes.fp == comp.node, "left").select("fp", "low", F.coalesce("label", "fp").alias("label"))
-    least = joined.groupBy("label").agg(F.min("low").alias("component_id"))
+    # Cut off before the join, so that AQE can split a component with very many fingerprints.
+    least = cut(joined.groupBy("label").agg(F.min("low").alias("component_id")))
     by_fp = cut(joined.select("fp", "label").join(least, "label").select("fp", "component_id"))
     return fps.join(by_fp, "fp").select(id_col, "fp", "component_id")
 
