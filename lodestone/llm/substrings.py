@@ -200,8 +200,29 @@ def shared(held: DataFrame, buckets: int, hot_at: int = HOT) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(meet, "pack long, bucket int, bits binary")
 
 
-def runs_of(held: DataFrame, bits: DataFrame, buckets: int) -> DataFrame:
-    """(off, ctx, id, pack, lo, hot): one row for each run with a shared anchor; ctx covers its strings, off is the anchor's place in it."""
+def _blob(data: bytes, lo: np.ndarray, hi: np.ndarray, off: np.ndarray, ids: np.ndarray) -> bytes:
+    """Runs of one pack side by side: lengths, anchor places, starts, ids, contexts."""
+    ctx = b"".join([data[i : j + LENGTH] for i, j in zip(lo.tolist(), hi.tolist())])
+    return b"".join([(hi - lo).astype(np.uint8).tobytes(), off.astype(np.uint8).tobytes(), lo.astype("<i4").tobytes(), ids.astype("<i8").tobytes(), ctx])
+
+
+def _unblob(raw: bytes, n: int) -> tuple[list[bytes], list[int], np.ndarray, np.ndarray]:
+    size = np.frombuffer(raw, np.uint8, n).astype(np.int64) + LENGTH
+    off = np.frombuffer(raw, np.uint8, n, n).tolist()
+    lo = np.frombuffer(raw, "<i4", n, 2 * n).astype(np.int64)
+    ids = np.frombuffer(raw, "<i8", n, 6 * n).astype(np.int64)
+    end = (14 * n + np.cumsum(size)).tolist()
+    return [raw[e - k : e] for e, k in zip(end, size.tolist())], off, lo, ids
+
+
+def runs_of(held: DataFrame, bits: DataFrame, buckets: int, cold_buckets: int) -> DataFrame:
+    """Runs with a shared anchor; a run's context covers its strings. Hot runs are rows (off, ctx, id, pack, lo), off being the anchor's place in
+    ctx; the others are one compressed blob for each pack and bucket of anchors (bucket, pack, n, raw, blob)."""
+    names = ["off", "ctx", "id", "pack", "lo", "bucket", "n", "raw", "blob"]
+    kinds = [pa.int16(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+
+    def batch(rows: int, **cols) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(cols[c], k) if c in cols else pa.nulls(rows, k) for c, k in zip(names, kinds)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -215,16 +236,24 @@ def runs_of(held: DataFrame, bits: DataFrame, buckets: int) -> DataFrame:
                     k = x["bucket"]
                     m = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=2 * int(n[k])).astype(bool)
                     both[at[k] : at[k + 1]], hot[at[k] : at[k + 1]] = m[: n[k]], m[n[k] :]
-                pick = np.flatnonzero(both[place])
-                doc = np.searchsorted(ends, lo[pick], side="right")
-                own = np.array([NO_ID if i is None else i for i in ids], np.int64)[doc]
+                own = np.array([NO_ID if i is None else i for i in ids], np.int64)[np.searchsorted(ends, lo, side="right")]
+                pick = np.flatnonzero(both[place] & hot[place])
                 ctx = [data[i : j + LENGTH] for i, j in zip(lo[pick].tolist(), hi[pick].tolist())]
-                cols = [(q - lo)[pick].astype(np.int16), pa.array(ctx, pa.binary()), own, np.full(len(pick), pack, np.int64), lo[pick].astype(np.int32), hot[place[pick]]]
-                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], names=["off", "ctx", "id", "pack", "lo", "hot"])
+                yield batch(len(pick), off=(q - lo)[pick].astype(np.int16), ctx=ctx, id=own[pick], pack=np.full(len(pick), pack, np.int64), lo=lo[pick].astype(np.int32))
+                pick = np.flatnonzero(both[place] & ~hot[place])
+                if not len(pick):
+                    continue
+                bucket = ((h[pick] >> np.uint64(20)) % np.uint64(cold_buckets)).astype(np.int32)
+                order = np.argsort(bucket, kind="stable")
+                pick, bucket = pick[order], bucket[order]
+                edge = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(pick)]]).tolist()
+                parts = [pick[i:j] for i, j in zip(edge, edge[1:])]
+                raw = [_blob(data, lo[x], hi[x], (q - lo)[x], own[x]) for x in parts]
+                yield batch(len(parts), pack=[pack] * len(parts), bucket=bucket[edge[:-1]], n=[len(x) for x in parts], raw=[len(x) for x in raw], blob=[pa.compress(x, codec="zstd", asbytes=True) for x in raw])
 
     by_pack = bits.groupBy("pack").agg(F.collect_list(F.struct("bucket", "bits")).alias("got"))
     joined = held.join(by_pack, "pack").select("pack", "ids", "ends", "data", "got")
-    return joined.mapInArrow(run, "off short, ctx binary, id long, pack long, lo int, hot boolean")
+    return joined.mapInArrow(run, "off short, ctx binary, id long, pack long, lo int, bucket int, n int, raw int, blob binary")
 
 
 def lowest(ctx: list[bytes], gram: np.ndarray, low: np.ndarray) -> list[np.ndarray]:
@@ -301,20 +330,22 @@ def _by_pack(pack: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Table:
     )
 
 
-def _classes(t: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Contexts, anchors (as hashes that hold within the task) and smallest ids of the distinct (off, ctx), and each row's id and class."""
+def _sorted_bucket(t: pa.Table) -> pa.Table:
+    """The runs of one bucket: equal contexts are one class (its anchor is known by a hash that holds within the task), the classes' strings are sorted."""
     seen: dict[tuple, int] = {}
-    ids, ctx = t.column("id").to_numpy(), t.column("ctx").to_pylist()
-    cls = np.fromiter((seen.setdefault(k, len(seen)) for k in zip(t.column("off").to_pylist(), ctx)), np.int64, len(ctx))
+    cls, ids, lo, pack = [], [], [], []
+    for p, n, size, blob in zip(*(t.column(c).to_pylist() for c in ("pack", "n", "raw", "blob"))):
+        ctx, off, at, own = _unblob(pa.decompress(blob, size, codec="zstd", asbytes=True), n)
+        cls += [seen.setdefault(k, len(seen)) for k in zip(off, ctx)]
+        ids.append(own)
+        lo.append(at)
+        pack.append(np.full(n, p, np.int64))
+    cls, ids = np.array(cls, np.int64), np.concatenate(ids)
     low = np.full(len(seen), NO_ID, np.int64)
     np.minimum.at(low, cls, ids)
-    return [c for _, c in seen], np.array([hash(c[o : o + GRAM]) for o, c in seen], np.int64), low, ids, cls
-
-
-def _sorted_bucket(t: pa.Table) -> pa.Table:
-    ctx, gram, low, ids, cls = _classes(t)
-    rows, start, end = _intervals(t.column("lo").to_numpy().astype(np.int64), ids, cls, lowest(ctx, gram, low))
-    return _by_pack(t.column("pack").to_numpy()[rows], start, end)
+    gram = np.array([hash(c[o : o + GRAM]) for o, c in seen], np.int64)
+    rows, start, end = _intervals(np.concatenate(lo), ids, cls, lowest([c for _, c in seen], gram, low))
+    return _by_pack(np.concatenate(pack)[rows], start, end)
 
 
 _OUT = "pack long, starts binary, ends_ binary"
@@ -403,12 +434,11 @@ def remove_repeats(
     buckets = max(1, -(-total // bucket_bytes))
     bits = written(shared(held, buckets, hot_at))
     release(spark)
-    found = written(runs_of(held, bits, buckets))
+    found = written(runs_of(held, bits, buckets, 4 * buckets))
     release(spark)
-    gone = written(_hot(found.where("hot"), 4 * buckets, class_limit))
+    gone = written(_hot(found.where("bucket is null"), 4 * buckets, class_limit))
     release(spark)
-    dealt = F.pmod(F.expr(_ANCHOR), F.lit(4 * buckets)).cast("int").alias("bucket")
-    cold = found.where("not hot").select(dealt, "off", "ctx", "id", "pack", "lo").groupBy("bucket")
+    cold = found.where("bucket is not null").select("bucket", "pack", "n", "raw", "blob").groupBy("bucket")
     gone = gone.unionByName(written(cold.applyInArrow(lambda t: _sorted_bucket(t), _OUT)))
     release(spark)
     return _finish(held, gone, id_col)
