@@ -10,7 +10,7 @@ Bounds: ``sample`` labelled texts of each language, ``dict_bytes`` of
 dictionary for each. Which texts those are depends on a hash of their id only.
 
 Cases: null, empty and letterless texts are ``und`` with score 0. A null lang
-teaches nothing. Ties go to the smaller lang value. Without any labelled text
+or id teaches nothing, and a null id is not held out. Ties go to the smaller lang value. Without any labelled text
 every answer is ``und``. Repeated rows are answered each; an empty table gives
 an empty result; extra columns are not read.
 """
@@ -100,4 +100,4 @@ def op6_language_id(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     learned = train(docs.where(fold() != 1).select("doc_id", "text", "lang"))
     out = identify(docs, learned)
-    return out.select("doc_id", (fold() == 1).alias("held_out"), "lang_pred", "score", "rejected")
+    return out.select("doc_id", F.coalesce(fold() == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")

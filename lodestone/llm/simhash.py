@@ -155,8 +155,12 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.unique(fp[role == 0])
         if len(own) > 1:
             found += small_forest(own, start) if len(own) <= 128 else forest(own, start)
-        for p in np.unique(fp[role == 1]) if len(own) else ():
-            found += [(int(p), int(q)) for q in own[_viable(own ^ p, start)] if p != q]
+        asked = np.unique(fp[role == 1])
+        step = max(1, 1_000_000 // max(1, len(own)))
+        for i in range(0, len(asked) if len(own) else 0, step):
+            part = asked[i : i + step]
+            hit = _viable((part[:, None] ^ own[None, :]).reshape(-1), start)
+            found += [(int(p), int(q)) for p, q in zip(part[hit // len(own)], own[hit % len(own)]) if p != q]
         if len(found) > 50_000:
             yield _edges_of(found)
             found = []

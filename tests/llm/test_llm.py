@@ -331,3 +331,16 @@ def test_quotes(spark):
         [("1", "0", None, 0, 0, "Hello there.\n\nHow do I build\nthe thing?"), ("1", "1", 0, 1, 1, "Run make."), ("1", "2", 1, 2, 2, "Thanks!"), ("1", "3", 2, 1, 0, "ok"), ("1", "3", 2, 1, 0, "ok"), ("2", "5", None, 0, 0, ""), ("2", "6", 5, 0, 0, ""), ("None", "None", None, 1, 0, "b")]
     )
     assert quotes.link(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_written_tables_can_be_cleaned(spark):
+    import os
+
+    from lodestone.llm import common
+
+    common.clean(spark)
+    d = common.written(spark.range(3))
+    path = common._written[-1].removeprefix("file:")
+    assert d.count() == 3 and os.path.isdir(path)
+    common.clean(spark)
+    assert not os.path.exists(path) and not common._written
