@@ -40,8 +40,18 @@ _written: list[str] = []
 def clean(spark: SparkSession) -> None:
     """Delete the tables that ``written`` has made in this process; call it when no result that reads them is needed any more."""
     while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _written[-1])
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _written.remove(name)
+
+
+def drop(df: DataFrame) -> None:
+    """Delete one written table whose readers have all been written themselves."""
+    _delete(df.sparkSession, df.lodestone_path)
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -50,7 +60,9 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     _written.append(path)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.lodestone_path = path
+    return out
 
 
 def release(spark: SparkSession) -> None:

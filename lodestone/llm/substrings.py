@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import deepshallow
-from .common import cut, release, written
+from .common import cut, drop, release, written
 
 LENGTH, GRAM = 50, 26
 WINDOW = LENGTH - GRAM + 1
@@ -45,6 +45,14 @@ PACK, BLOCK = 1 << 20, 1 << 17
 HOT = 64
 NO_ID = (1 << 63) - 1
 
+def _packed(data: bytes) -> bytes:
+    return pa.Codec("zstd", compression_level=3).compress(data, asbytes=True)
+
+
+def _data(packed: bytes, ends: list[int]) -> bytes:
+    return pa.decompress(packed, ends[-1], codec="zstd", asbytes=True) if ends[-1] else b""
+
+
 _BASE = 0x9E3779B97F4A7C15
 _TABLE = np.random.default_rng(50).integers(0, 2**64, 256, dtype=np.uint64)
 _powers: list[np.ndarray] = []
@@ -110,7 +118,7 @@ def runs(data: bytes, ends: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def packs(docs: DataFrame, text: str, id_col: str, limit: int = PACK) -> DataFrame:
-    """(pack, ids, ends, data): documents side by side; the pack's number is kept in the row, so later steps need no task's number."""
+    """(pack, ids, ends, data): documents side by side, compressed, since the joins by pack shuffle them; the pack's number is kept in the row, so later steps need no task's number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -119,7 +127,7 @@ def packs(docs: DataFrame, text: str, id_col: str, limit: int = PACK) -> DataFra
         ids, ends, parts, size = [], [], [], 0
 
         def out():
-            cols = [pa.array([base + n], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([ends], pa.list_(pa.int32())), pa.array([b"".join(parts)], pa.binary())]
+            cols = [pa.array([base + n], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([ends], pa.list_(pa.int32())), pa.array([_packed(b"".join(parts))], pa.binary())]
             return pa.RecordBatch.from_arrays(cols, names=["pack", "ids", "ends", "data"])
 
         for b in batches:
@@ -158,7 +166,7 @@ def shared(held: DataFrame, buckets: int, hot_at: int = HOT) -> DataFrame:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for pack, ends, data in zip(*(b.column(i).to_pylist() for i in range(3))):
-                lo, _, _, h = runs(data, ends)
+                lo, _, _, h = runs(_data(data, ends), ends)
                 if not len(h):
                     continue
                 key, place, _ = _keyed(h, buckets)
@@ -227,6 +235,7 @@ def runs_of(held: DataFrame, bits: DataFrame, buckets: int, cold_buckets: int) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for pack, ids, ends, data, got in zip(*(b.column(i).to_pylist() for i in range(5))):
+                data = _data(data, ends)
                 lo, hi, q, h = runs(data, ends)
                 key, place, _ = _keyed(h, buckets)
                 n = np.bincount((key % np.uint64(buckets)).astype(np.int64), minlength=buckets)
@@ -249,7 +258,7 @@ def runs_of(held: DataFrame, bits: DataFrame, buckets: int, cold_buckets: int) -
                 edge = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(pick)]]).tolist()
                 parts = [pick[i:j] for i, j in zip(edge, edge[1:])]
                 raw = [_blob(data, lo[x], hi[x], (q - lo)[x], own[x]) for x in parts]
-                yield batch(len(parts), pack=[pack] * len(parts), bucket=bucket[edge[:-1]], n=[len(x) for x in parts], raw=[len(x) for x in raw], blob=[pa.compress(x, codec="zstd", asbytes=True) for x in raw])
+                yield batch(len(parts), pack=[pack] * len(parts), bucket=bucket[edge[:-1]], n=[len(x) for x in parts], raw=[len(x) for x in raw], blob=[_packed(x) for x in raw])
 
     by_pack = bits.groupBy("pack").agg(F.collect_list(F.struct("bucket", "bits")).alias("got"))
     joined = held.join(by_pack, "pack").select("pack", "ids", "ends", "data", "got")
@@ -399,6 +408,7 @@ def _finish(held: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for ids, ends, data, got in zip(*(b.column(i).to_pylist() for i in range(4))):
+                data = _data(data, ends)
                 u = np.frombuffer(data, np.uint8)
                 change = np.zeros(len(u) + 1, np.int64)
                 for x in got or ():
@@ -435,11 +445,13 @@ def remove_repeats(
     bits = written(shared(held, buckets, hot_at))
     release(spark)
     found = written(runs_of(held, bits, buckets, 4 * buckets))
+    drop(bits)
     release(spark)
     gone = written(_hot(found.where("bucket is null"), 4 * buckets, class_limit))
     release(spark)
     cold = found.where("bucket is not null").select("bucket", "pack", "n", "raw", "blob").groupBy("bucket")
     gone = gone.unionByName(written(cold.applyInArrow(lambda t: _sorted_bucket(t), _OUT)))
+    drop(found)
     release(spark)
     return _finish(held, gone, id_col)
 
