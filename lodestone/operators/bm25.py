@@ -34,14 +34,19 @@ class Index:
         return cls(*(spark.read.parquet(f"{path}/{n}") for n in ("postings", "docs", "terms", "corpus")))
 
 
-def build(docs: DataFrame, text: str = "text", id_col: str = "doc_id", markdown: bool = True, eps: float = 0.25) -> Index:
+def term_counts(docs: DataFrame, text: str = "text", id_col: str = "doc_id", markdown: bool = False) -> DataFrame:
+    """(term, doc_id, tf). Everything else is derived from this table with its counts, so one plan tokenises once and reuses the exchange."""
     body = T.clean_markdown(F.col(text)) if markdown else F.col(text)
-    toks = docs.select(F.col(id_col).alias("doc_id"), T.tokens(body).alias("tokens"))
-    lengths = toks.select("doc_id", F.size("tokens").cast("long").alias("dl"))
-    postings = toks.select("doc_id", F.explode("tokens").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
-    corpus = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    n = corpus.select("n").scalar()
+    return docs.select(F.col(id_col).alias("doc_id"), F.explode(T.tokens(body)).alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+
+
+def build(docs: DataFrame, text: str = "text", id_col: str = "doc_id", markdown: bool = True, eps: float = 0.25) -> Index:
+    postings = term_counts(docs, text, id_col, markdown)
+    per_doc = postings.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
+    lengths = docs.select(F.col(id_col).alias("doc_id")).join(per_doc, "doc_id", "left").select("doc_id", F.coalesce("dl", F.lit(0)).alias("dl"))
+    df = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    n = docs.agg(F.count("*")).scalar()
+    corpus = df.agg(F.coalesce(F.sum("cf"), F.lit(0)).alias("cf")).select(n.alias("n"), (F.col("cf") / F.nullif(n, F.lit(0))).alias("avgdl"))
     raw = df.withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean")).scalar()
     terms = raw.select("term", "df", F.when(F.col("raw") < 0, eps * mean).otherwise(F.col("raw")).alias("idf"))
@@ -56,10 +61,12 @@ def query_terms(queries: DataFrame, text: str = "text", id_col: str = "query_id"
 
 def search(index: Index, terms: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query_id, rank, doc_id, score): the k best of the documents that hold a query term; ties go to the smaller id. Scores are rounded to six places before ranking."""
-    weighted = terms.join(index.terms.select("term", "idf"), "term")
-    hits = weighted.join(index.postings, "term").join(index.docs, "doc_id")
     avgdl = index.corpus.select("avgdl").scalar()
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
-    scored = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+    asked = terms.select("term").distinct()
+    # A posting's weight is made once, only for terms that some query holds.
+    held = index.postings.join(asked, "term", "left_semi").join(index.terms.select("term", "idf"), "term").join(index.docs, "doc_id")
+    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
+    hits = terms.join(held.select("term", "doc_id", weight.alias("w")), "term")
+    scored = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qtf") * F.col("w")), 6).alias("score"))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")

@@ -8,22 +8,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..functions import vectors as V
+from .bm25 import term_counts
 
 ROW_BLOCK, QUERY_BLOCK = 1 << 16, 1 << 12
 
 
-def knn(queries: DataFrame, rows: DataFrame, k: int, distinct_from_self: bool = False, limit: int = 100) -> DataFrame:
-    """queries(query_id, v), rows(id, v[, allow]) -> (query_id, rank, id, distance): the k nearest by squared L2, ties to the smaller id; k is at most ``limit``.
+def _matrix(t: pa.Table) -> np.ndarray:
+    return t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(t.num_rows, -1)
+
+
+def knn(queries: DataFrame, rows: DataFrame, k: int, distinct_from_self: bool = False, limit: int = 100, sizes: tuple[int, int] | None = None) -> DataFrame:
+    """queries(query_id, v), rows(id, v) -> (query_id, rank, id, distance): the k nearest by squared L2, ties to the smaller id; k is at most ``limit``.
 
     Every pair of a query block and a row block is one task that compares them
-    with numpy and hands on k rows a query. ``allow``, if there, is an array of
-    query ids the row may answer (null: all).
+    with numpy and hands on k rows a query. ``sizes``: bounds of the numbers of
+    queries and rows, where they are known more cheaply than by counting.
     """
     k = min(k, limit)
-    nr = max(1, -(-rows.count() // ROW_BLOCK))
-    nq = max(1, -(-queries.count() // QUERY_BLOCK))
+    n_queries, n_rows = sizes or (queries.count(), rows.count())
+    nr, nq = max(1, -(-n_rows // ROW_BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
     left = queries.select("query_id", "v", F.pmod(F.xxhash64("query_id"), F.lit(nq)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nr - 1))).alias("rb"))
     right = rows.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(nr)).cast("int").alias("rb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))).alias("qb"))
     qkind, rkind = dict(queries.dtypes)["query_id"], dict(rows.dtypes)["id"]
@@ -31,8 +35,7 @@ def knn(queries: DataFrame, rows: DataFrame, k: int, distinct_from_self: bool =
     def best(q: pa.Table, r: pa.Table) -> pa.Table:
         out: tuple[list, list, list] = ([], [], [])
         if q.num_rows and r.num_rows:
-            a = np.array(q.column("v").to_pylist(), dtype=np.float64)
-            b = np.array(r.column("v").to_pylist(), dtype=np.float64)
+            a, b = _matrix(q), _matrix(r)
             ids, qids = r.column("id").to_pylist(), q.column("query_id").to_pylist()
             for i, x in enumerate(a):
                 d = np.round(((b - x) ** 2).sum(axis=1), 6)
@@ -66,11 +69,10 @@ def collection_stats(rows: DataFrame, by: str, vec: str) -> DataFrame:
 
 def hashed_vectors(docs: DataFrame, text: str = "text", id_col: str = "doc_id", dim: int = 64) -> DataFrame:
     """(id, v): a deterministic stand-in for an embedding model: terms hashed to signed dimensions by their MD5, unit length."""
-    terms = docs.select(F.col(id_col).alias("id"), F.explode(T.tokens(F.col(text))).alias("term"))
-    h = F.md5(F.col("term").cast("binary"))
-    at = F.conv(F.substring(h, 1, 4), 16, 10).cast("long") % dim
-    sign = F.when(F.conv(F.substring(h, 5, 1), 16, 10).cast("long") % 2 == 0, 1.0).otherwise(-1.0)
-    cells = terms.groupBy("id", at.alias("at")).agg(F.sum(sign).alias("x"))
+    terms = term_counts(docs, text, id_col).select(F.col("doc_id").alias("id"), "tf", F.md5(F.col("term").cast("binary")).alias("h"))
+    at = F.conv(F.substring("h", 1, 4), 16, 10).cast("long") % dim
+    sign = F.when(F.conv(F.substring("h", 5, 1), 16, 10).cast("long") % 2 == 0, 1.0).otherwise(-1.0)
+    cells = terms.groupBy("id", at.alias("at")).agg(F.sum(sign * F.col("tf")).alias("x"))
     # At most ``dim`` cells of one document meet.
     by_doc = cells.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("at", "x"))).alias("m"))
     dense = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(dim - 1).cast("long")), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))

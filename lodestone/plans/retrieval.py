@@ -33,6 +33,8 @@ def query(sql=None):
 
 
 def _index(spark, sf):
+    """The term counts are kept (memory, then disk) for all parts of a plan and later queries; for a standing index use Index.write and Index.read."""
+    bm25.term_counts(table(spark, sf, "documents")).persist()
     return bm25.build(table(spark, sf, "documents"), markdown=False)
 
 
@@ -45,9 +47,12 @@ def _lexical(spark, sf, k):
 
 
 def _dense(spark, sf, k):
-    rows = dense.hashed_vectors(table(spark, sf, "documents"))
+    docs = table(spark, sf, "documents")
+    bm25.term_counts(docs).persist()
+    rows = dense.hashed_vectors(docs)
+    sizes = (_asked(spark, sf).count(), docs.count())
     asked = dense.hashed_vectors(_asked(spark, sf), "query", "query_id").select(F.col("id").alias("query_id"), "v")
-    return dense.knn(asked, rows, k).select("query_id", "rank", F.col("id").alias("doc_id"), "distance")
+    return dense.knn(asked, rows, k, sizes=sizes).select("query_id", "rank", F.col("id").alias("doc_id"), "distance")
 
 
 _BM25 = f"""
