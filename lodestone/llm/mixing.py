@@ -134,7 +134,7 @@ def op5_mix_sources(spark, sf_dir):
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The documents themselves, each repeated as often as the mix takes it. Documents without words keep one row if their source is taken at all."""
+    """The documents themselves, each repeated as often as the mix takes it; one without words as often as the whole part of its source's rate. ``docs`` is a stored table: rows are named by their place in it."""
     held = docs.withColumn("mix_uid", F.monotonically_increasing_id())
     base = cut(held.select("mix_uid", "doc_id", "source", n_words(F.col("text")).alias("size")))
     n = _copies(base, "doc_id").select("mix_uid", "copies")
