@@ -8,7 +8,7 @@ pipeline, so ORACLE_SQL is None; tests hold it against a brute-force version.
 
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, mixing, pii, quality, simhash
+from lodestone.llm import bpe, mixing, nearcopies, pii, quality
 from lodestone.llm.common import cut, documents, written
 
 
@@ -18,11 +18,11 @@ def quality_stage(spark, docs, sf_dir):
 
 
 def near_duplicate_stage(spark, docs, sf_dir):
-    """Keep one row of each group of near-duplicates: that with the smallest doc_id (null is smallest), and the first stored of rows that repeat it."""
+    """Keep one row of each group of near-duplicates (five-word Jaccard similarity of 0.8 or more, and what that links): that with the smallest doc_id
+    (null is smallest), and the first stored of rows that repeat it."""
     held = docs.withColumn("_row", F.monotonically_increasing_id())
-    keyed = held.select(F.struct("doc_id", "_row").alias("key"), "text")
-    found = simhash.near_duplicates(keyed, id_col="key").where("key._row = component_id._row").select("key._row")
-    return held.join(cut(found), "_row", "left_semi").select(*docs.columns)
+    found = nearcopies.firsts(held.select(F.col("_row").alias("row"), F.col("doc_id").alias("id"), "text"))
+    return held.join(cut(found.select(F.col("row").alias("_row"))), "_row", "left_semi").select(*docs.columns)
 
 
 def pii_stage(spark, docs, sf_dir):

@@ -35,23 +35,27 @@ BITS, SEGMENTS, RADIUS = 64, 5, 4
 RING = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
 
 
-def fingerprint(data: bytes, width: int = 4, seed: int = 42) -> int:
-    """Of whole text bytes: majority of the XXH64 bits of its shingles, as an unsigned number."""
+def shingles(data: bytes, width: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of each run of ``width`` words of whole text bytes; of all words where there are no more than that, none without words."""
     from xxhash import xxh64_intdigest
 
     w = data.lower().split()
     n = len(w)
     if not n:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     joined = b" ".join(w)
     if n <= width:
-        hashes = np.array([xxh64_intdigest(joined, seed)], dtype=np.uint64)
-    else:
-        size = np.fromiter(map(len, w), dtype=np.int64, count=n)
-        end = np.cumsum(size + 1) - 1
-        start = end - size
-        view = memoryview(joined)
-        hashes = np.array([xxh64_intdigest(view[a:b], seed) for a, b in zip(start[: n - width + 1].tolist(), end[width - 1 :].tolist())], dtype=np.uint64)
+        return np.array([xxh64_intdigest(joined, seed)], dtype=np.uint64)
+    size = np.fromiter(map(len, w), dtype=np.int64, count=n)
+    end = np.cumsum(size + 1) - 1
+    start = end - size
+    view = memoryview(joined)
+    return np.array([xxh64_intdigest(view[a:b], seed) for a, b in zip(start[: n - width + 1].tolist(), end[width - 1 :].tolist())], dtype=np.uint64)
+
+
+def fingerprint(data: bytes, width: int = 4, seed: int = 42) -> int:
+    """Of whole text bytes: majority of the XXH64 bits of its shingles, as an unsigned number."""
+    hashes = shingles(data, width, seed)
     ones = np.zeros(BITS, dtype=np.int64)
     for i in range(0, len(hashes), 1 << 16):
         part = hashes[i : i + (1 << 16)]

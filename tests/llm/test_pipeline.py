@@ -1,5 +1,7 @@
 """The pipeline's stages, each against a plain version on its own input."""
 
+import random
+from itertools import combinations
 
 import pytest
 
@@ -60,6 +62,29 @@ def test_dedup_keeps_one_of_repeated_rows(spark):
     assert sorted(str(r.doc_id) for r in got.collect()) == ["1", "3", "None"]
 
 
+def shingled(text, width=5):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+
+
+def test_dedup_reaches_similarity(spark):
+    rng = random.Random(5)
+    texts = [[f"w{rng.randrange(5000)}" for _ in range(200)] for _ in range(40)]
+    for t in texts[:30]:  # one to seven words changed: similarity 0.95 to 0.7
+        copy = list(t)
+        for at in range(rng.randrange(1, 8)):
+            copy[20 * at + 9] = "changed"
+        texts.append(copy)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    sets = {i: shingled(t) for i, t in rows}
+    near = [(a, b) for a, b in combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    far = sum((fp_of(rows[a][1]) ^ fp_of(rows[b][1])).bit_count() > 4 for a, b in near)
+    assert far > 3 and len(near) < 30
+    docs = written(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long"))
+    got = corpus_pipeline.near_duplicate_stage(spark, docs, "")
+    assert sorted(r.doc_id for r in got.collect()) == sorted(set(closure(set(sets), near).values()))
+
+
 def test_run_equals_stages(spark, stages):
     a = corpus_pipeline.run(spark, "/root/testdata/sf0.001").select("doc_id", "ids_sha256").collect()
     assert sorted(map(tuple, a)) == sorted((r.doc_id, r.ids_sha256) for r in stages[5].collect())
