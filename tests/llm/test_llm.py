@@ -321,6 +321,18 @@ def test_licences(spark):
     assert licenses.scan(spark.createDataFrame([], "path string, text string, is_licence_file boolean")).count() == 0
 
 
+def test_licence_files_notices_and_tags(spark):
+    texts, note = licenses.TEXTS, licenses.NOTICES
+    code = "\nint main() { return 0; }\n"
+    want = {f"t/{k}/LICENSE": (v, k) for k, v in texts.items()}
+    want |= {f"n/{k}.c": ("Copyright 2020 Some Body\n" + v + code, k) for k, v in note.items()}
+    want |= {f"s/{k}.c": (f"// SPDX-License-Identifier: {k}{e}" + code, k) for k, e in (("MIT", ""), ("GPL-3.0", "-or-later"), ("LGPL-2.1", "-only"))}
+    want |= {"m/COPYING.txt": ("Copyright (c) 2021 Jane Doe\n\n" + texts["MIT"], "MIT"), "m/x.c": (code, "MIT"), "z/x.c": ("// SPDX-License-Identifier: Zlib" + code, None)}
+    rows = [(p, t, False) for p, (t, _) in want.items()]
+    got = licenses.scan(spark.createDataFrame(rows, "path string, text string, is_licence_file boolean")).collect()
+    assert {r.path: r.licence for r in got} == {p: k for p, (_, k) in want.items()}
+
+
 def test_quotes(spark):
     rows = [
         (1, 0, "user", "Hello there.\n\nHow do I build\nthe thing?", "x"), (1, 1, "assistant", "> How do I build the\n> thing?\nRun make.", "x"), (1, 2, "user", "On Monday, Al wrote:\n> > how do I BUILD the thing?\n> Run make.\n\nThanks!", "x"),
