@@ -68,11 +68,11 @@ def sort(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     m, length = rows.shape
     if not m:
         return np.zeros(0, np.int64), np.zeros(0, bool)
-    wide = np.zeros((m, -(-length // 8) * 8), np.uint8)
-    wide[:, :length] = rows
+    depth = min(SHALLOW, -(-length // 8))
+    wide = np.zeros((m, depth * 8), np.uint8)
+    wide[:, : min(length, depth * 8)] = rows[:, : depth * 8]
     chars = wide.view(">u8").astype(np.uint64)
     order, group = np.arange(m), np.zeros(m, np.int64)
-    depth = min(SHALLOW, chars.shape[1])
     for d in range(depth):
         c = chars[order, d]
         by = np.lexsort((c, group))
@@ -82,7 +82,7 @@ def sort(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         group = np.cumsum(new)
     first = np.ones(m, bool)
     first[1:] = group[1:] != group[:-1]
-    if depth < chars.shape[1]:
+    if depth * 8 < length:
         tails = np.ascontiguousarray(rows[:, depth * 8 :])
         blob, n = tails.tobytes(), tails.shape[1]
         starts = np.flatnonzero(first)

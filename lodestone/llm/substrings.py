@@ -15,8 +15,9 @@ equal anchors. The steps:
    strings cover (up to 74).
 4. ``_sorted_bucket``: the suffixes in a bucket are sorted deep-shallow; equal
    strings meet, and strings of a document with a larger id than the smallest
-   holder's are removed. Runs whose anchor is in very many packs are first
-   collapsed by content and joined, so no hot passage gathers in one task.
+   holder's are removed. Runs whose anchor is in very many packs, or very often
+   in one, are first collapsed by content and joined, so no hot passage gathers
+   in one task.
 5. ``_finish``: the removed intervals come back to the packs.
 
 Cases: null counts as the empty text. A null id is larger than all others. Rows
@@ -41,8 +42,10 @@ from .common import cut, drop, release, written
 LENGTH, GRAM = 50, 26
 WINDOW = LENGTH - GRAM + 1
 PACK, BLOCK = 1 << 20, 1 << 17
-#: An anchor in more packs than this is hot.
+#: An anchor in more packs than this, or more often than this in one pack, is hot: one that is not has at most HOT * HOT runs.
 HOT = 64
+#: Each bucket of runs is worked through in so many parts, by the anchor.
+PARTS = 16
 NO_ID = (1 << 63) - 1
 
 def _packed(data: bytes) -> bytes:
@@ -91,30 +94,36 @@ def _leftmost(v: np.ndarray) -> np.ndarray:
 
 
 def runs(data: bytes, ends: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs (first string's start, last string's start, anchor's position, anchor's hash) of documents that end at ``ends`` in data."""
+    """Runs (first string's start, last string's start, anchor's position, anchor's hash) of documents that end at ``ends`` in data.
+    Only runs are held beyond a block, so a very long text takes little more memory than its own."""
     u = np.frombuffer(data, np.uint8)
     n = len(u) - LENGTH + 1
     empty = np.zeros(0, np.int64)
     if n <= 0:
         return empty, empty, empty, np.zeros(0, np.uint64)
-    at, val = [], []
-    for b in range(0, n, BLOCK):
-        v = _grams(u[b : b + BLOCK + LENGTH - 1])
-        a = _leftmost((v >> np.uint64(32)).astype(np.uint32))
-        at.append(a + b)
-        val.append(v[a])
-    at, val = np.concatenate(at), np.concatenate(val)
     ok = np.ones(n, bool)
     for e in ends[:-1]:
         ok[max(0, e - LENGTH + 1) : e] = False  # these would cross a border
-    s = np.flatnonzero(ok)
-    if not len(s):
+    parts: list[list[np.ndarray]] = []
+    for b in range(0, n, BLOCK):
+        s = np.flatnonzero(ok[b : b + BLOCK])
+        if not len(s):
+            continue
+        v = _grams(u[b : b + BLOCK + LENGTH - 1])
+        at = _leftmost((v >> np.uint64(32)).astype(np.uint32))[s]
+        turn = np.flatnonzero((at[1:] != at[:-1]) | (s[1:] != s[:-1] + 1)) + 1
+        lo = np.concatenate([[0], turn])
+        hi = np.concatenate([turn, [len(s)]]) - 1
+        now = [s[lo] + b, s[hi] + b, at[lo] + b, v[at[lo]]]
+        if parts and parts[-1][2][-1] == now[2][0] and parts[-1][1][-1] + 1 == now[0][0]:  # the run goes on over the blocks' border
+            parts[-1][1][-1] = now[1][0]
+            now = [x[1:] for x in now]
+        if len(now[0]):
+            parts.append(now)
+    if not parts:
         return empty, empty, empty, np.zeros(0, np.uint64)
-    q = at[s]
-    turn = np.flatnonzero((q[1:] != q[:-1]) | (s[1:] != s[:-1] + 1)) + 1
-    lo = np.concatenate([[0], turn])
-    hi = np.concatenate([turn, [len(s)]]) - 1
-    return s[lo], s[hi], q[lo], val[s[lo]]
+    lo, hi, q, h = (np.concatenate(x) for x in zip(*parts))
+    return lo, hi, q, h
 
 
 def packs(docs: DataFrame, text: str, id_col: str, limit: int = PACK) -> DataFrame:
@@ -160,12 +169,18 @@ def _five(rest: np.ndarray) -> bytes:
     return rest.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
 
 
+def _rows(b: pa.RecordBatch) -> Iterator[list]:
+    """The rows of a batch, one in memory at a time."""
+    for i in range(b.num_rows):
+        yield [c[i].as_py() for c in b.columns]
+
+
 def shared(held: DataFrame, buckets: int, hot_at: int = HOT) -> DataFrame:
     """(pack, bucket, bits): for the pack's distinct hashes in a bucket, in order, one bit for 'also elsewhere' and then one for 'hot'."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for pack, ends, data in zip(*(b.column(i).to_pylist() for i in range(3))):
+            for pack, ends, data in _rows(b):
                 lo, _, _, h = runs(_data(data, ends), ends)
                 if not len(h):
                     continue
@@ -175,30 +190,36 @@ def shared(held: DataFrame, buckets: int, hot_at: int = HOT) -> DataFrame:
                 np.minimum.at(first, place, doc)
                 many = np.zeros(len(key), bool)
                 many[place[doc != first[place]]] = True
+                heavy = np.bincount(place, minlength=len(key)) > hot_at
                 bucket = (key % np.uint64(buckets)).astype(np.int64)
                 rest = (key // np.uint64(buckets)) & np.uint64((1 << 40) - 1)
                 edge = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(key)]]).tolist()
                 at = [int(bucket[i]) for i in edge[:-1]]
                 body = [_five(rest[i:j]) for i, j in zip(edge, edge[1:])]
-                flag = [np.packbits(many[i:j]).tobytes() for i, j in zip(edge, edge[1:])]
+                flag = [np.packbits(np.concatenate([many[i:j], heavy[i:j]])).tobytes() for i, j in zip(edge, edge[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([pack] * len(at), pa.int64()), pa.array(body, pa.binary()), pa.array(flag, pa.binary())], names=["bucket", "pack", "body", "flag"])
 
     def meet(t: pa.Table) -> pa.Table:
-        body, sizes, flags = [], [], []
+        body, sizes, flags, heavies = [], [], [], []
         for x, f in zip(t.column("body").to_pylist(), t.column("flag").to_pylist()):
             five = np.frombuffer(x, np.uint8).reshape(-1, 5)
             eight = np.zeros((len(five), 8), np.uint8)
             eight[:, :5] = five
             body.append(eight.view("<u8").reshape(-1))
-            sizes.append(len(five))
-            flags.append(np.unpackbits(np.frombuffer(f, np.uint8), count=len(five)).astype(bool))
-        rest, flag = np.concatenate(body), np.concatenate(flags)
+            n = len(five)
+            sizes.append(n)
+            m = np.unpackbits(np.frombuffer(f, np.uint8), count=2 * n).astype(bool)
+            flags.append(m[:n])
+            heavies.append(m[n:])
+        rest, flag, heavy = np.concatenate(body), np.concatenate(flags), np.concatenate(heavies)
+        del body, flags, heavies
         order = np.argsort(rest, kind="stable")
         s = rest[order]
-        turn = np.concatenate([[0], np.flatnonzero(s[1:] != s[:-1]) + 1, [len(s)]])
-        count = np.repeat(np.diff(turn), np.diff(turn))
+        turn = np.concatenate([[0], np.flatnonzero(s[1:] != s[:-1]) + 1])
+        count = np.diff(np.append(turn, len(s)))
+        hot_ = (count > hot_at) | np.logical_or.reduceat(heavy[order], turn)
         both, hot = np.empty(len(s), bool), np.empty(len(s), bool)
-        both[order], hot[order] = count > 1, count > hot_at
+        both[order], hot[order] = np.repeat(count > 1, count), np.repeat(hot_, count)
         both |= flag
         at = np.cumsum([0, *sizes])
         bits = [np.packbits(np.concatenate([both[i:j], hot[i:j]])).tobytes() for i, j in zip(at, at[1:])]
@@ -208,43 +229,71 @@ def shared(held: DataFrame, buckets: int, hot_at: int = HOT) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(meet, "pack long, bucket int, bits binary")
 
 
-def _blob(data: bytes, lo: np.ndarray, hi: np.ndarray, off: np.ndarray, ids: np.ndarray) -> bytes:
-    """Runs of one pack side by side: lengths, anchor places, starts, ids, contexts."""
-    ctx = b"".join([data[i : j + LENGTH] for i, j in zip(lo.tolist(), hi.tolist())])
-    return b"".join([(hi - lo).astype(np.uint8).tobytes(), off.astype(np.uint8).tobytes(), lo.astype("<i4").tobytes(), ids.astype("<i8").tobytes(), ctx])
+def _blob(ctx: list[bytes], part: np.ndarray, off: np.ndarray, lo: np.ndarray, ids: np.ndarray, pack: np.ndarray) -> bytes:
+    """Runs side by side: lengths, parts, anchor places, starts, ids, packs, contexts."""
+    size = np.fromiter(map(len, ctx), np.int64, len(ctx)) - LENGTH
+    kinds = ((size, "u1"), (part, "u1"), (off, "u1"), (lo, "<i4"), (ids, "<i8"), (pack, "<i8"))
+    return b"".join([*[x.astype(k).tobytes() for x, k in kinds], *ctx])
 
 
-def _unblob(raw: bytes, n: int) -> tuple[list[bytes], list[int], np.ndarray, np.ndarray]:
-    size = np.frombuffer(raw, np.uint8, n).astype(np.int64) + LENGTH
-    off = np.frombuffer(raw, np.uint8, n, n).tolist()
-    lo = np.frombuffer(raw, "<i4", n, 2 * n).astype(np.int64)
-    ids = np.frombuffer(raw, "<i8", n, 6 * n).astype(np.int64)
-    end = (14 * n + np.cumsum(size)).tolist()
-    return [raw[e - k : e] for e, k in zip(end, size.tolist())], off, lo, ids
+class _Runs:
+    """The runs of many blobs; ``text`` holds their contexts side by side."""
 
+    def __init__(self, n: list[int], raw: list[int], blobs: pa.ChunkedArray):
+        cols: list[list[np.ndarray]] = [[] for _ in range(6)]
+        texts = []
+        for k, size, blob in zip(n, raw, blobs):
+            data = pa.decompress(blob.as_buffer(), size, codec="zstd", asbytes=True)
+            at = 0
+            for c, kind in zip(cols, ("u1", "u1", "u1", "<i4", "<i8", "<i8")):
+                c.append(np.frombuffer(data, kind, k, at).copy())
+                at += c[-1].nbytes
+            texts.append(data[at:])
+        self.text = b"".join(texts)
+        size, self.part, self.off, self.lo, self.ids, self.pack = (np.concatenate(c) for c in cols)
+        self.size = size.astype(np.int64) + LENGTH
+        self.end = np.cumsum(self.size)
 
-def runs_of(held: DataFrame, bits: DataFrame, buckets: int, cold_buckets: int) -> DataFrame:
+    def contexts(self, at: np.ndarray) -> list[bytes]:
+        end = self.end[at]
+        return [self.text[i:j] for i, j in zip((end - self.size[at]).tolist(), end.tolist())]
+
+
+def runs_of(held: DataFrame, bits: DataFrame, buckets: int, cold_buckets: int, flush: int = 8 << 20) -> DataFrame:
     """Runs with a shared anchor; a run's context covers its strings. Hot runs are rows (off, ctx, id, pack, lo), off being the anchor's place in
-    ctx; the others are one compressed blob for each pack and bucket of anchors (bucket, pack, n, raw, blob)."""
+    ctx; the others are one compressed blob for each bucket of anchors and ``flush`` bytes of packs (bucket, n, raw, blob)."""
     names = ["off", "ctx", "id", "pack", "lo", "bucket", "n", "raw", "blob"]
     kinds = [pa.int16(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
 
     def batch(rows: int, **cols) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(cols[c], k) if c in cols else pa.nulls(rows, k) for c, k in zip(names, kinds)], names=names)
 
+    def cold(texts: list[bytes], waiting: list[list[np.ndarray]]) -> pa.RecordBatch:
+        of, bucket, part, off, lo, hi, own, pack = (np.concatenate(x) for x in zip(*waiting))
+        order = np.argsort(bucket, kind="stable")
+        bucket = bucket[order]
+        edge = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(order)]]).tolist()
+        at, sizes, blobs = [order[i:j] for i, j in zip(edge, edge[1:])], [], []
+        for x in at:
+            ctx = [texts[k][i : j + LENGTH] for k, i, j in zip(of[x].tolist(), lo[x].tolist(), hi[x].tolist())]
+            raw = _blob(ctx, part[x], off[x], lo[x], own[x], pack[x])
+            sizes.append(len(raw))
+            blobs.append(_packed(raw))
+        return batch(len(at), bucket=bucket[edge[:-1]].astype(np.int32), n=[len(x) for x in at], raw=sizes, blob=blobs)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, waiting, size = [], [], 0
         for b in batches:
-            for pack, ids, ends, data, got in zip(*(b.column(i).to_pylist() for i in range(5))):
+            for pack, ids, ends, data, got in _rows(b):
                 data = _data(data, ends)
                 lo, hi, q, h = runs(data, ends)
                 key, place, _ = _keyed(h, buckets)
-                n = np.bincount((key % np.uint64(buckets)).astype(np.int64), minlength=buckets)
+                bucket = (key % np.uint64(buckets)).astype(np.int64)
                 both, hot = np.zeros(len(key), bool), np.zeros(len(key), bool)
-                at = np.concatenate([[0], np.cumsum(n)])
                 for x in got:
-                    k = x["bucket"]
-                    m = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=2 * int(n[k])).astype(bool)
-                    both[at[k] : at[k + 1]], hot[at[k] : at[k + 1]] = m[: n[k]], m[n[k] :]
+                    i, j = np.searchsorted(bucket, [x["bucket"], x["bucket"] + 1]).tolist()
+                    m = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=2 * (j - i)).astype(bool)
+                    both[i:j], hot[i:j] = m[: j - i], m[j - i :]
                 own = np.array([NO_ID if i is None else i for i in ids], np.int64)[np.searchsorted(ends, lo, side="right")]
                 pick = np.flatnonzero(both[place] & hot[place])
                 ctx = [data[i : j + LENGTH] for i, j in zip(lo[pick].tolist(), hi[pick].tolist())]
@@ -252,58 +301,56 @@ def runs_of(held: DataFrame, bits: DataFrame, buckets: int, cold_buckets: int) -
                 pick = np.flatnonzero(both[place] & ~hot[place])
                 if not len(pick):
                     continue
-                bucket = ((h[pick] >> np.uint64(20)) % np.uint64(cold_buckets)).astype(np.int32)
-                order = np.argsort(bucket, kind="stable")
-                pick, bucket = pick[order], bucket[order]
-                edge = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(pick)]]).tolist()
-                parts = [pick[i:j] for i, j in zip(edge, edge[1:])]
-                raw = [_blob(data, lo[x], hi[x], (q - lo)[x], own[x]) for x in parts]
-                yield batch(len(parts), pack=[pack] * len(parts), bucket=bucket[edge[:-1]], n=[len(x) for x in parts], raw=[len(x) for x in raw], blob=[_packed(x) for x in raw])
+                mixed = h[pick] >> np.uint64(20)
+                waiting.append([np.full(len(pick), len(texts), np.int32), (mixed % np.uint64(cold_buckets)).astype(np.int64), (h[pick] % np.uint64(PARTS)).astype(np.uint8), (q - lo)[pick].astype(np.uint8), lo[pick].astype(np.int32), hi[pick].astype(np.int32), own[pick], np.full(len(pick), pack, np.int64)])
+                texts.append(data)
+                size += len(data)
+                if size >= flush:
+                    yield cold(texts, waiting)
+                    texts, waiting, size = [], [], 0
+        if waiting:
+            yield cold(texts, waiting)
 
     by_pack = bits.groupBy("pack").agg(F.collect_list(F.struct("bucket", "bits")).alias("got"))
     joined = held.join(by_pack, "pack").select("pack", "ids", "ends", "data", "got")
     return joined.mapInArrow(run, "off short, ctx binary, id long, pack long, lo int, bucket int, n int, raw int, blob binary")
 
 
-def lowest(ctx: list[bytes], gram: np.ndarray, low: np.ndarray) -> list[np.ndarray]:
-    """For classes of runs (distinct contexts with their smallest id): the smallest id of each of their strings, after a deep-shallow sort of these."""
-    n = np.fromiter((len(c) - LENGTH + 1 for c in ctx), np.int64, len(ctx))
-    out = [np.full(k, x, np.int64) for k, x in zip(n.tolist(), low.tolist())]
-    _, inverse, count = np.unique(gram, return_inverse=True, return_counts=True)
-    open_ = np.flatnonzero(count[inverse] > 1)
-    if not len(open_):
-        return out
-    # The strings of the classes whose anchor has another class, as rows of bytes.
-    blob = np.frombuffer(b"".join(ctx[i] for i in open_.tolist()), np.uint8)
-    sizes = n[open_] + LENGTH - 1
-    base = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    owner = np.repeat(np.arange(len(open_)), n[open_])
-    first = np.concatenate([[0], np.cumsum(n[open_])[:-1]])
-    start = base[owner] + np.arange(len(owner)) - first[owner]
-    # Sort in slices of anchors, so the matrix of strings stays small.
-    by_gram = np.argsort(gram[open_], kind="stable")
-    least = low[open_][owner].copy()
-    piece = 1 << 18
-    groups: list[list[int]] = [[]]
-    held, last = 0, None
-    for i in by_gram.tolist():
-        if held > piece and gram[open_[i]] != last:
-            groups.append([])
-            held = 0
-        groups[-1].append(i)
-        held += int(n[open_[i]])
-        last = gram[open_[i]]
-    for g in groups:
-        rows = np.concatenate([np.arange(first[i], first[i] + n[open_[i]]) for i in g]) if g else np.zeros(0, np.int64)
-        if not len(rows):
-            continue
-        strings = blob[start[rows][:, None] + np.arange(LENGTH)]
-        order, new = deepshallow.sort(strings)
-        got = least[rows][order]
-        smallest = np.minimum.reduceat(got, np.flatnonzero(new))
-        least[rows[order]] = np.repeat(smallest, np.diff(np.append(np.flatnonzero(new), len(order))))
-    for i, k in enumerate(open_.tolist()):
-        out[k] = least[first[i] : first[i] + n[k]]
+def _lowest_of(ctx: list[bytes], low: np.ndarray) -> list[np.ndarray]:
+    """The smallest id of each string of some contexts, after a deep-shallow sort of all their strings."""
+    size = np.fromiter(map(len, ctx), np.int64, len(ctx))
+    k = size - LENGTH + 1
+    blob = np.frombuffer(b"".join(ctx), np.uint8)
+    first = np.concatenate([[0], np.cumsum(k)])
+    owner = np.repeat(np.arange(len(ctx)), k)
+    start = np.repeat(np.cumsum(size) - size - first[:-1], k) + np.arange(first[-1])
+    order, new = deepshallow.sort(np.lib.stride_tricks.sliding_window_view(blob, LENGTH)[start])
+    at = np.flatnonzero(new)
+    least = np.empty(len(order), np.int64)
+    least[order] = np.repeat(np.minimum.reduceat(low[owner[order]], at), np.diff(np.append(at, len(order))))
+    return np.split(least, first[1:-1])
+
+
+def lowest(ctx: list[bytes], gram: np.ndarray, low: np.ndarray, piece: int = 1 << 16) -> list[np.ndarray]:
+    """For classes of runs (distinct contexts with their smallest id): the smallest id of each of their strings. The anchors' classes are
+    sorted about ``piece`` strings at a time, so memory follows the largest anchor only."""
+    n = np.fromiter(map(len, ctx), np.int64, len(ctx)) - LENGTH + 1
+    out: list[np.ndarray] = [None] * len(ctx)
+    order = np.argsort(gram, kind="stable")
+    edge = np.concatenate([[0], np.flatnonzero(np.diff(gram[order])) + 1, [len(order)]])
+    for i in order[edge[:-1][np.diff(edge) == 1]].tolist():
+        out[i] = np.full(n[i], low[i], np.int64)
+    several = np.flatnonzero(np.diff(edge) > 1)
+    waiting, held = [], 0
+    for last, g in enumerate(several.tolist(), 1 - len(several)):
+        at = order[edge[g] : edge[g + 1]]
+        waiting.append(at)
+        held += int(n[at].sum())
+        if held >= piece or not last:
+            at = np.concatenate(waiting)
+            for i, x in zip(at.tolist(), _lowest_of([ctx[i] for i in at.tolist()], low[at])):
+                out[i] = x
+            waiting, held = [], 0
     return out
 
 
@@ -340,21 +387,22 @@ def _by_pack(pack: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Table:
 
 
 def _sorted_bucket(t: pa.Table) -> pa.Table:
-    """The runs of one bucket: equal contexts are one class (its anchor is known by a hash that holds within the task), the classes' strings are sorted."""
-    seen: dict[tuple, int] = {}
-    cls, ids, lo, pack = [], [], [], []
-    for p, n, size, blob in zip(*(t.column(c).to_pylist() for c in ("pack", "n", "raw", "blob"))):
-        ctx, off, at, own = _unblob(pa.decompress(blob, size, codec="zstd", asbytes=True), n)
-        cls += [seen.setdefault(k, len(seen)) for k in zip(off, ctx)]
-        ids.append(own)
-        lo.append(at)
-        pack.append(np.full(n, p, np.int64))
-    cls, ids = np.array(cls, np.int64), np.concatenate(ids)
-    low = np.full(len(seen), NO_ID, np.int64)
-    np.minimum.at(low, cls, ids)
-    gram = np.array([hash(c[o : o + GRAM]) for o, c in seen], np.int64)
-    rows, start, end = _intervals(np.concatenate(lo), ids, cls, lowest([c for _, c in seen], gram, low))
-    return _by_pack(np.concatenate(pack)[rows], start, end)
+    """The runs of one bucket, part by part: equal contexts are one class (its anchor is known by a hash that holds within the task), the classes' strings are sorted."""
+    r = _Runs(t.column("n").to_pylist(), t.column("raw").to_pylist(), t.column("blob"))
+    found = []
+    for part in range(PARTS):
+        at = np.flatnonzero(r.part == part)
+        if not len(at):
+            continue
+        seen: dict[tuple, int] = {}
+        cls = np.array([seen.setdefault(k, len(seen)) for k in zip(r.off[at].tolist(), r.contexts(at))], np.int64)
+        ids = r.ids[at]
+        low = np.full(len(seen), NO_ID, np.int64)
+        np.minimum.at(low, cls, ids)
+        gram = np.array([hash(c[o : o + GRAM]) for o, c in seen], np.int64)
+        rows, start, end = _intervals(r.lo[at].astype(np.int64), ids, cls, lowest([c for _, c in seen], gram, low))
+        found.append((r.pack[at][rows], start, end))
+    return _by_pack(*(np.concatenate(x) for x in zip(*found)))
 
 
 _OUT = "pack long, starts binary, ends_ binary"
@@ -407,14 +455,14 @@ def _finish(held: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for ids, ends, data, got in zip(*(b.column(i).to_pylist() for i in range(4))):
+            for ids, ends, data, got in _rows(b):
                 data = _data(data, ends)
                 u = np.frombuffer(data, np.uint8)
-                change = np.zeros(len(u) + 1, np.int64)
+                change = np.zeros(len(u) + 1, np.int32)
                 for x in got or ():
                     np.add.at(change, np.frombuffer(x["starts"], "<i4"), 1)
                     np.add.at(change, np.frombuffer(x["ends_"], "<i4"), -1)
-                covered = np.cumsum(change[:-1]) > 0
+                covered = np.cumsum(change[:-1], dtype=np.int32) > 0
                 out, at = [], 0
                 for i, e in zip(ids, ends):
                     c = covered[at:e]
@@ -431,7 +479,7 @@ def _finish(held: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
 
 
 def remove_repeats(
-    docs: DataFrame, text: str = "text", id_col: str = "doc_id", bucket_bytes: int = 16 << 20, pack_bytes: int = PACK, hot_at: int = HOT, class_limit: int = 20_000
+    docs: DataFrame, text: str = "text", id_col: str = "doc_id", bucket_bytes: int = 16 << 20, pack_bytes: int = PACK, hot_at: int = HOT, class_limit: int = 8192
 ) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256): one row for each input row.
 
@@ -449,7 +497,7 @@ def remove_repeats(
     release(spark)
     gone = written(_hot(found.where("bucket is null"), 4 * buckets, class_limit))
     release(spark)
-    cold = found.where("bucket is not null").select("bucket", "pack", "n", "raw", "blob").groupBy("bucket")
+    cold = found.where("bucket is not null").select("bucket", "n", "raw", "blob").groupBy("bucket")
     gone = gone.unionByName(written(cold.applyInArrow(lambda t: _sorted_bucket(t), _OUT)))
     drop(found)
     release(spark)

@@ -276,6 +276,16 @@ def test_repeated_substrings_of_nothing(spark):
     assert substrings.remove_repeats(docs_of(spark, [])).count() == 0
 
 
+def test_repeats_of_one_anchor_in_one_pack(spark):
+    """One passage 200,000 times in one text, each time beside other digits, is worked through in bounded parts."""
+    passage = "the quick brown fox jumps over the lazy dog and runs far away from it "
+    text = "".join(f"{passage}{i:07d}" for i in range(200_000))
+    rows = [(1, text), (2, text), (3, "x" * 60 + passage + "y" * 60), (4, None)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in substrings.remove_repeats(docs_of(spark, rows)).collect()}
+    size = len(text)
+    assert got == {1: (size, 0, 0), 2: (size, size, 1), 3: (120 + len(passage), len(passage), 1), 4: (0, 0, 0)}
+
+
 def test_language_id(spark, sf):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     learned = langid.train(docs.where(langid.fold() != 1).select("doc_id", "text", "lang"))
