@@ -3,23 +3,29 @@
 Every tree hashes a vector to a string of 64 signs of random projections. A
 tree is its block's strings in sorted order, so rows with a common prefix are
 neighbours. A query descends each tree to its longest-prefix match, then all
-trees ascend together, one bit at a time, until the rows under the current
-prefixes are enough; these are compared exactly, in double
-precision, on the original vectors.
+trees ascend together; the rows under the current prefixes are compared
+exactly, in double precision, on the original vectors. Two strings agree in
+one sign with a chance of 1 - angle / pi, so the ascent can end by itself: it
+goes on until a row as near as the last of the k best so far would be under a
+common prefix in some tree with a chance of ``target``. On clustered data
+that is soon, on isotropic data late, and the rule is the same for blocks of
+every size.
 
 Inner products become angles by one more coordinate: rows get
 sqrt(M^2 - |x|^2) for the largest norm M, queries get 0, so the order of
 angles is the order of products.
 
-Rows are dealt into index blocks and the query set into query blocks, and each
-pair of blocks is one task: memory is bounded by the two block sizes. Equal
-vectors are one index entry that carries its k + 1 smallest ids, which is all
-that can enter a result of k.
+Rows are dealt into index blocks and the query set into query blocks of fixed
+sizes, and each pair of blocks is one task: memory is bounded by the two block
+sizes, and the answers do not depend on the cluster. Equal vectors are one
+index entry that carries its k + 1 smallest ids, which is all that can enter a
+result of k.
 
 Cases: vectors that are null, zero, of another length than the commonest, or
 with null or non-finite components take no part. Ties go to the smaller id. A
-query with fewer than k candidates gets all. Repeated rows with one id count
-once; an empty table gives an empty result; extra columns are not read.
+query with fewer than k candidates gets all. Rows of one id count once, with
+the smallest of their usable vectors; an empty table gives an empty result;
+extra columns are not read.
 """
 
 from __future__ import annotations
@@ -30,10 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, written
+from .common import written
 
 DEPTH = 64
-INDEX_BLOCK, QUERY_BLOCK = 1 << 17, 1 << 14
+INDEX_BLOCK, QUERY_BLOCK = 1 << 14, 1 << 14
+#: Trees, and the chance with which a row as near as the k-th best is met.
+TREES, TARGET = 48, 0.8
 
 
 class Forest:
@@ -53,51 +61,91 @@ class Forest:
         signs = (x.astype(np.float32) @ self.planes[t]) > 0
         return np.packbits(signs, axis=1).view(">u8").reshape(-1).astype(np.uint64)
 
-    def candidates(self, q: np.ndarray, least: int) -> list[np.ndarray]:
-        """For each query the rows under the longest prefix, the same length in all trees, that has at least ``least`` of them over all trees."""
-        keys = [self.hash(q, t) for t in range(len(self.keys))]
+    def ranges(self, keys: list[np.ndarray], bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each tree and query where the rows with the query's first ``bits`` signs begin and end."""
+        free = np.where(bits >= DEPTH, np.uint64(0), (np.uint64(2**64 - 1) >> np.minimum(bits, DEPTH - 1).astype(np.uint64)))
+        lo = np.stack([np.searchsorted(s, k & ~free, "left") for s, k in zip(self.keys, keys)])
+        hi = np.stack([np.searchsorted(s, k | free, "right") for s, k in zip(self.keys, keys)])
+        return lo, hi
 
-        def ranges(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            free = np.where(bits >= DEPTH, np.uint64(0), (np.uint64(2**64 - 1) >> np.minimum(bits, DEPTH - 1).astype(np.uint64)))
-            lo = np.stack([np.searchsorted(s, k & ~free, "left") for s, k in zip(self.keys, keys)])
-            hi = np.stack([np.searchsorted(s, k | free, "right") for s, k in zip(self.keys, keys)])
-            return lo, hi
-
-        # The count only falls as the prefix grows, so the ascent's end is found by halving.
-        low, high = np.zeros(len(q), np.int64), np.full(len(q), DEPTH, np.int64)
+    def descend(self, keys: list[np.ndarray], least: int) -> np.ndarray:
+        """For each query the longest prefix that holds ``least`` entries over all trees. The count only falls as it grows, so halving finds it."""
+        low, high = np.zeros(len(keys[0]), np.int64), np.full(len(keys[0]), DEPTH, np.int64)
         while (low < high).any():
             mid = (low + high + 1) // 2
-            lo, hi = ranges(mid)
+            lo, hi = self.ranges(keys, mid)
             enough = (hi - lo).sum(axis=0) >= least
             low, high = np.where(enough, mid, low), np.where(enough, high, mid - 1)
-        lo, hi = ranges(low)
-        return [np.unique(np.concatenate([o[a:b] for o, a, b in zip(self.order, lo[:, i], hi[:, i])])) for i in range(len(q))]
+        return low
+
+    def rows(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """The rows in one range of each tree."""
+        met = np.zeros(len(self.order[0]), bool)
+        for o, a, b in zip(self.order, lo.tolist(), hi.tolist()):
+            met[o[a:b]] = True
+        return np.flatnonzero(met)
+
+
+def longest(cos: float, trees: int, target: float) -> int:
+    """The longest common prefix that a row at this cosine has in some tree with the chance ``target``."""
+    same = 1 - np.arccos(min(1.0, max(-1.0, cos))) / np.pi
+    if same >= 1:
+        return DEPTH
+    return min(DEPTH, int(np.log(1 - (1 - target) ** (1 / trees)) / np.log(max(same, 1e-9))))
 
 
-def _search(index: pa.Table, queries: pa.Table, k: int, trees: int, candidates: int, seed: int) -> pa.Table:
+def nearest(x: np.ndarray, q: np.ndarray, near: int, trees: int = TREES, target: float = TARGET, seed: int = 7):
+    """For each query (its place, rows compared, their products with it). ``near``: the ascent aims at so many of the nearest rows."""
+    norm2 = (x * x).sum(axis=1)
+    most = float(np.sqrt(norm2.max()))
+    forest = Forest(np.column_stack([x, np.sqrt(np.maximum(0, most * most - norm2))]), trees, seed)
+    near = min(near, len(x))
+    for first in range(0, len(q), 1024):
+        part = q[first : first + 1024]
+        lifted = np.column_stack([part, np.zeros(len(part))])
+        keys = [forest.hash(lifted, t) for t in range(trees)]
+        scale = most * np.sqrt((part * part).sum(axis=1))
+        bits = forest.descend(keys, 4 * near)
+        todo = np.arange(len(part))
+        while len(todo):
+            lo, hi = forest.ranges([k[todo] for k in keys], bits[todo])
+            again = []
+            for at, i in enumerate(todo.tolist()):
+                rows = forest.rows(lo[:, at], hi[:, at])
+                product = x[rows] @ part[i] if 4 * len(rows) < len(x) else (x @ part[i])[rows]
+                if bits[i] and len(rows) < len(x):
+                    found = len(rows) >= near
+                    need = longest(np.partition(product, len(product) - near)[len(product) - near] / scale[i], trees, target) if found else bits[i] - 1
+                    if need < bits[i]:
+                        bits[i] = max(0, need)
+                        again.append(i)
+                        continue
+                yield first + i, rows, product
+            todo = np.array(again, np.int64)
+
+
+def _matrix(t: pa.Table, name: str) -> np.ndarray:
+    v = t.column(name).combine_chunks()
+    return v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
+
+
+def _search(index: pa.Table, queries: pa.Table, k: int, near: int, trees: int, target: float, seed: int) -> pa.Table:
     names = ["query_id", "vec_id", "score"]
     if not index.num_rows or not queries.num_rows:
         return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-    as_rows = lambda t: np.array(t.column("v").to_pylist(), dtype=np.float64)
-    x, q = as_rows(index), as_rows(queries)
+    x, q = _matrix(index, "v"), _matrix(queries, "v")
     ids = index.column("ids").to_pylist()
     qids = queries.column("query_id").to_pylist()
-    norm2 = (x * x).sum(axis=1)
-    lift = np.sqrt(np.maximum(0, norm2.max() - norm2))
-    forest = Forest(np.column_stack([x, lift]), trees, seed)
     out: tuple[list, list, list] = ([], [], [])
-    for lo in range(0, len(q), 1024):
-        part = q[lo : lo + 1024]
-        for i, near in enumerate(forest.candidates(np.column_stack([part, np.zeros(len(part))]), candidates)):
-            score = np.einsum("ij,j->i", x[near], part[i])
-            if len(near) > k + 1:  # all ties with the last stay in
-                last = np.partition(score, len(score) - k - 1)[len(score) - k - 1]
-                near, score = near[score >= last], score[score >= last]
-            own = qids[lo + i]
-            best = sorted((-s, v) for n, s in zip(near.tolist(), score.tolist()) for v in ids[n] if v != own)[:k]
-            out[0].extend([own] * len(best))
-            out[1].extend(v for _, v in best)
-            out[2].extend(-s for s, _ in best)
+    for i, rows, score in nearest(x, q, near, trees, target, seed):
+        if len(rows) > k + 1:  # all ties with the last stay in
+            last = np.partition(score, len(score) - k - 1)[len(score) - k - 1]
+            rows, score = rows[score >= last], score[score >= last]
+        own = qids[i]
+        best = sorted((-s, v) for n, s in zip(rows.tolist(), score.tolist()) for v in ids[n] if v != own)[:k]
+        out[0].extend([own] * len(best))
+        out[1].extend(v for _, v in best)
+        out[2].extend(-s for s, _ in best)
     return pa.table(dict(zip(names, (pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())))))
 
 
@@ -110,20 +158,16 @@ def usable(rows: DataFrame, vec: str) -> DataFrame:
     return held.where(F.size("v") == (size["n"] if size else 0))
 
 
-def search(rows: DataFrame, is_query, vec: str = "embedding", k: int = 20, trees: int = 24, least: int = 12000, share: float = 0.6, seed: int = 7) -> DataFrame:
+def search(
+    rows: DataFrame, is_query, vec: str = "embedding", k: int = 20, trees: int = TREES, target: float = TARGET, seed: int = 7, index_block: int = INDEX_BLOCK, query_block: int = QUERY_BLOCK
+) -> DataFrame:
     """rows(vec_id, vec) -> (query_id, rank, vec_id, score): each query's k nearest found among all other rows.
 
-    The ascent ends when a block's trees hold max(least, share * rows of the
-    block) entries under the current prefixes. Where near vectors are hardly
-    nearer than others (isotropic data, mean cosine 0.42 to the 20 nearest of
-    10,000), recall 0.9 needs about half of the rows; on clustered data a
-    share of 0.02 does.
-
-    Index blocks are as many as the default parallelism while they are small,
-    more from INDEX_BLOCK rows on.
+    Rows are dealt by a hash, so a block holds about its share of a query's k
+    nearest; its ascent aims at that share and two deviations more.
     """
-    spark = rows.sparkSession
-    held = written(usable(rows.select("vec_id", vec), vec).dropDuplicates(["vec_id"]))
+    # The smallest vector of an id; a plain aggregate, so rows of one id meet after a partial one.
+    held = written(usable(rows.select("vec_id", vec), vec).groupBy("vec_id").agg(F.min("v").alias("v")))
     classes = held.groupBy("v").agg(F.min("vec_id").alias("low"), F.count("*").alias("n"))
     # The k + 1 smallest ids of each vector; only vectors that occur more than once pass through the ranking.
     many = held.join(classes.where("n > 1").select("v"), "v")
@@ -132,11 +176,11 @@ def search(rows: DataFrame, is_query, vec: str = "embedding", k: int = 20, trees
     index = written(index)
     queries = held.where(is_query).select(F.col("vec_id").alias("query_id"), "v")
     n, m = index.count(), queries.count()
-    nb = max(1, min(spark.sparkContext.defaultParallelism, n // 2000), -(-n // INDEX_BLOCK))
-    mb = max(1, -(-m // QUERY_BLOCK))
+    nb, mb = max(1, -(-n // index_block)), max(1, -(-m // query_block))
+    near = min(k, int(np.ceil(k / nb + 2 * np.sqrt(k / nb) + 1)))
     left = index.withColumn("block", F.pmod(F.xxhash64("v"), F.lit(nb))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(mb - 1))))
     right = queries.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(mb)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nb - 1).cast("long"))))
-    run = lambda a, b: _search(a, b, k, trees, max(least, int(share * a.num_rows)), seed)
+    run = lambda a, b: _search(a, b, k, near, trees, target, seed)
     found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(run, "query_id long, vec_id long, score double")
     # At most nb * k rows a query meet here.
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -299,11 +299,48 @@ def test_language_id(spark, sf):
     assert {r.lang_pred for r in langid.identify(extra, {}).collect()} == {"und"}
 
 
+def clustered(rng, n, d=32, centres=100):
+    x = rng.standard_normal((centres, d))[rng.integers(0, centres, n)] + 0.4 * rng.standard_normal((n, d))
+    return x * rng.uniform(0.9, 1.1, (n, 1))
+
+
+@pytest.mark.parametrize(("kind", "share"), [("clustered", 0.4), ("isotropic", 0.95)])
+def test_forest_recall(kind, share):
+    """The rows compared, not only the answers, show that the ascent ends by itself."""
+    rng = np.random.default_rng(3)
+    x = clustered(rng, 16_384) if kind == "clustered" else rng.standard_normal((16_384, 32))
+    q, k = x[::400], 20
+    best = np.argsort(-(q @ x.T), axis=1)[:, :k]
+    hits = compared = 0
+    for i, rows, product in ann.nearest(x, q, k):
+        hits += len(set(rows.tolist()) & set(best[i].tolist()))
+        compared += len(rows)
+        assert np.allclose(product, x[rows] @ q[i])
+    assert hits / (k * len(q)) >= 0.9 and compared / (len(q) * len(x)) < share
+
+
+def test_nearest_in_blocks(spark):
+    rng = np.random.default_rng(8)
+    v = clustered(rng, 4000)
+    rows = spark.createDataFrame([(i, y.tolist()) for i, y in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(rows, "vec_id % 20 = 0", index_block=1000, query_block=80).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    s = v @ v.T
+    hits = 0
+    for q in range(0, 4000, 20):
+        s[q, q] = -np.inf
+        assert [x for x, _ in sorted(got[q])] == list(range(1, 21))
+        hits += len({x for _, x in got[q]} & set(np.argsort(-s[q])[:20].tolist()))
+    assert hits / (20 * len(got)) >= 0.9
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(0)
     v = rng.standard_normal((700, 16)) * rng.uniform(0.5, 2, (700, 1))
     v[100:140] = v[100]
-    rows = [(i, [float(x) for x in y], i) for i, y in enumerate(v)] + [(1000, None, 0), (1020, [0.0] * 16, 0), (1040, [float("nan")] * 16, 0), (1060, [1.0], 0), (1080, [None] * 16, 0), (20, [float(x) for x in v[20]], 1)]
+    rows = [(i, [float(x) for x in y], i) for i, y in enumerate(v)] + [(1000, None, 0), (1020, [0.0] * 16, 0), (1040, [float("nan")] * 16, 0), (1060, [1.0], 0), (1080, [None] * 16, 0), (20, [float(x) + 9 for x in v[20]], 1), (20, [float(x) for x in v[20]], 1), (20, None, 1)]
+    v[20] = min(v[20].tolist(), (v[20] + 9).tolist())
     got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int"), "vec_id % 20 = 0").collect()
     s = v @ v.T
     hits = 0
