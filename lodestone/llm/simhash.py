@@ -104,33 +104,74 @@ def _viable(x: np.ndarray, start: int) -> np.ndarray:
 
 
 def forest(fps: np.ndarray, start: int) -> list[tuple[int, int]]:
-    """Links that span the components of one bucket's distinct fingerprints; quadratic in a bucket only where nothing links."""
-    edges, rest = [], fps
+    """Links, as places in fps, that span the components of one bucket's distinct fingerprints; quadratic in a bucket only where nothing links."""
+    edges, rest = [], np.arange(len(fps))
     while len(rest) > 1:
-        queue, rest = [rest[0]], rest[1:]
+        queue, rest = [int(rest[0])], rest[1:]
         while queue and len(rest):
             p = queue.pop()
-            hit = _viable(rest ^ p, start)
+            hit = _viable(fps[rest] ^ fps[p], start)
             if len(hit):
-                found = rest[hit]
-                edges += [(int(p), int(q)) for q in found]
-                queue += list(found)
+                found = rest[hit].tolist()
+                edges += [(p, q) for q in found]
+                queue += found
                 rest = np.delete(rest, hit)
     return edges
 
 
 def small_forest(fps: np.ndarray, start: int) -> list[tuple[int, int]]:
-    """The same for a bucket of up to some hundred: all pairs at once, in memory."""
+    """The same for a bucket of up to some hundred: all pairs at once, in memory, and of them no more links than fingerprints."""
     a, b = np.triu_indices(len(fps), 1)
     hit = _viable(fps[a] ^ fps[b], start)
     if len(hit) >= len(fps):
         return forest(fps, start)
-    return [(int(fps[i]), int(fps[j])) for i, j in zip(a[hit], b[hit])]
-
-
-def _edges_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    e = np.array(found, dtype=np.uint64).reshape(-1, 2).view(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(e[:, 0].copy()), pa.array(e[:, 1].copy())], names=["a", "b"])
+    return list(zip(a[hit].tolist(), b[hit].tolist()))
+
+
+class _Sets:
+    """Disjoint sets of numbers, each alone until it is joined."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        at = x
+        while (y := self.up.get(at, at)) != at:
+            at = y
+        while x != at:
+            self.up[x], x = at, self.up.get(x, x)
+        return at
+
+    def join(self, a: int, b: int) -> bool:
+        """True if they were apart."""
+        a, b = self.find(a), self.find(b)
+        self.up[max(a, b)] = self.up[min(a, b)] = min(a, b)
+        return a != b
+
+
+def spanning(own: np.ndarray, asked: np.ndarray, start: int, at_once: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """Links that span what a bucket's own fingerprints link among themselves and with those asked for: at most as many as there are fingerprints."""
+    edges = [] if len(own) < 2 else small_forest(own, start) if len(own) <= 128 else forest(own, start)
+    pairs = np.array(edges, np.int64).reshape(-1, 2)
+    a, b = [own[pairs[:, 0]]], [own[pairs[:, 1]]]
+    if not len(own) or not len(asked):
+        return a[0], b[0]
+    sets = _Sets()
+    for i, j in edges:
+        sets.join(i, j)
+    step = max(1, at_once // len(own))
+    for i in range(0, len(asked), step):
+        part = asked[i : i + step]
+        hit = _viable((part[:, None] ^ own[None, :]).reshape(-1), start)
+        who, whom = hit // len(own), hit % len(own)
+        # Of one fingerprint's links into one set the first is enough.
+        label = np.fromiter(map(sets.find, range(len(own))), np.int64, len(own))
+        _, first = np.unique(who * len(own) + label[whom], return_index=True)
+        who, whom = who[first], whom[first]
+        new = np.array([sets.join(len(own) + i + x, y) for x, y in zip(who.tolist(), whom.tolist())], bool)
+        a.append(part[who[new]])
+        b.append(own[whom[new]])
+    return np.concatenate(a), np.concatenate(b)
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -153,22 +194,16 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarra
         yield at[0], np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
 
 
-def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found: list[tuple[int, int]] = []
+def _link(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """Links of all buckets of a task, less those that earlier links of the task imply; up to ``most`` fingerprints are remembered for that."""
+    sets = _Sets()
     for start, fp, role in _grouped(batches):
-        own = np.unique(fp[role == 0])
-        if len(own) > 1:
-            found += small_forest(own, start) if len(own) <= 128 else forest(own, start)
-        asked = np.unique(fp[role == 1])
-        step = max(1, 1_000_000 // max(1, len(own)))
-        for i in range(0, len(asked) if len(own) else 0, step):
-            part = asked[i : i + step]
-            hit = _viable((part[:, None] ^ own[None, :]).reshape(-1), start)
-            found += [(int(p), int(q)) for p, q in zip(part[hit // len(own)], own[hit % len(own)]) if p != q]
-        if len(found) > 50_000:
-            yield _edges_of(found)
-            found = []
-    yield _edges_of(found)
+        a, b = spanning(np.unique(fp[role == 0]), np.unique(fp[role == 1]), start)
+        if len(sets.up) > most:
+            sets = _Sets()
+        new = np.array([sets.join(x, y) for x, y in zip(a.tolist(), b.tolist())], bool)
+        if new.any():
+            yield pa.RecordBatch.from_arrays([pa.array(x[new].view(np.int64)) for x in (a, b)], names=["a", "b"])
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
