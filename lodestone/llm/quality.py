@@ -7,12 +7,13 @@ rule is a new row and never a new pass over the texts.
 Cases: a null or empty text has no words, so every count is 0 and the base
 check rejects it. Repeated rows are judged each on its own. An empty table
 gives an empty result. Extra columns of the input are not carried by the query
-(``doc_id`` names the row); ``judge`` keeps them and writes its own columns
-under the struct ``quality``, so names cannot clash.
+(``doc_id`` names the row); ``judge`` returns the kept columns under the struct
+``row`` and its own under the struct ``quality``, so names cannot clash.
 
-Three-word windows are compared by 64-bit hashes whose low bits give way to
-the window's position; two different windows of one text are mistaken for
-each other with a chance of about n^3 / 2^65 for n windows.
+Three-word windows are sorted by 64-bit hashes whose low bits give way to the
+window's position. Neighbours with one hash are then compared word by word; in
+a text where two of these differ, the windows themselves are sorted, so the
+counts are exact at every length.
 """
 
 from __future__ import annotations
@@ -57,12 +58,19 @@ RULES = (
 )
 
 
-def _measured(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """One row per input row: the kept columns and the counts. Each select is a step whose columns the next one uses more than once."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    held = [F.col(c) for c in keep]
+def _quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+#: SQL of the hash of a window of three words.
+WINDOW_HASH = "xxhash64(_w[i - 1], _w[i], _w[i + 1])"
+
+
+def measure(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), window_hash: str = WINDOW_HASH) -> DataFrame:
+    """Counts of every whole text beside the struct ``row`` of the kept columns. Each select is a step whose columns the next one uses more than once."""
+    t = F.coalesce(_quoted(text), F.lit(""))
     first = df.select(
-        *held,
+        F.struct(*[_quoted(c) for c in keep]).alias("row"),
         F.filter(F.split(t, SPACE), lambda x: x != "").alias("_w"),
         F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_l"),
         F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
@@ -70,7 +78,7 @@ def _measured(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
         F.length(F.regexp_replace(t, r"[^\p{Lu}]+", "")).cast("long").alias("n_upper"),
     )
     second = first.select(
-        *held,
+        "row",
         "n_symbols",
         "n_shouts",
         "n_upper",
@@ -85,27 +93,32 @@ def _measured(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
         F.expr("coalesce(shiftleft(1L, cast(ceil(log2(size(_w) + 1.0D)) as int)) - 1L, 0L)").alias("_m"),
     )
     third = second.select(
-        *[c for c in second.columns if c != "_w"],
-        F.expr("sort_array(if(size(_w) < 4, cast(array() as array<bigint>), transform(sequence(1, size(_w) - 2), i -> (xxhash64(_w[i - 1], _w[i], _w[i + 1]) & ~_m) | cast(i as bigint))))").alias("_s"),
+        "*",
+        F.expr(f"sort_array(if(size(_w) < 4, cast(array() as array<bigint>), transform(sequence(1, size(_w) - 2), i -> ({window_hash} & ~_m) | cast(i as bigint))))").alias("_s"),
     )
-    fourth = third.select(
-        *[c for c in third.columns if c not in ("_s", "_m")],
-        F.expr("sort_array(transform(filter(_s, (x, j) -> (x | _m) = (get(_s, j - 1) | _m) or (x | _m) = (get(_s, j + 1) | _m)), x -> x & _m))").alias("_p"),
+    # The windows whose hash another has too, in the order (hash, position).
+    fourth = third.select(*[c for c in third.columns if c != "_s"], F.expr("filter(_s, (x, j) -> (x | _m) = (get(_s, j - 1) | _m) or (x | _m) = (get(_s, j + 1) | _m))").alias("_r"))
+    before = "cast(get(_r, j - 1) & _m as int)"
+    differ = " or ".join(f"_w[cast(x & _m as int) {k}] <> _w[{before} {k}]" for k in ("- 1", "", "+ 1"))
+    window = "concat(_w[cast(x & _m as int) - 1], ' ', _w[cast(x & _m as int)], ' ', _w[cast(x & _m as int) + 1])"
+    fifth = fourth.select(*[c for c in fourth.columns], F.expr(f"size(filter(_r, (x, j) -> j > 0 and (x | _m) = (get(_r, j - 1) | _m) and ({differ}))) > 0").alias("_bad"))
+    sixth = fifth.select(
+        *[c for c in fifth.columns if c not in ("_w", "_bad")],
+        F.expr(f"if(_bad, sort_array(transform(_r, x -> struct({window} as s, x & _m as i))), null)").alias("_q"),
+    )
+    seventh = sixth.select(
+        *[c for c in sixth.columns if c not in ("_m", "_r", "_q")],
+        F.expr("sort_array(if(_q is null, transform(_r, x -> x & _m), transform(filter(_q, (x, j) -> x.s = get(_q, j - 1).s or x.s = get(_q, j + 1).s), x -> x.i)))").alias("_p"),
     )
     covered = F.expr("aggregate(_p, named_struct('last', -3L, 'n', 0L), (a, x) -> named_struct('last', x, 'n', a.n + least(3L, x - a.last)), a -> a.n)")
     # The counts leave through a generator: a filter on them stays above it, where the optimizer would else write the whole measuring into the filter.
-    counts = [F.col(c) for c in fourth.columns if c != "_p" and c not in keep]
-    return fourth.select(*held, F.inline(F.array(F.struct(*counts, covered.alias("n_repeat_words")))))
+    counts = [F.col(c) for c in seventh.columns if c not in ("row", "_p")]
+    return seventh.select("row", F.inline(F.array(F.struct(*counts, covered.alias("n_repeat_words")))))
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def measure(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Counts of every whole text beside the kept columns."""
-    return _measured(df, text, list(keep))
-
-
 def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
@@ -123,13 +136,15 @@ def compile_rules(rules: tuple[Rule, ...] = RULES) -> Column:
     return ok
 
 
-def judge(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The kept columns, the counts, base_failed and kept."""
-    m = measure(df, text, keep)
-    return m.withColumn("base_failed", base_failed()).withColumn("kept", ~base_failed() & compile_rules(rules))
+def judge(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), rules: tuple[Rule, ...] = RULES, window_hash: str = WINDOW_HASH) -> DataFrame:
+    """(row: the kept columns, quality: the counts, base_failed and kept), for each input row."""
+    m = measure(df, text, keep, window_hash)
+    counts = [c for c in m.columns if c != "row"]
+    m = m.withColumn("base_failed", base_failed()).withColumn("kept", ~base_failed() & compile_rules(rules))
+    return m.select("row", F.struct(*counts, "base_failed", "kept").alias("quality"))
 
 
 def op4_quality_rules(spark, sf_dir):
     """doc_id, n_words, the four base counts, base_failed, kept: one row for each document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return judge(docs).select("doc_id", *COUNTS, "base_failed", "kept")
+    return judge(docs).select("row.doc_id", *[f"quality.{c}" for c in (*COUNTS, "base_failed", "kept")])

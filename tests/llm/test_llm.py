@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 pytest.importorskip("lodestone.llm")
@@ -35,8 +36,9 @@ def corpus():
     return rows
 
 
-def test_quality_counts(spark, corpus):
-    got = sorted(tuple(r) for r in quality.judge(docs_of(spark, corpus)).select("doc_id", *quality.COUNTS, "base_failed").fillna(-1).collect())
+@pytest.mark.parametrize("window_hash", [quality.WINDOW_HASH, "5L", "xxhash64(length(_w[i]))"])
+def test_quality_counts(spark, corpus, window_hash):
+    """Whatever the windows' hashes: all windows of a text may share one."""
     want = []
     for i, t in corpus:
         t = t or ""
@@ -46,14 +48,25 @@ def test_quality_counts(spark, corpus):
         lines = [x for x in t.split("\n") if WORD.search(x)]
         n = len(w)
         want.append((-1 if i is None else i, n, sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(at), n < 50 or 100 * len(at) > 50 * n))
-    assert got == sorted(want)
+    judged = quality.judge(docs_of(spark, corpus), window_hash=window_hash).select("row.doc_id", *[f"quality.{c}" for c in (*quality.COUNTS, "base_failed")])
+    assert sorted(tuple(r) for r in judged.fillna(-1).collect()) == sorted(want)
+
+
+def test_quality_of_a_very_long_text(spark):
+    """Four million different words: where two windows share a shortened hash, the words decide."""
+    docs = spark.range(1).select(F.col("id").alias("doc_id"), F.array_join(F.sequence(F.lit(0), F.lit(3_999_999)), " ").alias("text"))
+    r = quality.judge(docs).select("quality.n_words", "quality.n_repeat_words").first()
+    assert (r.n_words, r.n_repeat_words) == (4_000_000, 0)
 
 
 def test_quality_empty_and_rules(spark):
     assert quality.judge(docs_of(spark, [])).count() == 0
+    clash = docs_of(spark, [(1, "a b"), (2, None)]).selectExpr("*", "1 n_words", "2 _w", "3 kept", "4 row", "5 quality", "6 n_symbols", "7 `a.b`")
+    got = quality.judge(clash, keep=tuple(clash.columns)).select("row.*").collect()
+    assert sorted(tuple(r) for r in got) == sorted(tuple(r) for r in clash.collect())
     good = ("The river is wide and the stone bridge of the old town is long . " * 1 + " ".join(f"word{i} of the place{i}" for i in range(20)))
     rows = [(1, good), (2, " ".join(f"wo{i}%%% the### of$$$" for i in range(40))), (3, good.upper().replace(" ", "!! "))]
-    kept = {r.doc_id: r.kept for r in quality.judge(docs_of(spark, rows)).collect()}
+    kept = {r.row.doc_id: r.quality.kept for r in quality.judge(docs_of(spark, rows)).collect()}
     assert kept == {1: True, 2: False, 3: False}
 
 
@@ -109,6 +122,18 @@ def test_pigeonring_chains_lose_no_link(spark, limit):
     assert {n: got.get(n, n) for n in signed} == closure(signed, linked)
 
 
+def test_crowded_buckets_give_spanning_links(spark):
+    """All pairs of a cluster link, yet the links grow with its size, at every depth of the chains."""
+    flips = [0, *(1 << i for i in range(64)), *((1 << i) | (1 << j) for i in range(64) for j in range(i))]
+    fps = np.array([0x0123456789ABCDEF ^ x for x in flips], dtype=np.uint64)
+    nodes = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    for limit in (4096, 500, 3):
+        edges = simhash.links(nodes, limit).cache()
+        assert edges.count() < 20 * len(fps)
+        got = components(edges)
+        assert got.count() == len(fps) and got.select("label").distinct().count() == 1
+
+
 def test_components_chain(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.label for r in components(e).collect()}

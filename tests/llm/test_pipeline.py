@@ -28,7 +28,7 @@ def test_names_and_columns(stages):
 
 
 def test_quality_stage(stages):
-    kept = {r.doc_id for r in quality.judge(stages[0]).where("kept").select("doc_id").collect()}
+    kept = {r.doc_id for r in quality.judge(stages[0]).where("quality.kept").select("row.doc_id").collect()}
     assert {r.doc_id for r in stages[1].collect()} == kept and 0 < len(kept) < stages[0].count()
 
 
