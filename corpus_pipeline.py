@@ -14,7 +14,7 @@ from lodestone.llm.common import cut, documents, written
 
 def quality_stage(spark, docs, sf_dir):
     """Keep the documents that the quality rules keep."""
-    return quality.judge(docs, keep=tuple(docs.columns)).where("kept").select(*docs.columns)
+    return quality.judge(docs, keep=tuple(docs.columns)).where("quality.kept").select("row.*")
 
 
 def near_duplicate_stage(spark, docs, sf_dir):
