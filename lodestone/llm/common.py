@@ -72,6 +72,11 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def quoted(name: str) -> Column:
+    """The column of exactly this name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def words(text: Column) -> Column:
     """The words of a text; none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda x: x != "")

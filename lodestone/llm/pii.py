@@ -1,8 +1,9 @@
 """Personal data: fixed patterns, and secrets found by weak supervision.
 
 One pass of built-in regular expressions finds the spans of the four base
-kinds and candidate spans of secrets (long runs of letters and digits after a
-name and ``=`` or ``:``, or standing alone). Three kinds of labelers vote on
+kinds and candidate spans of secrets (runs of 20 and more letters and digits
+anywhere, of 6 and more after a name like ``password`` and ``=`` or ``:``).
+Three kinds of labelers vote on
 each candidate (+1, -1 or 0): regular expressions on its value, a gazetteer on
 the name before it, and its context (assignment signs, quotes, neighbours).
 Expectation-maximisation over the counts of the vote patterns, at most 3 to
@@ -12,14 +13,15 @@ Bayes table over bounded span features; what it gives more than ``threshold``
 is added as kind ``secret``.
 
 Positions come from ``split`` and ``regexp_extract_all`` of one pattern: the
-pieces between the matches and the matches themselves add up. The patterns use
+pieces between the matches and the matches themselves add up, by a scan of
+doubling steps, so a text with very many matches takes n log n. The patterns use
 possessive runs and a left border, so they are linear in a text and do not
 recurse; for these languages they match what the plain patterns match.
 
 Cases: null counts as the empty text: no spans, hash of the empty string.
 Repeated rows are searched each. Without candidates nothing is added. An empty
 table gives an empty result. Extra columns are not read by the query;
-``redact`` keeps all columns.
+``redact`` keeps all columns, whatever their names: they travel in one struct.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, written
+from .common import cut, quoted, written
 
 KINDS = ("email", "ip", "card", "phone")
 _L = r"A-Za-z0-9._%+-"
@@ -39,10 +41,13 @@ PATTERNS = {
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "secret": r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{20,512}(?![A-Za-z0-9_+/-])",
+    "secret": r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,}+",
+    "announced": r"(?i:pass(?:word|wd|phrase)|pwd|secret|token|api[_-]?key|access[_-]?key|bearer|credential)[\"']?\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_+/-]{6,19}(?![A-Za-z0-9_+/-])",
 }
-#: A cheap test that must hold for a text to have a match at all.
-NEEDS = {"email": "@", "phone": "+"}
+#: What stands before the value in a match of an announced secret.
+_ANNOUNCEMENT = r"^(?s:.*)[=:]\s{0,3}[\"']?"
+#: Cheap tests, one of which must hold for a text to have a match at all.
+NEEDS = {"email": "@", "phone": "+", "announced": "=:"}
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 #: Names that announce a secret (the gazetteer).
 NAMES = ("token", "secret", "password", "passwd", "pwd", "apikey", "api_key", "key", "auth", "bearer", "credential", "access")
@@ -87,36 +92,45 @@ def _is(kind: str):
 _SPAN = "struct<kind: string, start: bigint, `end`: bigint, value: string, before: string, after: string>"
 
 
-def find(text: str, kind: str) -> tuple[Column, str, str]:
-    """For all spans of a kind in a text column: the matches, SQL of the pieces between them, and SQL that folds both (as _m_kind and _p_kind) into an array of
-    (kind, start, end, value, before, after) in code points; up to 32 characters around go with it."""
-    t = F.col(text)
-    found = F.regexp_extract_all(t, F.lit(PATTERNS[kind]), F.lit(0))
-    if kind in NEEDS:
-        found = F.when(F.contains(t, F.lit(NEEDS[kind])), found).otherwise(F.array().cast("array<string>"))
-    pattern = PATTERNS[kind].replace("\\", "\\\\").replace("'", "\\'")
-    # The state holds where the next piece starts.
-    state = f"named_struct('at', 0L, 'out', cast(array() as array<{_SPAN}>))"
-    m, p = f"_m_{kind}", f"_p_{kind}"
-    begin = f"(s.at + length({p}[i]))"
-    span = f"named_struct('kind', '{kind}', 'start', {begin}, 'end', {begin} + length({m}[i]), 'value', {m}[i], 'before', right({p}[i], 32), 'after', left({p}[i + 1], 8))"
-    fold = f"aggregate(sequence(0, size({m}) - 1), {state}, (s, i) -> named_struct('at', {begin} + length({m}[i]), 'out', concat(s.out, array({span}))), s -> s.out)"
-    pieces = f"split(`{text}`, '{pattern}', -1)"
-    return found, pieces, fold
+def scanned(name: str, step: str) -> Column:
+    """The running total of an array column: ``step`` is SQL that puts together x and y, the total of the places before. Doubling steps, n log n."""
+    earlier = "acc[i - shiftleft(1, k)]"
+    once = f"transform(acc, (x, i) -> if(i >= shiftleft(1, k), {step.replace('y', earlier)}, x))"
+    return F.expr(f"if(size({name}) < 2, {name}, aggregate(sequence(0, cast(ceil(log2(size({name}))) as int) - 1), {name}, (acc, k) -> {once}))")
+
+
+def _sql(pattern: str) -> str:
+    return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def spans(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns and ``found``: all valid base spans and secret candidates of each text."""
-    kinds = (*KINDS, "secret")
-    held = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    parts = {k: find("_t", k) for k in kinds}
-    first = held.select(*keep, "_t", *[parts[k][0].alias(f"_m_{k}") for k in kinds])
-    second = first.select(*keep, *[f"_m_{k}" for k in kinds], *[F.expr(f"if(size(_m_{k}) > 0, {parts[k][1]}, cast(array() as array<string>))").alias(f"_p_{k}") for k in kinds])
+    """(row: the kept columns, found): all valid base spans and secret candidates of each text, as (kind, start, end, value, before, after) in code
+    points; up to 32 characters before and 8 after go with them. Each select is a step whose columns the next one uses more than once."""
+    kinds = tuple(PATTERNS)
+    held = docs.select(F.struct(*[quoted(c) for c in keep]).alias("row"), F.coalesce(quoted(text), F.lit("")).alias("t"))
+
+    def matches(kind: str) -> Column:
+        found = F.regexp_extract_all("t", F.lit(PATTERNS[kind]), F.lit(0))
+        if kind not in NEEDS:
+            return found
+        may = F.lit(False)
+        for sign in NEEDS[kind]:
+            may = may | F.contains("t", F.lit(sign))
+        return F.when(may, found).otherwise(F.array().cast("array<string>"))
+
+    first = held.select("row", "t", *[matches(k).alias(f"m_{k}") for k in kinds])
+    second = first.select("row", *[f"m_{k}" for k in kinds], *[F.expr(f"if(size(m_{k}) > 0, split(t, {_sql(PATTERNS[k])}, -1), cast(array() as array<string>))").alias(f"p_{k}") for k in kinds])
+    third = second.select("*", *[F.expr(f"transform(m_{k}, (x, i) -> cast(length(p_{k}[i]) + length(x) as bigint))").alias(f"n_{k}") for k in kinds])
+    fourth = third.select("row", *[f"{c}_{k}" for k in kinds for c in "mp"], *[scanned(f"n_{k}", "x + y").alias(f"e_{k}") for k in kinds])
     lists = []
     for k in kinds:
-        got = F.expr(f"if(size(_m_{k}) > 0, {parts[k][2]}, cast(array() as array<{_SPAN}>))")
-        lists.append(F.filter(got, _test(k)))
-    return second.select(*keep, F.concat(*lists).alias("found"))
+        value = f"regexp_replace(x, {_sql(_ANNOUNCEMENT)}, '')" if k == "announced" else "x"
+        before = f"concat(p_{k}[i], left(x, length(x) - length({value})))" if k == "announced" else f"p_{k}[i]"
+        kind = "secret" if k == "announced" else k
+        span = f"named_struct('kind', '{kind}', 'start', e_{k}[i] - length({value}), 'end', e_{k}[i], 'value', {value}, 'before', right({before}, 32), 'after', left(p_{k}[i + 1], 8))"
+        got = F.expr(f"if(size(m_{k}) > 0, transform(m_{k}, (x, i) -> {span}), cast(array() as array<{_SPAN}>))")
+        lists.append(F.filter(got, _test(kind)))
+    return fourth.select("row", F.concat(*lists).alias("found"))
 
 
 def labelers(v: Column, before: Column, after: Column) -> dict[str, Column]:
@@ -204,11 +218,11 @@ def train(cands: DataFrame):
 
 
 def decide(found: DataFrame, score, threshold: float = 0.5) -> DataFrame:
-    """Replace ``found`` by ``base`` and ``added``: arrays of (kind, start, end), base by kind as listed and then start."""
+    """(row, base, added): arrays of (kind, start, end), base by kind as listed and then start."""
     bare = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
     secret = lambda s: (s["kind"] == "secret") & (score(s["value"], s["before"], s["after"]) > threshold)
     return found.select(
-        *[c for c in found.columns if c != "found"],
+        "row",
         F.transform(F.filter("found", lambda s: s["kind"] != "secret"), bare).alias("base"),
         F.transform(F.filter("found", secret), bare).alias("added"),
     )
@@ -221,7 +235,7 @@ def _candidates(found: DataFrame) -> DataFrame:
 def detect(docs: DataFrame, text: str = "text", id_col: str = "doc_id", threshold: float = 0.5) -> DataFrame:
     """One row per input row: (id, base, added). The spans (not the texts) are written once, since the model is learned from them and then applied to them."""
     found = written(spans(docs, text, (id_col,)))
-    return decide(found, train(_candidates(found)), threshold)
+    return decide(found, train(_candidates(found)), threshold).select("row.*", "base", "added")
 
 
 def _text(spans_col: Column) -> Column:
@@ -236,8 +250,22 @@ def op8_pii(spark, sf_dir):
     return d.select("doc_id", *counts, F.sha2(_text(F.col("base")).cast("binary"), 256).alias("base_sha256"), _text(F.concat("base", "added")).alias("spans"))
 
 
+#: Code points of a block of text, from which pieces at any place are cut.
+_BLOCK = 512
+
+
+def _piece(a: str, b: str) -> str:
+    """SQL of the code points a to b of a text whose blocks are in ``cells``; each costs its length and two blocks."""
+    i, j = f"cast(({a}) div {_BLOCK} as int)", f"cast((({b}) - 1) div {_BLOCK} as int)"
+    at, rest = f"cast(({a}) % {_BLOCK} as int) + 1", f"cast((({b}) - 1) % {_BLOCK} as int) + 1"
+    within = f"substring(get(cells, {i}), {at}, cast(({b}) - ({a}) as int))"
+    across = f"concat(substring(get(cells, {i}), {at}), array_join(slice(cells, {i} + 2, {j} - {i} - 1), ''), left(get(cells, {j}), {rest}))"
+    return f"case when ({b}) <= ({a}) then '' when {i} = {j} then {within} else {across} end"
+
+
 def redact(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The documents with every span replaced by its kind in brackets. Overlapping spans: the earlier start, then the longer one, stands.
+    """The documents with every span replaced by its kind in brackets. Spans that overlap are one, from the first start to the last end, and bear the
+    kind of the one that starts first (the longer of two that start together).
 
     The texts are scanned twice, once to learn and once to replace, so that no
     text is shuffled. A column n_chars follows the new text.
@@ -245,11 +273,17 @@ def redact(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     score = train(_candidates(spans(docs, "text", ("doc_id",))))
     hits = decide(spans(docs, "text", tuple(docs.columns)), score, threshold)
     order = F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("less"), s["kind"].alias("kind"))))
-    held = hits.select(*docs.columns, order.alias("_s"))
-    new = F.expr(
-        """aggregate(_s, named_struct('at', 0L, 'out', cast(array() as array<string>)),
-             (a, s) -> if(s.start < a.at, a, named_struct('at', -s.less, 'out', concat(a.out, array(substring(text, cast(a.at + 1 as int), cast(s.start - a.at as int)), concat('[', s.kind, ']'))))),
-             a -> concat(array_join(a.out, ''), substring(text, cast(a.at + 1 as int))))"""
-    )
-    put = {"text": new, "n_chars": F.length(new).cast("long")}
-    return held.select(*[F.when(F.size("_s") == 0, F.col(c)).otherwise(put[c]).alias(c) if c in put else F.col(c) for c in docs.columns])
+    first = hits.select("row", order.alias("s"))
+    second = first.select("row", "s", F.expr("transform(s, x -> -x.less)").alias("ends"))
+    third = second.select("row", "s", scanned("ends", "greatest(x, y)").alias("most"))
+    heads = "filter(sequence(0, size(s) - 1), i -> i = 0 or s[i].start >= most[i - 1])"
+    fourth = third.select("row", "s", "most", F.expr(f"if(size(s) = 0, cast(array() as array<int>), {heads})").alias("heads"))
+    union = "transform(heads, (h, k) -> named_struct('start', s[h].start, 'end', most[coalesce(get(heads, k + 1), size(s)) - 1], 'kind', s[h].kind))"
+    cells = f"if(size(s) = 0, cast(array() as array<string>), regexp_extract_all(row.text, '(?s).{{1,{_BLOCK}}}', 0))"
+    fifth = fourth.select("row", F.expr(union).alias("u"), F.expr(cells).alias("cells"))
+    body = f"array_join(transform(u, (x, k) -> concat({_piece('coalesce(get(u, k - 1).end, 0L)', 'x.start')}, '[', x.kind, ']')), '')"
+    tail = _piece("u[size(u) - 1].end", "cast(length(row.text) as bigint)")
+    sixth = fifth.select("row", F.expr(f"if(size(u) = 0, null, concat({body}, {tail}))").alias("new"))
+    put = {"text": F.col("new"), "n_chars": F.length("new").cast("long")}
+    own = lambda c: F.col("row").getField(c)
+    return sixth.select(*[F.when(F.col("new").isNull(), own(c)).otherwise(put[c]).alias(c) if c in put else own(c).alias(c) for c in docs.columns])

@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE
+from .common import SPACE, quoted
 
 #: Frequent function words of the languages served (fixed values of this rule set).
 STOP_WORDS = (
@@ -58,19 +58,15 @@ RULES = (
 )
 
 
-def _quoted(name: str) -> Column:
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
 #: SQL of the hash of a window of three words.
 WINDOW_HASH = "xxhash64(_w[i - 1], _w[i], _w[i + 1])"
 
 
 def measure(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), window_hash: str = WINDOW_HASH) -> DataFrame:
     """Counts of every whole text beside the struct ``row`` of the kept columns. Each select is a step whose columns the next one uses more than once."""
-    t = F.coalesce(_quoted(text), F.lit(""))
+    t = F.coalesce(quoted(text), F.lit(""))
     first = df.select(
-        F.struct(*[_quoted(c) for c in keep]).alias("row"),
+        F.struct(*[quoted(c) for c in keep]).alias("row"),
         F.filter(F.split(t, SPACE), lambda x: x != "").alias("_w"),
         F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_l"),
         F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -179,6 +180,73 @@ def test_redact(spark):
     assert {r.doc_id: r.n_chars for r in d.collect()} == {1: 20, 2: 0, 3: 7}
 
 
+def test_redact_unites_overlaps_and_keeps_columns(spark):
+    long = "é" * 700 + " a@b.com " + "😀" * 1300 + " 1.2.3.4"
+    rows = [(1, "+49 30 1234567.anna@example.org and"), (2, long), (3, None), (4, "a@b.com")]
+    docs = docs_of(spark, rows).selectExpr("*", "1 found", "2 base", "3 _t", "4 _s", "5 row", "6 t", "7 u", "8 cells", "9 s", "1 `x.y`")
+    got = {r.doc_id: r for r in pii.redact(docs).collect()}
+    assert got[1].text == "[phone] and" and got[2].text == "é" * 700 + " [email] " + "😀" * 1300 + " [ip]" and got[3].text is None and got[4].text == "[email]"
+    assert pii.redact(docs).columns == docs.columns and (got[2].cells, got[2]["x.y"], got[2].n_chars) == (8, 1, len(got[2].text))
+    assert pii.redact(docs_of(spark, [])).count() == 0
+
+
+def test_many_matches_in_one_text(spark):
+    n = 200_000
+    docs = spark.range(1).select(F.col("id").alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("u"), i.cast("string"), F.lit("@b.co"))), " ").alias("text"))
+    began = time.time()
+    r = pii.detect(docs).select(F.size("base").alias("n"), F.element_at("base", -1).alias("last"), F.size("added").alias("a")).first()
+    end = sum(len(f"u{i}@b.co") + 1 for i in range(1, n + 1)) - 1
+    assert (r.n, r.last.start, r.last.end, r.a) == (n, end - len(f"u{n}@b.co"), end, 0)
+    assert pii.redact(docs).select(F.md5(F.col("text").cast("binary")).alias("h")).first().h == hashlib.md5(" ".join(["[email]"] * n).encode()).hexdigest()
+    assert time.time() - began < 60
+
+
+def test_secrets_of_any_length(spark):
+    """600 and 100,000 characters, after a bare sign too, and short ones that are announced."""
+    hexes = lambda seed, n: "".join(hashlib.sha1(f"{seed}:{i}".encode()).hexdigest() for i in range(n // 40 + 1))[:n]
+    secrets = [hexes(i, n) for i, n in enumerate((40, 64, 600, 100_000))]
+    rows = [(10 * i + j, t.format(v)) for i, v in enumerate(secrets) for j, t in enumerate(('token = "{}" then', "api_key={} then", "secret: {}"))]
+    rows += [(100 + i, f"password = {q}hunter{i}abc{q} and more") for i, q in enumerate(("'", '"', ""))]
+    rows += [(200 + i, f"the word secret has no value here, {w} neither") for i, w in enumerate(("password", "token", "a secret: yes"))]
+    got = {r.doc_id: [(s.kind, dict(rows)[r.doc_id][s.start : s.end]) for s in r.added] for r in pii.detect(docs_of(spark, rows)).collect()}
+    for i, v in enumerate(secrets):
+        assert all(got[10 * i + j] == [("secret", v)] for j in range(3))
+    assert [got[100 + i] for i in range(3)] == [[("secret", f"hunter{i}abc")] for i in range(3)]
+    assert not any(got[200 + i] for i in range(3))
+
+
+def test_votes_and_classifier_against_plain_version(spark):
+    """EM and naive Bayes over candidates, by a loop over single candidates instead of counts of patterns."""
+    rng = random.Random(6)
+    cands = [(hashlib.sha1(str(i).encode()).hexdigest(), rng.choice(['token = "', "key: ", "see "]), '" x') for i in range(300)]
+    cands += [(f"plain_identifier_of_chapter{i}", rng.choice(["see ", "in ", "name = "]), " x") for i in range(200)]
+    frame = spark.createDataFrame(cands, "value string, before string, after string")
+    v, b, a = F.col("value"), F.col("before"), F.col("after")
+    seen = frame.select(F.array(*pii.labelers(v, b, a).values()).alias("votes"), F.struct(*[x.alias(k) for k, x in pii.features(v, b, a).items()]).alias("f"), pii.train(frame)(v, b, a).alias("p")).collect()
+    n, share = 5, 0.5
+    yes, no = [{1: 0.7, 0: 0.2, -1: 0.1} for _ in range(n)], [{1: 0.1, 0: 0.4, -1: 0.5} for _ in range(n)]
+
+    def chance(votes):
+        x, y = share, 1 - share
+        for i, z in enumerate(votes):
+            x, y = x * yes[i][z], y * no[i][z]
+        return x / (x + y)
+
+    for _ in range(50):
+        post = [chance(r.votes) for r in seen]
+        share = (sum(post) + 1) / (len(seen) + 2)
+        yes, no = ([{z: (sum(w for w, r in zip(ws, seen) if r.votes[i] == z) + 1) / (sum(ws) + 3) for z in (-1, 0, 1)} for i in range(n)] for ws in (post, [1 - x for x in post]))
+    post = [chance(r.votes) for r in seen]
+    one, none = sum(post), len(seen) - sum(post)
+    for r in seen:
+        odds = np.log((one + 1) / (none + 1))
+        for k in r.f.asDict():
+            values = {x.f[k] for x in seen}
+            same = [x.f[k] == r.f[k] for x in seen]
+            odds += np.log((sum(w for w, s in zip(post, same) if s) + 0.5) / (one + 0.5 * len(values))) - np.log((sum(1 - w for w, s in zip(post, same) if s) + 0.5) / (none + 0.5 * len(values)))
+        assert r.p == pytest.approx(1 / (1 + np.exp(-odds)), abs=1e-6)
+
+
 def test_mixing(spark, corpus):
     rng = random.Random(1)
     rows = [(i, prose(rng, rng.randint(0, 60)), "en", rng.choice(["a", "b", "b", "b", "c", None, "é"])) for i in range(600)] + [(9, None, "en", "a"), (None, "x y", None, "c")]
