@@ -11,6 +11,11 @@ residuals meet again FANOUT at a time, level by level, until one is left per
 source; a last draw settles it. The result differs from the target by at most
 the size of that one document.
 
+Rows that agree in source, id and size are one class: pivotal steps among
+equals leave all but one of them integral whatever the draws, so a class of c
+rows with fraction p gives floor(c p) copies, and the rest of its mass enters
+the tree as one document. However many rows repeat, a bucket stays small.
+
 The draws are hashes of the two documents met, so reruns agree.
 
 Cases: a null source is a source of its own, after all others; a null or
@@ -119,14 +124,33 @@ def _copies(base: DataFrame, id_col: str, **how) -> DataFrame:
     rows = base.join(s, base["source"].eqNullSafe(s["source"])).drop(s["source"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rows = rows.withColumn("rate", rate).withColumn("whole", F.floor(F.col("rate") + 1e-9)).withColumn("p", F.col("rate") - F.col("whole"))
-    some = rows.where((F.col("p") > 1e-9) & (F.col("size") > 0))
+    some = rows.where((F.col("p") > 1e-9) & (F.col("size") > 0)).withColumn("h", F.xxhash64(id_col, "size"))
+    key = ["rank", "h", "size"]
+    classes = some.groupBy(*key).agg(F.first("n").alias("n"), F.first("p").alias("p1"), F.count("*").alias("c"), F.min("mix_uid").alias("uid"))
+    classes = cut(classes.withColumn("sure", F.floor(F.col("c") * F.col("p1") + 1e-9)).withColumn("p", F.greatest(F.lit(0.0), F.col("c") * F.col("p1") - F.col("sure"))))
     n_max = s.agg(F.max("n")).first()[0] or 0
-    ups = round_copies(some.select(F.col("rank").alias("part"), "n", F.xxhash64(id_col, "size").alias("h"), F.col("mix_uid").alias("uid"), F.col("size").cast("double").alias("size"), "p"), n_max)
+    drawn = round_copies(classes.where("p > 1e-9").select(F.col("rank").alias("part"), "n", "h", "uid", F.col("size").cast("double").alias("size"), "p"), n_max)
+    got = cut(classes.join(drawn, "uid", "left").select(*key, "uid", "c", (F.col("sure") + F.coalesce("up", F.lit(0))).alias("ups")))
+    alone = got.where("c = 1").select("uid", "ups")
+    ups = alone.unionByName(_among_equals(some.select("mix_uid", *key), got.where("c > 1").select(*key, "ups")))
     out = rows.join(ups, rows.mix_uid == ups.uid, "left")
-    n = (F.col("whole") + F.coalesce("up", F.lit(0))).cast("long")
+    n = (F.col("whole") + F.coalesce("ups", F.lit(0))).cast("long")
     return out.select("mix_uid", id_col, "size", "source_size", "target", (n * F.col("size")).alias("taken"), n.alias("copies"))
 
 
+def _among_equals(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(uid, ups): of each class of equal rows the first ``ups`` get a copy. Rows are numbered within (class, stored partition), after the
+    partitions' counts, so no class gathers in a task."""
+    key = ["rank", "h", "size"]
+    mine = cut(rows.join(classes, key).withColumn("place", F.shiftright("mix_uid", 33)))
+    counts = mine.groupBy(*key, "place").agg(F.count("*").alias("k"))
+    before = F.coalesce(F.sum("k").over(W.partitionBy(*key).orderBy("place").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = cut(counts.select(*key, "place", before.alias("before")))
+    order = F.row_number().over(W.partitionBy(*key, "place").orderBy("mix_uid"))
+    numbered = mine.withColumn("r", order).join(offsets, [*key, "place"])
+    return numbered.select(F.col("mix_uid").alias("uid"), (F.col("before") + F.col("r") <= F.col("ups")).cast("long").alias("ups"))
+
+
 def op5_mix_sources(spark, sf_dir):
     """doc_id, size, source_size, target, taken: one row for each document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
