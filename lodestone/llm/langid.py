@@ -8,6 +8,9 @@ answer is marked ``rejected`` (the smallest stays the prediction).
 
 Bounds: ``sample`` labelled texts of each language, ``dict_bytes`` of
 dictionary for each. Which texts those are depends on a hash of their id only.
+Each gives an equal share of the dictionary, in pieces of ``piece`` letters
+from evenly spread places of the whole text. The driver holds languages x
+dict_bytes: the lang values are taken to be a closed set.
 
 Cases: null, empty and letterless texts are ``und`` with score 0. A null lang
 or id teaches nothing, and a null id is not held out. Ties go to the smaller lang value. Without any labelled text
@@ -34,22 +37,36 @@ def letters(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"[^\p{L}]+", " ")
 
 
-def train(labelled: DataFrame, sample: int = 200, dict_bytes: int = 65536) -> dict[str, bytes]:
+def train(labelled: DataFrame, sample: int = 200, dict_bytes: int = 65536, piece: int = 160) -> dict[str, bytes]:
     """labelled(doc_id, text, lang) -> dictionary content by language, from at most ``sample`` texts of each and at most ``dict_bytes``.
 
-    What reaches the driver is bounded by languages x dict_bytes; the top
+    Longer texts give more pieces only where others are shorter than their
+    share: pieces are taken round by round until the dictionary is full. What
+    reaches the driver is bounded by languages x 4 dict_bytes; the top
     ``sample`` of each language are found with a limit before the shuffle
     (WindowGroupLimit), so a language with most rows does not gather in a task.
     """
     order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    share = max(1, 4 * dict_bytes // sample)
+    most = max(1, 4 * dict_bytes // (sample * piece))
     ids = labelled.where("lang is not null and text is not null and doc_id is not null").where(F.col("text").rlike(r"\p{L}"))
-    top = ids.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample)
-    rows = top.select("lang", "r", F.substring(letters(F.col("text")), 1, share).alias("text")).orderBy("lang", "r").collect()
-    out: dict[str, list[bytes]] = {}
-    for x in rows:
-        out.setdefault(x["lang"], []).append(x["text"].encode("utf-8", "replace"))
-    return {k: b"\n".join(reversed(v))[-dict_bytes:] for k, v in sorted(out.items())}
+    top = ids.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample).select("lang", "r", letters(F.col("text")).alias("text"))
+    # Places of up to ``most`` pieces that do not overlap, spread over the text.
+    n = F.least(F.lit(most), F.greatest(F.lit(1), F.ceil(F.length("text") / piece).cast("int")))
+    start = lambda i: (i * (F.length("text") - piece) / F.greatest(F.lit(1), F.col("n") - 1)).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.substring("text", F.greatest(F.lit(0), start(i)) + 1, F.lit(piece)))
+    rows = top.withColumn("n", n).select("lang", "r", pieces.alias("pieces")).orderBy("lang", "r").collect()
+    out: dict[str, bytes] = {}
+    for lang in sorted({x["lang"] for x in rows}):
+        mine = [x["pieces"] for x in rows if x["lang"] == lang]
+        taken, size = [], 0
+        for k in range(most):
+            for x in mine:
+                at = sorted(range(len(x)), key=lambda i: (i % 2, i))  # every other piece first
+                if k < len(x) and size < dict_bytes:
+                    taken.append(x[at[k]].encode("utf-8", "replace"))
+                    size += len(taken[-1]) + 1
+        out[lang] = b"\n".join(reversed(taken))[-dict_bytes:]
+    return out
 
 
 class Sizer:

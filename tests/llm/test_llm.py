@@ -290,6 +290,16 @@ def test_mixing_is_unbiased(spark):
     assert {r.up for r in up} == {0, 1} and abs(sum(r["count"] for r in up if r.up) - 1200) < 60
 
 
+def test_mixing_spreads_equal_rows(spark):
+    """100,000 equal rows: exact counts, no bucket of the tree holds them, and the rows taken do not depend on the partitions."""
+    docs = spark.range(100_000).selectExpr("cast(null as bigint) as doc_id", "'a b c' as text", "'s' as source").unionByName(spark.range(500).selectExpr("id as doc_id", "repeat('w ', cast(id % 9 as int)) as text", "if(id % 2 = 0, 's', 't') as source"))
+    got = mixing.copies(docs.repartition(6))
+    total = got.groupBy("source_size").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert len(total) == 2 and all(abs(r.taken - r.target) <= 9 for r in total)
+    tally = lambda d: sorted(map(str, d.groupBy("doc_id", "size", "taken").count().collect()))
+    assert tally(got) == tally(mixing.copies(docs.repartition(3)))
+
+
 def test_bpe_join_is_exact():
     tok = bpe.load(bpe.tokenizer_path())
     rng = random.Random(5)
