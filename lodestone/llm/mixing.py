@@ -20,8 +20,8 @@ The draws are hashes of the two documents met, so reruns agree.
 
 Cases: a null source is a source of its own, after all others; a null or
 empty text has size 0 and takes 0 words; repeated rows are rows of their own;
-an empty table gives an empty result; extra columns ride along in ``mix``
-(its own columns are ``mix_*``).
+an empty table gives an empty result; extra columns ride along in ``mix``,
+whatever their names: they travel in one struct.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import SPACE, cut
+from .common import SPACE, cut, quoted
 
 FANOUT = 64
 #: Weights of the sources in code-point order, repeating; share of all words; cap as a multiple of a source's size.
@@ -159,7 +159,7 @@ def op5_mix_sources(spark, sf_dir):
 
 def mix(docs: DataFrame) -> DataFrame:
     """The documents themselves, each repeated as often as the mix takes it; one without words as often as the whole part of its source's rate. ``docs`` is a stored table: rows are named by their place in it."""
-    held = docs.withColumn("mix_uid", F.monotonically_increasing_id())
-    base = cut(held.select("mix_uid", "doc_id", "source", n_words(F.col("text")).alias("size")))
+    held = docs.select(F.monotonically_increasing_id().alias("mix_uid"), F.struct(*[quoted(c) for c in docs.columns]).alias("doc"))
+    base = cut(held.select("mix_uid", "doc.doc_id", "doc.source", n_words(F.col("doc.text")).alias("size")))
     n = _copies(base, "doc_id").select("mix_uid", "copies")
-    return held.join(n, "mix_uid").withColumn("mix_again", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).drop("mix_uid", "mix_again")
+    return held.join(n, "mix_uid").select("doc", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("doc.*")

@@ -1,11 +1,19 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash bands propose, whole shingle sets confirm.
-
-SimHash is out of reach here: at similarity 0.8 fingerprints differ in about
-ten of 64 bits, a radius that no chain can search. A pair at similarity s
-shares a band of ``rows`` minima with a chance of s^rows, so of pairs at 0.8
-the ``bands`` miss 3 in a million, and fewer above. Rows of equal shingle
-sets are one node. Buckets with the same nodes are read once; within a bucket
-the sets themselves are compared until its links span all that is linked.
+"""Near copies by the Jaccard similarity of word shingles: SimHash chains and MinHash bands propose, whole shingle sets confirm.
+
+SimHash with pigeonring chains (``simhash``) proposes pairs within four bits.
+That alone can't give this operator's result: at similarity 0.8 fingerprints
+differ in about ten of 64 bits, a radius at which no segment of a chain is
+equal and which an index can't search. MinHash bands propose the rest: a pair
+at similarity s shares a band of ``ROWS`` minima with a chance of s^ROWS, so of
+pairs at 0.8 the ``BANDS`` miss 3 in a million, and fewer above.
+
+Rows of equal shingle sets are one node. A proposal is a bucket of nodes; of
+buckets with the same nodes one is read. Within a bucket the sets themselves
+are compared until its links span all that is linked. A bucket of more than
+``limit`` nodes is dealt in chunks: first every chunk meets one of them, then
+the nodes that are not in the bucket's largest component meet all chunks, so
+every pair of different components has met and no task holds more than two
+chunks.
 
 Cases: a null or empty text has the empty set, and such rows are copies of
 each other; a text of up to ``width`` words is one shingle. Extra columns are
@@ -19,14 +27,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, written
+from .common import cut, drop, release, written
 from .components import components
-from .simhash import shingles
+from .simhash import links, majority, shingles
 
 WIDTH, LEAST = 5, 0.8
 BANDS, ROWS = 32, 5
+#: Nodes of a chunk of a crowded bucket.
+LIMIT = 1024
 
 
 def band_keys(found: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> list[int]:
@@ -46,18 +57,24 @@ def band_keys(found: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> list[i
 
 
 def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """docs(row, id, text) -> (row, id, digest of the shingle set, keys)."""
+    """docs(row, id, text) -> (row, id, digest of the shingle set, fp, keys)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
         for b in batches:
-            sets = [np.unique(shingles(x or b"", width)) for x in b.column(2).to_pylist()]
-            cols = [pa.array([xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["row", "id", "digest", "keys"])
+            digest, fp, keys = [], [], []
+            for x in b.column(2):
+                all_ = shingles(x.as_py() or b"", width)
+                found = np.unique(all_)
+                digest.append(xxh3_128_digest(found.tobytes()))
+                fp.append(majority(all_))
+                keys.append(band_keys(found))
+            cols = [pa.array(digest, pa.binary()), pa.array(np.array(fp, dtype=np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["row", "id", "digest", "fp", "keys"])
 
     kind = dict(docs.dtypes)["id"]
-    return docs.select("row", "id", F.col("text").cast("binary")).mapInArrow(run, f"row long, id {kind}, digest binary, keys array<long>")
+    return docs.select("row", "id", F.col("text").cast("binary")).mapInArrow(run, f"row long, id {kind}, digest binary, fp long, keys array<long>")
 
 
 def forest(nodes: list[int], sets: list[np.ndarray], least: float = LEAST) -> list[tuple[int, int]]:
@@ -86,35 +103,90 @@ def forest(nodes: list[int], sets: list[np.ndarray], least: float = LEAST) -> li
 
 def _links(width: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, nodes, sets, edges = None, [], [], []
+        def out() -> pa.RecordBatch:
+            edges = forest(nodes, sets, least) if len(nodes) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+        at, nodes, sets = None, [], []
         for b in batches:
-            for key, node, text in zip(*(c.to_pylist() for c in b.columns)):
-                if key != at and nodes:
-                    edges += forest(nodes, sets, least)
+            keys, parts, names = (b.column(i).to_pylist() for i in range(3))
+            for i, now in enumerate(zip(keys, parts)):
+                if now != at:
+                    yield out()
                     nodes, sets = [], []
-                at = key
-                nodes.append(node)
-                sets.append(np.unique(shingles(text or b"", width)))
-            yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], names=["a", "b"])
-            edges = []
-        if nodes:
-            edges = forest(nodes, sets, least)
-        yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], names=["a", "b"])
+                at = now
+                if not nodes or nodes[-1] != names[i]:
+                    nodes.append(names[i])
+                    sets.append(np.unique(shingles(b.column(3)[i].as_py() or b"", width)))
+        yield out()
 
     return run
 
 
-def firsts(docs: DataFrame, width: int = WIDTH, least: float = LEAST) -> DataFrame:
-    """Stored docs(row: unique long, id, text) -> (row): of each group of near copies the row with the smallest id, then the smallest row."""
-    drawn = written(sketches(docs, width))
-    nodes = written(drawn.groupBy("digest").agg(F.min(F.struct("id", "row")).alias("low"), F.first("keys").alias("keys")).select(F.col("low.row").alias("node"), "low", "keys"))
+def proposals(nodes: DataFrame) -> DataFrame:
+    """nodes(node, fp, keys) -> (key, node, n): buckets of two and more nodes, n of them, that may hold near copies."""
+    same = W.partitionBy("key")
+    # Nearly all keys have one node: they are counted where they meet, so each is shuffled once.
     rows = nodes.select("node", F.explode("keys").alias("key"))
-    sign = [F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s")]
+    rows = rows.select("key", "node", F.count("*").over(same).alias("n"), *[F.bit_xor(F.xxhash64("node", F.lit(i))).over(same).alias(f"x{i}") for i in (0, 1)])
+    crowds = written(rows.where("n > 1"))
     # Near copies share most of their bands: of buckets with the same nodes one stays.
-    buckets = rows.groupBy("key").agg(F.count("*").alias("n"), *sign).where("n > 1").groupBy("n", "x", "s").agg(F.min("key").alias("key"))
-    members = written(rows.join(buckets.select("key"), "key").select("key", "node"))
+    one = crowds.groupBy("n", "x0", "x1").agg(F.min("key").alias("key"))
+    bands = crowds.join(one.select("key"), "key").select("key", "node", "n")
+    fps = cut(nodes.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("n")))
+    equal = nodes.join(fps.where("n > 1").select("fp", "n"), "fp").select(F.xxhash64(F.lit("fp"), "fp").alias("key"), "node", "n")
+    near = cut(links(fps.select("fp")))
+    ends = near.join(fps.select(F.col("fp").alias("a"), F.col("first").alias("u")), "a").join(fps.select(F.col("fp").alias("b"), F.col("first").alias("v")), "b")
+    chains = ends.select(F.xxhash64(F.lit("link"), "a", "b").alias("key"), F.explode(F.array("u", "v")).alias("node"), F.lit(2).cast("long").alias("n"))
+    return bands.unionByName(equal).unionByName(chains)
+
+
+def confirm(dealt: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+    """dealt(key, part, node), texts(node, text) -> (a, b): links that span what is near within each (key, part)."""
+    # Neither side's size has a bound, so it is merged at every size.
+    met = dealt.join(texts.hint("merge"), "node").select("key", "part", "node", "text")
+    return met.repartition("key", "part").sortWithinPartitions("key", "part", "node").mapInArrow(_links(width, least), "a long, b long")
+
+
+def linked(members: DataFrame, texts: DataFrame, width: int = WIDTH, least: float = LEAST, limit: int = LIMIT) -> DataFrame:
+    """Buckets (key, node, n) -> (node, label): the components of all near copies that share a bucket."""
+    chunks = F.ceil(F.col("n") / limit).cast("int")
+    chunk = F.pmod(F.xxhash64("node", "key"), chunks).cast("int")
+    members = members.withColumn("chunks", chunks).withColumn("chunk", chunk)
+    part = F.when(F.col("chunks") == 1, F.array(F.lit(0))).when(F.col("chunk") == 0, F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("chunks") - 1))).otherwise(F.array("chunk"))
+    edges = cut(confirm(members.select("key", F.explode(part.cast("array<bigint>")).alias("part"), "node"), texts, width, least))
+    comp = components(edges)
+    crowded = members.where("chunks > 1")
+    if crowded.isEmpty():
+        return comp
+    named = cut(crowded.join(comp, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    most = named.groupBy("key", "label").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "label")).alias("most")).select("key", F.col("most.label").alias("most"))
+    rest = named.join(most, "key").where(F.col("label") != F.col("most")).select("key", "node", "chunks")
+    size = rest.groupBy("key").agg(F.count("*").alias("n")).select("key", F.ceil(F.col("n") / limit).cast("int").alias("rows"))
+    size = cut(size)
+    if size.isEmpty():
+        return comp
+    place = lambda i, j: (i.cast("long") * F.col("chunks") + j).alias("part")
+    asked = rest.join(size, "key").withColumn("i", F.pmod(F.xxhash64("node", "key", F.lit(1)), F.col("rows")).cast("int"))
+    asked = asked.select("key", "node", "chunks", "i", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j"))
+    all_ = named.join(size, "key").select("key", "node", "chunks", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), F.col("chunk").alias("j"))
+    again = asked.unionByName(all_).select("key", place(F.col("i"), F.col("j")), "node")
+    return components(edges.unionByName(confirm(again, texts, width, least)))
+
+
+def firsts(docs: DataFrame, width: int = WIDTH, least: float = LEAST, limit: int = LIMIT) -> DataFrame:
+    """Stored docs(row: unique long, id, text) -> (row): of each group of near copies the row with the smallest id, then the smallest row."""
+    drawn = written(sketches(docs, width))
+    nodes = drawn.groupBy("digest").agg(F.min(F.struct("id", "row")).alias("low"), F.min("fp").alias("fp"), F.first("keys").alias("keys"))
+    nodes = written(nodes.select(F.col("low.row").alias("node"), "low", "fp", "keys"))
+    drop(drawn)
+    members = written(proposals(nodes))
+    release(docs.sparkSession)
     texts = docs.select(F.col("row").alias("node"), F.col("text").cast("binary").alias("text"))
-    met = members.join(texts, "node").select("key", "node", "text").repartition("key").sortWithinPartitions("key", "node")
-    comp = components(met.mapInArrow(_links(width, least), "a long, b long"))
+    comp = cut(linked(members, texts, width, least, limit))
     labelled = nodes.join(comp, "node", "left").select(F.coalesce("label", "node").alias("label"), "low")
-    return labelled.groupBy("label").agg(F.min("low").alias("low")).select(F.col("low.row").alias("row"))
+    kept = cut(labelled.groupBy("label").agg(F.min("low").alias("low")).select(F.col("low.row").alias("row")))
+    drop(nodes)
+    drop(members)
+    release(docs.sparkSession)
+    return kept

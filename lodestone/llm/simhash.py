@@ -53,14 +53,18 @@ def shingles(data: bytes, width: int, seed: int = 42) -> np.ndarray:
     return np.array([xxh64_intdigest(view[a:b], seed) for a, b in zip(start[: n - width + 1].tolist(), end[width - 1 :].tolist())], dtype=np.uint64)
 
 
-def fingerprint(data: bytes, width: int = 4, seed: int = 42) -> int:
-    """Of whole text bytes: majority of the XXH64 bits of its shingles, as an unsigned number."""
-    hashes = shingles(data, width, seed)
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes, as an unsigned number."""
     ones = np.zeros(BITS, dtype=np.int64)
     for i in range(0, len(hashes), 1 << 16):
         part = hashes[i : i + (1 << 16)]
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return sum(1 << i for i in np.flatnonzero(2 * ones > len(hashes)).tolist())
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(data: bytes, width: int = 4, seed: int = 42) -> int:
+    """Of whole text bytes: the majority of its shingles' hashes."""
+    return majority(shingles(data, width, seed))
 
 
 def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
