@@ -9,7 +9,7 @@ pipeline, so ORACLE_SQL is None; tests hold it against a brute-force version.
 from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, mixing, nearcopies, pii, quality
-from lodestone.llm.common import cut, documents, written
+from lodestone.llm.common import documents, quoted, written
 
 
 def quality_stage(spark, docs, sf_dir):
@@ -20,9 +20,10 @@ def quality_stage(spark, docs, sf_dir):
 def near_duplicate_stage(spark, docs, sf_dir):
     """Keep one row of each group of near-duplicates (five-word Jaccard similarity of 0.8 or more, and what that links): that with the smallest doc_id
     (null is smallest), and the first stored of rows that repeat it."""
-    held = docs.withColumn("_row", F.monotonically_increasing_id())
-    found = nearcopies.firsts(held.select(F.col("_row").alias("row"), F.col("doc_id").alias("id"), "text"))
-    return held.join(cut(found.select(F.col("row").alias("_row"))), "_row", "left_semi").select(*docs.columns)
+    held = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[quoted(c) for c in docs.columns]).alias("doc"))
+    found = nearcopies.firsts(held.select("row", F.col("doc.doc_id").alias("id"), F.col("doc.text").alias("text")))
+    # The documents left have no bound, so they are merged at every size.
+    return held.join(found.hint("merge"), "row", "left_semi").select("doc.*")
 
 
 def pii_stage(spark, docs, sf_dir):
@@ -32,7 +33,7 @@ def pii_stage(spark, docs, sf_dir):
 
 def mixing_stage(spark, docs, sf_dir):
     """Repeat each document as often as the mix takes it."""
-    return mixing.mix(docs).select(*docs.columns)
+    return mixing.mix(docs)
 
 
 def bpe_stage(spark, docs, sf_dir):
