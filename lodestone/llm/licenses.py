@@ -97,7 +97,7 @@ def terms(text: Column) -> Column:
 def forms(spark: SparkSession) -> DataFrame:
     """(licence, form, body): every template as a whole and by its header lines."""
     bodies = [(k, b) for table in (TEMPLATES, NOTICES, TEXTS) for k, b in table.items()]
-    t = spark.createDataFrame([(k, i, b) for i, (k, b) in enumerate(bodies)], "licence string, form int, body string")
+    t = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(k).alias("licence"), F.lit(i).alias("form"), F.lit(b).alias("body")) for i, (k, b) in enumerate(bodies)])))
     lines = t.select("licence", (-F.col("form") - 1).alias("form"), header(F.col("body")).alias("body"))
     return cut(t.unionByName(lines))
 
