@@ -29,10 +29,11 @@ SELECT doc_id, own AS own_licence, score AS own_score, coalesce(own, dl) AS lice
   CASE WHEN own IS NULL AND dl IS NOT NULL THEN o.dir END AS inherited_from
 FROM o LEFT JOIN d USING (dir)""",
     "op9_chat_quotes": r"""
-WITH m AS (SELECT row_number() OVER () AS uid, conv_id, turn, role, string_split(regexp_replace(coalesce(text, ''), '[\x01\x02\r]', '', 'g'), chr(10)) AS raw FROM conversations),
+WITH RECURSIVE m AS (SELECT row_number() OVER () AS uid, conv_id, turn, role, string_split(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(10)) AS raw FROM conversations),
 l AS (SELECT uid, conv_id, turn, role, unnest(raw) AS x, generate_subscripts(raw, 1) AS i FROM m),
 p AS (SELECT uid, conv_id, turn, role, i, length(regexp_replace(regexp_extract(x, '^(?:[ \t]?>)+'), '[^>]', '', 'g')) AS level, trim(regexp_replace(x, '^(?:[ \t]?>)+', '')) AS body FROM l),
-k AS (SELECT * FROM p WHERE NOT (level = 0 AND regexp_matches(body, '^(?:On .{1,200} wrote|Am .{1,200} schrieb .{1,100}|Le .{1,200} a écrit ?|El .{1,200} escribió)\s*:\s*$'))),
+a AS (SELECT *, lead(level) OVER w AS level1, lead(body) OVER w AS body1, lead(level, 2) OVER w AS level2 FROM p WINDOW w AS (PARTITION BY uid ORDER BY i)),
+k AS (SELECT * FROM a WHERE NOT (level = 0 AND regexp_matches(body, '^(?:On .{1,200} wrote|Am .{1,200} schrieb .{1,100}|Le .{1,200} a écrit ?|El .{1,200} escribió)\s*:\s*$') AND coalesce(level1 > 0 OR (body1 = '' AND level2 > 0), false))),
 g AS (SELECT *, sum(CASE WHEN lag_level IS NULL OR lag_level <> level OR lag_body = '' THEN 1 ELSE 0 END) OVER (PARTITION BY uid ORDER BY i) AS grp
       FROM (SELECT *, lag(level) OVER (PARTITION BY uid ORDER BY i) AS lag_level, lag(body) OVER (PARTITION BY uid ORDER BY i) AS lag_body FROM k)),
 q AS (SELECT uid, any_value(conv_id) AS conv_id, any_value(turn) AS turn, any_value(level) AS level, trim(regexp_replace(lower(string_agg(body, ' ' ORDER BY i)), '[^\p{L}\p{N}]+', ' ', 'g')) AS norm FROM g GROUP BY uid, grp),
@@ -40,10 +41,13 @@ f AS (SELECT conv_id, norm, min(turn) AS said FROM q WHERE level = 0 AND norm <>
 j AS (SELECT q.uid, count(*) AS n_quotes, count(*) FILTER (WHERE said < turn) AS n_linked, max_by(said, (-level, said)) FILTER (WHERE said < turn) AS linked
       FROM q LEFT JOIN f ON q.conv_id = f.conv_id AND q.norm = f.norm WHERE level > 0 AND q.norm <> '' GROUP BY q.uid),
 b AS (SELECT uid, regexp_replace(regexp_replace(string_agg(body, chr(10) ORDER BY i), '\n{3,}', chr(10) || chr(10), 'g'), '^[ \t\n]+|[ \t\n]+$', '', 'g') AS body FROM k WHERE level = 0 GROUP BY uid),
-t AS (SELECT DISTINCT conv_id, turn + 1 AS turn FROM m)
-SELECT m.conv_id, m.turn, role, coalesce(linked, CASE WHEN t.turn IS NOT NULL THEN m.turn - 1 END) AS reply_to, coalesce(n_quotes, 0)::BIGINT AS n_quotes, coalesce(n_linked, 0)::BIGINT AS n_linked,
+t AS (SELECT DISTINCT conv_id, turn + 1 AS turn FROM m),
+y AS (SELECT m.uid, m.conv_id, m.turn, role, coalesce(linked, CASE WHEN t.turn IS NOT NULL THEN m.turn - 1 END) AS reply_to, coalesce(n_quotes, 0)::BIGINT AS n_quotes, coalesce(n_linked, 0)::BIGINT AS n_linked,
   length(coalesce(b.body, ''))::BIGINT AS body_chars, md5(coalesce(b.body, '')) AS body_md5
-FROM m LEFT JOIN j USING (uid) LEFT JOIN b USING (uid) LEFT JOIN t ON m.conv_id = t.conv_id AND m.turn = t.turn""",
+  FROM m LEFT JOIN j USING (uid) LEFT JOIN b USING (uid) LEFT JOIN t ON m.conv_id = t.conv_id AND m.turn = t.turn),
+n AS (SELECT conv_id, turn, max(reply_to) AS up FROM y WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
+r AS (SELECT conv_id, turn, turn AS thread, 0::BIGINT AS depth FROM n WHERE up IS NULL UNION ALL SELECT n.conv_id, n.turn, r.thread, r.depth + 1 FROM n JOIN r ON n.conv_id = r.conv_id AND n.up = r.turn)
+SELECT y.conv_id, y.turn, role, reply_to, coalesce(r.thread, y.turn) AS thread, coalesce(r.depth, 0)::BIGINT AS depth, n_quotes, n_linked, body_chars, body_md5 FROM y LEFT JOIN r ON y.conv_id = r.conv_id AND y.turn = r.turn""",
     "op4_quality_rules": rf"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,

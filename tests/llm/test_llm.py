@@ -483,18 +483,53 @@ def test_licence_files_notices_and_tags(spark):
     assert {r.path: r.licence for r in got} == {p: k for p, (_, k) in want.items()}
 
 
+MESSAGES = "conv_id long, turn long, role string, text string, uid string"
+
+
 def test_quotes(spark):
     rows = [
         (1, 0, "user", "Hello there.\n\nHow do I build\nthe thing?", "x"), (1, 1, "assistant", "> How do I build the\n> thing?\nRun make.", "x"), (1, 2, "user", "On Monday, Al wrote:\n> > how do I BUILD the thing?\n> Run make.\n\nThanks!", "x"),
         (1, 3, "user", "> never said\nok", "x"), (2, 5, "user", None, "x"), (2, 6, "user", "", "x"), (None, None, None, "> a\nb", "x"), (1, 3, "user", "> never said\nok", "x"),
+        (3, 0, "user", "On Friday, the poet wrote:\r\nnothing\u0001 at all", "x"), (3, 1, "user", "On Friday, Al wrote:\n\n> nothing\u0001 at all\nyes", "x"),
     ]
-    got = sorted((str(r.conv_id), str(r.turn), r.reply_to, r.n_quotes, r.n_linked, r.body) for r in quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, uid string")).collect())
+    got = sorted((str(r.conv_id), str(r.turn), r.reply_to, r.n_quotes, r.n_linked, r.body) for r in quotes.link(spark.createDataFrame(rows, MESSAGES)).collect())
     assert got == sorted(
-        [("1", "0", None, 0, 0, "Hello there.\n\nHow do I build\nthe thing?"), ("1", "1", 0, 1, 1, "Run make."), ("1", "2", 1, 2, 2, "Thanks!"), ("1", "3", 2, 1, 0, "ok"), ("1", "3", 2, 1, 0, "ok"), ("2", "5", None, 0, 0, ""), ("2", "6", 5, 0, 0, ""), ("None", "None", None, 1, 0, "b")]
+        [("1", "0", None, 0, 0, "Hello there.\n\nHow do I build\nthe thing?"), ("1", "1", 0, 1, 1, "Run make."), ("1", "2", 1, 2, 2, "Thanks!"), ("1", "3", 2, 1, 0, "ok"), ("1", "3", 2, 1, 0, "ok"), ("2", "5", None, 0, 0, ""), ("2", "6", 5, 0, 0, ""), ("None", "None", None, 1, 0, "b"),
+         ("3", "0", None, 0, 0, "On Friday, the poet wrote:\nnothing\u0001 at all"), ("3", "1", 0, 1, 0, "yes")]
     )
     assert quotes.link(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_threads_and_reply_order(spark):
+    """Every message's thread and depth by a plain walk, and answers after what they answer in the conversations built."""
+    rng = random.Random(4)
+    rows = []
+    for c in range(6):
+        said = []
+        for t in range(0, 60 if c else 300):
+            if rng.random() < 0.1:
+                continue
+            quote = f"> {rng.choice(said)}\n" if said and rng.random() < 0.6 else ""
+            said.append(f"message {c} {t} of the talk")
+            rows.append((c, t, "user", quote + said[-1], "x"))
+    rows += [rows[7], (None, 3, "user", "alone", "x"), (9, None, "user", "alone", "x")]
+    messages = spark.createDataFrame(rows, MESSAGES)
+    got = quotes.order(quotes.link(messages)).collect()
+    up = {(r.conv_id, r.turn): r.reply_to for r in got}
+    assert len(got) == len(rows)
+    for r in got:
+        at, depth = r.turn, 0
+        while up[r.conv_id, at] is not None:
+            at, depth = up[r.conv_id, at], depth + 1
+        assert (r.thread, r.depth) == (at, depth)
+    seen = set()
+    for r in quotes.conversations(messages).collect():
+        assert r.reply_to is None or (r.conv_id, r.reply_to) in seen
+        assert ">" not in r.line.replace("<|user|>", "") and r.line.endswith(r.body + "\n")
+        seen.add((r.conv_id, r.turn))
+    assert quotes.conversations(spark.createDataFrame([], MESSAGES)).count() == 0
+
+
 def test_written_tables_can_be_cleaned(spark):
     import os
 
