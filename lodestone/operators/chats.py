@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -32,12 +32,19 @@ def threads(entries: DataFrame, thread: str, at: str, text: str, name: int = 50)
     return entries.groupBy(thread).agg(F.count("*").alias("n"), F.min(at).alias("first_at"), F.max(at).alias("last_at"), T.truncated(F.min_by(text, at), name).alias("name"))
 
 
-def page(rows: DataFrame, order: list, cursor: str | int | None, key: str, size: int) -> DataFrame:
-    """(.., pos, has_next): the rows after the cursor's in the given order; an unknown cursor starts at the first. The window is over one partition of keys that a page query has already narrowed."""
-    ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*order)))
-    start = ranked.where(F.col(key) == F.lit(cursor)).agg(F.coalesce(F.max("rank"), F.lit(0))).scalar()
-    total = ranked.agg(F.max("rank")).scalar()
-    return ranked.where((F.col("rank") > start) & (F.col("rank") <= start + size)).withColumn("has_next", start + size < total)
+def page(rows: DataFrame, order: list[Column], size: int, cursor: Column | None = None, before: int = 0) -> DataFrame:
+    """(.., rank, has_next): the ``size`` rows after the cursor's, ``order`` being ascending keys that tell all rows apart.
+
+    ``cursor`` is a struct of the last seen row's keys (null: from the first
+    row), so a page is a filter and a top-n; the window numbers its rows only.
+    ``before`` is how many rows the earlier pages held.
+    """
+    key = F.struct(*order)
+    later = rows if cursor is None else rows.where(cursor.isNull() | (key > cursor))
+    top = later.orderBy(*order).limit(size + 1)
+    every = W.partitionBy(F.lit(0))
+    numbered = top.withColumn("rank", F.row_number().over(every.orderBy(*order))).withColumn("has_next", F.count("*").over(every) > size)
+    return numbered.where(F.col("rank") <= size).withColumn("rank", F.col("rank") + before)
 
 
 def steps(entries: DataFrame, keys: list[str], query: str, answer: str) -> DataFrame:
@@ -70,6 +77,19 @@ def fold_events(events: DataFrame) -> DataFrame:
     )
 
 
+def retitled(chats: DataFrame, titles: DataFrame) -> DataFrame:
+    """chats(chat, owner, title), titles(chat, user, title): a title is set only by its chat's owner, and only while there is none. Copy-on-write."""
+    new = titles.groupBy("chat", "user").agg(F.min("title").alias("new"))
+    j = chats.join(new, (chats["chat"] == new["chat"]) & (chats["owner"] == new["user"]), "left")
+    return j.select(*[F.coalesce(chats["title"], "new").alias("title") if c == "title" else chats[c] for c in chats.columns])
+
+
+def traces_of(asked: DataFrame, owners: DataFrame, traces: DataFrame) -> DataFrame:
+    """asked(chat, user), owners(chat, owner), traces(chat, trace_id, ..): the access of each and, for owners only, their chats' traces."""
+    seen = access(asked, owners)
+    return seen.join(traces.withColumn("access", F.lit("owner")), ["chat", "access"], "left")
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str, version: str) -> DataFrame:
     """Copy-on-write: the row with the highest version of each key stays."""
     order = W.partitionBy(key).orderBy(F.desc(version))

@@ -62,44 +62,58 @@ def paragraph_ranges(counts: str, size: int, overlap: int, older: bool = False)
     )
 
 
+def sections(text: str) -> list[str]:
+    """A markdown text cut before each of its headings."""
+    import re
+
+    return [s for s in (x.strip("\n") for x in re.split(r"^(?=#{1,6}\s+\S)", text, flags=re.M)) if s.strip()]
+
+
+def tail_size(chars: int, overlap: int) -> int:
+    """How many of a chunk's last characters the next one repeats: ``overlap`` estimated tokens, none of a chunk that is not longer."""
+    n = chars // 4
+    size = overlap * chars // n if n >= overlap > 0 else 0
+    return size if size < chars else 0
+
+
+def packing(units: list[tuple[int, int]], size: int, overlap: int) -> list[tuple[int, int, int]]:
+    """Chunks as (characters repeated from the chunk before, first unit, end unit), out of nothing but (length, place) of the units: place 0 is a
+    section, 1 the first paragraph of one over the size, 2 a later one. Units meet with two line ends between. A chunk ends where the next unit's
+    estimated tokens would pass ``size``, and before a section over it; later paragraphs of such a section repeat nothing."""
+    plan: list[tuple[int, int, int]] = []
+    carried = held = begin = 0
+    for k, (chars, place) in enumerate(units):
+        full = held and held // 4 + chars // 4 > size
+        if held and (full or place == 1):
+            plan.append((carried, begin, k))
+            carried = 0 if place == 2 else tail_size(held, overlap)
+            held, begin = carried, k
+            if place == 1 and carried and carried // 4 + chars // 4 > size:  # what is repeated leaves no room: it stands alone
+                plan.append((carried, k, k))
+                carried = held = 0
+        held += chars + (2 if held else 0)
+    return plan + [(carried, begin, len(units))] if held else plan
+
+
 def by_headers(df: DataFrame, text: str, size: int, overlap: int, keep: list[str]) -> DataFrame:
-    """Markdown sections packed greedily up to ``size`` estimated tokens, with the tail of the chunk before; a section over the size is packed by its paragraphs.
+    """Markdown sections packed up to ``size`` estimated tokens, with the end of the chunk before; a section over the size is packed by its paragraphs.
 
-    Sections depend on what was packed before, so whole texts go through an
-    Arrow batch function.
+    Where a chunk ends depends on what the chunk before hands on, so whole
+    texts go through an Arrow batch function: lengths are packed first, then
+    the chunks are cut.
     """
-    import re
-
-    head = re.compile(r"^(?=#{1,6}\s+\S)", re.M)
-    cost = lambda s: len(s) // 4
 
     def pack(t: str) -> list[str]:
+        units: list[str] = []
+        places: list[int] = []
+        for s in sections(t):
+            parts = s.split("\n\n") if len(s) // 4 > size else [s]
+            units += parts
+            places += [0] if len(s) // 4 <= size else [1] + [2] * (len(parts) - 1)
         out: list[str] = []
-        now = tail = ""
-
-        def close(piece: str) -> str:
-            out.append(piece)
-            n = cost(piece)
-            return piece if n <= overlap else piece[-max(1, len(piece) * overlap // n) :] if overlap else ""
-
-        for section in (s.strip("\n") for s in head.split(t) if s.strip()):
-            if cost(section) > size:
-                if now:
-                    tail = close(now)
-                now = tail
-                for p in section.split("\n\n"):
-                    if cost(now) + cost(p) > size and now:
-                        out.append(now)
-                        now = p
-                    else:
-                        now = f"{now}\n\n{p}" if now else p
-                tail = ""
-            elif now and cost(now) + cost(section) > size:
-                tail = close(now)
-                now = f"{tail}\n\n{section}" if tail else section
-            else:
-                now = f"{now}\n\n{section}" if now else section
-        return out + [now] if now else out
+        for carried, first, end in packing([(len(u), p) for u, p in zip(units, places)], size, overlap):
+            out.append("\n\n".join(([out[-1][-carried:]] if carried else []) + units[first:end]))
+        return out
 
     return _per_text(df, text, keep, pack)
 

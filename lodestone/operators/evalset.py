@@ -26,10 +26,8 @@ def unprocessed(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 def distributions(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Counts by each column and in all, in one pass of grouping sets."""
-    sets = ", ".join(f"({c})" for c in columns)
-    rows.createOrReplaceTempView("_distribution_rows")
-    cols = ", ".join(columns)
-    return rows.sparkSession.sql(f"SELECT {cols}, count(*) AS n FROM _distribution_rows GROUP BY GROUPING SETS ({sets}, ())")
+    cols = [F.col(c) for c in columns]
+    return rows.groupingSets([*[[c] for c in cols], []], *cols).agg(F.count("*").alias("n"))
 
 
 def retrieval(hits: DataFrame, truth: DataFrame, k: int) -> DataFrame:

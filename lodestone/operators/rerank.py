@@ -17,6 +17,27 @@ def containment(query: Column, text: Column) -> Column:
     return F.when(F.size(q) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(q, T.tokens(text))) / F.size(q))
 
 
+def held_share(query_tokens: str = "query_tokens", text_tokens: str = "text_tokens") -> Callable[[Column, Column], Column]:
+    """The same scorer over columns of distinct tokens, which are made once for each query and document and not for each pair."""
+    q, t = F.col(query_tokens), F.col(text_tokens)
+    return lambda query, text: F.when(F.size(q) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(q, t)) / F.size(q))
+
+
+def distinct_tokens(text: Column) -> Column:
+    return F.array_distinct(T.tokens(text))
+
+
+def matched(ranked: DataFrame, originals: DataFrame, keys: list[str], payload: list[str]) -> DataFrame:
+    """Reranked rows with their place among the originals (orig_rank, payload), met by the keys: a path and chunk number, or all columns of the
+    record. Nulls meet nulls; of several equal originals the first counts; without one the rank is null."""
+    first = originals.groupBy(*keys).agg(F.min(F.struct("orig_rank", *payload)).alias("o"))
+    renamed = first.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "o")
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & ranked[k].eqNullSafe(renamed[f"_k{i}"])
+    return ranked.join(renamed, on, "left").select(*[ranked[c] for c in ranked.columns], F.col("o.orig_rank").alias("orig_rank"), *[F.col("o").getField(c).alias(c) for c in payload])
+
+
 def candidates(rows: DataFrame, cap: int = 50, budget: float | None = None) -> DataFrame:
     """rows(query_id, orig_rank, text, ..): non-empty texts, at most ``cap`` a query, and with a budget only while the running sum of a quarter of the characters stays in it."""
     order = W.partitionBy("query_id").orderBy("orig_rank")

@@ -23,13 +23,27 @@ def split_claims(answers: DataFrame) -> DataFrame:
     return answers.select("answer_id", F.posexplode(all_claims).alias("claim_idx", "claim"))
 
 
-def verify(claims: DataFrame, docs: DataFrame, threshold: float = 0.5, score: Callable[[Column, Column], Column] = support) -> DataFrame:
-    """claims(answer_id, claim_idx, claim), docs(answer_id, doc_idx, text) -> (answer_id, claim_idx, claim, max_score, supporting, is_grounded). An answer's claims meet only that answer's documents."""
-    pairs = claims.join(docs, "answer_id", "left").withColumn("s", F.round(F.coalesce(score(F.col("claim"), F.col("text")), F.lit(0.0)), 6))
+def verify(claims: DataFrame, docs: DataFrame, threshold: float = 0.5, score: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """claims(answer_id, claim_idx, claim), docs(answer_id, doc_idx, text) -> (answer_id, claim_idx, claim, max_score, supporting, is_grounded). An answer's claims meet only that answer's documents.
+
+    Without a scorer it is ``support``, over tokens made once for each claim and document and not for each pair.
+    """
+    if score is None:
+        claims = claims.select("answer_id", "claim_idx", "claim", F.array_distinct(T.tokens(F.col("claim"))).alias("_c"))
+        docs = docs.select("answer_id", "doc_idx", F.array_distinct(T.tokens(F.col("text"))).alias("_t"))
+        share = F.when(F.size("_c") == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect("_c", "_t")) / F.size("_c"))
+    else:
+        share = score(F.col("claim"), F.col("text"))
+    pairs = claims.join(docs, "answer_id", "left").withColumn("s", F.round(F.coalesce(share, F.lit(0.0)), 6))
     out = pairs.groupBy("answer_id", "claim_idx", "claim").agg(F.max("s").alias("max_score"), F.array_sort(F.collect_list(F.when(F.col("s") >= threshold, F.col("doc_idx")))).alias("supporting"))
     return out.withColumn("is_grounded", F.col("max_score") >= threshold)
 
 
+def passes(summary_: DataFrame, least: float = 0.7) -> DataFrame:
+    """(answer_id, passes): the quick gate, whether enough of an answer's claims are grounded."""
+    return summary_.select("answer_id", (F.col("grounding_ratio") >= least).alias("passes"))
+
+
 def summary(answers: DataFrame, verified: DataFrame) -> DataFrame:
     """(answer_id, n_claims, n_grounded, grounding_ratio, unsupported): ratio 1 for an answer without claims."""
     per = verified.groupBy("answer_id").agg(F.count("*").alias("n"), F.count_if("is_grounded").alias("g"), F.array_sort(F.collect_list(F.when(~F.col("is_grounded"), F.struct("claim_idx", "claim"))))["claim"].alias("unsupported"))

@@ -127,10 +127,11 @@ def thread_index(spark, sf):
 
 @query("SELECT conv_id, n, rank, has_next FROM (SELECT *, row_number() OVER (ORDER BY n DESC, conv_id)::INT AS rank, 15 < count(*) OVER () AS has_next FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)) WHERE rank > 5 AND rank <= 15")
 def chat_page(spark, sf):
-    """The second page: ten threads after the fifth (the cursor is looked up, as a client would hold it)."""
+    """The second page: ten threads after the fifth, by the keys of the fifth as a client holds them."""
     t = table(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"))
-    cursor = t.orderBy(F.desc("n"), "conv_id").limit(5).collect()
-    return chats.page(t, [F.desc("n"), F.col("conv_id")], cursor[-1]["conv_id"] if cursor else None, "conv_id", 10)
+    order = [(-F.col("n")).alias("less"), F.col("conv_id")]
+    fifth = t.orderBy(*order).limit(5).agg(F.max(F.struct(*order))).scalar()
+    return chats.page(t, order, 10, fifth, before=5).select("conv_id", "n", "rank", "has_next")
 
 
 @query("SELECT conv_id, turn, s.step::INT AS step, CASE s.step WHEN 0 THEN 'user_message' ELSE 'assistant_message' END AS type, md5(CASE s.step WHEN 0 THEN text ELSE answer END) AS output_md5 FROM (SELECT conv_id, turn, role, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS answer FROM conversations), (VALUES (0), (1)) s(step) WHERE role = 'user'")

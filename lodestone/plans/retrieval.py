@@ -32,9 +32,26 @@ def query(sql=None):
     return add
 
 
+_held: dict = {}
+
+
+def _counts(spark, sf):
+    """The term counts of the documents, kept (memory, then disk) for all parts of a plan and for later queries on the same input; those of the input
+    before are given up, so one is kept at most. For a standing index use Index.write and Index.read."""
+    key = (id(spark._jsparkSession), spark.sparkContext.applicationId, sf)
+    if key not in _held:
+        for old in _held.values():
+            try:
+                old.unpersist()
+            except Exception:  # its session has ended, and its memory with it
+                pass
+        _held.clear()
+        _held[key] = bm25.term_counts(table(spark, sf, "documents")).persist()
+    return _held[key]
+
+
 def _index(spark, sf):
-    """The term counts are kept (memory, then disk) for all parts of a plan and later queries; for a standing index use Index.write and Index.read."""
-    bm25.term_counts(table(spark, sf, "documents")).persist()
+    _counts(spark, sf)
     return bm25.build(table(spark, sf, "documents"), markdown=False)
 
 
@@ -48,7 +65,7 @@ def _lexical(spark, sf, k):
 
 def _dense(spark, sf, k):
     docs = table(spark, sf, "documents")
-    bm25.term_counts(docs).persist()
+    _counts(spark, sf)
     rows = dense.hashed_vectors(docs)
     sizes = (_asked(spark, sf).count(), docs.count())
     asked = dense.hashed_vectors(_asked(spark, sf), "query", "query_id").select(F.col("id").alias("query_id"), "v")
@@ -176,8 +193,10 @@ def hybrid_overlap(spark, sf):
 def _candidates(spark, sf):
     """The papers each query selected, as rerank candidates with their texts."""
     f = _fused(spark, sf).select("query_id", F.col("rank").alias("orig_rank"), "doc_id")
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    return f.join(docs, "doc_id").join(_asked(spark, sf), "query_id")
+    picked = table(spark, sf, "documents").select("doc_id", "text").join(f.select("doc_id").distinct(), "doc_id", "left_semi")
+    docs = picked.withColumn("text_tokens", rerank.distinct_tokens(F.col("text")))
+    asked = _asked(spark, sf).withColumn("query_tokens", rerank.distinct_tokens(F.col("query")))
+    return f.join(docs, "doc_id").join(asked, "query_id")
 
 
 _CONTAIN = "round(CASE WHEN len(q) = 0 THEN 0 ELSE len(list_intersect(q, t)) / len(q) END, 6)"
@@ -189,14 +208,14 @@ rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, o
 
 @query(f"WITH {_RERANK} SELECT query_id, rank, doc_id, score, orig_rank, (orig_rank - rank)::INT AS rank_improvement, 'scored' AS method FROM rr WHERE rank <= 5")
 def rerank_details(spark, sf):
-    r = rerank.rerank(rerank.candidates(_candidates(spark, sf), P.max_rerank), P.n_final)
+    r = rerank.rerank(rerank.candidates(_candidates(spark, sf), P.max_rerank), P.n_final, rerank.held_share())
     return r.select("query_id", "rank", "doc_id", "score", "orig_rank", "rank_improvement", "method")
 
 
 @query(f"""WITH {_RERANK} SELECT query_id, round(avg(orig_rank - rank), 6) AS avg_change, max(orig_rank - rank)::INT AS max_change, min(orig_rank - rank)::INT AS min_change, count(*) FILTER (WHERE orig_rank > rank) AS improved,
 count(*) FILTER (WHERE orig_rank < rank) AS degraded, count(*) FILTER (WHERE orig_rank = rank) AS unchanged, round(max(score) - min(score), 6) AS score_spread FROM rr WHERE rank <= 20 GROUP BY query_id""")
 def rerank_impact(spark, sf):
-    return rerank.impact(rerank.rerank(rerank.candidates(_candidates(spark, sf)), 20))
+    return rerank.impact(rerank.rerank(rerank.candidates(_candidates(spark, sf)), 20, rerank.held_share()))
 
 
 @query(f"WITH {_FUSE} SELECT query_id, orig_rank, doc_id FROM (SELECT query_id, rank AS orig_rank, doc_id, sum(length(text) / 4.0) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS t FROM fs JOIN documents USING (doc_id) WHERE text <> '') WHERE t <= 8000")
@@ -237,23 +256,31 @@ def grounding_summary(spark, sf):
 
 @query(f"WITH {_BM25}, tr AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)) SELECT count(*) AS n_queries, round(avg(CASE WHEN r IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, round(avg(coalesce(1 / r, 0)), 6) AS mrr FROM (SELECT t.query_id, min(lx.rank) AS r FROM tr t LEFT JOIN lx ON lx.query_id = t.query_id AND lx.doc_id = t.doc_id AND lx.rank <= 10 GROUP BY t.query_id)")
 def retrieval_hit_rate(spark, sf):
-    """Truth: the documents that hold a passage word for word. A passage's second to seventh words are met by hash with every six words of the documents, then the whole passage is checked."""
+    """Truth: the documents that hold a passage word for word. A passage's inner words are met by hash with every window of as many words of the
+    documents, six at most; a passage of two words and fewer has none and is met by its characters. Then the whole passage is checked."""
     n = 6
     words = lambda c: F.split(F.trim(c), r"\s+")
     b = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"), words(F.col("text")).alias("w"))
-    lead = b.where(F.size("w") > n + 1).select("query_id", "passage", F.xxhash64(F.array_join(F.slice("w", 2, n), " ")).alias("h"))
+    b = b.withColumn("k", F.least(F.lit(n), F.size("w") - 2))
+    hashed = lambda at, k: F.xxhash64(k, F.array_join(F.slice("w", at, k), " "))
+    lead = b.where("k > 0").select("query_id", "passage", hashed(F.lit(2), F.col("k")).alias("h"))
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    w = docs.select("doc_id", words(F.col("text")).alias("w")).where(F.size("w") >= n)
-    at = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(n)), " ")))
-    met = w.select("doc_id", F.explode(F.array_distinct(at)).alias("h")).join(lead, "h").select("doc_id", "query_id", "passage")
+    # The window lengths in use, nearly always one: six numbers at most. Short passages are few and short by nature; each document gets them as one array.
+    used = b.where("k > 0").agg(F.collect_set("k")).scalar()
+    short = b.where("k <= 0").agg(F.collect_list(F.struct("query_id", "passage"))).scalar()
+    held = docs.select("doc_id", "text", words(F.col("text")).alias("w"), used.alias("used"), short.alias("short"))
+    windows = F.flatten(F.transform("used", lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - k + 1)), lambda i: hashed(i, k))))
+    met = held.select("doc_id", F.explode(F.array_distinct(windows)).alias("h")).join(lead, "h").select("doc_id", "query_id", "passage")
     truth = met.join(docs, "doc_id").where(F.contains("text", F.col("passage"))).select("query_id", "doc_id")
+    near = held.select("doc_id", F.explode(F.filter("short", lambda s: F.contains("text", s["passage"]))).alias("s"))
+    truth = truth.unionByName(near.select("s.query_id", "doc_id"))
     return E.retrieval(_lexical(spark, sf, 10), truth, 10)
 
 
 @query(f"""WITH {_RERANK} SELECT query_id, string_agg('[' || rank || '] doc' || doc_id || chr(10) || substring(text, 1, 200), chr(10) || chr(10) ORDER BY rank) AS context, max(score) AS best_score FROM rr WHERE rank <= 5 GROUP BY query_id""")
 def funnel(spark, sf):
     """Query to context: two searches, fusion, reranking, the five best as one numbered context."""
-    r = rerank.rerank(rerank.candidates(_candidates(spark, sf), P.max_rerank), P.n_final)
+    r = rerank.rerank(rerank.candidates(_candidates(spark, sf), P.max_rerank), P.n_final, rerank.held_share())
     items = r.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("title"), F.substring("text", 1, 200).alias("text")))).alias("items"), F.max("score").alias("best_score"))
     return items.select("query_id", T.context(F.col("items")).alias("context"), "best_score")
 
@@ -265,10 +292,13 @@ def funnel_chunks(spark, sf):
     """The best chunks within the papers each query selected."""
     from ..operators import chunk as C
 
-    docs = table(spark, sf, "documents").join(_fused(spark, sf).select("doc_id").distinct(), "doc_id", "left_semi")
-    words = docs.select("doc_id", F.filter(F.split("text", r"[ \t\n]+"), lambda x: x != "").alias("w"))
-    chunks = words.select("doc_id", F.posexplode(C.fixed(F.col("w"), 200, 40)).alias("chunk_index", "c")).select("doc_id", "chunk_index", F.col("c.text").alias("chunk"))
-    pairs = _fused(spark, sf).select("query_id", "doc_id").join(chunks, "doc_id").join(_asked(spark, sf), "query_id")
-    scored = pairs.withColumn("score", F.round(rerank.containment(F.col("query"), F.col("chunk")), 6))
+    selected = _fused(spark, sf).select("query_id", "doc_id")
+    asked = _asked(spark, sf).select("query_id", rerank.distinct_tokens(F.col("query")).alias("query_tokens"))
+    wanted = selected.join(asked, "query_id").groupBy("doc_id").agg(F.collect_list(F.struct("query_id", "query_tokens")).alias("queries"))
+    # One plan selects the papers: each is cut and tokenised once and meets the queries that selected it, at most the query set.
+    words = table(spark, sf, "documents").join(wanted, "doc_id").select("doc_id", "queries", F.filter(F.split("text", r"[ \t\n]+"), lambda x: x != "").alias("w"))
+    chunks = words.select("doc_id", "queries", F.posexplode(C.fixed(F.col("w"), 200, 40)).alias("chunk_index", "c"))
+    pairs = chunks.select("doc_id", "chunk_index", rerank.distinct_tokens(F.col("c.text")).alias("text_tokens"), "queries").select("doc_id", "chunk_index", "text_tokens", F.inline("queries"))
+    scored = pairs.withColumn("score", F.round(rerank.held_share()(F.lit(None), F.lit(None)), 6))
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id", "chunk_index")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= P.m_chunks).select("query_id", "rank", "doc_id", "chunk_index", "score")

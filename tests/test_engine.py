@@ -3,6 +3,8 @@
 import json
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
@@ -51,7 +53,11 @@ def test_orphans(spark):
     [
         ('```json\n{"decision": "KEEP", "reason": "fine"}\n```', ("KEEP", "fine")),
         ('so: {"a": {"b": 1}} {"decision": "OUT", "reason": "page number"} done', ("OUT", "page number")),
-        ('broken "decision": "keep", "reason": "because', ("KEEP", "extracted via regex")),
+        ('broken "decision": "keep", "reason": "because', ("KEEP", "no reason given")),
+        ('{"decision": "OUT", "about": {"x": {"y": "}"}}, "reason": "nested"} and {"z": 1}', ("OUT", "nested")),
+        ('"Decision" : "out", then "REASON": "in words", end', ("OUT", "in words")),
+        ('{"decision": "two words", "reason": 3}', ("two words", "3")),
+        ('decision: "KEEP"', None),
         ("nothing", None),
     ],
 )
@@ -177,11 +183,79 @@ def test_feedback_prefix(spark):
     assert {r.step_id: r.entry_id for r in chats.feedback(steps, entries).collect()} == {"ab_user": "ab", "abc_user": "abc"}
 
 
-def test_paging_unknown_cursor(spark):
-    t = spark.range(5).withColumnRenamed("id", "k")
-    assert [r.k for r in chats.page(t, [F.col("k")], 99, "k", 2).collect()] == [0, 1]
-    p = chats.page(t, [F.col("k")], 2, "k", 2).collect()
-    assert [r.k for r in p] == [3, 4] and not p[0].has_next
+def test_pages_by_key(spark):
+    t = spark.createDataFrame([(i, i % 3) for i in range(8)] + [(None, 1)], "k long, n long")
+    order = [(-F.col("n")).alias("less"), F.col("k")]
+    keys = [(r.k, r.n) for r in t.orderBy(*order).collect()]
+    seen, cursor = [], None
+    while True:
+        p = chats.page(t, order, 4, cursor, before=len(seen)).orderBy("rank").collect()
+        assert [r["rank"] for r in p] == list(range(len(seen) + 1, len(seen) + len(p) + 1))
+        seen += [(r.k, r.n) for r in p]
+        assert all(r.has_next == (len(seen) < 9) for r in p)
+        if not p[0].has_next:
+            break
+        cursor = F.struct(F.lit(-seen[-1][1]).cast("long").alias("less"), F.lit(seen[-1][0]).cast("long").alias("k"))
+    assert seen == keys
+    assert [r.k for r in chats.page(t, order, 1, F.lit(None).cast("struct<less: bigint, k: bigint>")).collect()] == [keys[0][0]]
+    assert chats.page(t.where("false"), order, 3).count() == 0
+
+
+def test_titles_and_traces_of_owners(spark):
+    c = spark.createDataFrame([("a", "u", None), ("b", "u", "has one"), ("c", "v", None)], "chat string, owner string, title string")
+    new = spark.createDataFrame([("a", "u", "New"), ("b", "u", "Late"), ("c", "u", "Not mine"), ("a", "v", "Nor this")], "chat string, user string, title string")
+    assert {r.chat: r.title for r in chats.retitled(c, new).collect()} == {"a": "New", "b": "has one", "c": None}
+    asked = spark.createDataFrame([("a", "u"), ("a", "v"), ("z", "u")], "chat string, user string")
+    t = spark.createDataFrame([("a", "t1"), ("a", "t2"), ("b", "t3")], "chat string, trace_id string")
+    got = sorted((r.chat, r.user, r.access, r.trace_id or "") for r in chats.traces_of(asked, c.select("chat", "owner"), t).collect())
+    assert got == [("a", "u", "owner", "t1"), ("a", "u", "owner", "t2"), ("a", "v", "other", ""), ("z", "u", "missing", "")]
+
+
+def test_listed_claims(spark):
+    t = "1. Alpha beta\n2) alpha BETA\nx\n3. abc\n  A line that is long enough to stay\n4 not a list item but it is long\n"
+    assert one(spark, T.listed_claims(F.col("t")), t=t) == ["Alpha beta", "A line that is long enough to stay"]
+
+
+def test_gate(spark):
+    s = spark.createDataFrame([(1, 0.7), (2, 0.69), (3, 1.0)], "answer_id long, grounding_ratio double")
+    assert {r.answer_id: r.passes for r in verify.passes(s).collect()} == {1: True, 2: False, 3: True}
+
+
+def test_records_matched(spark):
+    ranked = spark.createDataFrame([("p", 1, "t"), ("p", None, "t"), ("q", 9, "u")], "file_path string, chunk_index int, text string")
+    originals = spark.createDataFrame([("p", 1, "t", 3, 0.5), ("p", 1, "t", 2, 0.4), ("p", None, "t", 7, 0.1), ("p", 1, "other", 1, 0.9)], "file_path string, chunk_index int, text string, orig_rank int, distance double")
+    by_key = rerank.matched(ranked, originals, ["file_path", "chunk_index"], ["distance"]).collect()
+    assert sorted((r.file_path, str(r.chunk_index), r.orig_rank, r.distance) for r in by_key if r.orig_rank) == [("p", "1", 1, 0.9), ("p", "None", 7, 0.1)] and len(by_key) == 3
+    whole = rerank.matched(ranked, originals, ["file_path", "chunk_index", "text"], ["distance"]).collect()
+    assert sorted((r.orig_rank, r.distance) for r in whole if r.orig_rank) == [(2, 0.4), (7, 0.1)]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["# A", "## B c", "plain"]), st.lists(st.integers(0, 120), max_size=6)), max_size=8), st.integers(5, 40), st.integers(0, 12))
+def test_header_chunks_by_properties(parts, size, overlap):
+    """Chunks hold all units in order, each but a unit over the size fits, no chunk could have taken the next unit, and what is repeated is the end of the chunk before."""
+    text = "\n".join(f"{head}\n" + "\n\n".join(f"p{i}" + "x" * n for i, n in enumerate(ps)) for head, ps in parts)
+    units, places = [], []
+    for s in chunk.sections(text):
+        big = len(s) // 4 > size
+        units += s.split("\n\n") if big else [s]
+        places += [1] + [2] * s.count("\n\n") if big else [0]
+    plan = chunk.packing([(len(u), p) for u, p in zip(units, places)], size, overlap)
+    assert [k for _, a, b in plan for k in range(a, b)] == list(range(len(units)))
+    before = None
+    for at, (carried, a, b) in enumerate(plan):
+        n = carried + sum(len(u) for u in units[a:b]) + 2 * (b - a - (0 if carried else 1)) if b > a else carried
+        if at:
+            assert carried in (0, chunk.tail_size(before, overlap)) and (carried == 0 or a == len(units) or places[a] != 2)
+        if b < len(units) and places[b] != 1:
+            assert n // 4 + len(units[b]) // 4 > size
+        held = carried
+        for k in range(a, b):
+            assert not held or places[k] == 1 or k == a or held // 4 + len(units[k]) // 4 <= size
+            held += len(units[k]) + (2 if held else 0)
+        before = n
+    if not overlap:
+        assert all(c == 0 for c, _, _ in plan)
 
 
 def test_allocation():
