@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from .plans import answer, histories, records, relational, retrieval, streams, textual
+from .plans import answer, histories, records, relational, retrieval, service, streams, textual
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (retrieval, textual, histories, relational, streams, records, answer):
+for _module in (retrieval, textual, histories, relational, streams, records, service, answer):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
 FLAGSHIP = "funnel"

@@ -52,6 +52,20 @@ def knn(queries: DataFrame, rows: DataFrame, k: int, distinct_from_self: bool =
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 
 
+def knn_in_collections(queries: DataFrame, rows: DataFrame, k: int, collections: tuple[int, ...] = (1, 2), **how) -> DataFrame:
+    """queries(query_id, query, v, collection), rows(id, v, collection) -> (query_id, collection, rank, id, distance): each query in the collection it names. Blank queries give no row; one that names another collection raises."""
+    other = queries.where(~F.col("collection").isin(*collections) | F.col("collection").isNull())
+    if not other.isEmpty():
+        raise ValueError(f"a query's collection is one of {collections}")
+    asked = queries.where(F.length(F.trim("query")) > 0)
+    out = None
+    for c in collections:
+        here = F.col("collection") == c
+        found = knn(asked.where(here).select("query_id", "v"), rows.where(here).select("id", "v"), k, **how).withColumn("collection", F.lit(c))
+        out = found if out is None else out.unionByName(found)
+    return out.select("query_id", "collection", "rank", "id", "distance")
+
+
 def within(rows: DataFrame, column: str, values) -> DataFrame:
     """Rows whose column is among the values; an empty or missing set filters nothing."""
     return rows.where(F.col(column).isin(list(values))) if values else rows

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .records import filled
+
 
 def allocation(total: int, shares: dict[str, float]) -> dict[str, int]:
     """Whole numbers for each type; the last takes what rounding leaves."""
@@ -19,6 +21,15 @@ def sample(rows: DataFrame, key: str, n: int, seed: str) -> DataFrame:
     return rows.withColumn("draw", F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")).cast("binary"))).orderBy("draw").limit(n)
 
 
+def questions(chunks: DataFrame, key: str, templates: dict[str, str], counts: dict[str, int], seed: str, **values: Column) -> DataFrame:
+    """(key, question_type, question): for each type its number of chunks, drawn by hash, and its template filled from them. A model's wording is out of reach; the plan is the same."""
+    out = None
+    for kind, n in counts.items():
+        one = sample(chunks, key, n, f"{seed}:{kind}").select(key, F.lit(kind).alias("question_type"), filled(templates[kind], **values).alias("question"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def unprocessed(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows whose key is not among those done: how a run goes on after a checkpoint."""
     return rows.join(done.select(key).distinct(), key, "left_anti")

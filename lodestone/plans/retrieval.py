@@ -137,6 +137,14 @@ def knn_postfilter(spark, sf):
     return dense.overfetch(hits, F.col("label").isin(1, 3, 5), 10).select("query_id", "rank", "id", "distance")
 
 
+@query(f"SELECT query_id, (1 + query_id // 100 % 2)::INT AS collection, rank, id, distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id)::INT AS rank FROM ({_KNN}) WHERE label % 2 = query_id // 100 % 2) WHERE rank <= 10")
+def knn_two_collections(spark, sf):
+    """Two collections by the label; every query names the one it searches."""
+    q, r = _vectors(spark, sf)
+    named = (1 + F.floor(F.col("query_id") / 100) % 2).cast("int")
+    return dense.knn_in_collections(q.withColumn("query", F.lit("?")).withColumn("collection", named), r.withColumn("collection", 1 + F.col("label") % 2), 10, distinct_from_self=True)
+
+
 @query("SELECT label, count(*) AS n, max(len(embedding))::BIGINT AS dim FROM embeddings GROUP BY label")
 def collection_stats(spark, sf):
     return dense.collection_stats(table(spark, sf, "embeddings"), "label", "embedding")
@@ -254,6 +262,12 @@ def grounding_summary(spark, sf):
     return verify.summary(a, v).drop("unsupported")
 
 
+@query(f"WITH {_VERIFY} SELECT an.answer_id, coalesce(avg(is_grounded::INT), 1) >= 0.7 AS passes FROM an LEFT JOIN ve ON an.answer_id = ve.answer_id GROUP BY an.answer_id")
+def grounding_gate(spark, sf):
+    a, v = _verified(spark, sf)
+    return verify.passes(verify.summary(a, v))
+
+
 @query(f"WITH {_BM25}, tr AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)) SELECT count(*) AS n_queries, round(avg(CASE WHEN r IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, round(avg(coalesce(1 / r, 0)), 6) AS mrr FROM (SELECT t.query_id, min(lx.rank) AS r FROM tr t LEFT JOIN lx ON lx.query_id = t.query_id AND lx.doc_id = t.doc_id AND lx.rank <= 10 GROUP BY t.query_id)")
 def retrieval_hit_rate(spark, sf):
     """Truth: the documents that hold a passage word for word. A passage's inner words are met by hash with every window of as many words of the

@@ -1,8 +1,9 @@
-"""Streaming queries: each runs the stream over the table until it is drained, and equals its batch twin."""
+"""Streaming queries: each runs the stream over the table until it is drained, and equals its batch twin.
 
-from __future__ import annotations
+Windows are appended once the watermark, ten minutes behind the last event, has passed them; the twins hold the same windows.
+"""
 
-import uuid
+from __future__ import annotations
 
 from pyspark.sql import functions as F
 
@@ -19,36 +20,59 @@ def _stream(spark, sf_dir):
     return e.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _drained(frame, mode="complete"):
-    return S.drain(frame, f"drained_{uuid.uuid4().hex}", mode)
+def _ntz(name):
+    return F.col(name).cast("timestamp_ntz").alias(name)
 
 
 def stream_hourly(spark, sf_dir):
-    d = _drained(S.windows(_stream(spark, sf_dir), "1 hour"))
-    return d.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
+    return S.drain(S.windows(_stream(spark, sf_dir), "1 hour")).select(_ntz("start"), "event_type", "n", "total")
 
 
 def stream_sliding(spark, sf_dir):
-    d = _drained(S.windows(_stream(spark, sf_dir), "6 hours", "3 hours"))
-    return d.groupBy("event_type").agg(F.sum("n").alias("n"))
+    return S.drain(S.windows(_stream(spark, sf_dir), "6 hours", "3 hours")).select(_ntz("start"), "event_type", "n", "total")
 
 
 def stream_sessions(spark, sf_dir):
-    d = _drained(S.sessions(_stream(spark, sf_dir)))
-    return d.groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("n"))
+    return S.drain(S.sessions(_stream(spark, sf_dir))).select("user_id", _ntz("start"), _ntz("end"), "n")
 
 
 def stream_fold(spark, sf_dir):
     kind = F.when(F.col("event_type") == "click", "token").when(F.col("event_type") == "purchase", "done").otherwise("status")
     e = _stream(spark, sf_dir).select(F.col("user_id").alias("conversation_id"), F.col("event_id").alias("seq"), kind.alias("type"), F.col("event_id").cast("string").alias("payload"))
-    d = _drained(S.token_state(e))
+    d = S.drain_latest(S.token_state(e), "conversation_id")
     return d.select("conversation_id", F.md5(F.col("answer").cast("binary")).alias("answer_md5"), "done")
 
 
-QUERIES |= {f.__name__: f for f in (stream_hourly, stream_sliding, stream_sessions, stream_fold)}
+def stream_distinct(spark, sf_dir):
+    """Each event doubled and then cut to one within the watermark."""
+    e = _stream(spark, sf_dir).select("event_id", "ts", F.explode(F.array(F.lit(1), F.lit(2))).alias("again"))
+    return S.drain(S.distinct_events(e).select("event_id", _ntz("ts")))
+
+
+def stream_join(spark, sf_dir):
+    """Two streams: a user's clicks and the purchases that follow each within six hours."""
+    clicks = _stream(spark, sf_dir).where("event_type = 'click'").select(F.col("user_id").alias("id"), "ts", F.col("event_id").alias("click_id"))
+    bought = _stream(spark, sf_dir).where("event_type = 'purchase'").select(F.col("user_id").alias("done_id"), F.col("ts").alias("done_ts"), F.col("event_id").alias("purchase_id"))
+    j = S.drain(S.started_and_done(clicks, bought, "6 hours"))
+    return j.where("purchase_id is not null").select(F.col("id").alias("user_id"), "click_id", "purchase_id")
+
+
+def stream_abandoned(spark, sf_dir):
+    """Clicks that no purchase of the same user followed within an hour, once the watermark says that none can come."""
+    clicks = _stream(spark, sf_dir).where("event_type = 'click'").select(F.col("user_id").alias("id"), "ts", F.col("event_id").alias("click_id"))
+    bought = _stream(spark, sf_dir).where("event_type = 'purchase'").select(F.col("user_id").alias("done_id"), F.col("ts").alias("done_ts"))
+    j = S.drain(S.started_and_done(clicks, bought))
+    return j.where("done_id is null").groupBy(F.col("id").alias("user_id")).agg((F.count("*") > 0).alias("abandons"))
+
+
+QUERIES |= {f.__name__: f for f in (stream_hourly, stream_sliding, stream_sessions, stream_fold, stream_distinct, stream_join, stream_abandoned)}
+_MARK = "(SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE FROM events)"
 ORACLES |= {
-    "stream_hourly": "SELECT date_trunc('hour', ts) AS \"start\", event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
-    "stream_sliding": "SELECT event_type, (2 * count(*))::BIGINT AS n FROM events GROUP BY event_type",
-    "stream_sessions": "SELECT user_id, count(*) FILTER (WHERE new_s) AS sessions, count(*) AS n FROM (SELECT user_id, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 30 MINUTE, true) AS new_s FROM events) GROUP BY user_id",
+    "stream_hourly": f"SELECT \"start\", event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT date_trunc('hour', ts) AS \"start\", event_type, value FROM events) WHERE \"start\" + INTERVAL 1 HOUR <= {_MARK} GROUP BY ALL",
+    "stream_sliding": f"SELECT s AS \"start\", event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT event_type, value, time_bucket(INTERVAL 3 HOUR, ts) - to_hours(k * 3) AS s FROM events, (VALUES (0), (1)) t(k)) GROUP BY ALL HAVING s + INTERVAL 6 HOUR <= {_MARK}",
+    "stream_sessions": f"""SELECT user_id, min(ts) AS "start", max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM (SELECT user_id, ts, sum(new_s::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s
+FROM (SELECT user_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 30 MINUTE, true) AS new_s FROM events)) GROUP BY user_id, s HAVING max(ts) + INTERVAL 30 MINUTE <= {_MARK}""",
     "stream_fold": "SELECT user_id AS conversation_id, md5(coalesce(string_agg(event_id, '' ORDER BY event_id) FILTER (WHERE event_type = 'click'), '')) AS answer_md5, max((event_type = 'purchase')::INT) AS done FROM events GROUP BY user_id",
+    "stream_distinct": "SELECT event_id, ts FROM events",
+    "stream_join": "SELECT c.user_id, c.event_id AS click_id, p.event_id AS purchase_id FROM events c JOIN events p ON c.user_id = p.user_id AND p.ts >= c.ts AND p.ts <= c.ts + INTERVAL 6 HOUR WHERE c.event_type = 'click' AND p.event_type = 'purchase'",
 }

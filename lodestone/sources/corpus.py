@@ -39,14 +39,119 @@ def pending(inputs: DataFrame, outputs: DataFrame, key: str) -> DataFrame:
     return inputs.join(outputs.select(key).distinct(), key, "left_anti")
 
 
+def inputs(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """(path, length) of a file or of a folder's files, in the order of their paths; empty files are left out, a missing path raises. Contents are not read."""
+    if not exists(spark, path):
+        raise FileNotFoundError(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
+    return files.select("path", "length").orderBy("path")
+
+
+def trace(rows: DataFrame, key: str, value, column: str, schema: str) -> DataFrame:
+    """The rows of one key, their JSON column read by its schema."""
+    return rows.where(F.col(key) == F.lit(value)).withColumn(column, F.from_json(column, schema))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def checkpoint(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What a run has saved so far; no rows where there is nothing yet."""
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
+
+
+def save_checkpoint(rows: DataFrame, path: str) -> None:
+    """More rows of a run; it goes on with ``pending(all, checkpoint, key)``."""
+    rows.write.mode("append").parquet(path)
+
+
 def append_jsonl(rows: DataFrame, path: str, gzip: bool = False) -> None:
     w = rows.write.mode("append")
     (w.option("compression", "gzip") if gzip else w).json(path)
 
 
+def rewrite_jsonl(rows: DataFrame, path: str) -> None:
+    """Replace a log by rows that may be read from it: written beside it first, then renamed, so it is there in full at any time but between two renames."""
+    spark = rows.sparkSession
+    new, old = f"{path}.new", f"{path}.old"
+    rows.write.mode("overwrite").json(new)
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    fs = make(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(make(old), True)
+    if fs.exists(make(path)):
+        fs.rename(make(path), make(old))
+    fs.rename(make(new), make(path))
+    fs.delete(make(old), True)
+
+
+def log_lines(rows: DataFrame, path: str) -> None:
+    """Append rows to a log of JSON lines, nulls left out."""
+    rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.mode("append").text(path)
+
+
+def filtered(parts: DataFrame, key: str = "doc_id") -> DataFrame:
+    """parts(key, idx, paragraph, kept) -> (key, text, total, kept, removed, details): what is left of each document in order, and what was decided."""
+    all_ = F.array_sort(F.collect_list(F.struct("idx", "paragraph", "kept"))).alias("p")
+    g = parts.groupBy(key).agg(all_)
+    left = F.transform(F.filter("p", lambda x: x["kept"]), lambda x: x["paragraph"])
+    total = F.size("p")
+    return g.select(key, F.array_join(left, "\n\n").alias("text"), total.alias("total"), F.size(left).alias("kept"), (total - F.size(left)).alias("removed"), F.transform("p", lambda x: F.struct(x["idx"].alias("idx"), x["kept"].alias("kept"))).alias("details"))
+
+
+def write_filtered(parts: DataFrame, path: str, key: str = "doc_id") -> None:
+    """Filtered texts and what was decided about them, as two outputs; a folder for each document would not scale."""
+    rows = filtered(parts, key)
+    rows.select(key, "text").write.mode("overwrite").parquet(f"{path}/text")
+    rows.drop("text").write.mode("overwrite").json(f"{path}/meta")
+
+
+def write_triple(rows: DataFrame, path: str, key: str = "doc_id") -> None:
+    """rows(key, markdown, metadata, layout) as three outputs that meet again by key."""
+    rows.select(key, "markdown").write.mode("overwrite").parquet(f"{path}/markdown")
+    for name in ("metadata", "layout"):
+        rows.select(key, name).write.mode("overwrite").json(f"{path}/{name}")
+
+
+def write_eval_set(questions: DataFrame, path: str, by: list[str]) -> None:
+    """Questions, and their numbers by each of the columns and in all."""
+    from ..operators.evalset import distributions
+
+    questions.write.mode("overwrite").json(f"{path}/questions")
+    distributions(questions, by).write.mode("overwrite").json(f"{path}/metadata")
+
+
+def append_stages(rows: DataFrame, path: str) -> None:
+    """More stage rows of traces; a reader pivots them."""
+    rows.write.mode("append").partitionBy("stage").parquet(path)
+
+
+def plain_metadata(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Metadata a vector store takes: numbers and truth values as they are, anything else as text."""
+    kinds = dict(rows.dtypes)
+    simple = ("int", "bigint", "smallint", "tinyint", "double", "float", "boolean")
+    text = lambda c: F.to_json(c) if kinds[c].startswith(("array", "map", "struct")) else F.col(c).cast("string")
+    return rows.select(*[F.col(c) if c not in columns or kinds[c] in simple else text(c).alias(c) for c in rows.columns])
+
+
+def without_payload(rows: DataFrame, suffix: str = "_data") -> DataFrame:
+    """Rows for a listing: columns of payload are not read at all."""
+    return rows.select(*[c for c in rows.columns if not c.endswith(suffix)])
+
+
+def chunk_id(stem, collection, index):
+    """A chunk's id within all collections."""
+    return F.concat_ws("_", stem, F.concat(F.lit("idx"), collection.cast("string")), F.concat(F.lit("chunk"), index.cast("string")))
+
+
 def write_collection(rows: DataFrame, path: str, key: str = "chunk_id") -> None:
-    """A vector collection, one row for each id, partitioned by collection."""
-    rows.dropDuplicates(["collection", key]).write.mode("append").partitionBy("collection").parquet(path)
+    """Append to a vector collection, partitioned by collection. An id stands once in its collection, also after several appends: rows whose id is there already are left out."""
+    spark = rows.sparkSession
+    new = rows.dropDuplicates(["collection", key])
+    if exists(spark, path):
+        new = new.join(spark.read.schema(rows.select("collection", key).schema).parquet(path), ["collection", key], "left_anti")
+    new.write.mode("append").partitionBy("collection").parquet(path)
 
 
 def collection(spark: SparkSession, path: str, name: str) -> DataFrame:

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -39,8 +45,37 @@ def started_and_done(starts: DataFrame, done: DataFrame, within: str = "1 hour")
     return a.join(b, F.expr(f"id = done_id AND done_ts >= ts AND done_ts <= ts + INTERVAL {within}"), "left_outer")
 
 
-def drain(frame: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over what is there now and return the result table (tests and small tables)."""
-    q = frame.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def work_dir(spark: SparkSession) -> str:
+    """A new folder that the driver and all executors share: below spark.checkpoint.dir, or, in local mode only, a temporary one of this process."""
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    root = held.get() if held.isDefined() else spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="lodestone-streams-")
+        atexit.register(shutil.rmtree, root, True)
+    return f"{root}/{uuid.uuid4().hex}"
+
+
+def drain(frame: DataFrame) -> DataFrame:
+    """Run a stream over what is there now, appending what is final to Parquet, and return that table: windows that the watermark has not passed stay open."""
+    path = work_dir(frame.sparkSession)
+    q = frame.writeStream.outputMode("append").format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return frame.sparkSession.read.schema(frame.schema).parquet(f"{path}/out")
+
+
+def drain_latest(frame: DataFrame, key: str) -> DataFrame:
+    """The same for state without a watermark: every batch writes the rows it changed into a folder of its own, so a repeated batch replaces itself, and the last row of each key counts."""
+    path = work_dir(frame.sparkSession)
+    spark = frame.sparkSession
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/out/batch={batch}")
+
+    q = frame.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
     q.awaitTermination()
-    return frame.sparkSession.table(name)
+    if q.lastProgress is None:
+        return spark.createDataFrame([], frame.schema)
+    rows = spark.read.option("basePath", f"{path}/out").parquet(f"{path}/out")
+    return rows.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy(F.desc("batch")))).where("_r = 1").select(*frame.columns)

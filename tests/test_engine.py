@@ -336,10 +336,90 @@ def test_streams_twice(spark, tmp_path):
     for n, rows in enumerate([[(1, 1, "token", "He"), (2, 1, "token", "x")], [(1, 2, "token", "llo"), (1, 3, "done", None)]]):
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{n}"))
     stream = S.read(spark, str(tmp_path / "in" / "*"), spark.createDataFrame([], schema).schema)
-    got = {r.conversation_id: (r.answer, r.done) for r in S.drain(S.token_state(stream), "fold_twice").collect()}
+    got = {r.conversation_id: (r.answer, r.done) for r in S.drain_latest(S.token_state(stream), "conversation_id").collect()}
     assert got == {1: ("Hello", 1), 2: ("x", 0)}
 
 
+def test_late_rows_and_streams_joined(spark, tmp_path):
+    """Four files, one a batch: a row behind the watermark is dropped, one within it counts, a window goes out once it is passed; a start without its end goes out when none can come."""
+    from lodestone.streaming import events as S
+
+    schema = "event_id long, ts timestamp, event_type string, value double"
+    batches = [["10:01", "10:50"], ["10:45", "12:00"], ["11:55"], ["10:30", "14:00"]]
+    for n, times in enumerate(batches):
+        rows = [(10 * n + i, f"2024-01-01 {t}:00") for i, t in enumerate(times)]
+        spark.createDataFrame(rows, "event_id long, t string").selectExpr("event_id", "cast(t as timestamp) as ts", "'a' as event_type", "1.0D as value").coalesce(1).write.parquet(str(tmp_path / "in" / f"p{n}"))
+    stream = lambda: S.read(spark, str(tmp_path / "in" / "*"), spark.createDataFrame([], schema).schema)
+    got = {str(r.start)[11:16]: r.n for r in S.drain(S.windows(stream(), "1 hour")).collect()}
+    assert got == {"10:00": 3, "11:00": 1, "12:00": 1}
+    starts = stream().where("event_id in (0, 1, 10, 31)").selectExpr("event_id as id", "ts")
+    ends = stream().where("event_id in (10, 20, 31)").selectExpr("if(event_id = 31, 31, event_id - 10) as done_id", "ts as done_ts")
+    joined = {r.id: r.done_ts is not None for r in S.drain(S.started_and_done(starts, ends)).collect()}
+    assert joined == {0: True, 1: False, 10: False, 31: True}
+
+
+def test_passages_of_any_length(spark, tmp_path):
+    """Hits are counted for passages of one, two, four and nine words."""
+    import duckdb
+
+    from lodestone import catalog
+
+    texts = ["alpha beta gamma delta epsilon zeta eta theta iota kappa", "beta only", "nothing of it", "x gamma delta epsilon zeta y", "kappa"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(["kappa", "beta only", "gamma delta epsilon zeta", "beta gamma delta epsilon zeta eta theta iota kappa", "lacking words"])), "item_id long, text string").coalesce(1).write.parquet(str(tmp_path / "benchmark.parquet"))
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.sql(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    want = con.execute(catalog.ORACLES["retrieval_hit_rate"]).fetchone()
+    got = catalog.QUERIES["retrieval_hit_rate"](spark, str(tmp_path)).first()
+    assert tuple(got) == want and got.n_queries == 4
+
+
+def test_sinks(spark, tmp_path):
+    """Logs, checkpoints, collections, texts and evaluation sets come back as they were written."""
+    log = str(tmp_path / "log")
+    corpus.append_jsonl(spark.createDataFrame([(1, "old"), (2, "old")], "id long, value string"), log)
+    corpus.rewrite_jsonl(spark.read.schema("id long, value string").json(log).selectExpr("id", "if(id = 2, 'new', value) as value"), log)
+    assert sorted(tuple(r) for r in spark.read.schema("id long, value string").json(log).collect()) == [(1, "old"), (2, "new")]
+    corpus.log_lines(spark.createDataFrame([(1, None), (2, "b")], "id long, value string"), str(tmp_path / "lines"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "lines")).collect()) == ['{"id":1}', '{"id":2,"value":"b"}']
+    state = str(tmp_path / "state")
+    assert corpus.checkpoint(spark, state, "id long").count() == 0
+    corpus.save_checkpoint(spark.range(3), state)
+    assert [r.id for r in corpus.pending(spark.range(5), corpus.checkpoint(spark, state, "id long"), "id").orderBy("id").collect()] == [3, 4]
+    vectors = spark.createDataFrame([("c1", "a", [1.0]), ("c1", "a", [1.0]), ("c1", "b", [2.0])], "collection string, chunk_id string, v array<double>")
+    corpus.write_collection(vectors, str(tmp_path / "vectors"))
+    corpus.write_collection(vectors.unionByName(spark.createDataFrame([("c2", "a", [3.0]), ("c1", "z", [4.0])], vectors.schema)), str(tmp_path / "vectors"))
+    assert sorted((r.collection, r.chunk_id) for r in spark.read.parquet(str(tmp_path / "vectors")).collect()) == [("c1", "a"), ("c1", "b"), ("c1", "z"), ("c2", "a")]
+    parts = spark.createDataFrame([(1, 1, "b", True), (1, 0, "a", True), (1, 2, "c", False), (2, 0, "d", False)], "doc_id long, idx int, paragraph string, kept boolean")
+    corpus.write_filtered(parts, str(tmp_path / "filtered"))
+    assert {r.doc_id: r.text for r in spark.read.parquet(str(tmp_path / "filtered/text")).collect()} == {1: "a\n\nb", 2: ""}
+    assert {(r.doc_id, r.total, r.kept, r.removed) for r in spark.read.json(str(tmp_path / "filtered/meta")).collect()} == {(1, 3, 2, 1), (2, 1, 0, 1)}
+    corpus.write_triple(spark.createDataFrame([(1, "# a", '{"n": 1}', "[]")], "doc_id long, markdown string, metadata string, layout string"), str(tmp_path / "triple"))
+    assert {p.name for p in (tmp_path / "triple").iterdir()} == {"markdown", "metadata", "layout"}
+    corpus.write_eval_set(spark.createDataFrame([("q1", "a"), ("q2", "b"), ("q3", "a")], "question string, kind string"), str(tmp_path / "eval"), ["kind"])
+    assert {(r.kind, r.n) for r in spark.read.schema("kind string, n long").json(str(tmp_path / "eval/metadata")).collect()} == {("a", 2), ("b", 1), (None, 3)}
+    corpus.append_stages(spark.createDataFrame([("t", "bm25", 1.5)], "trace_id string, stage string, duration_ms double"), str(tmp_path / "stages"))
+    corpus.append_stages(spark.createDataFrame([("t", "fusion", 2.5)], "trace_id string, stage string, duration_ms double"), str(tmp_path / "stages"))
+    assert traces.wide(spark.read.parquet(str(tmp_path / "stages"))).select("bm25", "fusion", "rerank").first() == (1.5, 2.5, None)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "b.md").write_text("x")
+    (tmp_path / "in" / "a.md").write_text("xyz")
+    (tmp_path / "in" / "c.md").write_text("")
+    assert [(r.path[-4:], r.length) for r in corpus.inputs(spark, str(tmp_path / "in"), "*.md").collect()] == [("a.md", 3), ("b.md", 1)]
+    with pytest.raises(FileNotFoundError):
+        corpus.inputs(spark, str(tmp_path / "nowhere"))
+    assert spark.range(1).select(corpus.chunk_id(F.lit("p"), F.lit(1), F.lit(7)).alias("x")).first().x == "p_idx1_chunk7"
+
+
+def test_collections_named_by_queries(spark):
+    q = spark.createDataFrame([(1, "a", [1.0], 1), (2, " ", [1.0], 2)], "query_id long, query string, v array<double>, collection int")
+    r = spark.createDataFrame([(1, [1.0], 1), (2, [1.5], 1), (3, [1.0], 2)], "id long, v array<double>, collection int")
+    assert [(x.query_id, x.id) for x in dense.knn_in_collections(q, r, 5).orderBy("rank").collect()] == [(1, 1), (1, 2)]
+    with pytest.raises(ValueError):
+        dense.knn_in_collections(q.withColumn("collection", F.lit(3)), r, 5)
+
+
 def test_records(spark):
     from lodestone.operators import records as R
 

@@ -6,8 +6,8 @@ from lodestone import catalog
 
 SF = "/root/testdata/sf0.001"
 #: Queries that run Python models, parsers or block comparisons on Arrow batches.
-ARROW = {"chunk_recursive", "chunk_headers", "answers", "embedded", "summaries", "knn_topk", "knn_filtered", "knn_postfilter", "dense_topk", "hybrid_fusion", "hybrid_fusion_v0", "hybrid_overlap", "rerank_details", "rerank_impact", "token_budget_cut", "claim_grounding", "grounding_summary", "funnel", "funnel_chunks"}
-STREAMED = {"stream_hourly", "stream_sliding", "stream_sessions", "stream_fold"}
+ARROW = {"chunk_recursive", "chunk_headers", "answers", "embedded", "summaries", "knn_topk", "knn_filtered", "knn_postfilter", "knn_two_collections", "dense_topk", "hybrid_fusion", "hybrid_fusion_v0", "hybrid_overlap", "rerank_details", "rerank_impact", "token_budget_cut", "claim_grounding", "grounding_summary", "grounding_gate", "funnel", "funnel_chunks"}
+STREAMED = {"stream_hourly", "stream_sliding", "stream_sessions", "stream_fold", "stream_distinct", "stream_join", "stream_abandoned"}
 
 
 def plan(frame):
