@@ -16,12 +16,14 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of this process where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, in local mode only, one of this process (tests)."""
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return jsc.getCheckpointDir().get()
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if conf is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         conf = tempfile.mkdtemp(prefix="lodestone-")
         atexit.register(shutil.rmtree, conf, True)
     spark.sparkContext.setCheckpointDir(conf)

@@ -1,8 +1,9 @@
 """Deep-shallow sorting of fixed-length suffix windows.
 
-The shallow part is a multikey sort on eight-byte characters: every round
-orders all open groups by their next character at once and closes those of one
-row. After ``SHALLOW`` characters the rows that still agree form groups with a
+The shallow part is a multikey quicksort on eight-byte characters: a group is
+split into the rows below, at and above a pivot's character, and those at it go
+on with the next one; small groups are sorted by all characters left at once.
+After ``SHALLOW`` characters the rows that still agree form groups with a
 long common prefix; a blind trie orders each of them, comparing a new string
 with a single leaf of the trie. Equal strings share a leaf.
 """
@@ -63,6 +64,37 @@ class BlindTrie:
                 yield node[1]
 
 
+#: Groups up to this size are not split any further.
+SMALL = 512
+
+
+def multikey(chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """chars: (m, depth) -> (order, first): the rows in the order of their characters, and where a new row of characters begins."""
+    m, depth = chars.shape
+    order, first = np.arange(m), np.zeros(m, bool)
+    todo = [(0, m, 0)] if m else []
+    while todo:
+        lo, hi, d = todo.pop()
+        at = order[lo:hi]
+        if d == depth:
+            first[lo] = True
+            continue
+        if len(at) <= SMALL:
+            left = chars[at, d:]
+            by = np.lexsort(left.T[::-1])
+            order[lo:hi], left = at[by], left[by]
+            first[lo] = True
+            first[lo + 1 : hi] = (left[1:] != left[:-1]).any(axis=1)
+            continue
+        c = chars[at, d]
+        pivot = np.sort(c[np.linspace(0, len(c) - 1, 9).astype(np.int64)])[4]
+        below, above = at[c < pivot], at[c > pivot]
+        i, j = lo + len(below), hi - len(above)
+        order[lo:hi] = np.concatenate([below, at[c == pivot], above])
+        todo += [(x, y, e) for x, y, e in ((lo, i, d), (i, j, d + 1), (j, hi, d)) if x < y]
+    return order, first
+
+
 def sort(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """rows: (m, length) bytes -> (order, first): the sorted order, and for each place of it whether a new string begins there."""
     m, length = rows.shape
@@ -71,17 +103,7 @@ def sort(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     depth = min(SHALLOW, -(-length // 8))
     wide = np.zeros((m, depth * 8), np.uint8)
     wide[:, : min(length, depth * 8)] = rows[:, : depth * 8]
-    chars = wide.view(">u8").astype(np.uint64)
-    order, group = np.arange(m), np.zeros(m, np.int64)
-    for d in range(depth):
-        c = chars[order, d]
-        by = np.lexsort((c, group))
-        order, group, c = order[by], group[by], c[by]
-        new = np.ones(m, bool)
-        new[1:] = (group[1:] != group[:-1]) | (c[1:] != c[:-1])
-        group = np.cumsum(new)
-    first = np.ones(m, bool)
-    first[1:] = group[1:] != group[:-1]
+    order, first = multikey(wide.view(">u8").astype(np.uint64))
     if depth * 8 < length:
         tails = np.ascontiguousarray(rows[:, depth * 8 :])
         blob, n = tails.tobytes(), tails.shape[1]
