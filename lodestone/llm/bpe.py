@@ -23,7 +23,9 @@ tokens, as in the library's own default.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
@@ -34,6 +36,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 1 << 16
+#: Normalizer, pre-tokenizer, post-processor and decoder of the tokenizers whose texts may be encoded stretch by stretch (fixed values).
+KIND = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    None,
+    None,
+)
 #: Tokens on which both sides of a join must agree in a row.
 AGREE = 6
 
@@ -163,9 +178,12 @@ class Pieces:
 
     @staticmethod
     def fits(tok) -> bool:
-        """Whether the tokenizer is of that kind."""
-        ids = lambda x: tok.encode(x, add_special_tokens=False).ids
-        return tok.decoder is None and not ids(" \n\t") and ids("ab, \nc\td.") == ids("ab") + ids(",") + ids("c") + ids("d") + ids(".") and ids("Ab") == ids("ab") and tok.id_to_token(ids("ab")[-1]).endswith("</w>")
+        """Whether the tokenizer is of that kind: by its whole configuration, all but the vocabulary."""
+        c = json.loads(tok.to_str())
+        plain = all(not re.search(r"\s", t["content"]) and not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]) for t in c["added_tokens"])
+        m = c["model"]
+        model = m["type"] == "BPE" and m["end_of_word_suffix"] == "</w>" and not any(m.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+        return plain and model and (c["normalizer"], c["pre_tokenizer"], c["post_processor"], c["decoder"]) == KIND
 
     def _put(self, piece: str, ids) -> None:
         self.known[piece] = (np.asarray(ids, "<u4").tobytes(), " ".join([self.words[i] for i in ids]))

@@ -1,6 +1,7 @@
 """Small fixtures against brute force for every operator of the llm package: nulls, empty and long texts, ties, repeats, empty tables, extra columns."""
 
 import hashlib
+import json
 import random
 import re
 import time
@@ -9,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 from xxhash import xxh64_intdigest
 
 pytest.importorskip("lodestone.llm")
@@ -314,6 +316,9 @@ def test_bpe_join_is_exact():
 def test_bpe_pieces_are_exact():
     tok = bpe.load(bpe.tokenizer_path())
     assert bpe.Pieces.fits(tok)
+    other = json.loads(tok.to_str())
+    other["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] += "|,\\s"
+    assert not bpe.Pieces.fits(Tokenizer.from_str(json.dumps(other)))
     rng = random.Random(4)
     al = ["th", "E", ",", ".", "'s", " ", "\n", "\t", "İ", "é", "é", "Å", "!", "12", "漢", "<|endoftext|>", "<|ENDOFTEXT|>", "ß", "Σ", "\xa0", "\x1c", "'re", "ǅ"]
     pieces = bpe.Pieces(tok, most=50)
@@ -348,6 +353,16 @@ def test_deepshallow_sort():
         assert got == sorted(st) and list(first) == [i == 0 or got[i] != got[i - 1] for i in range(len(got))]
 
 
+def test_multikey_quicksort():
+    rng = np.random.default_rng(1)
+    for m, most in ((0, 3), (1, 3), (5000, 3), (20_000, 2**40)):
+        chars = rng.integers(0, most, (m, 2), dtype=np.uint64)
+        order, first = deepshallow.multikey(chars)
+        want = sorted(map(tuple, chars.tolist()))
+        assert [tuple(x) for x in chars[order].tolist()] == want
+        assert first.tolist() == [i == 0 or want[i] != want[i - 1] for i in range(m)]
+
+
 def removed(rows):
     first, enc = {}, [((1 << 63) if i is None else i, i, (t or "").encode()) for i, t in rows]
     for v, _, b in enc:
