@@ -118,36 +118,42 @@ def by_headers(df: DataFrame, text: str, size: int, overlap: int, keep: list[str
     return _per_text(df, text, keep, pack)
 
 
-def recursive(df: DataFrame, text: str, size: int, overlap: int, keep: list[str], separators: tuple[str, ...] = ("\n\n", "\n", ". ", " ", "")) -> DataFrame:
-    """Split at the coarsest separator that occurs, finer within pieces over ``size`` characters, then merge neighbours with up to ``overlap`` characters repeated."""
-
-    def merge(parts: list[str], sep: str) -> list[str]:
-        out, held, n = [], [], 0
-        for p in parts:
+SEPARATORS = ("\n\n", "\n", ". ", " ", "")
+
+
+def _merged(parts: list[str], sep: str, size: int, overlap: int) -> list[str]:
+    """Neighbours put together up to the size, up to ``overlap`` characters of them again in the next chunk."""
+    out, held, n = [], [], 0
+    for p in parts:
+        extra = len(p) + (len(sep) if held else 0)
+        if held and n + extra > size:
+            out.append(sep.join(held))
+            while held and (n > overlap or n + len(p) + len(sep) > size):
+                n -= len(held.pop(0)) + (len(sep) if held else 0)
             extra = len(p) + (len(sep) if held else 0)
-            if held and n + extra > size:
-                out.append(sep.join(held))
-                while held and (n > overlap or n + len(p) + len(sep) > size):
-                    n -= len(held.pop(0)) + (len(sep) if held else 0)
-                extra = len(p) + (len(sep) if held else 0)
-            held.append(p)
-            n += extra
-        return out + [sep.join(held)] if held else out
-
-    def split(t: str, seps: tuple[str, ...]) -> list[str]:
-        at = next((i for i, s in enumerate(seps) if s == "" or s in t), len(seps) - 1)
-        sep, finer = seps[at], seps[at + 1 :]
-        out, fine = [], []
-        for p in t.split(sep) if sep else list(t):
-            if len(p) <= size:
-                fine.append(p)
-                continue
-            out += merge(fine, sep)
-            fine = []
-            out += split(p, finer) if finer else [p]
-        return [c for c in (x.strip() for x in out + merge(fine, sep)) if c]
-
-    return _per_text(df, text, keep, lambda t: split(t, separators))
+        held.append(p)
+        n += extra
+    return out + [sep.join(held)] if held else out
+
+
+def split_recursively(text: str, size: int, overlap: int, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
+    """One text's chunks."""
+    at = next((i for i, s in enumerate(separators) if s == "" or s in text), len(separators) - 1)
+    sep, finer = separators[at], separators[at + 1 :]
+    out, fine = [], []
+    for p in text.split(sep) if sep else list(text):
+        if len(p) <= size:
+            fine.append(p)
+            continue
+        out += _merged(fine, sep, size, overlap)
+        fine = []
+        out += split_recursively(p, size, overlap, finer) if finer else [p]
+    return [c for c in (x.strip() for x in out + _merged(fine, sep, size, overlap)) if c]
+
+
+def recursive(df: DataFrame, text: str, size: int, overlap: int, keep: list[str], separators: tuple[str, ...] = SEPARATORS) -> DataFrame:
+    """Split at the coarsest separator that occurs, finer within pieces over ``size`` characters, then merge neighbours with up to ``overlap`` characters repeated."""
+    return _per_text(df, text, keep, lambda t: split_recursively(t, size, overlap, separators))
 
 
 def _per_text(df: DataFrame, text: str, keep: list[str], fn) -> DataFrame:

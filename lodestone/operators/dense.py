@@ -22,7 +22,7 @@ def knn(queries: DataFrame, rows: DataFrame, k: int, distinct_from_self: bool =
     """queries(query_id, v), rows(id, v) -> (query_id, rank, id, distance): the k nearest by squared L2, ties to the smaller id; k is at most ``limit``.
 
     Every pair of a query block and a row block is one task that compares them
-    with numpy and hands on k rows a query. ``sizes``: bounds of the numbers of
+    by matrix products and hands on k rows a query. ``sizes``: bounds of the numbers of
     queries and rows, where they are known more cheaply than by counting.
     """
     k = min(k, limit)
@@ -37,13 +37,21 @@ def knn(queries: DataFrame, rows: DataFrame, k: int, distinct_from_self: bool =
         if q.num_rows and r.num_rows:
             a, b = _matrix(q), _matrix(r)
             ids, qids = r.column("id").to_pylist(), q.column("query_id").to_pylist()
-            for i, x in enumerate(a):
-                d = np.round(((b - x) ** 2).sum(axis=1), 6)
-                near = np.flatnonzero(d <= np.partition(d, min(k, len(d) - 1))[min(k, len(d) - 1)])
-                top = sorted((d[j], ids[j]) for j in near.tolist() if not (distinct_from_self and ids[j] == qids[i]))[:k]
-                out[0].extend([qids[i]] * len(top))
-                out[1].extend(y for _, y in top)
-                out[2].extend(float(y) for y, _ in top)
+            b2, m = (b * b).sum(axis=1), min(k, len(b) - 1)
+            for lo in range(0, len(a), 64):
+                part = a[lo : lo + 64]
+                p2 = (part * part).sum(axis=1)
+                # One product finds who may be near; their distances are then taken exactly.
+                rough = b2[None, :] + p2[:, None] - 2 * (part @ b.T)
+                slack = 2e-6 + 1e-12 * (b2.max() + p2)
+                for i, x in enumerate(part):
+                    near = np.flatnonzero(rough[i] <= np.partition(rough[i], m)[m] + slack[i])
+                    d = np.round(((b[near] - x) ** 2).sum(axis=1), 6)
+                    own = qids[lo + i]
+                    top = sorted((y, ids[j]) for y, j in zip(d.tolist(), near.tolist()) if not (distinct_from_self and ids[j] == own))[:k]
+                    out[0].extend([own] * len(top))
+                    out[1].extend(y for _, y in top)
+                    out[2].extend(y for y, _ in top)
         kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
         return pa.table({"query_id": pa.array(out[0], kinds[qkind]), "id": pa.array(out[1], kinds[rkind]), "distance": pa.array(out[2], pa.float64())})
 

@@ -166,6 +166,18 @@ def chunk_paragraph(spark, sf):
     return r.select("doc_id", F.col("r.start").alias("start"), F.col("r.end").alias("end"))
 
 
+@query(r"""
+WITH RECURSIVE p AS (SELECT doc_id, list_transform(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), lambda x: len(list_filter(string_split_regex(x, '\s+'), lambda y: y <> ''))) AS n FROM documents),
+e AS (SELECT doc_id, i, (SELECT max(j) + 1 FROM (SELECT unnest(range(i, len(n))) AS j) t WHERE j = i OR list_sum(n[i + 1:j + 1]) <= 100) AS e, len(n) AS m FROM (SELECT doc_id, n, unnest(range(0, len(n))) AS i FROM p)),
+r AS (SELECT doc_id, i AS s, e, greatest(i + 1, e - least(2, e - i - 1)) AS nxt, m FROM e WHERE i = 0 UNION ALL SELECT r.doc_id, e.i, e.e, greatest(e.i + 1, e.e - least(2, e.e - e.i - 1)), e.m FROM r JOIN e ON r.doc_id = e.doc_id AND e.i = r.nxt WHERE r.e < r.m)
+SELECT doc_id, s::INT AS "start", e::INT AS "end" FROM r""")
+def chunk_paragraph_older(spark, sf):
+    """The older overlap: at most all but one of a chunk's paragraphs are repeated, and the chunk that reaches the end is the last."""
+    p = table(spark, sf, "documents").select("doc_id", F.transform(T.paragraphs(F.col("text"), "\n"), lambda x: F.size(F.filter(F.split(x, r"\s+"), lambda y: y != ""))).alias("n"))
+    r = p.select("doc_id", F.explode(C.paragraph_ranges("n", 100, 2, older=True)).alias("r"))
+    return r.select("doc_id", F.col("r.start").alias("start"), F.col("r.end").alias("end"))
+
+
 def chunk_recursive(spark, sf):
     """1500 characters with 300 repeated, and the chunk's short hash. No SQL form."""
     c = C.recursive(table(spark, sf, "documents"), "text", 1500, 300, ["doc_id"])

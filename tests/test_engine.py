@@ -258,6 +258,25 @@ def test_header_chunks_by_properties(parts, size, overlap):
         assert all(c == 0 for c, _, _ in plan)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.text("ab .\n", max_size=300), st.integers(3, 40), st.integers(0, 2))
+def test_recursive_chunks_by_properties(text, size, overlap):
+    """No chunk passes the size, and chunks hold all letters of the text in order, repeating some of the chunk before at most."""
+    text = "".join(chr(0x4E00 + i) if c in "ab" else c for i, c in enumerate(text))  # every letter is another
+    letters = [c for c in text if c > "\u3000"]
+    chunks = chunk.split_recursively(text, size, overlap)
+    assert all(0 < len(c) <= size and c == c.strip() for c in chunks)
+    at = 0
+    for c in chunks:
+        mine = [x for x in c if x > "\u3000"]
+        if not mine:
+            continue
+        begin = letters.index(mine[0])
+        assert at - overlap <= begin <= at and mine == letters[begin : begin + len(mine)]
+        at = max(at, begin + len(mine))
+    assert at == len(letters)
+
+
 def test_allocation():
     assert list(evalset.allocation(400, {"a": 0.6, "b": 0.2, "c": 0.1, "d": 0.1}).values()) == [240, 80, 40, 40]
     assert list(evalset.allocation(350, {"a": 0.5, "b": 0.3, "c": 0.2}).values()) == [175, 105, 70]
