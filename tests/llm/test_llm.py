@@ -453,6 +453,35 @@ def test_nearest_in_blocks(spark):
     assert hits / (20 * len(got)) >= 0.9
 
 
+def test_language_id_against_plain_version(spark):
+    """Every answer is the language whose dictionary gives the fewest bytes over all blocks of the text's letters, by a loop over texts."""
+    import zstandard as z
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    learned = langid.train(docs.where(langid.fold() != 1).select("doc_id", "text", "lang"))
+    assert all(0 < len(x) <= 65536 for x in learned.values()) and len(learned) > 1
+    coders = {}
+    for lang, content in learned.items():
+        params = z.ZstdCompressionParameters.from_level(9, write_content_size=0, write_checksum=0, write_dict_id=0)
+        coders[lang] = z.ZstdCompressor(dict_data=z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=params)
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs, learned).collect()}
+    for r in docs.collect():
+        data = "".join(c if c.isalpha() else " " for c in (r.text or "").lower())
+        data = re.sub(" +", " ", data).encode()
+        if not data.strip():
+            assert got[r.doc_id] == "und"
+            continue
+        sizes = {k: sum(len(c.compress(data[i : i + 4096])) for i in range(0, len(data), 4096)) for k, c in coders.items()}
+        assert sizes[got[r.doc_id]] == min(sizes.values())
+
+
+def test_dictionaries_reach_all_parts_of_texts(spark):
+    """A language whose texts open alike is learned from what follows, too."""
+    rows = [(i, "opening words that all of these texts share " * 60 + f"ending{chr(97 + i)} " * 40, "xx") for i in range(20)]
+    learned = langid.train(docs_of(spark, rows).select("doc_id", "text", "lang"))["xx"].decode()
+    assert all(f"ending{chr(97 + i)}"[:5] in learned for i in range(20)) and "opening words" in learned
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(0)
     v = rng.standard_normal((700, 16)) * rng.uniform(0.5, 2, (700, 1))
