@@ -23,7 +23,9 @@ def norm(v: Column) -> Column:
 
 
 def normalised(v: Column, eps: float = 1e-8) -> Column:
-    return F.transform(v, lambda x: x.cast("double") / (norm(v) + F.lit(eps)))
+    # The norm is bound once: inside the inner function it would be taken again for every element.
+    held = F.array(F.struct(v.alias("v"), (norm(v) + F.lit(eps)).alias("n")))
+    return F.get(F.transform(held, lambda s: F.transform(s["v"], lambda x: x.cast("double") / s["n"])), F.lit(0))
 
 
 def l2(a: Column, b: Column) -> Column:

@@ -90,12 +90,12 @@ def collection_stats(rows: DataFrame, by: str, vec: str) -> DataFrame:
 
 
 def hashed_vectors(docs: DataFrame, text: str = "text", id_col: str = "doc_id", dim: int = 64) -> DataFrame:
-    """(id, v): a deterministic stand-in for an embedding model: terms hashed to signed dimensions by their MD5, unit length."""
+    """(id, v): a deterministic stand-in for an embedding model: terms hashed to signed dimensions by their MD5, unit length. Terms meet by document once, each dimension being a sum of its own."""
+    digits = F.lit("0123456789abcdef")
+    digit = lambda i: F.position(F.substring("h", i, 1), digits).cast("long") - 1  # noqa: E731  the i-th hexadecimal digit
+    at = ((digit(1) * 16 + digit(2)) * 16 + digit(3)) * 16 + digit(4)
+    signed = F.when(digit(5) % 2 == 0, F.col("tf")).otherwise(-F.col("tf")).cast("double")
     terms = term_counts(docs, text, id_col).select(F.col("doc_id").alias("id"), "tf", F.md5(F.col("term").cast("binary")).alias("h"))
-    at = F.conv(F.substring("h", 1, 4), 16, 10).cast("long") % dim
-    sign = F.when(F.conv(F.substring("h", 5, 1), 16, 10).cast("long") % 2 == 0, 1.0).otherwise(-1.0)
-    cells = terms.groupBy("id", at.alias("at")).agg(F.sum(sign * F.col("tf")).alias("x"))
-    # At most ``dim`` cells of one document meet.
-    by_doc = cells.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("at", "x"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(dim - 1).cast("long")), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    return by_doc.select("id", V.normalised(dense).alias("v"))
+    cells = terms.select("id", (at % dim).alias("at"), signed.alias("x"))
+    by_doc = cells.groupBy("id").agg(*[F.sum(F.when(F.col("at") == i, F.col("x")).otherwise(0.0)).alias(f"x{i}") for i in range(dim)])
+    return by_doc.select("id", V.normalised(F.array(*[f"x{i}" for i in range(dim)])).alias("v"))
