@@ -201,10 +201,12 @@ def hybrid_overlap(spark, sf):
 def _candidates(spark, sf):
     """The papers each query selected, as rerank candidates with their texts."""
     f = _fused(spark, sf).select("query_id", F.col("rank").alias("orig_rank"), "doc_id")
-    picked = table(spark, sf, "documents").select("doc_id", "text").join(f.select("doc_id").distinct(), "doc_id", "left_semi")
-    docs = picked.withColumn("text_tokens", rerank.distinct_tokens(F.col("text")))
+    # A paper meets the queries that selected it, at most the query set, as one row, so it is tokenised once and the selection is made once.
+    wanted = f.groupBy("doc_id").agg(F.collect_list(F.struct("query_id", "orig_rank")).alias("queries"))
+    docs = table(spark, sf, "documents").select("doc_id", "text").join(wanted, "doc_id")
+    pairs = docs.withColumn("text_tokens", rerank.distinct_tokens(F.col("text"))).select("doc_id", "text", "text_tokens", F.inline("queries"))
     asked = _asked(spark, sf).withColumn("query_tokens", rerank.distinct_tokens(F.col("query")))
-    return f.join(docs, "doc_id").join(asked, "query_id")
+    return pairs.join(asked, "query_id")
 
 
 _CONTAIN = "round(CASE WHEN len(q) = 0 THEN 0 ELSE len(list_intersect(q, t)) / len(q) END, 6)"
@@ -243,29 +245,28 @@ ve AS (SELECT answer_id, claim_idx, claim, max(s) AS max_score, coalesce(string_
 
 
 def _verified(spark, sf):
-    """The best paper as the answer, checked against the next five: an extractive stand-in for a generator."""
-    f = _fused(spark, sf).join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
-    answers = f.where("rank = 1").select(F.col("query_id").alias("answer_id"), F.col("text").alias("answer"))
-    docs = f.where("rank between 2 and 6").select(F.col("query_id").alias("answer_id"), (F.col("rank") - 1).alias("doc_idx"), "text")
-    return answers, verify.verify(verify.split_claims(answers), docs, P.grounded)
+    """The best paper as the answer, checked against the next five: an extractive stand-in for a generator. Six papers of a query meet in a row."""
+    f = _fused(spark, sf).where("rank <= 6").join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    rows = f.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("p"))
+    docs = F.transform(F.filter("p", lambda x: x["rank"] > 1), lambda x: F.struct((x["rank"] - 1).alias("doc_idx"), x["text"].alias("text")))
+    answers = rows.select(F.col("query_id").alias("answer_id"), F.get(F.filter("p", lambda x: x["rank"] == 1), F.lit(0))["text"].alias("answer"), docs.alias("docs"))
+    return verify.verify_rows(answers, P.grounded)
 
 
 @query(f"WITH {_VERIFY} SELECT answer_id, claim_idx, max_score, supporting, is_grounded FROM ve")
 def claim_grounding(spark, sf):
-    _, v = _verified(spark, sf)
+    v = _verified(spark, sf).where("claim_idx is not null")
     return v.select("answer_id", "claim_idx", "max_score", F.array_join("supporting", ",").alias("supporting"), "is_grounded")
 
 
 @query(f"WITH {_VERIFY} SELECT an.answer_id, count(claim_idx) AS n_claims, count(*) FILTER (WHERE is_grounded) AS n_grounded, CASE WHEN count(claim_idx) = 0 THEN 1.0 ELSE round(count(*) FILTER (WHERE is_grounded) / count(claim_idx), 6) END AS grounding_ratio FROM an LEFT JOIN ve ON an.answer_id = ve.answer_id GROUP BY an.answer_id")
 def grounding_summary(spark, sf):
-    a, v = _verified(spark, sf)
-    return verify.summary(a, v).drop("unsupported")
+    return verify.summary(None, _verified(spark, sf)).drop("unsupported")
 
 
 @query(f"WITH {_VERIFY} SELECT an.answer_id, coalesce(avg(is_grounded::INT), 1) >= 0.7 AS passes FROM an LEFT JOIN ve ON an.answer_id = ve.answer_id GROUP BY an.answer_id")
 def grounding_gate(spark, sf):
-    a, v = _verified(spark, sf)
-    return verify.passes(verify.summary(a, v))
+    return verify.passes(verify.summary(None, _verified(spark, sf)))
 
 
 @query(f"WITH {_BM25}, tr AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)) SELECT count(*) AS n_queries, round(avg(CASE WHEN r IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, round(avg(coalesce(1 / r, 0)), 6) AS mrr FROM (SELECT t.query_id, min(lx.rank) AS r FROM tr t LEFT JOIN lx ON lx.query_id = t.query_id AND lx.doc_id = t.doc_id AND lx.rank <= 10 GROUP BY t.query_id)")
