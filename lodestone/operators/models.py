@@ -72,6 +72,43 @@ def score(query: Column, text: Column, load: Callable[[], Callable[[list[tuple[s
     return run(query, text)
 
 
+def score_yes_no(query: Column, text: Column, load: Callable[[], Callable[[list[tuple[str, str]]], list[tuple[float, float]]]]) -> Column:
+    """A reranker that answers yes or no: the model gives two logits for each pair, the score is the probability of yes; a batch that fails gives nulls."""
+
+    def one():
+        model = load()
+
+        def run(pairs):
+            return [1 / (1 + np.exp(min(700.0, no - yes))) for yes, no in model(pairs)]
+
+        return run
+
+    return score(query, text, one)
+
+
+def plain_pages(path: str, content: bytes) -> list[str]:
+    """The default parser: text whose pages end with form feeds."""
+    return content.decode("utf-8", "replace").split("\f")
+
+
+def parse_pages(files: DataFrame, load: Callable[[], Callable[[str, bytes], list[str]]] = lambda: plain_pages) -> DataFrame:
+    """files(path, content) -> (path, page, text, error): a parser of whole files, loaded once a task; a file that it fails on gives one row with the error and no text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parse = load()
+        for b in batches:
+            for i in range(b.num_rows):
+                path = b.column(0)[i].as_py()
+                try:
+                    rows = [(path, n, t, None) for n, t in enumerate(parse(path, b.column(1)[i].as_py() or b""))]
+                except Exception as e:
+                    rows = [(path, None, None, f"{type(e).__name__}: {e}")]
+                kinds = (pa.string(), pa.int32(), pa.string(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["path", "page", "text", "error"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, page int, text string, error string")
+
+
 def extractive(query: str, context: str, sentences: int, temperature: float) -> str:
     """The context's sentences that share most words with the query, in their order; a higher temperature lets in lower-ranked ones."""
     q = set(_TOKEN.findall(query.lower()))

@@ -162,6 +162,46 @@ def test_verify(spark):
     assert s == {1: (2, 0.5), 2: (0, 1.0)}
 
 
+def test_verify_in_rows_equals_joins(spark):
+    """Both forms of verification agree, also for answers without claims or documents."""
+    texts = ["the red fox jumped high over the wall", "something else entirely is written here", "blue whales sing loudly at night"]
+    rows = [(i, ". ".join(texts[: i % 4]) + ". ", [(k, t) for k, t in enumerate(texts[i % 3 :])] if i != 5 else []) for i in range(8)]
+    nested = spark.createDataFrame(rows, "answer_id long, answer string, docs array<struct<doc_idx: int, text: string>>")
+    flat = nested.select("answer_id", F.inline("docs"))
+    joined = verify.verify(verify.split_claims(nested), flat)
+    got = verify.verify_rows(nested)
+    key = lambda r: (r.answer_id, r.claim_idx, r.claim, r.max_score, r.supporting, r.is_grounded)
+    assert sorted(map(key, joined.collect())) == sorted(key(r) for r in got.collect() if r.claim is not None)
+    both = [sorted((r.answer_id, r.n_claims, r.n_grounded, r.grounding_ratio, tuple(r.unsupported)) for r in s.collect()) for s in (verify.summary(nested, joined), verify.summary(None, got))]
+    assert both[0] == both[1] and len(both[0]) == 8
+
+
+def test_runtime_and_parsers(spark, tmp_path):
+    from lodestone.operators import models, runtime
+
+    assert [runtime.tier(x)["tier"] for x in (80, 64, 40, 8)] == ["large", "large", "medium", "small"]
+    assert runtime.shuffle_partitions(10 << 30, 40) == 80 and runtime.shuffle_partitions(0, 8) == 1
+    with runtime.pool(spark, "retrieval"):
+        assert spark.sparkContext.getLocalProperty("spark.scheduler.pool") == "retrieval"
+    assert spark.sparkContext.getLocalProperty("spark.scheduler.pool") is None
+    pairs = spark.createDataFrame([("q", "a"), ("q", "bbb")], "q string, t string")
+    yes = [r.s for r in pairs.select(models.score_yes_no(F.col("q"), F.col("t"), lambda: lambda ps: [(len(t), 1.0) for _, t in ps]).alias("s")).collect()]
+    assert yes[0] == pytest.approx(0.5) and yes[1] == pytest.approx(1 / (1 + 2.718281828459045**-2))
+    (tmp_path / "a.pdf").write_bytes(b"one\ftwo")
+    (tmp_path / "b.pdf").write_bytes(b"bad")
+
+    def load():
+        def parse(path, content):
+            if content == b"bad":
+                raise ValueError("no pages")
+            return models.plain_pages(path, content)
+
+        return parse
+
+    got = sorted((r.path[-5:], r.page if r.page is not None else -1, r.text, r.error) for r in models.parse_pages(corpus.binary(spark, str(tmp_path)), load).collect())
+    assert got == [("a.pdf", 0, "one", None), ("a.pdf", 1, "two", None), ("b.pdf", -1, None, "ValueError: no pages")]
+
+
 def test_dense(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0])], "id long, v array<double>")
     q = spark.createDataFrame([(9, [1.0, 0.0])], "query_id long, v array<double>")
