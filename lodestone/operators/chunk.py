@@ -1,7 +1,8 @@
-"""Chunkers: one text in, an array of chunks out, all with array folds.
+"""Chunkers: one text in, an array of chunks out, all with array functions.
 
-Units are words unless said otherwise. The greedy folds are quadratic in a
-text's paragraphs; ``recursive`` is the Arrow form for texts of any length.
+Units are words unless said otherwise. Greedy packing takes n log n for n
+paragraphs: running totals, a search by halving for each chunk's end, and the
+chain of starts by doubling steps.
 """
 
 from __future__ import annotations
@@ -40,26 +41,33 @@ def uniform(words: Column, target: int, overlap: int) -> Column:
     return F.when(total == 0, F.expr("cast(array() as array<struct<start: int, end: int, text: string>>)")).when(total <= target, whole).otherwise(_slices(words, size, overlap))
 
 
+def _bound(value: str, name: str, body: str) -> str:
+    """SQL of ``body`` with ``name`` standing for a value that is made once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 def paragraph_ranges(counts: str, size: int, overlap: int, older: bool = False) -> Column:
     """For an array column of token counts: array of struct(start, end) of greedily packed paragraphs.
 
     A chunk takes paragraphs until the next would pass ``size``, one at least;
     the next chunk starts ``overlap`` paragraphs before its end (never at or
     before its own start). ``older``: at most all but one of its paragraphs are
-    repeated.
+    repeated, and the chunk that reaches the end is the last.
     """
-    end = f"""aggregate(sequence(i, size({counts}) - 1), named_struct('n', 0L, 'j', i, 'stop', false),
-        (s, j) -> if(s.stop or (j > i and s.n + {counts}[j] > {size}), named_struct('n', s.n, 'j', s.j, 'stop', true),
-                     named_struct('n', s.n + {counts}[j], 'j', j + 1, 'stop', false)), s -> s.j)"""
-    back = f"least({overlap}, r.e - i - 1)" if older else str(overlap)
-    ends = f"transform(sequence(0, size({counts}) - 1), i -> named_struct('i', i, 'e', {end}))"
-    return F.expr(
-        f"""if(size({counts}) = 0, cast(array() as array<struct<start: int, `end`: int>>),
-        aggregate({ends}, named_struct('next', 0, 'out', cast(array() as array<struct<start: int, `end`: int>>)),
-          (s, r) -> if(r.i <> s.next or (s.next > 0 and element_at(s.out, -1).`end` = size({counts}) and {str(older).lower()}), s,
-             named_struct('next', greatest(r.i + 1, r.e - {back.replace('i - 1', 'r.i - 1')}), 'out', concat(s.out, array(named_struct('start', r.i, 'end', r.e))))),
-          s -> s.out))"""
-    )
+    n = f"size({counts})"
+    zero = f"transform(concat(array(0), {counts}), x -> cast(x as bigint))"
+    rounds = f"sequence(0, cast(ceil(log2({n} + 1)) as int))"
+    total = f"aggregate({rounds}, {zero}, (acc, k) -> transform(acc, (x, i) -> if(i >= shiftleft(1, k), x + acc[i - shiftleft(1, k)], x)))"
+    further = f"e + shiftleft(1, k) <= {n} and p[e + shiftleft(1, k)] - p[i] <= {size}"
+    end = f"aggregate(reverse({rounds}), i + 1, (e, k) -> if({further}, e + shiftleft(1, k), e))"
+    ends = f"transform(sequence(0, {n} - 1), i -> {end})"
+    back = f"least({overlap}, e - i - 1)" if older else str(overlap)
+    after = f"greatest(i + 1, e - {back})"
+    following = f"concat(transform(ends, (e, i) -> {f'if(e = {n}, {n}, {after})' if older else after}), array({n}))"
+    # After each round s holds twice as many starts of the chain, and f leads twice as far.
+    chain = f"aggregate({rounds}, named_struct('s', array(0), 'f', {following}), (c, k) -> named_struct('s', concat(c.s, transform(c.s, x -> c.f[x])), 'f', transform(c.f, x -> c.f[x])), c -> array_distinct(filter(c.s, x -> x < {n})))"
+    ranges = _bound(total, "p", _bound(ends, "ends", f"transform({chain}, i -> named_struct('start', i, 'end', ends[i]))"))
+    return F.expr(f"if({n} = 0, cast(array() as array<struct<start: int, `end`: int>>), {ranges})")
 
 
 def sections(text: str) -> list[str]:
@@ -176,8 +184,10 @@ def _per_text(df: DataFrame, text: str, keep: list[str], fn) -> DataFrame:
 
 def with_orphans(pieces: Column) -> Column:
     """Pieces with lone equation, figure and reference marks put back to the piece before (a leading one stays alone)."""
-    step = lambda s, p: F.when((F.size(s) > 0) & T.orphan(p), F.concat(F.slice(s, 1, F.size(s) - 1), F.array(F.concat(F.element_at(s, -1), F.lit("\n"), p)))).otherwise(F.concat(s, F.array(p)))
-    return F.aggregate(pieces, F.array().cast("array<string>"), step)
+    held = F.transform(F.array(pieces), lambda p: F.struct(p.alias("p"), F.filter(F.transform(p, lambda x, i: F.when((i == 0) | ~T.orphan(x), i)), lambda i: i.isNotNull()).alias("heads")))
+    until = lambda s, k: F.coalesce(F.get(s["heads"], k + 1), F.size(s["p"]))
+    joined = lambda s: F.transform(s["heads"], lambda h, k: F.array_join(F.slice(s["p"], h + 1, until(s, k) - h), "\n"))
+    return F.get(F.transform(held, joined), F.lit(0))
 
 
 def token_span(words: Column, index: Column, size: int, start: Column | None = None, end: Column | None = None) -> Column:

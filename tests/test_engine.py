@@ -99,6 +99,38 @@ def test_paragraph_chunks(spark):
     assert got == [[(0, 5), (3, 5), (4, 5)], [(0, 1)], []]
 
 
+@pytest.mark.parametrize(("size", "overlap", "older"), [(100, 2, False), (30, 0, False), (60, 3, True), (1, 1, True)])
+def test_paragraph_chunks_against_a_loop(spark, size, overlap, older):
+    import random
+
+    rng = random.Random(size)
+    lists = [[rng.choice([0, 1, 5, 20, 90]) for _ in range(rng.randint(0, 40))] for _ in range(60)]
+    want = []
+    for counts in lists:
+        i, out = 0, []
+        while i < len(counts):
+            n, j = 0, i
+            while j < len(counts) and (j == i or n + counts[j] <= size):
+                n, j = n + counts[j], j + 1
+            out.append((i, j))
+            if older and j == len(counts):
+                break
+            i = max(i + 1, j - (min(overlap, j - i - 1) if older else overlap))
+        want.append(out)
+    rows = spark.createDataFrame(list(enumerate(lists)), "id int, n array<int>")
+    got = {r.id: [(c.start, c.end) for c in r.c] for r in rows.select("id", chunk.paragraph_ranges("n", size, overlap, older).alias("c")).collect()}
+    assert [got[i] for i in range(len(lists))] == want
+
+
+def test_very_many_paragraphs(spark):
+    """100,000 paragraphs of one text are packed in seconds."""
+    import time
+
+    began = time.time()
+    r = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(100_000)), lambda i: (i % 7).cast("int")).alias("n")).select(F.size(chunk.paragraph_ranges("n", 50, 1)).alias("c")).first()
+    assert r.c > 5000 and time.time() - began < 60
+
+
 def test_recursive_and_header_chunks(spark):
     t = "alpha beta. gamma delta\n\n" + "word " * 100
     d = spark.createDataFrame([(1, t), (2, None), (3, "")], "id long, text string")
