@@ -18,18 +18,8 @@ def _matrix(t: pa.Table) -> np.ndarray:
     return t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(t.num_rows, -1)
 
 
-def knn(queries: DataFrame, rows: DataFrame, k: int, distinct_from_self: bool = False, limit: int = 100, sizes: tuple[int, int] | None = None) -> DataFrame:
-    """queries(query_id, v), rows(id, v) -> (query_id, rank, id, distance): the k nearest by squared L2, ties to the smaller id; k is at most ``limit``.
-
-    Every pair of a query block and a row block is one task that compares them
-    by matrix products and hands on k rows a query. ``sizes``: bounds of the numbers of
-    queries and rows, where they are known more cheaply than by counting.
-    """
-    k = min(k, limit)
-    n_queries, n_rows = sizes or (queries.count(), rows.count())
-    nr, nq = max(1, -(-n_rows // ROW_BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
-    left = queries.select("query_id", "v", F.pmod(F.xxhash64("query_id"), F.lit(nq)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nr - 1))).alias("rb"))
-    right = rows.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(nr)).cast("int").alias("rb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))).alias("qb"))
+def block_search(queries: DataFrame, rows: DataFrame, k: int, distinct_from_self: bool = False):
+    """What one task does with a block of queries (query_id, v) and one of rows (id, v), and the schema of what it gives: each query's k nearest of the block."""
     qkind, rkind = dict(queries.dtypes)["query_id"], dict(rows.dtypes)["id"]
 
     def best(q: pa.Table, r: pa.Table) -> pa.Table:
@@ -55,7 +45,23 @@ def knn(queries: DataFrame, rows: DataFrame, k: int, distinct_from_self: bool =
         kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
         return pa.table({"query_id": pa.array(out[0], kinds[qkind]), "id": pa.array(out[1], kinds[rkind]), "distance": pa.array(out[2], pa.float64())})
 
-    found = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInArrow(best, f"query_id {qkind}, id {rkind}, distance double")
+    return best, f"query_id {qkind}, id {rkind}, distance double"
+
+
+def knn(queries: DataFrame, rows: DataFrame, k: int, distinct_from_self: bool = False, limit: int = 100, sizes: tuple[int, int] | None = None) -> DataFrame:
+    """queries(query_id, v), rows(id, v) -> (query_id, rank, id, distance): the k nearest by squared L2, ties to the smaller id; k is at most ``limit``.
+
+    Every pair of a query block and a row block is one task that compares them
+    by matrix products and hands on k rows a query. ``sizes``: bounds of the numbers of
+    queries and rows, where they are known more cheaply than by counting.
+    """
+    k = min(k, limit)
+    n_queries, n_rows = sizes or (queries.count(), rows.count())
+    nr, nq = max(1, -(-n_rows // ROW_BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
+    left = queries.select("query_id", "v", F.pmod(F.xxhash64("query_id"), F.lit(nq)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nr - 1))).alias("rb"))
+    right = rows.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(nr)).cast("int").alias("rb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))).alias("qb"))
+    best, schema = block_search(queries, rows, k, distinct_from_self)
+    found = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInArrow(best, schema)
     order = W.partitionBy("query_id").orderBy("distance", "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 

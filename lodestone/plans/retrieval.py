@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import bm25, dense, fusion, rerank, verify
+from ..operators import bm25, cells, dense, fusion, rerank, verify
 from ..operators import evalset as E
 from ..sources.corpus import Params
 from .relational import table
@@ -145,6 +145,14 @@ def knn_two_collections(spark, sf):
     return dense.knn_in_collections(q.withColumn("query", F.lit("?")).withColumn("collection", named), r.withColumn("collection", 1 + F.col("label") % 2), 10, distinct_from_self=True)
 
 
+@query(ORACLES["knn_topk"])
+def knn_in_all_cells(spark, sf):
+    """The search by cells, looking into all of them: the exact answer, which a smaller ``probe`` comes near to."""
+    q, r = _vectors(spark, sf)
+    at = cells.fit(r, 8)
+    return cells.search(q, cells.assigned(r.select("id", "v"), at), at, 20, 8, distinct_from_self=True)
+
+
 @query("SELECT label, count(*) AS n, max(len(embedding))::BIGINT AS dim FROM embeddings GROUP BY label")
 def collection_stats(spark, sf):
     return dense.collection_stats(table(spark, sf, "embeddings"), "label", "embedding")

@@ -194,6 +194,33 @@ def test_verify(spark):
     assert s == {1: (2, 0.5), 2: (0, 1.0)}
 
 
+def test_search_by_cells(spark):
+    """A few of the cells give nearly the exact neighbours of clustered vectors, from a part of the rows, also where cells are dealt in parts."""
+    import numpy as np
+
+    from lodestone.operators import cells
+
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((40, 16))[rng.integers(0, 40, 3000)] + 0.3 * rng.standard_normal((3000, 16))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    queries = rows.where("id % 50 = 0").withColumnRenamed("id", "query_id")
+    at = cells.fit(rows, 32, sample=1000)
+    index = cells.assigned(rows, at)
+    assert index.count() == 3000 and index.select("cell").distinct().count() > 16
+    got = cells.search(queries, index, at, 10, 4, distinct_from_self=True, row_block=100, query_block=7).collect()
+    hits, compared = 0, index.join(cells.assigned(queries, at, 4), "cell").count()
+    for q in range(0, 3000, 50):
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        mine = [r.id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])]
+        assert len(mine) == 10
+        hits += len(set(mine) & set(np.argsort(d, kind="stable")[:10].tolist()))
+    assert hits / 600 >= 0.9 and compared < 0.5 * 3000 * 60
+    empty = rows.where("false")
+    none = cells.fit(empty, 8)
+    assert len(none) == 0 and cells.search(queries, cells.assigned(empty, none), none, 10, 4).count() == 0
+
+
 def test_verify_in_rows_equals_joins(spark):
     """Both forms of verification agree, also for answers without claims or documents."""
     texts = ["the red fox jumped high over the wall", "something else entirely is written here", "blue whales sing loudly at night"]
