@@ -31,9 +31,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage through a reliable checkpoint, for tables that are small beside the input."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage through a reliable checkpoint, for tables that are small beside the input.
+
+    Spark hands the estimated size of a plan on to its checkpoint, and joins
+    multiply sizes, so in rounds of joins the estimate's digits double until
+    planning never ends; the rows are therefore taken up without it.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    kept = df.checkpoint(eager=True)
+    rows = kept._jdf.queryExecution().analyzed().rdd()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, kept._jdf.schema(), False), spark)
 
 
 _written: list[str] = []
