@@ -143,6 +143,15 @@ def test_components_chain(spark):
     assert got == {**{i: 0 for i in range(51)}, 100: 100, 101: 100}
 
 
+def test_components_of_a_long_chain(spark):
+    """Many rounds: each must plan as fast as the first."""
+    at = list(range(3000))
+    random.Random(3).shuffle(at)
+    edges = spark.createDataFrame(list(zip(at, at[1:])), "a long, b long")
+    got = components(edges)
+    assert got.count() == 3000 and [r.label for r in got.select("label").distinct().collect()] == [0]
+
+
 def spans_of(t):
     pats = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
