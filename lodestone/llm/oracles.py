@@ -71,4 +71,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   AND coalesce(n_stop / nullif(n_words, 0) >= 0.02, true) AND coalesce(n_letter_words / nullif(n_words, 0) >= 0.6, true)
   AND coalesce(n_dup_lines / nullif(n_lines, 0) <= 0.5, true) AND coalesce(n_ellipsis_lines / nullif(n_lines, 0) <= 0.5, true) AS kept
 FROM b""",
+    "op12_exact_dedup": r"""
+WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256 FROM t WINDOW w AS (PARTITION BY t)""",
 }
