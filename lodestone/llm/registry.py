@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, exact, langid, licenses, mixing, pii, quality, quotes, simhash, substrings
+from . import ann, bpe, exact, langid, licenses, mixing, phrases, pii, quality, quotes, simhash, substrings
 from .oracles import ORACLES
 
 QUERIES = {
@@ -17,4 +17,5 @@ QUERIES = {
     "op9_chat_quotes": quotes.op9_chat_quotes,
     "op10_repeated_substrings": substrings.op10_repeated_substrings,
     "op12_exact_dedup": exact.op12_exact_dedup,
+    "op13_collocations": phrases.op13_collocations,
 }

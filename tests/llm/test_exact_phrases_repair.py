@@ -3,11 +3,12 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import pytest
 
 pytest.importorskip("lodestone.llm")
-from lodestone.llm import exact  # noqa: E402
+from lodestone.llm import exact, phrases  # noqa: E402
 
 DOC = "doc_id long, text string, lang string, row int, dedup string"
 
@@ -54,3 +55,50 @@ def test_whole_texts_are_hashed_for_survivors_only(spark):
     keys = docs_of(spark, [(1, "aaaa"), (2, "aaab"), (3, "bbbbb"), (4, "aaaa"), (5, "zz")]).select(*exact._short(exact.normalised(exact.quoted("text")), 3))
     assert sorted(r.length for r in exact.survivors(keys).collect()) == [4]
     assert hashlib.sha256(b"").hexdigest() == spark.range(1).select(exact.F.sha2(exact.F.lit(""), 256).alias("h")).first().h
+
+
+def plain_phrases(rows, least, first):
+    f, n = Counter(), Counter()
+    for r in rows:
+        lang = "und" if len(r) > 2 and r[2] is None else (r[2] if len(r) > 2 else "en")
+        text = re.sub("[A-Z]", lambda m: m.group().lower(), r[1] or "")
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", text):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(w)
+            for k in range(1, 5):
+                for i in range(len(w) - k + 1):
+                    f[lang, tuple(w[i : i + k])] += 1
+    found = {p: a for p, a in f.items() if len(p[1]) > 1 and a >= least}
+    out = {}
+    for (lang, w), a in found.items():
+        cuts = [(2_000_000 * a // (f[lang, w[:k]] + f[lang, w[k:]]), k, f[lang, w[:k]], f[lang, w[k:]]) for k in range(1, len(w))]
+        held = any(l == lang and len(x) > len(w) and 100 * b >= 80 * a and any(x[i : i + len(w)] == w for i in range(len(x))) for (l, x), b in found.items())
+        if not held:
+            score, _, left, right = min(cuts)
+            out.setdefault(lang, []).append((-score, -a, " ".join(w).encode(), left, right))
+    return sorted((lang, i + 1, p.decode(), -a, left, right, n[lang], -s) for lang, x in out.items() for i, (s, a, p, left, right) in enumerate(sorted(x)[:first]))
+
+
+@pytest.mark.parametrize(("least", "first", "slots", "size"), [(3, 2000, 1 << 17, 1 << 20), (4, 7, 1 << 14, 13), (2, 30, 1 << 14, 200)])
+def test_phrases(spark, least, first, slots, size):
+    """Also in stretches of a few bytes, and with nearly every slot taken."""
+    rng = random.Random(5)
+    words = ["The", "river", "é漢", "x" * 40, "of", "a", "\x00", "it's", "B"]
+    text = lambda n: "".join(rng.choice(words) + rng.choice([" ", " ", " ", "\t ", ", ", ".", "\n", "\x0b", " " * 30]) for _ in range(n))
+    rows = [(i, text(rng.randint(0, 60)), rng.choice(["en", "de", None, "und", ""])) for i in range(60)]
+    rows += [(60, None, "en"), (61, "", "en"), (62, " .,! ", "fr"), (None, rows[3][1], "en"), (3, rows[3][1], rows[3][2]), (63, text(3000).replace(".", " ").replace("\n", " "), "en")]
+    got = phrases.mine(docs_of(spark, rows), first=first, least=least, slots=slots, size=size)
+    assert sorted(tuple(r) for r in got.collect()) == plain_phrases(rows, least, first)
+
+
+def test_phrases_of_no_rows(spark):
+    assert phrases.mine(docs_of(spark, [(1, "a b a b a b a b", "en")]).limit(0), least=2).collect() == []
+    assert phrases.mine(docs_of(spark, [(1, "a b", None)]), least=2).collect() == []
+
+
+def test_phrase_scores_are_exact(spark):
+    """Products beyond 64 bits."""
+    big = 10**15 + 7
+    found = spark.createDataFrame([("en", "a", 1, 3 * big), ("en", "b", 1, 2 * big), ("en", "a b", 2, big)], "lang string, phrase string, k int, n long")
+    r = phrases.score(found).first()
+    assert (r.a, r.l, r.r, r.score) == (big, 3 * big, 2 * big, 2_000_000 * big // (5 * big))
