@@ -47,8 +47,9 @@ def _short(norm: Column, prefix: int) -> list[Column]:
 def survivors(keys: DataFrame) -> DataFrame:
     """(length, prefix) that more than one row has. Rows alone with their length never reach the second grouping."""
     lengths = cut(keys.groupBy("length").count().where("count > 1").select("length"))
-    shared = keys.join(lengths, "length", "left_semi")
-    return shared.groupBy("length", "prefix").count().where("count > 1").select("length", "prefix")
+    # Rows are counted by pair before they meet the lengths, so a group of very many copies is one row there.
+    counted = written(keys.groupBy("length", "prefix").count())
+    return counted.join(lengths, "length", "left_semi").where("count > 1").select("length", "prefix")
 
 
 def marks(pairs: DataFrame, slots: int) -> DataFrame:
