@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, exact, langid, licenses, mixing, phrases, pii, quality, quotes, simhash, substrings
+from . import ann, bpe, exact, langid, licenses, mixing, phrases, pii, quality, quotes, repair, simhash, substrings
 from .oracles import ORACLES
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_chat_quotes": quotes.op9_chat_quotes,
     "op10_repeated_substrings": substrings.op10_repeated_substrings,
+    "op11_conversation_repair": repair.op11_conversation_repair,
     "op12_exact_dedup": exact.op12_exact_dedup,
     "op13_collocations": phrases.op13_collocations,
 }

@@ -3,12 +3,13 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import pytest
 
 pytest.importorskip("lodestone.llm")
-from lodestone.llm import exact, phrases  # noqa: E402
+from lodestone.llm import exact, phrases, repair  # noqa: E402
 
 DOC = "doc_id long, text string, lang string, row int, dedup string"
 
@@ -102,3 +103,109 @@ def test_phrase_scores_are_exact(spark):
     found = spark.createDataFrame([("en", "a", 1, 3 * big), ("en", "b", 1, 2 * big), ("en", "a b", 2, big)], "lang string, phrase string, k int, n long")
     r = phrases.score(found).first()
     assert (r.a, r.l, r.r, r.score) == (big, 3 * big, 2 * big, 2_000_000 * big // (5 * big))
+
+
+def plain_repair(rows):
+    """rows (conv, turn, role, text) -> conv: (gaps, blank, duplicate, truncated, illegal, cost, audit, hash); by the least (cost, letters) of each suffix."""
+    convs = {}
+    for conv, turn, role, text in rows:
+        convs.setdefault(conv, []).append((turn, " " if role is None else role, " " if text is None else text))
+    out = {}
+    for conv, msgs in convs.items():
+        msgs.sort(key=lambda m: (m[0] is not None, m[0] or 0, m[1], hashlib.sha256(m[2].encode()).hexdigest()))
+        turns = [m[0] for m in msgs if m[0] is not None]
+        kinds, seen = [], set()
+        for _, role, text in msgs:
+            t = text.strip(" \t\n\x0b\x0c\r")
+            kinds.append("blank" if not t else "duplicate" if (role, text) in seen else "truncated" if t[-1] not in ".!?" else "")
+            seen.add((role, text))
+        step = {"": {"s": "S", "u": "U"}, "S": {"u": "U"}, "U": {"a": "A"}, "A": {"u": "U"}}
+        best = {q: (0, "", ()) for q in ("", "A")}
+        for i in range(len(msgs), -1, -1):
+            if i < len(msgs):
+                (_, role, text), kind, here = msgs[i], kinds[i], {}
+                more = 3 if kind == "truncated" else 0
+                for q in step:
+                    ways = []
+                    if q in best:
+                        ways.append((4 + best[q][0], "D" + best[q][1], best[q][2]))
+                    if kind in ("", "truncated"):
+                        for c, letter, name in [(0, "K", role), (3, "R", "user"), (3, "R", "assistant")]:
+                            to = step[q].get(name[:1])
+                            if to in best:
+                                ways.append((c + more + best[to][0], letter + best[to][1], (name + ":" + text, *best[to][2])))
+                    if ways:
+                        here[q] = min(ways)
+                best = here
+            for _ in range(4):
+                for q in step:
+                    for name in ("user", "assistant"):
+                        to = step[q].get(name[0])
+                        if to in best:
+                            best[q] = min(best.get(q, (1 << 60,)), (3 + best[to][0], "I" + best[to][1], (name + ":", *best[to][2])))
+        cost, audit, said = best[""]
+        firsts = [m[1][:1] for m in msgs]
+        illegal = sum(a + b not in ("su", "ua", "au") for a, b in zip(firsts, firsts[1:]))
+        gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+        out[conv] = (gaps, kinds.count("blank"), kinds.count("duplicate"), kinds.count("truncated"), illegal, cost, audit, hashlib.sha256("\n".join(said).encode()).hexdigest())
+    return out
+
+
+@pytest.fixture(scope="module")
+def talks():
+    rng = random.Random(11)
+    rows = []
+    for conv in range(150):
+        for turn in range(rng.randint(1, 14)):
+            role = rng.choice(["user", "assistant"] * 4 + ["system", "tool", None, "", "s", "uu"])
+            text = rng.choice(["Hello.", "hi", "What?", " \n", "", None, "So. ", "é!", "x" * 20 + ".\x0b", "a.b"])
+            rows += [(conv if conv else None, rng.choice([turn, turn, turn, None, turn // 2, turn + 3]), role, text)] * rng.choice([1, 1, 1, 1, 1, 2, 3])
+    rows += [(900, t, ["user", "assistant"][t % 2], f"text {t}" + "." * (t % 5 > 0)) for t in range(5000)]
+    return rows
+
+
+@pytest.mark.parametrize("rows", [1, 2, 5, repair.ROWS])
+def test_repair(spark, talks, rows):
+    """Whatever the size of blocks, down to one message."""
+    talks = talks if rows > 2 else talks[:-4800]
+    messages = spark.createDataFrame([(*r, 1, "x") for r in talks], "conv_id long, turn long, role string, text string, block int, kinds string")
+    done = repair.Repair(messages, rows=rows)
+    said = {r.conv_id: (r.audit, r.repaired_sha256) for r in repair.digests(done).collect()}
+    got = {r.conv_id: (*tuple(r)[1:], *said[r.conv_id]) for r in done.summary.collect()}
+    assert got == plain_repair(talks)
+    stays = {}
+    for r in done.messages().orderBy("conv_id", "at").collect():
+        stays.setdefault(r.conv_id, []).append(r.role[:1])
+    assert all(re.fullmatch("s?(ua)+", "".join(x)) for x in stays.values())
+
+
+def test_repair_query(spark, sf):
+    """The query damages, repairs and gives every conversation a row, also one that lost all its messages."""
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    left = []
+    for conv, turn, role, text in rows:
+        h = zlib.crc32(f"{conv}:{turn}".encode()) % 20
+        r = (conv, turn, "user" if h == 4 else role, "" if h == 1 else re.sub("[.!?]", "", text) if h == 2 else text)
+        left += [] if h == 0 else [r] * (2 if h == 3 else 1)
+    want = plain_repair(left)
+    none = (0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())
+    got = repair.op11_conversation_repair(spark, sf).collect()
+    assert sorted(tuple(r) for r in got) == sorted((c, *want.get(c, none)) for c in {r[0] for r in rows})
+    assert got[0].asDict().keys() == {"conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"}
+
+
+def test_damage_of_nulls(spark):
+    """A null is one space in the key and in the row."""
+    given = [(c, t, None, None) for c in [None, *range(40)] for t in [None, *range(5)]]
+    got = repair.damage(spark.createDataFrame(given, "conv_id long, turn long, role string, text string")).collect()
+    want = []
+    for c, t, _, _ in given:
+        h = zlib.crc32(f"{' ' if c is None else c}:{' ' if t is None else t}".encode()) % 20
+        want += [] if h == 0 else [(c, t, "user" if h == 4 else " ", "" if h == 1 else " ")] * (2 if h == 3 else 1)
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, want))
+
+
+def test_repair_of_no_rows(spark):
+    messages = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    done = repair.Repair(messages)
+    assert done.summary.collect() == [] and done.messages().collect() == [] and repair.digests(done).collect() == []
