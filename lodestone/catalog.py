@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from .plans import answer, histories, records, relational, retrieval, roundtrips, service, streams, textual
+from .plans import answer, histories, records, relational, retrieval, roundtrips, service, streams, textual, vectors
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (retrieval, textual, histories, relational, streams, records, service, roundtrips, answer):
+for _module in (retrieval, textual, histories, relational, streams, records, service, roundtrips, answer, vectors):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
 FLAGSHIP = "funnel"

@@ -300,11 +300,11 @@ def retrieval_hit_rate(spark, sf):
     return E.retrieval(_lexical(spark, sf, 10), truth, 10)
 
 
-@query(f"""WITH {_RERANK} SELECT query_id, string_agg('[' || rank || '] doc' || doc_id || chr(10) || substring(text, 1, 200), chr(10) || chr(10) ORDER BY rank) AS context, max(score) AS best_score FROM rr WHERE rank <= 5 GROUP BY query_id""")
+@query(f"""WITH {_RERANK} SELECT query_id, string_agg('[' || rank || '] doc' || doc_id || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context, max(score) AS best_score FROM rr WHERE rank <= 5 GROUP BY query_id""")
 def funnel(spark, sf):
-    """Query to context: two searches, fusion, reranking, the five best as one numbered context."""
+    """Query to context: two searches, fusion, reranking, the five best papers, whole, as one numbered context."""
     r = rerank.rerank(rerank.candidates(_candidates(spark, sf), P.max_rerank), P.n_final, rerank.held_share())
-    items = r.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("title"), F.substring("text", 1, 200).alias("text")))).alias("items"), F.max("score").alias("best_score"))
+    items = r.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("title"), "text"))).alias("items"), F.max("score").alias("best_score"))
     return items.select("query_id", T.context(F.col("items")).alias("context"), "best_score")
 
 

@@ -67,6 +67,15 @@ def save_checkpoint(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
+def stored(rows: DataFrame) -> DataFrame:
+    """The rows out of a table written now in the folder that all executors share: what several parts of a plan read is then made once."""
+    from ..streaming.events import work_dir
+
+    path = work_dir(rows.sparkSession)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def append_jsonl(rows: DataFrame, path: str, gzip: bool = False) -> None:
     w = rows.write.mode("append")
     (w.option("compression", "gzip") if gzip else w).json(path)
