@@ -24,14 +24,18 @@ def fit(rows: DataFrame, cells: int, sample: int = 20_000, rounds: int = 10) ->
     if not held.num_rows:
         return np.zeros((0, 0))
     v = held.column("v").combine_chunks()
-    x = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v), -1)
-    at = x[:cells].copy()
+    return lloyd(v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v), -1), cells, rounds)
+
+
+def lloyd(x: np.ndarray, n: int, rounds: int = 10) -> np.ndarray:
+    """At most n centres of the rows of x, from the first rows on."""
+    at = x[:n].copy()
     for _ in range(rounds if len(at) else 0):
         own = nearest(x, at, 1)[:, 0]
-        n = np.bincount(own, minlength=len(at))
+        held = np.bincount(own, minlength=len(at))
         total = np.zeros_like(at)
         np.add.at(total, own, x)
-        at[n > 0] = total[n > 0] / n[n > 0, None]
+        at[held > 0] = total[held > 0] / held[held > 0, None]
     return at
 
 

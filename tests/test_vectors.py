@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import scoped
+from lodestone.operators import dense, scoped
+from lodestone.operators.vector_index import VectorIndex
 
 
 @pytest.mark.parametrize(("rows_", "queries_"), [(4096, 1024), (3, 2), (1, 1)])
@@ -38,3 +39,42 @@ def test_scoped_search_makes_no_pairs(spark):
     rows = spark.range(10).select((F.col("id") % 2).alias("group"), "id", F.array(F.lit(1.0)).alias("v"))
     p = scoped.search(rows.select(F.col("id").alias("query_id"), "v"), rows, rows.select(F.col("id").alias("query_id"), "group"), 2)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in p and "NestedLoop" not in p
+
+
+@pytest.fixture(scope="module")
+def clusters(spark):
+    """2,000 rows about 20 centres in 16 dimensions, a third of them one vector."""
+    rng = random.Random(4)
+    centres = [[rng.gauss(0, 4) for _ in range(16)] for _ in range(20)]
+    rows = [(f"r{i:04d}", [x + rng.gauss(0, 1) for x in rng.choice(centres)] if i % 3 else centres[0]) for i in range(2000)]
+    queries = [(i, [x + rng.gauss(0, 1) for x in rng.choice(centres)]) for i in range(30)]
+    return spark.createDataFrame([*rows, ("none", None)], "id string, v array<double>"), spark.createDataFrame([*queries, (99, None)], "query_id int, v array<float>")
+
+
+def test_index_of_all_cells_is_exact(spark, clusters, tmp_path):
+    """All cells and enough survivors give the exact search, ties of equal vectors included; another session reads the same index."""
+    rows, queries = clusters
+    VectorIndex.build(rows, str(tmp_path / "x"), 16, stretches=4)
+    index = VectorIndex.read(spark, str(tmp_path / "x"))
+    assert index.rows.count() == 2000
+    want = dense.knn(queries.where("v is not null").withColumn("v", F.col("v").cast("array<double>")), rows.where("v is not null"), 5)
+    assert sorted(index.search(queries, 5, 16, rerank=400).collect()) == sorted(want.collect())
+
+
+def test_index_prunes_cells(spark, clusters, tmp_path):
+    rows, queries = clusters
+    index = VectorIndex.build(rows, str(tmp_path / "x"), 16, stretches=4)
+    want = {(r.query_id, r.id) for r in dense.knn(queries.where("v is not null").withColumn("v", F.col("v").cast("array<double>")), rows.where("v is not null"), 5).collect()}
+    got = {(r.query_id, r.id) for r in index.search(queries, 5, 4, rerank=20).collect()}
+    assert len(want & got) >= 0.9 * len(want)
+    one = index.search(queries.limit(1), 5, 2)
+    p = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [cell" in p and "ReadSchema: struct<id:string,codes:binary>" in p and "NestedLoop" not in p
+    read = index.within(spark.createDataFrame([(3,), (5,)], "cell int"))
+    assert {r.cell for r in read.select("cell").distinct().collect()} == {3, 5}
+
+
+def test_index_of_no_rows(spark, clusters, tmp_path):
+    rows, queries = clusters
+    few = VectorIndex.build(rows.limit(3), str(tmp_path / "few"), 16, stretches=4)
+    assert few.search(queries, 5, 16).groupBy("query_id").count().where("count <> 3").isEmpty()
