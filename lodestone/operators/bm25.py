@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -47,10 +47,14 @@ def build(docs: DataFrame, text: str = "text", id_col: str = "doc_id", markdown:
     df = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
     n = docs.agg(F.count("*")).scalar()
     corpus = df.agg(F.coalesce(F.sum("cf"), F.lit(0)).alias("cf")).select(n.alias("n"), (F.col("cf") / F.nullif(n, F.lit(0))).alias("avgdl"))
+    return Index(postings, lengths, weighted(df, n, eps), corpus)
+
+
+def weighted(df: DataFrame, n: Column, eps: float = 0.25) -> DataFrame:
+    """(term, df) of n documents -> (term, df, idf); a term in more than half of them gets a share of the mean instead of a negative weight."""
     raw = df.withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean")).scalar()
-    terms = raw.select("term", "df", F.when(F.col("raw") < 0, eps * mean).otherwise(F.col("raw")).alias("idf"))
-    return Index(postings, lengths, terms, corpus)
+    return raw.select("term", "df", F.when(F.col("raw") < 0, eps * mean).otherwise(F.col("raw")).alias("idf"))
 
 
 def query_terms(queries: DataFrame, text: str = "text", id_col: str = "query_id", max_chars: int = 1000, max_tokens: int = 100) -> DataFrame:
