@@ -6,10 +6,11 @@ rounded by pivotal steps: two fractional documents meet, word mass moves from
 one to the other with odds that keep both expectations, and at least one of
 them becomes integral. Mass is counted in words, so each step keeps the
 source's expected words exactly. Documents are dealt into buckets of about
-``FANOUT`` by a hash; each bucket leaves one fractional document, and these
-residuals meet again FANOUT at a time, level by level, until one is left per
-source; a last draw settles it. The result differs from the target by at most
-the size of that one document.
+``FANOUT`` by a hash; each bucket leaves one fractional document, and hands it
+on with every eighth by size, undrawn; these meet again level by level. In a
+source's last bucket (the only one of a small source) the document left over
+is not drawn: one or two documents at a time change sides as long as that
+brings the source's words nearer to its target.
 
 Rows that agree in source, id and size are one class: pivotal steps among
 equals leave all but one of them integral whatever the draws, so a class of c
@@ -95,22 +96,46 @@ def _fold(level: int) -> Column:
     return F.expr(f"aggregate(docs, named_struct('c', cast(null as {_DOC}), 'done', cast(array() as array<{_DONE}>)), {step})")
 
 
+#: So many buckets of one level meet in one of the next; rounds of the settling of a part's last bucket.
+SHRINK, ROUNDS = 8, 6
+
+
+def _settle() -> Column:
+    """(uid, up) of a part's last bucket, folded as ``r``: what its fractional document leaves open is closed in a few rounds, each of which turns the one or
+    two documents that bring the words nearest to the target."""
+    turn = lambda i: f"if(a.ups[{i}] = 1, -docs[{i}].size, docs[{i}].size)"
+    moves = f"flatten(transform(sequence(0, size(docs) - 1), i -> transform(sequence(i, size(docs) - 1), j -> named_struct('left', abs(a.need - {turn('i')} - if(i = j, 0.0D, {turn('j')})), 'i', i, 'j', j))))"
+    turned = f"named_struct('need', a.need - {turn('m.i')} - if(m.i = m.j, 0.0D, {turn('m.j')}), 'ups', transform(a.ups, (u, i) -> if(i = m.i or i = m.j, 1 - u, u)))"
+    step = f"(a, k) -> transform(array(array_min({moves})), m -> if(m.left < abs(a.need) - 1e-9, {turned}, a))[0]"
+    start = "named_struct('need', coalesce(r.c.size * r.c.p, 0.0D), 'ups', transform(docs, x -> cast(exists(r.done, y -> y.uid = x.uid and y.up = 1) as int)))"
+    return F.expr(f"aggregate(sequence(1, {ROUNDS}), {start}, {step}, a -> transform(docs, (x, i) -> named_struct('uid', x.uid, 'up', a.ups[i])))")
+
+
 def round_copies(rows: DataFrame, n_max: int, fanout: int = FANOUT) -> DataFrame:
-    """rows(part, n, h, uid, size, p) with 0 < p < 1 and size > 0 -> (uid, up). n_max: rows of the largest part."""
-    now = rows.withColumn("bucket", F.pmod("h", F.greatest(F.lit(1), F.ceil(F.col("n") / fanout)).cast("long")))
-    out, level, width = None, 0, max(1, -(-n_max // fanout))
-    while True:
-        tree = now.groupBy("part", "bucket").agg(F.sort_array(F.collect_list(F.struct("h", "uid", "size", "p"))).alias("docs"))
-        tree = cut(tree.select("part", "bucket", _fold(level).alias("r")))
-        done = tree.select(F.inline("r.done"))
+    """rows(part, n, h, uid, size, p) with 0 < p < 1 and size > 0 -> (uid, up). n_max: rows of the largest part.
+
+    A bucket hands on its fractional document and every eighth by size, which
+    are not drawn there, so documents of all sizes are in the last one.
+    """
+    wide = F.greatest(F.lit(1), F.ceil(F.col("n") / fanout)).cast("long")
+    now = rows.withColumn("wide", wide).withColumn("bucket", F.pmod("h", "wide"))
+    out, width = None, max(1, -(-n_max // fanout))
+    for level in range(100):
+        # The largest come first: a document is carried until others have filled it, so what is handed on is small.
+        by_size = F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("less"), "h", "uid", "size", "p")))
+        plain = F.transform(by_size, lambda x: F.struct(x["h"].alias("h"), x["uid"].alias("uid"), x["size"].alias("size"), x["p"].alias("p")))
+        tree = now.groupBy("part", "wide", "bucket").agg(plain.alias("plain"))
+        waits = lambda i: (F.col("wide") > 1) & (i % SHRINK == SHRINK - 1)
+        tree = tree.select("part", "wide", "bucket", F.filter("plain", lambda x, i: ~waits(i)).alias("docs"), F.filter("plain", lambda x, i: waits(i)).alias("rest")).withColumn("r", _fold(level))
+        last = F.when(F.col("wide") == 1, _settle())
+        tree = cut(tree.select("part", "wide", "bucket", F.coalesce(last, "r.done").alias("done"), F.concat(F.filter(F.array("r.c"), lambda c: c.isNotNull()), "rest").alias("left")))
+        done = tree.select(F.inline("done"))
         out = done if out is None else out.unionByName(done)
-        left = tree.select("part", "bucket", "r.c.*")
         if width == 1:
             break
-        level, width = level + 1, -(-width // fanout)
-        now = left.withColumn("bucket", F.floor(F.col("bucket") / fanout).cast("long"))
-    last = F.expr("cast((pmod(xxhash64(h, 'last'), 9007199254740992L) / 9007199254740992.0D) < p as int)")
-    return out.unionByName(left.select("uid", last.alias("up")))
+        now = tree.where("wide > 1").select("part", F.ceil(F.col("wide") / SHRINK).cast("long").alias("wide"), F.floor(F.col("bucket") / SHRINK).cast("long").alias("bucket"), F.inline("left"))
+        width = -(-width // SHRINK)
+    return out
 
 
 def copies(docs: DataFrame, source: str = "source", text: str = "text", id_col: str = "doc_id", **how) -> DataFrame:
