@@ -218,13 +218,14 @@ def train(cands: DataFrame):
 
 
 def decide(found: DataFrame, score, threshold: float = 0.5) -> DataFrame:
-    """(row, base, added): arrays of (kind, start, end), base by kind as listed and then start."""
+    """(row, base, added): arrays of (kind, start, end), each by kind as listed and then start."""
     bare = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
     secret = lambda s: (s["kind"] == "secret") & (score(s["value"], s["before"], s["after"]) > threshold)
     return found.select(
         "row",
         F.transform(F.filter("found", lambda s: s["kind"] != "secret"), bare).alias("base"),
-        F.transform(F.filter("found", secret), bare).alias("added"),
+        # Two patterns find secrets, one after the other; all are one kind, so their structs sort by start.
+        F.array_sort(F.transform(F.filter("found", secret), bare)).alias("added"),
     )
 
 

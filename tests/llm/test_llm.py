@@ -183,6 +183,9 @@ def test_pii_base_and_secret(spark):
     assert all(added[100 + i] == [("secret", 14, 54)] for i in range(12))
     assert not any(added[200 + i] for i in range(12))
     assert pii.detect(docs_of(spark, [])).count() == 0
+    # Found by two patterns, given in the order of the text: the announced secret stands before the long one.
+    both = [(i, f"password = Ab12cd9x and then token: {hashlib.sha1(bytes([i])).hexdigest()} end") for i in range(12)]
+    assert all([tuple(s) for s in r.added] == [("secret", 11, 19), ("secret", 36, 76)] for r in pii.detect(docs_of(spark, both + plain)).collect() if r.doc_id < 12)
 
 
 def test_redact(spark):
@@ -301,6 +304,16 @@ def test_mixing_is_unbiased(spark):
     assert {r.up for r in up} == {0, 1} and abs(sum(r["count"] for r in up if r.up) - 1200) < 60
 
 
+@pytest.mark.parametrize("name", ["0.001", "0.01"])
+def test_mixing_comes_near_every_target(spark, name):
+    """Every source, also one of ten documents, within 1 % of its target or within the words of its smallest document."""
+    sf = f"/root/testdata/sf{name}"
+    sources = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source")
+    got = mixing.op5_mix_sources(spark, sf).join(sources, "doc_id").groupBy("source")
+    for r in got.agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.min("size").alias("least")).collect():
+        assert abs(r.taken - r.target) <= max(0.01 * r.target, r.least)
+
+
 def test_mixing_spreads_equal_rows(spark):
     """100,000 equal rows: exact counts, no bucket of the tree holds them, and the rows taken do not depend on the partitions."""
     docs = spark.range(100_000).selectExpr("cast(null as bigint) as doc_id", "'a b c' as text", "'s' as source").unionByName(spark.range(500).selectExpr("id as doc_id", "repeat('w ', cast(id % 9 as int)) as text", "if(id % 2 = 0, 's', 't') as source"))
