@@ -41,7 +41,7 @@ from .common import cut, documents, drop, quoted, release, written
 
 LONGEST = 4
 #: Bytes of text that are counted together, and slots of a segment.
-STRETCH, SEGMENT = 8 << 20, 1 << 14
+STRETCH, SEGMENT = 4 << 20, 1 << 14
 #: Of each byte: 0 in a word, 1 between words, 2 between pieces.
 _KIND = np.zeros(256, np.uint8)
 _KIND[[0x20, 0x09]] = 1
