@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK = 1 << 16
+BLOCK = 1 << 13
 #: Normalizer, pre-tokenizer, post-processor and decoder of the tokenizers whose texts may be encoded stretch by stretch (fixed values).
 KIND = (
     {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
