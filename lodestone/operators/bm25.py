@@ -63,14 +63,18 @@ def query_terms(queries: DataFrame, text: str = "text", id_col: str = "query_id"
     return queries.select(F.col(id_col).alias("query_id"), F.explode(toks).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
+def weight(idf: Column, tf: Column, dl: Column, avgdl: Column, k1: float, b: float) -> Column:
+    return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+
+
 def search(index: Index, terms: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query_id, rank, doc_id, score): the k best of the documents that hold a query term; ties go to the smaller id. Scores are rounded to six places before ranking."""
     avgdl = index.corpus.select("avgdl").scalar()
     asked = terms.select("term").distinct()
     # A posting's weight is made once, only for terms that some query holds.
     held = index.postings.join(asked, "term", "left_semi").join(index.terms.select("term", "idf"), "term").join(index.docs, "doc_id")
-    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
-    hits = terms.join(held.select("term", "doc_id", weight.alias("w")), "term")
+    w = weight(F.col("idf"), F.col("tf"), F.col("dl"), avgdl, k1, b)
+    hits = terms.join(held.select("term", "doc_id", w.alias("w")), "term")
     scored = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qtf") * F.col("w")), 6).alias("score"))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")

@@ -103,3 +103,25 @@ def test_segments_of_nothing(spark, tmp_path):
     index.add(spark.createDataFrame([(1, None), (2, ""), (3, "red red")], "doc_id long, text string"))
     index.delete(spark.createDataFrame([(3,)], "doc_id long"))
     assert bm25.search(index.index(), terms, 5).collect() == [] and index.index().docs.count() == 2
+
+
+@pytest.mark.parametrize("width", [1, 3, 64])
+def test_blocks_give_the_same_search(spark, tmp_path, width):
+    """Ties, documents without terms, queries that find less than k, and a query of a rare term that leaves most postings unscored."""
+    from lodestone.operators import bm25
+    from lodestone.operators.blockmax import BlockIndex
+
+    rng = random.Random(width)
+    words = [f"w{i}" for i in range(40)]
+    docs = [(i, " ".join(rng.choices(words, [1 / (j + 1) for j in range(40)], k=rng.randint(0, 30)))) for i in range(300)] + [(300, None), (301, "rare w0 w0"), (302, "w0 w0 rare")]
+    index = bm25.build(spark.createDataFrame(docs, "doc_id long, text string"), markdown=False)
+    terms = bm25.query_terms(spark.createDataFrame([(1, "w0 w1 w2"), (2, "rare w0"), (3, "w39 w38"), (4, "nothing"), (5, "w5 w5 w5 w1")], "query_id int, q string"), "q")
+    blocks = BlockIndex.build(index, str(tmp_path / "b"), width)
+    got, share = blocks.search(terms, 5, first=2)
+    assert rows_of(got) == rows_of(bm25.search(index, terms, 5))
+    rows = {r.query_id: (r.n_scored, r.n_postings) for r in share.collect()}
+    assert all(a <= n for a, n in rows.values())
+    if width == 3:
+        two, share = blocks.search(terms.where("query_id = 2"), 2, first=2)
+        assert rows_of(two) == rows_of(bm25.search(index, terms.where("query_id = 2"), 2))
+        assert share.first().n_scored < 0.2 * share.first().n_postings
