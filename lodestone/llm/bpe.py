@@ -35,7 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK = 1 << 13
+#: Characters of a block; texts of more characters than DEAL have their blocks dealt over all tasks, shorter ones are cut and joined in one.
+BLOCK, DEAL = 1 << 14, 1 << 16
 #: Normalizer, pre-tokenizer, post-processor and decoder of the tokenizers whose texts may be encoded stretch by stretch (fixed values).
 KIND = (
     {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -230,7 +231,7 @@ class Pieces:
         return out
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", id_col: str = "doc_id", block: int = BLOCK, with_ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, path: str, text: str = "text", id_col: str = "doc_id", block: int = BLOCK, with_ids: bool = True, deal: int = DEAL) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256[, ids]): one row for each input row, of its whole text.
 
     Rows with long texts are told apart first; their blocks are dealt over all
@@ -248,6 +249,10 @@ def encode(docs: DataFrame, path: str, text: str = "text", id_col: str = "doc_id
             cols.append(pa.array([list(map(int, x)) for x in found], pa.list_(pa.int32())))
         return pa.RecordBatch.from_arrays(cols, names=names)
 
+    def trees(tok, t: str) -> tuple[bytes, str]:
+        one = join_tree(tok, [Part.of(tok, t[i : i + block]) for i in range(0, len(t), block)])
+        return np.asarray(one.ids, "<u4").tobytes(), decode(tok, one.ids.tolist())
+
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = load(path)
         pieces = Pieces(tok) if Pieces.fits(tok) else None
@@ -256,9 +261,13 @@ def encode(docs: DataFrame, path: str, text: str = "text", id_col: str = "doc_id
                 s = b.slice(lo, 256)
                 texts = s.column(1).to_pylist()
                 if pieces is None:
-                    yield rows(s.column(0), [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)], tok)
+                    whole = iter(tok.encode_batch_fast([x for x in texts if len(x) <= block], add_special_tokens=False))
+                    yield rows(s.column(0), [next(whole).ids if len(x) <= block else np.frombuffer(trees(tok, x)[0], "<u4").tolist() for x in texts], tok)
                     continue
-                got = pieces.encode(texts)
+                got = pieces.encode([x for x in texts if len(x) <= block])
+                if len(got) < len(texts):
+                    brief_ = iter(got)
+                    got = [next(brief_) if len(x) <= block else trees(tok, x) for x in texts]
                 cols = [s.column(0), pa.array([len(x) // 4 for x, _ in got], pa.int64()), pa.array([sha256(x).hexdigest() for x, _ in got]), pa.array([sha256(d.encode("utf-8", "replace")).hexdigest() for _, d in got])]
                 if with_ids:
                     cols.append(pa.array([np.frombuffer(x, "<i4") for x, _ in got], pa.list_(pa.int32())))
@@ -280,7 +289,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", id_col: str = "doc_id
         one = join_tree(tok, parts)
         return pa.Table.from_batches([rows(group.column(id_col).combine_chunks().slice(0, 1), [one.ids.tolist()], tok)])
 
-    is_long = F.length(t) > block
+    is_long = F.length(t) > max(deal, block)
     brief = docs.where(~is_long).select(id_col, t.alias("t")).mapInArrow(short, fields)
     cut = F.transform(F.sequence(F.lit(0), F.floor((F.length("t") - 1) / block).cast("int")), lambda i: F.struct(i.alias("n"), F.substring(F.col("t"), i * block + 1, F.lit(block)).alias("part")))
     long = docs.where(is_long).select(id_col, F.monotonically_increasing_id().alias("uid"), t.alias("t")).select(id_col, "uid", F.inline(cut))

@@ -351,9 +351,11 @@ def test_bpe_pieces_are_exact():
             assert np.frombuffer(ids, "<u4").tolist() == want and decoded == tok.decode(want, skip_special_tokens=False)
 
 
-def test_bpe_query_form(spark, corpus):
+@pytest.mark.parametrize("deal", [0, 5000, bpe.DEAL])
+def test_bpe_query_form(spark, corpus, deal):
+    """Blocks joined in one task, dealt over all, and some of each."""
     tok = bpe.load(bpe.tokenizer_path())
-    got = sorted(map(str, bpe.encode(docs_of(spark, corpus), bpe.tokenizer_path(), block=700).collect()))
+    got = sorted(map(str, bpe.encode(docs_of(spark, corpus), bpe.tokenizer_path(), block=700, deal=deal).collect()))
     want = []
     for i, t in corpus:
         ids = tok.encode(t or "", add_special_tokens=False).ids
