@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chats, evalset, mock, rerank, traces
+from ..operators import chats, evalset, mock, rerank, sketches, traces
 from ..sources import corpus
 from .relational import table
 
@@ -155,3 +155,28 @@ def mock_events(spark, sf):
     """The events of the stand-in fold to its answers."""
     q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return chats.fold_events(mock.events(q)).select("conversation_id", F.md5(F.col("answer").cast("binary")).alias("answer_md5"), "done")
+
+
+_AT = {"p50": 0.5, "p90": 0.9, "p99": 0.99}
+
+
+def _by_day(spark, sf):
+    e = table(spark, sf, "events").select("event_type", "ts", "value")
+    hours = corpus.stored(sketches.hourly(e, "value", "ts", ["event_type"]))
+    return e.withColumn("day", F.date_trunc("day", "ts")), sketches.quantiles(sketches.merged(hours, ["event_type"]), _AT)
+
+
+def latency_by_day(spark, sf):
+    """event_type, day, n and three quantiles, out of the stored sketches of hours; n values were never sorted."""
+    return _by_day(spark, sf)[1]
+
+
+QUERIES["latency_by_day"] = latency_by_day
+
+
+@query("SELECT event_type, date_trunc('day', ts) AS day, count(*) AS n, true AS p50_holds, true AS p90_holds, true AS p99_holds FROM events GROUP BY ALL")
+def latency_errors_hold(spark, sf):
+    """Each quantile of the merged sketches against all values: its rank is off by a hundredth at most, twice what the size promises."""
+    e, found = _by_day(spark, sf)
+    held = sketches.rank_error(e, "value", found, ["event_type", "day"], _AT)
+    return held.select("event_type", F.col("day").cast("timestamp_ntz").alias("day"), "n", *[(F.col(f"{x}_error") <= 0.01).alias(f"{x}_holds") for x in _AT])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import bm25
 from ..operators.blockmax import BlockIndex
 from ..operators.segments import SegmentedIndex
+from ..sources import corpus
 from ..sources.keyed import KeyedTable
 from ..streaming.events import work_dir
 from . import retrieval
@@ -90,3 +91,15 @@ def blockmax_share(spark, sf):
     """Fewer than half of the queries' postings are scored for it."""
     share = _block_search(spark, sf)[1]
     return share.agg(F.count("*").alias("n_queries"), (F.sum("n_scored") < 0.5 * F.sum("n_postings")).alias("under_half"))
+
+
+@query("SELECT event_id, event_type, value FROM events WHERE event_id // 4 < 100 + 40 * (event_id % 4)")
+def log_until_bad(spark, sf):
+    """Four logs of JSON lines, each broken at one place: what came before it is read, and nothing after."""
+    path = work_dir(spark)
+    e = table(spark, sf, "events").select("event_id", "event_type", "value")
+    part, broken = F.col("event_id") % 4, F.floor(F.col("event_id") / 4) == 100 + 40 * (F.col("event_id") % 4)
+    line = F.when(broken, F.concat(F.lit('{"event_id": '), F.col("event_id").cast("string"))).otherwise(F.to_json(F.struct("event_id", "event_type", "value")))
+    rows = e.select(part.alias("part"), "event_id", line.alias("value")).repartition("part").sortWithinPartitions("part", "event_id")
+    rows.select("part", "value").write.partitionBy("part").text(path)
+    return corpus.jsonl_until_bad(spark, path, "event_id long, event_type string, value double")

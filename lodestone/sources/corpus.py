@@ -29,6 +29,20 @@ def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(f"{schema}, _corrupt_record string").json(path, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record")
 
 
+def jsonl_until_bad(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of a log of JSON lines, each file up to its first line that is no JSON; blank lines are skipped.
+
+    A file's lines are in the order of its splits, and of a split's rows, so a
+    file is not read by one task: the place of its first bad line is a minimum
+    over all of them, joined back by file.
+    """
+    at = F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"))
+    lines = spark.read.text(path, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("file"), at.alias("at"), F.trim(F.regexp_replace("value", r"^\s+|\s+$", "")).alias("line")).where("line <> ''")
+    bad = lines.where(F.try_parse_json("line").isNull()).groupBy("file").agg(F.min("at").alias("bad"))
+    good = lines.join(bad, "file", "left").where("bad is null or at < bad")
+    return good.select(F.from_json("line", schema).alias("r")).select("r.*")
+
+
 def json_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One JSON document a file, plain or gzip."""
     return spark.read.schema(schema).json(path, multiLine=True)

@@ -125,3 +125,38 @@ def test_blocks_give_the_same_search(spark, tmp_path, width):
         two, share = blocks.search(terms.where("query_id = 2"), 2, first=2)
         assert rows_of(two) == rows_of(bm25.search(index, terms.where("query_id = 2"), 2))
         assert share.first().n_scored < 0.2 * share.first().n_postings
+
+
+def test_log_until_the_first_bad_line(spark, tmp_path):
+    """Each file by itself, over several splits; blank lines, other JSON and a bad first line."""
+    from lodestone.sources import corpus
+
+    log = tmp_path / "log"
+    log.mkdir()
+    row = lambda i: f'{{"a": {i}, "b": "{"x" * 50}"}}\n'
+    (log / "good.jsonl").write_text(row(1) + "\n  \n" + row(2))
+    (log / "long.jsonl").write_text("".join(row(i) for i in range(1000, 4000)) + '{"a": 1\n' + row(9) + "also bad\n" + row(9))
+    (log / "first.jsonl").write_text("oops\n" + row(9))
+    (log / "other.jsonl").write_text('[1, 2]\nnull\n{"b": "y"}\nnot json\n' + row(9))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        got = sorted(str(tuple(r)) for r in corpus.jsonl_until_bad(spark, str(log), "a long, b string").select("a").collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == sorted([*[f"({i},)" for i in [1, 2, *range(1000, 4000)]], "(None,)", "(None,)", "(None,)"])
+
+
+def test_sketches(spark):
+    """Merged hours answer within a hundredth; one value, equal values and nulls."""
+    from lodestone.operators import sketches
+
+    rows = spark.range(60_000).selectExpr("if(id % 3 = 0, 'a', 'b') as k", "timestamp'2024-01-01' + make_interval(0, 0, 0, 0, cast(id % 48 as int)) as t", "pow(id * 7919 % 60000, 2) as v")
+    rows = rows.unionByName(spark.sql("select 'one' as k, timestamp'2024-01-01' as t, 5.0D as v union all select 'one', timestamp'2024-01-01', null union all select 'none', timestamp'2024-01-01', null"))
+    at = {"p50": 0.5, "p99": 0.99}
+    hours = sketches.hourly(rows, "v", "t", ["k"])
+    assert hours.where("k = 'a'").count() == 16 and hours.where("k = 'none'").count() == 0
+    found = sketches.quantiles(sketches.merged(hours, ["k"]), at)
+    days = rows.withColumn("day", F.date_trunc("day", "t"))
+    errors = sketches.rank_error(days, "v", found, ["k", "day"], at).collect()
+    assert len(errors) == 5 and all(r.p50_error <= 0.01 and r.p99_error <= 0.01 for r in errors)
+    assert [r.p50 for r in found.where("k = 'one'").collect()] == [5.0]
