@@ -7,7 +7,44 @@ _STOPS = "|".join(dict.fromkeys(STOP_WORDS))
 _TEMPLATES = ", ".join(f"('{k}', '{v}')" for k, v in TEMPLATES.items())
 _SPEAKS = r"(?i)licen[sc]e|copyright|\bspdx\b|public domain|all rights reserved|permission is hereby granted"
 
+
+
+def _repair() -> str:
+    """The cheapest, ASCII-least edits of each conversation by the least (cost, letters, messages) of every suffix and state (b0 nothing yet, bs, bu, ba)."""
+    way = lambda to, letter, cost, said=None: f"CASE WHEN {to} IS NOT NULL THEN {{'c': {to}.c + {cost}, 'a': '{letter}' || {to}.a, 's': {f'list_prepend({said}, {to}.s)' if said else f'{to}.s'}}} END"
+    keep = lambda initial, to: f"CASE WHEN stays AND initial = '{initial}' THEN {way(to, 'K', 'more', 'role || chr(58) || text')} END"
+    name = lambda as_, to: f"CASE WHEN stays THEN {way(to, 'R', '3 + more', f"'{as_}:' || text")} END"
+    add = lambda as_, to: way(to, "I", 3, f"'{as_}:'")
+    first = {
+        "b0": f"least({way('b0', 'D', 4)}, {keep('s', 'bs')}, {keep('u', 'bu')}, {name('user', 'bu')})",
+        "bs": f"least({way('bs', 'D', 4)}, {keep('u', 'bu')}, {name('user', 'bu')})",
+        "bu": f"least({way('bu', 'D', 4)}, {keep('a', 'ba')}, {name('assistant', 'ba')})",
+        "ba": f"least({way('ba', 'D', 4)}, {keep('u', 'bu')}, {name('user', 'bu')})",
+    }
+    pair = f"least(bu, {add('assistant', 'ba')}) AS bu, least(ba, {add('user', 'bu')}) AS ba"
+    closed = f"least(b0, {add('user', 'bu')}) AS b0, least(bs, {add('user', 'bu')}) AS bs, bu, ba"
+    end, none = "{'c': 0, 'a': '', 's': []::VARCHAR[]}", "NULL::STRUCT(c INTEGER, a VARCHAR, s VARCHAR[])"
+    spaces = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return rf"""
+WITH RECURSIVE tb AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+ky AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT) AS k FROM conversations),
+hs AS (SELECT conv_id, turn, role, text, xor(list_reduce(k, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 20 AS h FROM ky, tb),
+dm AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN h = 3 THEN 2 ELSE 1 END)) AS again FROM hs WHERE h <> 0),
+nr AS (SELECT conv_id, turn, role, text, rtrim(text, {spaces}) AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM dm),
+fa AS (SELECT *, left(role, 1) AS initial, CASE WHEN t = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN right(t, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM nr),
+o AS (SELECT *, fault IN ('', 'truncated') AS stays, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS more, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair FROM fa),
+z AS (SELECT conv_id, n AS i, {none} AS bs, {none} AS bu, {end} AS b0, {end} AS ba FROM o GROUP BY conv_id, n),
+st AS (SELECT conv_id, i, {closed} FROM (SELECT conv_id, i, b0, bs, {pair} FROM z)
+  UNION ALL SELECT conv_id, i, {closed} FROM (SELECT conv_id, i, b0, bs, {pair} FROM (SELECT o.conv_id, st.i - 1 AS i, {', '.join(f'{v} AS {k}' for k, v in first.items())} FROM st JOIN o ON o.conv_id IS NOT DISTINCT FROM st.conv_id AND o.i = st.i))),
+su AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+  count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM o GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(b0.c, 0)::BIGINT AS cost, coalesce(b0.a, '') AS audit, sha256(coalesce(array_to_string(b0.s, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN su ON su.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN st ON st.conv_id IS NOT DISTINCT FROM c.conv_id AND st.i = 0"""
+
+
 ORACLES = {
+    "op11_conversation_repair": _repair(),
     "op2_license_scan": rf"""
 WITH f AS (SELECT row_number() OVER () AS uid, doc_id, concat(coalesce(source, '-'), '/', coalesce(lang, '-')) AS dir,
     array_to_string(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{_SPEAKS}')), chr(10)) AS header FROM documents),
