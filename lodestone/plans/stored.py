@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import bm25
 from ..operators.blockmax import BlockIndex
+from ..operators import summaries as S
 from ..operators.segments import SegmentedIndex
 from ..sources import corpus
 from ..sources.keyed import KeyedTable
@@ -103,3 +104,16 @@ def log_until_bad(spark, sf):
     rows = e.select(part.alias("part"), "event_id", line.alias("value")).repartition("part").sortWithinPartitions("part", "event_id")
     rows.select("part", "value").write.partitionBy("part").text(path)
     return corpus.jsonl_until_bad(spark, path, "event_id long, event_type string, value double")
+
+
+_WORDS = r"list_filter(string_split_regex({x}, '[ \t\n]+'), lambda w: w <> '')"
+
+
+@query(rf"""WITH RECURSIVE r AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS.format(x="coalesce(text, '')")} AS w, 0 AS level FROM documents
+UNION ALL SELECT doc_id, t, {_WORDS.format(x='t')} AS w, level FROM (SELECT doc_id, level + 1 AS level, array_to_string(list_transform(range(0, len(w), 200), lambda s, i: 'Section ' || i || ':' || chr(10) || array_to_string(w[s + 1:s + 20], ' ')), chr(10) || chr(10)) AS t FROM r WHERE len(w) > 100))
+SELECT doc_id, level, md5(t) AS text_md5, len(w)::BIGINT AS n_words FROM r WHERE len(w) <= 100""")
+def level_summaries(spark, sf):
+    """Documents brought to a hundred words by levels: chunks of 200 words, their first twenty, and again."""
+    fits = lambda t: F.size(S.words(t)) <= 100
+    got = S.by_levels(table(spark, sf, "documents"), "doc_id", "text", fits, S.word_chunks(200), S.first_words(20))
+    return got.select("doc_id", "level", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.size(S.words(F.col("text"))).cast("long").alias("n_words"))

@@ -160,3 +160,24 @@ def test_sketches(spark):
     errors = sketches.rank_error(days, "v", found, ["k", "day"], at).collect()
     assert len(errors) == 5 and all(r.p50_error <= 0.01 and r.p99_error <= 0.01 for r in errors)
     assert [r.p50 for r in found.where("k = 'one'").collect()] == [5.0]
+
+
+def test_summaries_by_levels(spark):
+    """Against a plain loop; texts that do not get shorter end too."""
+    from lodestone.operators import summaries as S
+
+    texts = [" ".join(f"w{i}" for i in range(n)) for n in (0, 1, 5, 6, 40, 700)] + [None, "\n \t "]
+    want = []
+    for k, t in enumerate(texts):
+        t, level = t or "", 0
+        while len(t.split()) > 5:
+            w = t.split()
+            new = "\n\n".join(f"Section {i + 1}:\n" + " ".join(w[s : s + 2]) for i, s in enumerate(range(0, len(w), 10)))
+            level, shorter, t = level + 1, len(new) < len(t), new
+            if not shorter:
+                break
+        want.append((k, t, level))
+    docs = spark.createDataFrame(list(enumerate(texts)), "k int, body string")
+    got = S.by_levels(docs, "k", "body", lambda t: F.size(S.words(t)) <= 5, S.word_chunks(10), S.first_words(2))
+    assert sorted(tuple(r) for r in got.collect()) == want
+    assert S.by_levels(docs.limit(0), "k", "body", lambda t: F.size(S.words(t)) <= 5, S.word_chunks(10), S.first_words(2)).collect() == []
