@@ -279,24 +279,29 @@ def grounding_gate(spark, sf):
 
 @query(f"WITH {_BM25}, tr AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)) SELECT count(*) AS n_queries, round(avg(CASE WHEN r IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, round(avg(coalesce(1 / r, 0)), 6) AS mrr FROM (SELECT t.query_id, min(lx.rank) AS r FROM tr t LEFT JOIN lx ON lx.query_id = t.query_id AND lx.doc_id = t.doc_id AND lx.rank <= 10 GROUP BY t.query_id)")
 def retrieval_hit_rate(spark, sf):
-    """Truth: the documents that hold a passage word for word. A passage's inner words are met by hash with every window of as many words of the
-    documents, six at most; a passage of two words and fewer has none and is met by its characters. Then the whole passage is checked."""
-    n = 6
+    """Truth: the documents that hold a passage word for word. A passage's inner words, six at most, are met by hash with the windows of as many words
+    of the documents; one of two words and fewer has none and is met by its characters. Only windows whose slot in a bitmap of the passages' hashes is
+    set become rows (128 KB, whatever the passages). Then the whole passage is checked."""
+    n, slots = 6, 1 << 20
     words = lambda c: F.split(F.trim(c), r"\s+")
-    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"), words(F.col("text")).alias("w"))
-    b = b.withColumn("k", F.least(F.lit(n), F.size("w") - 2))
-    hashed = lambda at, k: F.xxhash64(k, F.array_join(F.slice("w", at, k), " "))
-    lead = b.where("k > 0").select("query_id", "passage", hashed(F.lit(2), F.col("k")).alias("h"))
+    joined = lambda parts, at, k, sep: F.xxhash64(F.lit(sep), k, F.array_join(F.slice(parts, at, k), sep))
+    b = table(spark, sf, "benchmark").where("text <> ''").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"), words(F.col("text")).alias("w"))
+    b = b.withColumn("k", F.least(F.lit(n), F.size("w") - 2)).withColumn("chars", F.split("passage", ""))
+    long, short = F.col("k") > 0, F.col("k") <= 0
+    lead = b.select("query_id", "passage", F.when(long, joined(F.col("w"), F.lit(2), F.col("k"), " ")).otherwise(joined(F.col("chars"), F.lit(1), F.size("chars"), "")).alias("h"))
+    slot = lead.select(F.pmod("h", F.lit(slots)).alias("s"))
+    marks = slot.groupBy(F.shiftright("s", 6).cast("int").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(s & 63 as int)))").alias("bits"))
+    # At most slots / 64 numbers: the words of the bitmap, those without a passage left out, in one map of places.
+    table_ = marks.agg(F.map_from_entries(F.collect_list(F.struct("at", "bits"))).alias("m")).select(F.expr(f"transform(sequence(0, {slots // 64 - 1}), i -> coalesce(m[i], 0L))").alias("t")).scalar()
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    # The window lengths in use, nearly always one: six numbers at most. Short passages are few and short by nature; each document gets them as one array.
-    used = b.where("k > 0").agg(F.collect_set("k")).scalar()
-    short = b.where("k <= 0").agg(F.collect_list(F.struct("query_id", "passage"))).scalar()
-    held = docs.select("doc_id", "text", words(F.col("text")).alias("w"), used.alias("used"), short.alias("short"))
-    windows = F.flatten(F.transform("used", lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - k + 1)), lambda i: hashed(i, k))))
-    met = held.select("doc_id", F.explode(F.array_distinct(windows)).alias("h")).join(lead, "h").select("doc_id", "query_id", "passage")
-    truth = met.join(docs, "doc_id").where(F.contains("text", F.col("passage"))).select("query_id", "doc_id")
-    near = held.select("doc_id", F.explode(F.filter("short", lambda s: F.contains("text", s["passage"]))).alias("s"))
-    truth = truth.unionByName(near.select("s.query_id", "doc_id"))
+    # The lengths in use: six of words at most, and those of passages of one or two words.
+    used, lengths = b.where(long).agg(F.collect_set("k")).scalar(), b.where(short).agg(F.collect_set(F.size("chars"))).scalar()
+    held = docs.select("doc_id", words(F.col("text")).alias("w"), F.when(F.size(lengths) > 0, F.split("text", "")).otherwise(F.array().cast("array<string>")).alias("c"), used.alias("used"), lengths.alias("lengths"), table_.alias("table"))
+    windows = lambda of, parts, sep: F.flatten(F.transform(of, lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(parts) - k + 1)), lambda i: joined(F.col(parts), i, k, sep))))
+    found = held.select("doc_id", "table", F.concat(windows("used", "w", " "), windows("lengths", "c", "")).alias("h"))
+    marked = F.expr(f"filter(array_distinct(h), x -> getbit(table[cast(pmod(x, {slots}) div 64 as int)], cast(pmod(x, {slots}) % 64 as int)) = 1)")
+    met = found.select("doc_id", F.explode(marked).alias("h")).join(lead, "h").select("doc_id", "query_id", "passage")
+    truth = met.join(docs, "doc_id").where(F.contains("text", F.col("passage"))).select("query_id", "doc_id").distinct()
     return E.retrieval(_lexical(spark, sf, 10), truth, 10)
 
 

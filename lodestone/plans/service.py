@@ -33,14 +33,14 @@ def listed_claims(spark, sf):
 
 
 def _records(spark, sf):
-    """Events as records (user, kind, value) with a place; the ranked ones are the dearest."""
+    """Events as records (user, kind, value) with a place, and the same records to be found again."""
     e = table(spark, sf, "events")
     all_ = e.select("user_id", "event_type", F.round("value", 0).alias("value"), F.col("event_id").alias("orig_rank"), "ts")
-    ranked = e.orderBy(F.desc("value"), "event_id").limit(50).select("user_id", "event_type", F.round("value", 0).alias("value"))
+    ranked = e.select("user_id", "event_type", F.round("value", 0).alias("value"))
     return ranked, all_
 
 
-_RANKED = "ranked AS (SELECT user_id, event_type, round(value, 0) AS value FROM events ORDER BY events.value DESC, event_id LIMIT 50)"
+_RANKED = "ranked AS (SELECT user_id, event_type, round(value, 0) AS value FROM events)"
 
 
 @query(f"WITH {_RANKED} SELECT user_id, event_type, value, (SELECT min(event_id) FROM events e WHERE e.user_id = r.user_id AND e.event_type = r.event_type) AS orig_rank FROM ranked r")
