@@ -184,13 +184,40 @@ def chunk_recursive(spark, sf):
     return c.select("doc_id", "chunk_index", F.length("chunk").alias("n"), T.short_hash(F.col("chunk")).alias("chunk_hash"))
 
 
+def _header_sql(text: str, size: int, overlap: int) -> str:
+    """The packing of sections unit by unit: what is held, and the lengths of the chunks that have ended."""
+    tail = f"CASE WHEN held // 4 >= {overlap} AND {overlap} * held // greatest(held // 4, 1) < held THEN {overlap} * held // greatest(held // 4, 1) ELSE 0 END"
+    return rf"""
+WITH RECURSIVE d AS (SELECT doc_id, {text} AS t FROM documents),
+s AS (SELECT doc_id, unnest(x) AS s, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(t, '(^|\n)(#{{1,6}}\s+\S)', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda y: trim(y, chr(10))), lambda y: regexp_matches(y, '\S')) AS x FROM d)),
+u AS (SELECT doc_id, i, unnest(p) AS u, generate_subscripts(p, 1) AS j, big FROM (SELECT doc_id, i, length(s) // 4 > {size} AS big, CASE WHEN length(s) // 4 > {size} THEN string_split(s, chr(10) || chr(10)) ELSE [s] END AS p FROM s)),
+k AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) AS k, length(u) AS chars, CASE WHEN NOT big THEN 0 WHEN j = 1 THEN 1 ELSE 2 END AS place FROM u),
+r AS (SELECT DISTINCT doc_id, 1 AS k, 0::BIGINT AS held, []::BIGINT[] AS plan FROM k
+UNION ALL SELECT doc_id, k + 1, kept + chars + CASE WHEN kept > 0 THEN 2 ELSE 0 END, plan FROM (
+  SELECT doc_id, k, chars, CASE WHEN NOT ends THEN held WHEN alone THEN 0 ELSE carried END AS kept, CASE WHEN alone THEN plan || [held, carried] WHEN ends THEN plan || [held] ELSE plan END AS plan FROM (
+    SELECT *, ends AND place = 1 AND carried > 0 AND carried // 4 + chars // 4 > {size} AS alone FROM (
+      SELECT r.doc_id, r.k, chars, place, held, plan, held > 0 AND (held // 4 + chars // 4 > {size} OR place = 1) AS ends, CASE WHEN place = 2 THEN 0 ELSE {tail} END AS carried FROM r JOIN k ON k.doc_id = r.doc_id AND k.k = r.k)))),
+z AS (SELECT doc_id, CASE WHEN held > 0 THEN plan || [held] ELSE plan END AS plan FROM r WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.doc_id = r.doc_id AND k.k = r.k))
+SELECT doc_id, unnest(range(0, len(plan)))::INT AS chunk_index, unnest(plan)::INT AS n FROM z"""
+
+
+@query(_header_sql("text", 500, 50))
 def chunk_headers(spark, sf):
-    """Sections packed to 500 estimated tokens with 50 repeated. No SQL form."""
+    """Sections packed to 500 estimated tokens with 50 repeated."""
     c = C.by_headers(table(spark, sf, "documents"), "text", 500, 50, ["doc_id"])
     return c.select("doc_id", "chunk_index", F.length("chunk").alias("n"))
 
 
-QUERIES["chunk_recursive"], QUERIES["chunk_headers"] = chunk_recursive, chunk_headers
+@query(_header_sql("array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN i % 6 = 1 AND regexp_matches(x, '\\S') THEN '## ' || x ELSE x END), chr(10) || chr(10))", 200, 20))
+def chunk_markdown(spark, sf):
+    """The documents as markdown, every sixth line a heading, the lines paragraphs; sections packed to 200 estimated tokens with 20 repeated."""
+    line = lambda x, i: F.when((i % 6 == 0) & x.rlike(r"\S"), F.concat(F.lit("## "), x)).otherwise(x)
+    md = table(spark, sf, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n"), line), "\n\n").alias("text"))
+    c = C.by_headers(md, "text", 200, 20, ["doc_id"])
+    return c.select("doc_id", "chunk_index", F.length("chunk").alias("n"))
+
+
+QUERIES["chunk_recursive"] = chunk_recursive
 
 
 @query(r"""
