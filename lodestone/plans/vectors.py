@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import cells, chunk, dense, rerank, scoped
+from ..operators import cells, chunk, dense, models, rerank, scoped
 from ..operators.vector_index import VectorIndex
 from ..sources.corpus import stored
 from ..streaming.events import work_dir
 from . import retrieval
 from .relational import table
-from .retrieval import _CONTAIN, _FUSE, _KNN, _VEC
+from .retrieval import _BM25, _CONTAIN, _FUSE, _KNN, _VEC
 from .textual import TOK, _TOK
 
 QUERIES, ORACLES = {}, {}
@@ -114,3 +114,48 @@ def index_recall(spark, sf):
     """The stored index finds at least nine in ten of the ten nearest, on average over all queries, without looking at all rows."""
     each = indexed_topk(spark, sf).select("query_id", "recall", "rows_share").distinct()
     return each.agg(F.count("*").alias("n_queries"), (F.avg("recall") >= 0.9).alias("recall_reached"), (F.avg("rows_share") < 0.7).alias("looked_at_fewer"))
+
+
+def _shares():
+    """Stands in for a reranker that answers yes or no: the more of a query's distinct words a text holds, the likelier yes."""
+
+    def run(pairs):
+        out = []
+        for query, text in pairs:
+            q = set((query or "").lower().split())
+            out.append((8.0 * len(q & set((text or "").lower().split())) / max(len(q), 1), 3.0))
+        return out
+
+    return run
+
+
+_SPLIT = r"list_distinct(list_filter(string_split_regex(lower({x}), '[ \t\n]+'), lambda w: w <> ''))"
+
+
+@query(rf"""WITH {_BM25}, h AS (SELECT query_id, lx.doc_id, rank AS orig_rank, {_SPLIT.format(x='b.text')} AS q, {_SPLIT.format(x='d.text')} AS t FROM lx JOIN benchmark b ON b.item_id = query_id JOIN documents d USING (doc_id) WHERE rank <= 20),
+p AS (SELECT query_id, doc_id, orig_rank, round(1 / (1 + exp(3.0 - 8.0 * len(list_intersect(q, t)) / greatest(len(q), 1))), 6) AS score FROM h)
+SELECT query_id, rank, doc_id, score, orig_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, orig_rank, doc_id)::INT AS rank FROM p) WHERE rank <= 5""")
+def reranked_yes_no(spark, sf):
+    """The twenty best of the lexical search by a reranker of two logits, the five likeliest; pairs go to the model in batches."""
+    hits = retrieval._lexical(spark, sf, 20).select("query_id", "doc_id", F.col("rank").alias("orig_rank"))
+    rows = hits.join(retrieval._asked(spark, sf), "query_id").join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    best = rerank.rerank(rows, 5, lambda query, text: models.score_yes_no(query, text, _shares))
+    return best.select("query_id", "rank", "doc_id", "score", "orig_rank")
+
+
+@query("SELECT doc_id, unnest(range(0, len(p)))::INT AS page, unnest(list_transform(p, lambda x: md5(x))) AS text_md5 FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents) UNION ALL SELECT -1, NULL, NULL")
+def parsed_pages(spark, sf):
+    """Documents as files whose pages are their lines, read by a page parser; a file that the parser cannot read gives its error and no page."""
+
+    def load():
+        def parse(path, content):
+            if path == "-1":
+                raise ValueError("no pages")
+            return models.plain_pages(path, content)
+
+        return parse
+
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), F.translate("text", "\n", "\f").cast("binary").alias("content"))
+    files = docs.unionByName(spark.range(1).select(F.lit("-1").alias("path"), F.lit(b"").alias("content")))
+    pages = models.parse_pages(files, load)
+    return pages.select(F.col("path").cast("long").alias("doc_id"), "page", F.md5(F.col("text").cast("binary")).alias("text_md5"))

@@ -6,7 +6,7 @@ from lodestone import catalog
 
 SF = "/root/testdata/sf0.001"
 #: Queries that run Python models, parsers or block comparisons on Arrow batches.
-ARROW = {"chunk_recursive", "chunk_headers", "chunk_markdown", "answers", "embedded", "summaries", "knn_topk", "knn_filtered", "knn_postfilter", "knn_two_collections", "knn_in_all_cells", "dense_topk", "hybrid_fusion", "hybrid_fusion_v0", "hybrid_overlap", "rerank_details", "rerank_impact", "token_budget_cut", "claim_grounding", "grounding_summary", "grounding_gate", "funnel", "funnel_chunks", "knn_own_labels", "dense_own_chunks", "chunk_funnel", "indexed_topk", "index_recall"}
+ARROW = {"chunk_recursive", "chunk_headers", "chunk_markdown", "answers", "embedded", "summaries", "knn_topk", "knn_filtered", "knn_postfilter", "knn_two_collections", "knn_in_all_cells", "dense_topk", "hybrid_fusion", "hybrid_fusion_v0", "hybrid_overlap", "rerank_details", "rerank_impact", "token_budget_cut", "claim_grounding", "grounding_summary", "grounding_gate", "funnel", "funnel_chunks", "knn_own_labels", "dense_own_chunks", "chunk_funnel", "indexed_topk", "index_recall", "reranked_yes_no", "parsed_pages"}
 STREAMED = {"stream_hourly", "stream_sliding", "stream_sessions", "stream_fold", "stream_distinct", "stream_join", "stream_abandoned", "stream_requests"}
 
 
