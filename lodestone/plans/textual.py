@@ -178,8 +178,32 @@ def chunk_paragraph_older(spark, sf):
     return r.select("doc_id", F.col("r.start").alias("start"), F.col("r.end").alias("end"))
 
 
+def _recursive_sql(size: int, overlap: int) -> str:
+    """Two recursions: pieces over the size are split again by finer separators, and the pieces of each run between them are merged one by one."""
+    span = "cs[k - 1] - coalesce(cs[x - 1], 0) + ls * (k - 1 - x)"
+    joined = "CASE sep " + " ".join(f"WHEN {x} THEN array_to_string(ps[e.f:e.l], {x})" for x in ("chr(10) || chr(10)", "chr(10)", "'. '", "' '")) + " ELSE array_to_string(ps[e.f:e.l], '') END"
+    return rf"""
+WITH RECURSIVE sp AS (SELECT [chr(10) || chr(10), chr(10), '. ', ' ', ''] AS seps),
+nd AS (SELECT doc_id, []::BIGINT[] AS path, text AS t, 1::BIGINT AS a FROM documents WHERE text <> ''
+UNION ALL SELECT doc_id, path || [i], p, sq + 1 FROM (SELECT doc_id, path, sq, unnest(ps) AS p, generate_subscripts(ps, 1)::BIGINT AS i FROM (
+  SELECT doc_id, path, sq, string_split(t, seps[sq]) AS ps FROM (SELECT doc_id, path, t, seps, list_filter(range(a, 6), lambda x: x = 5 OR contains(t, seps[x]))[1] AS sq FROM nd, sp))) WHERE length(p) > {size} AND sq < 5),
+pc AS (SELECT doc_id, path, sep, unnest(ps) AS p, generate_subscripts(ps, 1)::BIGINT AS i FROM (SELECT doc_id, path, seps[sq] AS sep, string_split(t, seps[sq]) AS ps FROM
+  (SELECT doc_id, path, t, seps, list_filter(range(a, 6), lambda x: x = 5 OR contains(t, seps[x]))[1] AS sq FROM nd, sp))),
+rn AS (SELECT *, sum((length(p) > {size})::INT) OVER (PARTITION BY doc_id, path ORDER BY i) AS run FROM pc),
+cu AS (SELECT *, sum(length(p)) OVER (PARTITION BY doc_id, path, run ORDER BY i) AS c FROM rn WHERE length(p) <= {size}),
+r AS (SELECT doc_id, path, run, any_value(sep) AS sep, length(any_value(sep)) AS ls, list(p ORDER BY i) AS ps, list(c ORDER BY i) AS cs, min(i) AS i0, count(*) AS m FROM cu GROUP BY doc_id, path, run),
+mg AS (SELECT doc_id, path, run, 1::BIGINT AS k, 1::BIGINT AS b, 0::HUGEINT AS n, []::STRUCT(f BIGINT, l BIGINT)[] AS done FROM r
+UNION ALL SELECT doc_id, path, run, k + 1, b2, CASE WHEN b2 = k THEN lp ELSE cs[k - 1] - coalesce(cs[b2 - 1], 0) + ls * (k - 1 - b2) + lp + ls END, CASE WHEN ends THEN done || [{{'f': b, 'l': k - 1}}] ELSE done END FROM (
+  SELECT *, CASE WHEN ends THEN list_filter(range(b, k + 1), lambda x: x = k OR ({span} <= {overlap} AND {span} + lp + ls <= {size}))[1] ELSE b END AS b2 FROM (
+    SELECT mg.*, r.ls, r.cs, cs[k] - coalesce(cs[k - 1], 0) AS lp, k > b AND n + cs[k] - coalesce(cs[k - 1], 0) + r.ls > {size} AS ends FROM mg JOIN r ON r.doc_id = mg.doc_id AND r.path = mg.path AND r.run = mg.run AND mg.k <= r.m))),
+ch AS (SELECT doc_id, path, i0, unnest(d) AS e, generate_subscripts(d, 1)::BIGINT AS c, ps, sep FROM (SELECT mg.doc_id, mg.path, i0, ps, sep, done || [{{'f': b, 'l': m}}] AS d FROM mg JOIN r ON r.doc_id = mg.doc_id AND r.path = mg.path AND r.run = mg.run AND mg.k = r.m + 1)),
+tx AS (SELECT doc_id, path || [i0, c] AS sq, regexp_replace({joined}, '^\s+|\s+$', '', 'g') AS chunk FROM ch)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY sq) - 1)::INT AS chunk_index, length(chunk)::INT AS n, substring(md5(chunk), 1, 8) AS chunk_hash FROM tx WHERE chunk <> ''"""
+
+
+@query(_recursive_sql(1500, 300))
 def chunk_recursive(spark, sf):
-    """1500 characters with 300 repeated, and the chunk's short hash. No SQL form."""
+    """1500 characters with 300 repeated, and the chunk's short hash."""
     c = C.recursive(table(spark, sf, "documents"), "text", 1500, 300, ["doc_id"])
     return c.select("doc_id", "chunk_index", F.length("chunk").alias("n"), T.short_hash(F.col("chunk")).alias("chunk_hash"))
 
@@ -217,9 +241,6 @@ def chunk_markdown(spark, sf):
     return c.select("doc_id", "chunk_index", F.length("chunk").alias("n"))
 
 
-QUERIES["chunk_recursive"] = chunk_recursive
-
-
 @query(r"""
 WITH p AS (SELECT doc_id, unnest(p) AS p, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS p FROM documents)),
 f AS (SELECT *, i > 1 AND length(p) < 80 AND regexp_matches(p, '(?i)^\(?Eq\.?\s*[0-9]+\)?$|^\(?[0-9]+\)?$|^\[?[0-9]+\]?$|^Fig\.?\s*[0-9]+$') AS o FROM p),
