@@ -130,3 +130,8 @@ o AS (SELECT b.* FROM b LEFT JOIN i USING (lang, phrase) WHERE longer IS NULL OR
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM o JOIN n USING (lang)
 QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000""",
 }
+_MAIL = """qc AS (SELECT m.conv_id, m.turn, m.role, coalesce('On Monday someone wrote:' || chr(10) || '> ' || replace(a.text, chr(10), chr(10) || '> ') || chr(10) || chr(10), '')
+  || coalesce('> ' || replace(b.text, chr(10), chr(10) || '> ') || chr(10) || chr(10), '') || coalesce(m.text, '') AS text FROM conversations m
+  LEFT JOIN conversations a ON a.conv_id = m.conv_id AND a.turn = m.turn - 1 AND m.role = 'assistant' LEFT JOIN conversations b ON b.conv_id = m.conv_id AND b.turn = m.turn - 3 AND m.role = 'user' AND m.turn % 3 = 0),
+m AS"""
+ORACLES["chat_quotes_linked"] = ORACLES["op9_chat_quotes"].replace("FROM conversations)", "FROM qc)").replace("m AS", _MAIL, 1)

@@ -105,8 +105,28 @@ def conversations(messages: DataFrame) -> DataFrame:
     return order(link(messages)).withColumn("line", line).repartitionByRange("conv_id", "thread", "turn").sortWithinPartitions("conv_id", "thread", "turn")
 
 
-def op9_chat_quotes(spark, sf_dir):
-    """conv_id, turn, role, reply_to, thread, depth, n_quotes, n_linked, body_chars, body_md5: one row for each message; by (conv_id, thread, turn) they are in reply order."""
-    rows = order(link(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+def _digested(messages: DataFrame) -> DataFrame:
+    rows = order(link(messages))
     body = [F.length("body").cast("long").alias("body_chars"), F.md5(F.col("body").cast("binary")).alias("body_md5")]
     return rows.select("conv_id", "turn", "role", "reply_to", "thread", "depth", "n_quotes", "n_linked", *body)
+
+
+def quoting(messages: DataFrame) -> DataFrame:
+    """The messages as mail: an answer quotes the turn before it, and every third user turn the one three before, with an announcing line."""
+    said = lambda k: messages.select(F.col("conv_id").alias(f"c{k}"), (F.col("turn") + k).alias(f"t{k}"), F.concat(F.lit("> "), F.replace(F.col("text"), F.lit("\n"), F.lit("\n> "))).alias(f"q{k}"))
+    met = messages
+    for k, wanted in ((1, F.col("role") == "assistant"), (3, (F.col("role") == "user") & (F.col("turn") % 3 == 0))):
+        s = said(k)
+        met = met.join(s, (F.col("conv_id") == s[f"c{k}"]) & (F.col("turn") == s[f"t{k}"]) & wanted, "left")
+    announced = F.concat(F.lit("On Monday someone wrote:\n"), "q1", F.lit("\n\n"))
+    return met.select("conv_id", "turn", "role", F.concat(F.coalesce(announced, F.lit("")), F.coalesce(F.concat("q3", F.lit("\n\n")), F.lit("")), F.coalesce("text", F.lit(""))).alias("text"))
+
+
+def op9_chat_quotes(spark, sf_dir):
+    """conv_id, turn, role, reply_to, thread, depth, n_quotes, n_linked, body_chars, body_md5: one row for each message; by (conv_id, thread, turn) they are in reply order."""
+    return _digested(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def chat_quotes_linked(spark, sf_dir):
+    """The same of the conversations as mail, whose quotes are there to be linked."""
+    return _digested(quoting(spark.read.parquet(f"{sf_dir}/conversations.parquet")))

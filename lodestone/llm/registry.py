@@ -15,6 +15,7 @@ QUERIES = {
     "op7_simhash": simhash.op7_simhash,
     "op8_pii": pii.op8_pii,
     "op9_chat_quotes": quotes.op9_chat_quotes,
+    "chat_quotes_linked": quotes.chat_quotes_linked,
     "op10_repeated_substrings": substrings.op10_repeated_substrings,
     "op11_conversation_repair": repair.op11_conversation_repair,
     "op12_exact_dedup": exact.op12_exact_dedup,
