@@ -24,7 +24,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, written
+from .common import cut, words, written
 
 #: Header forms of well-known licences (fixed values).
 TEMPLATES = {
@@ -145,12 +145,38 @@ def scan(files: DataFrame, keep: tuple[str, ...] = ("path",), threshold: float =
     return out.select(*keep, F.col("licence").alias("own_licence"), F.col("score").alias("own_score"), F.coalesce("licence", "dir_licence").alias("licence"), how.alias("how"), F.when(F.col("licence").isNull(), F.col("up")).alias("inherited_from"))
 
 
+def speaks_mostly(text: Column) -> Column:
+    """Whether a text's lines about licences hold half of its words and more: a licence file by its content."""
+    head = words(header(text))
+    return (F.size(head) > 0) & (2 * F.size(head) >= F.size(words(text)))
+
+
 def op2_license_scan(spark, sf_dir):
     """doc_id, own_licence, own_score, licence, how, inherited_from: one row for each document.
 
-    The table has no paths, so a document lies at source/lang/doc_id, and every
-    document that bears a licence counts as a licence file of its directory.
+    The table has no paths, so a document lies at source/lang/doc_id; one whose
+    words are mostly about licences counts as a licence file of its directory.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.coalesce(F.lpad(F.col("doc_id").cast("string"), 20, "0"), F.lit("-")))
-    return scan(docs.select("doc_id", path.alias("path"), "text", F.lit(True).alias("is_licence_file")), keep=("doc_id",))
+    return scan(docs.select("doc_id", path.alias("path"), "text", speaks_mostly(F.col("text")).alias("is_licence_file")), keep=("doc_id",))
+
+
+#: Licence files of ``licence_tree``, by the number of documents below them.
+TREE = ("Apache-2.0", "MPL-2.0", "GPL-3.0")
+
+
+def licence_tree(spark, sf_dir):
+    """path, own_licence, licence, how, inherited_from of the documents as files of a tree, source/lang/part/doc_id.
+
+    Every second source has a LICENSE, and every third of its languages a
+    COPYING of its own, by the number of documents below; a file inherits from
+    the nearest, whatever its neighbours say.
+    """
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "text").where("doc_id is not null and source is not null and lang is not null")
+    files = docs.select(F.concat_ws("/", "source", "lang", (F.col("doc_id") % 5).cast("string"), F.col("doc_id").cast("string")).alias("path"), "text")
+    body = lambda n: F.element_at(F.array(*[F.lit(NOTICES[k]) for k in TREE]), (n % len(TREE) + 1).cast("int"))
+    tops = docs.groupBy("source").agg(F.count("*").alias("n")).where("n % 2 = 0").select(F.concat("source", F.lit("/LICENSE")).alias("path"), body(F.col("n")).alias("text"))
+    inner = docs.groupBy("source", "lang").agg(F.count("*").alias("n")).where("n % 3 = 0").select(F.concat_ws("/", "source", "lang", F.lit("COPYING")).alias("path"), body(F.floor(F.col("n") / 3)).alias("text"))
+    rows = files.unionByName(tops).unionByName(inner).withColumn("is_licence_file", F.lit(False))
+    return scan(rows).select("path", "own_licence", "licence", "how", "inherited_from")

@@ -1,12 +1,55 @@
 """DuckDB SQL of the queries that SQL can express."""
 
-from .licenses import TEMPLATES
+import re
+
+from .licenses import LICENCE_FILE, NOTICES, SPDX, TEMPLATES, TEXTS, TREE
 from .quality import STOP_WORDS
 
 _STOPS = "|".join(dict.fromkeys(STOP_WORDS))
-_TEMPLATES = ", ".join(f"('{k}', '{v}')" for k, v in TEMPLATES.items())
 _SPEAKS = r"(?i)licen[sc]e|copyright|\bspdx\b|public domain|all rights reserved|permission is hereby granted"
 
+_HEADER = f"array_to_string(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{_SPEAKS}')), chr(10))"
+_WORDS = r"list_filter(string_split_regex({x}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _notices(n: str) -> str:
+    return f"CASE {n} % {len(TREE)} " + " ".join(f"WHEN {i} THEN {_quoted(NOTICES[k])}" for i, k in enumerate(TREE)) + " END"
+
+
+def _licences(files: str, out: str) -> str:
+    """files(doc_id, path, text, given) scored against every template, whole and by its header lines; tags first; then the nearest directory with a licence file."""
+    bodies = [(k, b) for table in (TEMPLATES, NOTICES, TEXTS) for k, b in table.items()]
+    forms = [(k, i, b) for i, (k, b) in enumerate(bodies)]
+    forms += [(k, -i - 1, "\n".join(x for x in b.split("\n") if re.search(_SPEAKS, x))) for k, i, b in forms]
+    known = sorted({k for k, _ in bodies})
+    names = ", ".join(f"('{(k + e).lower()}', '{k}')" for k in known for e in ("", "-only", "-or-later"))
+    values = ", ".join(f"('{k}', {i}, {_quoted(b)})" for k, i, b in forms)
+    terms = r"'[a-z0-9]+(?:\.[0-9]+)*'"
+    return rf"""
+WITH g AS (SELECT *, coalesce(regexp_matches(path, '{LICENCE_FILE}'), false) AS named FROM ({files})),
+f AS (SELECT row_number() OVER () AS uid, doc_id, path, given OR named AS is_file, CASE WHEN named THEN coalesce(text, '') ELSE {_HEADER} END AS header, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') END AS dir FROM g),
+h AS (SELECT header, count(*) AS n FROM f WHERE header <> '' GROUP BY header),
+tf AS (SELECT header, n, term, count(*)::DOUBLE AS tf FROM (SELECT header, n, unnest(regexp_extract_all(lower(header), {terms})) AS term FROM h) GROUP BY ALL),
+df AS (SELECT term, sum(n) AS df FROM tf GROUP BY term),
+idf AS (SELECT term, ln(((SELECT sum(n) FROM h) + 1.0) / (df + 1.0)) + 1.0 AS idf FROM df),
+t AS (SELECT licence, form, term, count(*)::DOUBLE AS tf FROM (SELECT licence, form, unnest(regexp_extract_all(lower(body), {terms})) AS term FROM (VALUES {values}) v(licence, form, body)) GROUP BY ALL),
+tw AS (SELECT licence, form, t.term, tf * coalesce(idf, ln(coalesce((SELECT sum(n) FROM h), 0) + 1.0) + 1.0) AS w FROM t LEFT JOIN idf USING (term)),
+tn AS (SELECT form, sqrt(sum(w * w)) AS tn FROM tw GROUP BY form),
+hw AS (SELECT header, tf.term, tf * idf AS w FROM tf JOIN idf USING (term)),
+hn AS (SELECT header, sqrt(sum(w * w)) AS hn FROM hw GROUP BY header),
+tg AS (SELECT header, licence, 1.0::DOUBLE AS score FROM h JOIN (VALUES {names}) v(tag, licence) ON tag = lower(regexp_extract(header, '{SPDX}', 1))),
+c AS (SELECT header, licence, round(sum(hw.w * tw.w) / any_value(tn) / any_value(hn), 6) AS score FROM hw JOIN tw USING (term) JOIN tn USING (form) JOIN hn USING (header) WHERE header NOT IN (SELECT header FROM tg) GROUP BY header, licence, form UNION ALL SELECT * FROM tg),
+b AS (SELECT header, licence, score FROM c WHERE score >= 0.7 QUALIFY row_number() OVER (PARTITION BY header ORDER BY score DESC, licence) = 1),
+o AS (SELECT f.*, b.licence AS own, b.score FROM f LEFT JOIN b USING (header)),
+d AS (SELECT dir AS up, own AS dl FROM o WHERE is_file AND own IS NOT NULL AND dir IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dir ORDER BY path) = 1),
+a AS (SELECT dir, depth, array_to_string(string_split(dir, '/')[1:depth], '/') AS up FROM (SELECT dir, unnest(range(1, len(string_split(dir, '/')) + 1)) AS depth FROM (SELECT DISTINCT dir FROM o WHERE dir IS NOT NULL))),
+n AS (SELECT dir, arg_max(up, depth) AS up, arg_max(dl, depth) AS dl FROM a JOIN d USING (up) GROUP BY dir),
+y AS (SELECT o.*, dl, CASE WHEN own IS NOT NULL THEN 'header' WHEN dl IS NOT NULL THEN 'inherited' ELSE 'none' END AS how, CASE WHEN own IS NULL THEN up END AS inherited_from FROM o LEFT JOIN n USING (dir))
+SELECT {out} FROM y"""
 
 
 def _repair() -> str:
@@ -45,26 +88,17 @@ FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN su ON su.conv_id I
 
 ORACLES = {
     "op11_conversation_repair": _repair(),
-    "op2_license_scan": rf"""
-WITH f AS (SELECT row_number() OVER () AS uid, doc_id, concat(coalesce(source, '-'), '/', coalesce(lang, '-')) AS dir,
-    array_to_string(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{_SPEAKS}')), chr(10)) AS header FROM documents),
-h AS (SELECT header, count(*) AS n FROM f WHERE header <> '' GROUP BY header),
-tf AS (SELECT header, n, term, count(*)::DOUBLE AS tf FROM (SELECT header, n, unnest(regexp_extract_all(lower(header), '[a-z0-9]+(?:\.[0-9]+)*')) AS term FROM h) GROUP BY ALL),
-df AS (SELECT term, sum(n) AS df FROM tf GROUP BY term),
-idf AS (SELECT term, ln(((SELECT sum(n) FROM h) + 1.0) / (df + 1.0)) + 1.0 AS idf FROM df),
-t AS (SELECT licence, term, count(*)::DOUBLE AS tf FROM (SELECT licence, unnest(regexp_extract_all(lower(body), '[a-z0-9]+(?:\.[0-9]+)*')) AS term FROM (VALUES {_TEMPLATES}) v(licence, body)) GROUP BY ALL),
-tw AS (SELECT licence, t.term, tf * coalesce(idf, ln(coalesce((SELECT sum(n) FROM h), 0) + 1.0) + 1.0) AS w FROM t LEFT JOIN idf USING (term)),
-tn AS (SELECT licence, sqrt(sum(w * w)) AS tn FROM tw GROUP BY licence),
-hw AS (SELECT header, tf.term, tf * idf AS w FROM tf JOIN idf USING (term)),
-hn AS (SELECT header, sqrt(sum(w * w)) AS hn FROM hw GROUP BY header),
-c AS (SELECT header, licence, round(sum(hw.w * tw.w) / any_value(tn) / any_value(hn), 6) AS score FROM hw JOIN tw USING (term) JOIN tn USING (licence) JOIN hn USING (header) GROUP BY header, licence),
-b AS (SELECT header, licence, score FROM c WHERE score >= 0.7 QUALIFY row_number() OVER (PARTITION BY header ORDER BY score DESC, licence) = 1),
-o AS (SELECT f.*, b.licence AS own, b.score FROM f LEFT JOIN b USING (header)),
-d AS (SELECT dir, own AS dl FROM o WHERE own IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dir ORDER BY doc_id) = 1)
-SELECT doc_id, own AS own_licence, score AS own_score, coalesce(own, dl) AS licence,
-  CASE WHEN own IS NOT NULL THEN 'header' WHEN dl IS NOT NULL THEN 'inherited' ELSE 'none' END AS how,
-  CASE WHEN own IS NULL AND dl IS NOT NULL THEN o.dir END AS inherited_from
-FROM o LEFT JOIN d USING (dir)""",
+    "op2_license_scan": _licences(
+        "SELECT doc_id, concat_ws('/', coalesce(source, '-'), coalesce(lang, '-'), coalesce(lpad(doc_id::VARCHAR, 20, '0'), '-')) AS path, text, 2 * len(w) >= len(v) AND len(w) > 0 AS given FROM (SELECT *, "
+        + _WORDS.format(x=_HEADER) + " AS w, " + _WORDS.format(x="coalesce(text, '')") + " AS v FROM documents)",
+        "doc_id, own AS own_licence, score AS own_score, coalesce(own, dl) AS licence, how, inherited_from",
+    ),
+    "licence_tree": _licences(
+        "SELECT NULL AS doc_id, concat_ws('/', source, lang, doc_id % 5, doc_id) AS path, text, false AS given FROM documents WHERE doc_id IS NOT NULL AND source IS NOT NULL AND lang IS NOT NULL "
+        f"UNION ALL SELECT NULL, source || '/LICENSE', {_notices('n')}, false FROM (SELECT source, count(*) AS n FROM documents WHERE doc_id IS NOT NULL AND source IS NOT NULL AND lang IS NOT NULL GROUP BY source) WHERE n % 2 = 0 "
+        f"UNION ALL SELECT NULL, source || '/' || lang || '/COPYING', {_notices('n // 3')}, false FROM (SELECT source, lang, count(*) AS n FROM documents WHERE doc_id IS NOT NULL AND source IS NOT NULL AND lang IS NOT NULL GROUP BY source, lang) WHERE n % 3 = 0",
+        "path, own AS own_licence, coalesce(own, dl) AS licence, how, inherited_from",
+    ),
     "op9_chat_quotes": r"""
 WITH RECURSIVE m AS (SELECT row_number() OVER () AS uid, conv_id, turn, role, string_split(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(10)) AS raw FROM conversations),
 l AS (SELECT uid, conv_id, turn, role, unnest(raw) AS x, generate_subscripts(raw, 1) AS i FROM m),

@@ -8,6 +8,7 @@ from .oracles import ORACLES
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_license_scan": licenses.op2_license_scan,
+    "licence_tree": licenses.licence_tree,
     "op3_nearest": ann.op3_nearest,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_mix_sources": mixing.op5_mix_sources,

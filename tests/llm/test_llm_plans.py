@@ -12,7 +12,7 @@ def plan(frame):
     return frame._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["op2_license_scan", "op4_quality_rules", "op5_mix_sources", "op8_pii", "op9_chat_quotes", "op12_exact_dedup"])
+@pytest.mark.parametrize("name", ["op2_license_scan", "op4_quality_rules", "op5_mix_sources", "op8_pii", "op9_chat_quotes", "op12_exact_dedup", "licence_tree", "chat_quotes_linked"])
 def test_native_queries(spark, name):
     p = plan(registry.QUERIES[name](spark, SF))
     assert not any(x in p for x in ("Python", "Pandas", "Arrow", "CartesianProduct", "NestedLoop"))
