@@ -117,3 +117,49 @@ def level_summaries(spark, sf):
     fits = lambda t: F.size(S.words(t)) <= 100
     got = S.by_levels(table(spark, sf, "documents"), "doc_id", "text", fits, S.word_chunks(200), S.first_words(20))
     return got.select("doc_id", "level", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.size(S.words(F.col("text"))).cast("long").alias("n_words"))
+
+
+def _folder(spark, sf):
+    """The documents as one file for each source and language, in the order of their ids, below a new folder."""
+    path = work_dir(spark)
+    d = table(spark, sf, "documents").where("text is not null").select("source", "lang", "doc_id", "text")
+    d.repartition("source", "lang").sortWithinPartitions("source", "lang", "doc_id").drop("doc_id").write.partitionBy("source", "lang").text(path)
+    return path
+
+
+_FILES = "SELECT source, lang, string_agg(text, chr(10) ORDER BY doc_id) || chr(10) AS t FROM documents WHERE text IS NOT NULL GROUP BY source, lang"
+
+
+def _named(column):
+    return [F.regexp_extract(column, f"{k}=([^/]*)/", 1).alias(k) for k in ("source", "lang")]
+
+
+@query(f"SELECT source, lang, length(t) AS n_chars, md5(t) AS text_md5 FROM ({_FILES})")
+def stored_markdown(spark, sf):
+    """A folder of texts read whole, a row a file, with what its path says."""
+    rows = corpus.markdown(spark, _folder(spark, sf), recursive=True, glob="*.txt")
+    return rows.select(*_named("file_path"), F.length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query(f"SELECT source, lang, strlen(t) AS n_bytes, md5(t) AS content_md5 FROM ({_FILES})")
+def stored_binary(spark, sf):
+    """The same folder as bytes, as a page parser takes them."""
+    rows = corpus.binary(spark, _folder(spark, sf), glob="*.txt")
+    return rows.select(*_named("path"), F.col("length").alias("n_bytes"), F.md5("content").alias("content_md5"))
+
+
+@query(f"SELECT source, lang, strlen(t) AS n_bytes FROM ({_FILES})")
+def listed_inputs(spark, sf):
+    """The folder's files as a list of inputs; contents are not read."""
+    return corpus.inputs(spark, _folder(spark, sf), glob="*.txt").select(*_named("path"), F.col("length").alias("n_bytes"))
+
+
+@query("SELECT source, count(*) AS n_docs, sum(n_chars)::BIGINT AS n_chars, min(doc_id) AS first_id FROM documents GROUP BY source")
+def stored_json_documents(spark, sf):
+    """One JSON document a source, over several lines, that holds its documents as a list; each file is read whole."""
+    path = work_dir(spark)
+    d = table(spark, sf, "documents").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "n_chars"))).alias("docs"))
+    d.select("source", F.to_json(F.struct(F.col("source").alias("name"), "docs"), {"pretty": "true"}).alias("value")).repartition("source").write.partitionBy("source").text(path)
+    read = corpus.json_document(spark, path, "name string, docs array<struct<doc_id: long, n_chars: long>>")
+    total = F.aggregate("docs", F.lit(0).cast("long"), lambda s, x: s + x["n_chars"])
+    return read.select(F.col("name").alias("source"), F.size("docs").cast("long").alias("n_docs"), total.alias("n_chars"), F.array_min(F.transform("docs", lambda x: x["doc_id"])).alias("first_id"))
