@@ -66,8 +66,8 @@ class BlockIndex:
         return each.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qtf") * F.col("w")), 6).alias("score"))
 
     def search(self, terms: DataFrame, k: int = 10, first: int | None = None) -> tuple[DataFrame, DataFrame]:
-        """((query_id, rank, doc_id, score), (query_id, n_postings, n_scored)): the k best of each query, and how many of its postings were scored. ``first``: blocks of step 2, by default for eight times k documents."""
-        first = first or max(1, -(-8 * k // self.width))
+        """((query_id, rank, doc_id, score), (query_id, n_postings, n_scored)): the k best of each query, and how many of its postings were scored. ``first``: blocks of step 2, by default for three times k documents."""
+        first = first or max(1, -(-3 * k // self.width))
         terms = stored(terms)
         bound = stored(self.bounds(terms))
         best = W.partitionBy("query_id").orderBy(F.desc("bound"), "block")
