@@ -2,8 +2,8 @@
 
 Short texts are encoded whole (by their stretches between spaces, where the
 tokenizer drops these; see ``Pieces``). A text of more than ``block`` characters is cut
-into blocks that are encoded in parallel, and the encodings are joined
-pairwise up a tree. Around each join a window is re-encoded, and it grows until
+into blocks, whose encodings are joined pairwise up a tree; those of a text of
+more than ``deal`` characters are encoded in parallel, dealt over all tasks. Around each join a window is re-encoded, and it grows until
 both sides agree exactly: the window must start on a token of the left side and
 repeat that side's next tokens, and must reach a token of the right side and
 repeat that side's following tokens, with the same word borders. What lies
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of a block; texts of more characters than DEAL have their blocks dealt over all tasks, shorter ones are cut and joined in one.
-BLOCK, DEAL = 1 << 14, 1 << 16
+BLOCK, DEAL = 1 << 13, 1 << 16
 #: Normalizer, pre-tokenizer, post-processor and decoder of the tokenizers whose texts may be encoded stretch by stretch (fixed values).
 KIND = (
     {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -79,7 +79,10 @@ class Part:
 
     @classmethod
     def of(cls, tok, text: str) -> Part:
-        e = tok.encode(text, add_special_tokens=False)
+        return cls.from_encoding(text, tok.encode(text, add_special_tokens=False))
+
+    @classmethod
+    def from_encoding(cls, text: str, e) -> Part:
         off = np.array(e.offsets, dtype=np.int64).reshape(-1, 2)
         word = np.array([-1 if w is None else w for w in e.word_ids], dtype=np.int64)
         return cls(text, np.array(e.ids, dtype=np.uint32), off[:, 0], off[:, 1], word)
@@ -174,6 +177,7 @@ class Pieces:
 
     def __init__(self, tok, most: int = 400_000):
         self.tok, self.most, self.known = tok, most, {"": (b"", "")}
+        self.placed: dict[str, tuple[bytes, bytes, bytes, bytes, int]] = {}
         self.words = [tok.id_to_token(i) or "" for i in range(tok.get_vocab_size())]
         self.ends = np.array([w.endswith("</w>") for w in self.words])
 
@@ -218,6 +222,25 @@ class Pieces:
                 b = self.known[tail] if tail else (b"", "")
                 self.known[p] = (a[0] + b[0], " ".join([x for x in (a[1], b[1]) if x]))
 
+    def part(self, text: str) -> Part:
+        """A block as ``Part.of`` gives it: the stretches' tokens, their places moved to where the stretch begins and their words numbered on."""
+        if len(self.placed) > self.most:
+            self.placed = {}
+        split = text.replace("\n", " ").replace("\t", " ").split(" ")
+        new = list({p for p in split if p not in self.placed})
+        for p, e in zip(new, self.tok.encode_batch(new, add_special_tokens=False)):
+            x = Part.from_encoding(p, e)
+            self.placed[p] = (x.ids.tobytes(), x.at.tobytes(), x.end.tobytes(), x.word.tobytes(), int(x.word.max(initial=-1)) + 1)
+        got = [self.placed[p] for p in split]
+        n = np.array([len(g[0]) // 4 for g in got])
+        starts = np.zeros(len(split), np.int64)
+        np.cumsum([len(p) + 1 for p in split[:-1]], out=starts[1:])
+        before = np.zeros(len(split), np.int64)
+        np.cumsum([g[4] for g in got[:-1]], out=before[1:])
+        ids, at, end, word = (np.frombuffer(b"".join([g[i] for g in got]), t) for i, t in enumerate((np.uint32, np.int64, np.int64, np.int64)))
+        shift = np.repeat(starts, n)
+        return Part(text, ids, at + shift, end + shift, np.where(word < 0, -1, word + np.repeat(before, n)))
+
     def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """(ids as little-endian bytes, decoded text) of each text."""
         if len(self.known) > self.most:
@@ -249,8 +272,9 @@ def encode(docs: DataFrame, path: str, text: str = "text", id_col: str = "doc_id
             cols.append(pa.array([list(map(int, x)) for x in found], pa.list_(pa.int32())))
         return pa.RecordBatch.from_arrays(cols, names=names)
 
-    def trees(tok, t: str) -> tuple[bytes, str]:
-        one = join_tree(tok, [Part.of(tok, t[i : i + block]) for i in range(0, len(t), block)])
+    def trees(tok, t: str, pieces: Pieces | None) -> tuple[bytes, str]:
+        of = pieces.part if pieces else lambda x: Part.of(tok, x)
+        one = join_tree(tok, [of(t[i : i + block]) for i in range(0, len(t), block)])
         return np.asarray(one.ids, "<u4").tobytes(), decode(tok, one.ids.tolist())
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,12 +286,12 @@ def encode(docs: DataFrame, path: str, text: str = "text", id_col: str = "doc_id
                 texts = s.column(1).to_pylist()
                 if pieces is None:
                     whole = iter(tok.encode_batch_fast([x for x in texts if len(x) <= block], add_special_tokens=False))
-                    yield rows(s.column(0), [next(whole).ids if len(x) <= block else np.frombuffer(trees(tok, x)[0], "<u4").tolist() for x in texts], tok)
+                    yield rows(s.column(0), [next(whole).ids if len(x) <= block else np.frombuffer(trees(tok, x, None)[0], "<u4").tolist() for x in texts], tok)
                     continue
                 got = pieces.encode([x for x in texts if len(x) <= block])
                 if len(got) < len(texts):
                     brief_ = iter(got)
-                    got = [next(brief_) if len(x) <= block else trees(tok, x) for x in texts]
+                    got = [next(brief_) if len(x) <= block else trees(tok, x, pieces) for x in texts]
                 cols = [s.column(0), pa.array([len(x) // 4 for x, _ in got], pa.int64()), pa.array([sha256(x).hexdigest() for x, _ in got]), pa.array([sha256(d.encode("utf-8", "replace")).hexdigest() for _, d in got])]
                 if with_ids:
                     cols.append(pa.array([np.frombuffer(x, "<i4") for x, _ in got], pa.list_(pa.int32())))

@@ -347,6 +347,8 @@ def test_bpe_pieces_are_exact():
     texts = ["".join(rng.choice(al) for _ in range(rng.randint(0, 60))) for _ in range(600)]
     for i in range(0, 600, 60):
         for t, (ids, decoded) in zip(texts[i:], pieces.encode(texts[i : i + 60])):
+            a, b = pieces.part(t), bpe.Part.of(tok, t)
+            assert all((getattr(a, c) == getattr(b, c)).all() for c in ("ids", "at", "end")) and (a.borders() == b.borders()).all()
             want = tok.encode(t, add_special_tokens=False).ids
             assert np.frombuffer(ids, "<u4").tolist() == want and decoded == tok.decode(want, skip_special_tokens=False)
 
