@@ -180,6 +180,7 @@ class Pieces:
         self.placed: dict[str, tuple[bytes, bytes, bytes, bytes, int]] = {}
         self.words = [tok.id_to_token(i) or "" for i in range(tok.get_vocab_size())]
         self.ends = np.array([w.endswith("</w>") for w in self.words])
+        self.lengths = np.array([len(w.removesuffix("</w>")) for w in self.words], np.int64)
 
     @staticmethod
     def fits(tok) -> bool:
@@ -222,15 +223,36 @@ class Pieces:
                 b = self.known[tail] if tail else (b"", "")
                 self.known[p] = (a[0] + b[0], " ".join([x for x in (a[1], b[1]) if x]))
 
+    @staticmethod
+    def visible(p: str) -> bool:
+        return p.isascii() and p.isprintable() and "<|" not in p
+
+    def _place(self, p: str, x: Part) -> None:
+        self.placed[p] = (x.ids.tobytes(), x.at.astype(np.int64).tobytes(), x.end.astype(np.int64).tobytes(), x.word.astype(np.int64).tobytes(), int(x.word.max(initial=-1)) + 1)
+
     def part(self, text: str) -> Part:
         """A block as ``Part.of`` gives it: the stretches' tokens, their places moved to where the stretch begins and their words numbered on."""
         if len(self.placed) > self.most:
             self.placed = {}
         split = text.replace("\n", " ").replace("\t", " ").split(" ")
-        new = list({p for p in split if p not in self.placed})
-        for p, e in zip(new, self.tok.encode_batch(new, add_special_tokens=False)):
-            x = Part.from_encoding(p, e)
-            self.placed[p] = (x.ids.tobytes(), x.at.tobytes(), x.end.tobytes(), x.word.tobytes(), int(x.word.max(initial=-1)) + 1)
+        new = {p for p in split if p not in self.placed}
+        # Visible ASCII keeps its places: a token is as long as its characters, and a word ends where a token has the end mark.
+        plain = [p for p in new if self.visible(p)]
+        self.learn(set(plain))
+        ids = [self.known[p][0] for p in plain]
+        to = np.cumsum([0, *[len(x) // 4 for x in ids]])
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        size, last = self.lengths[flat], self.ends[flat].astype(np.int64)
+        reach, done = np.concatenate([[0], np.cumsum(size)]), np.concatenate([[0], np.cumsum(last)])
+        n = np.diff(to)
+        ends = reach[1:] - np.repeat(reach[to[:-1]], n)
+        begins, word = (ends - size).tobytes(), (done[:-1] - np.repeat(done[to[:-1]], n)).tobytes()
+        ends, words = ends.tobytes(), np.diff(done[to]).tolist()
+        for p, x, a, b, k in zip(plain, ids, (8 * to[:-1]).tolist(), (8 * to[1:]).tolist(), words):
+            self.placed[p] = (x, begins[a:b], ends[a:b], word[a:b], k)
+        rest = list(new.difference(plain))
+        for p, e in zip(rest, self.tok.encode_batch(rest, add_special_tokens=False)):
+            self._place(p, Part.from_encoding(p, e))
         got = [self.placed[p] for p in split]
         n = np.array([len(g[0]) // 4 for g in got])
         starts = np.zeros(len(split), np.int64)
