@@ -1,12 +1,12 @@
 """Okapi BM25 as DataFrames: postings, statistics and a batch search.
 
-All queries are answered by one plan. Query terms meet postings on the term;
-neither side is forced to be broadcast, so AQE picks by the sizes it sees and
-splits frequent terms.
+All queries are answered by one plan. Query terms meet postings on the term; at
+most some hundred thousand are broadcast, more are dealt by the term.
 """
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -16,38 +16,70 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
+#: Documents whose words one task counts, and (query, document) pairs whose scores one task sums.
+DOC_BLOCK, PAIR_BLOCK = 1 << 12, 1 << 20
+#: Rows (query, term) that are few enough to be sent to all tasks: about ten MB.
+FEW_TERMS = 1 << 18
+
+
 @dataclass(frozen=True)
 class Index:
-    """postings(term, doc_id, tf), docs(doc_id, dl), terms(term, df, idf), corpus(n, avgdl)."""
+    """postings(term, doc_id, tf), docs(doc_id, dl), terms(term, df, idf), corpus(n, avgdl). ``size``: the number of documents, where it is known."""
 
     postings: DataFrame
     docs: DataFrame
     terms: DataFrame
     corpus: DataFrame
+    size: int | None = None
 
     def write(self, path: str) -> None:
-        for name in ("postings", "docs", "terms", "corpus"):
-            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        with kept(self.postings):
+            for name in ("postings", "docs", "terms", "corpus"):
+                getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
     @classmethod
     def read(cls, spark, path: str) -> Index:
         return cls(*(spark.read.parquet(f"{path}/{n}") for n in ("postings", "docs", "terms", "corpus")))
 
 
-def term_counts(docs: DataFrame, text: str = "text", id_col: str = "doc_id", markdown: bool = False) -> DataFrame:
-    """(term, doc_id, tf). Everything else is derived from this table with its counts, so one plan tokenises once and reuses the exchange."""
-    body = T.clean_markdown(F.col(text)) if markdown else F.col(text)
-    return docs.select(F.col(id_col).alias("doc_id"), F.explode(T.tokens(body)).alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+@contextmanager
+def kept(rows: DataFrame):
+    """Keep what several plans read (memory, then disk) while they run, unless it is kept already."""
+    held = rows.storageLevel
+    mine = not (held.useMemory or held.useDisk)
+    if mine:
+        rows.persist()
+    try:
+        yield rows
+    finally:
+        if mine:
+            rows.unpersist()
+
+
+def dealt(rows: DataFrame, n: int, block: int, *key: str) -> DataFrame:
+    """Rows dealt by a key to so many tasks that each holds about ``block`` of n, however many there are; at least to all cores."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // block)), *key)
+
+
+def term_counts(docs: DataFrame, text: str = "text", id_col: str = "doc_id", markdown: bool = False, size: int | None = None) -> DataFrame:
+    """(term, doc_id, tf). Everything else is derived from this table with its counts. Texts are dealt by document before their words are counted, so
+    a task counts those of some thousand documents, whatever the input, and hands on no row a word. ``size``: the number of documents, if it is known."""
+    size = docs.count() if size is None else size
+    held = dealt(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")), size, DOC_BLOCK, "doc_id")
+    body = T.clean_markdown(F.col("text")) if markdown else F.col("text")
+    return held.select("doc_id", F.explode(T.tokens(body)).alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
 
 
 def build(docs: DataFrame, text: str = "text", id_col: str = "doc_id", markdown: bool = True, eps: float = 0.25) -> Index:
-    postings = term_counts(docs, text, id_col, markdown)
+    """Each part that is read apart tokenises anew, unless the postings are kept (``kept``)."""
+    size = docs.count()
+    postings = term_counts(docs, text, id_col, markdown, size)
     per_doc = postings.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
     lengths = docs.select(F.col(id_col).alias("doc_id")).join(per_doc, "doc_id", "left").select("doc_id", F.coalesce("dl", F.lit(0)).alias("dl"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
     n = docs.agg(F.count("*")).scalar()
     corpus = df.agg(F.coalesce(F.sum("cf"), F.lit(0)).alias("cf")).select(n.alias("n"), (F.col("cf") / F.nullif(n, F.lit(0))).alias("avgdl"))
-    return Index(postings, lengths, weighted(df, n, eps), corpus)
+    return Index(postings, lengths, weighted(df, n, eps), corpus, size)
 
 
 def weighted(df: DataFrame, n: Column, eps: float = 0.25) -> DataFrame:
@@ -71,10 +103,16 @@ def search(index: Index, terms: DataFrame, k: int = 10, k1: float = 1.5, b: floa
     """(query_id, rank, doc_id, score): the k best of the documents that hold a query term; ties go to the smaller id. Scores are rounded to six places before ranking."""
     avgdl = index.corpus.select("avgdl").scalar()
     asked = terms.select("term").distinct()
-    # A posting's weight is made once, only for terms that some query holds.
-    held = index.postings.join(asked, "term", "left_semi").join(index.terms.select("term", "idf"), "term").join(index.docs, "doc_id")
+    size = index.docs.count() if index.size is None else index.size
+    n = terms.agg(F.count("*").alias("rows"), F.countDistinct("query_id").alias("queries")).first()
+    # A posting's weight is made once, only for terms that some query holds. A task sums the scores of its own documents, so of a bounded number of pairs:
+    # some query terms are met where the documents lie; many meet the postings by term, and their pairs are dealt anew.
+    held = index.postings.join(asked, "term", "left_semi").join(index.terms.join(asked, "term", "left_semi").select("term", "idf"), "term")
+    held = dealt(held, size * n.queries, PAIR_BLOCK, "doc_id").join(dealt(index.docs, size * n.queries, PAIR_BLOCK, "doc_id"), "doc_id")
     w = weight(F.col("idf"), F.col("tf"), F.col("dl"), avgdl, k1, b)
-    hits = terms.join(held.select("term", "doc_id", w.alias("w")), "term")
+    few = n.rows <= FEW_TERMS
+    hits = held.select("term", "doc_id", w.alias("w")).join(F.broadcast(terms) if few else terms, "term")
+    hits = hits if few else dealt(hits, size * n.queries, PAIR_BLOCK, "query_id", "doc_id")
     scored = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qtf") * F.col("w")), 6).alias("score"))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")

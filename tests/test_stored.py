@@ -181,3 +181,44 @@ def test_summaries_by_levels(spark):
     got = S.by_levels(docs, "k", "body", lambda t: F.size(S.words(t)) <= 5, S.word_chunks(10), S.first_words(2))
     assert sorted(tuple(r) for r in got.collect()) == want
     assert S.by_levels(docs.limit(0), "k", "body", lambda t: F.size(S.words(t)) <= 5, S.word_chunks(10), S.first_words(2)).collect() == []
+
+
+def test_tasks_count_and_score_a_bounded_number_of_documents(spark, monkeypatch):
+    """Texts are dealt by document before their words are counted, and scores are summed by document, in tasks whose number follows the input."""
+    from lodestone.operators import bm25
+
+    docs = spark.createDataFrame([(i, f"cat w{i} dog w{i % 7}") for i in range(60)], "doc_id long, text string")
+    terms = bm25.query_terms(spark.createDataFrame([(1, "cat w3"), (2, "dog")], "query_id long, query string"), "query")
+    plain = rows_of(bm25.search(bm25.build(docs, markdown=False), terms, 5))
+    monkeypatch.setattr(bm25, "DOC_BLOCK", 2)
+    monkeypatch.setattr(bm25, "PAIR_BLOCK", 3)
+    counts, found = bm25.term_counts(docs), bm25.search(bm25.build(docs, markdown=False), terms, 5)
+    plan = lambda x: x._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" in plan(counts) and ", 30), REPARTITION_BY_NUM" in plan(counts) and ", 40), REPARTITION_BY_NUM" in plan(found)
+    assert rows_of(found) == plain
+    monkeypatch.setattr(bm25, "FEW_TERMS", 1)
+    many = bm25.search(bm25.build(docs, markdown=False), terms, 5)
+    assert "hashpartitioning(query_id" in plan(many) and rows_of(many) == plain
+
+
+@pytest.mark.parametrize("kind", ["write", "blocks", "segment"])
+def test_an_index_reads_its_texts_once(spark, tmp_path, kind):
+    from lodestone.operators import bm25
+    from lodestone.operators.blockmax import BlockIndex
+    from lodestone.operators.segments import SegmentedIndex
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(text):
+        seen.add(1)
+        return text
+
+    docs = spark.createDataFrame([(i, f"cat w{i} dog") for i in range(40)], "doc_id long, text string").repartition(2)
+    docs = docs.withColumn("text", F.udf(read, "string")("text"))
+    if kind == "segment":
+        SegmentedIndex(spark, str(tmp_path / "i")).add(docs)
+    else:
+        index = bm25.build(docs, markdown=False)
+        index.write(str(tmp_path / "i")) if kind == "write" else BlockIndex.build(index, str(tmp_path / "i"))
+        assert not index.postings.storageLevel.useMemory
+    assert seen.value == 40
