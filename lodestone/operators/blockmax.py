@@ -39,14 +39,19 @@ class BlockIndex:
 
     @classmethod
     def build(cls, index: bm25.Index, path: str, width: int = 64, k1: float = 1.5, b: float = 0.75) -> BlockIndex:
-        """Weigh the postings once and store them in blocks, terms together. Documents are put in blocks by ranges of their length, each range by itself."""
-        ordered = index.docs.repartitionByRange("dl", "doc_id").sortWithinPartitions("dl", "doc_id")
-        placed = stored(ordered.select("doc_id", "dl", F.floor(F.monotonically_increasing_id() / width).alias("block")))
-        avgdl = index.corpus.select("avgdl").scalar()
-        held = index.postings.join(index.terms.select("term", "idf"), "term").join(placed, "doc_id")
-        w = bm25.weight(F.col("idf"), F.col("tf"), F.col("dl"), avgdl, k1, b)
-        rows = held.select("term", "block", "doc_id", w.alias("w")).groupBy("term", "block").agg(F.max("w").alias("most"), F.count("*").alias("n"), F.collect_list(F.struct("doc_id", "w")).alias("postings"))
-        rows.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.parquet(path)
+        """Weigh the postings once and store them in blocks, those of a task by their terms. Documents are put in blocks by ranges of their length, each range by itself."""
+        with bm25.kept(index.postings):
+            lengths = stored(index.docs)
+            ordered = lengths.repartitionByRange("dl", "doc_id").sortWithinPartitions("dl", "doc_id")
+            placed = stored(ordered.select("doc_id", "dl", F.floor(F.monotonically_increasing_id() / width).alias("block")))
+            avgdl = index.corpus.select("avgdl").scalar()
+            held = index.postings.join(index.terms.select("term", "idf"), "term").join(placed, "doc_id")
+            w = bm25.weight(F.col("idf"), F.col("tf"), F.col("dl"), avgdl, k1, b)
+            size = lengths.count() if index.size is None else index.size
+            # All postings of a block meet in one task, and no row is sorted twice.
+            dealt = bm25.dealt(held.select("term", "block", "doc_id", w.alias("w")), size, bm25.DOC_BLOCK, "block")
+            rows = dealt.groupBy("term", "block").agg(F.max("w").alias("most"), F.count("*").alias("n"), F.collect_list(F.struct("doc_id", "w")).alias("postings"))
+            rows.sortWithinPartitions("term", "block").write.parquet(path)
         return cls.read(index.docs.sparkSession, path, width)
 
     @classmethod
