@@ -80,9 +80,10 @@ class SegmentedIndex:
         held |= {"kind": kind}
         ids = docs.select(F.col(id_col).alias("doc_id"))
         postings = bm25.term_counts(docs, text, id_col, self.markdown)
-        per_doc = postings.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
         held = self._kill(held, ids)
-        made = self._write(postings, ids.join(per_doc, "doc_id", "left").select("doc_id", F.coalesce("dl", F.lit(0)).cast("long").alias("dl")))
+        with bm25.kept(postings):
+            per_doc = postings.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
+            made = self._write(postings, ids.join(per_doc, "doc_id", "left").select("doc_id", F.coalesce("dl", F.lit(0)).cast("long").alias("dl")))
         held["segments"] = held["segments"] | {str(held["next"]): made}
         held["next"] += 1
         return self.versions.publish(number + 1, self._merged(held))
@@ -152,7 +153,7 @@ class SegmentedIndex:
         corpus = self.spark.createDataFrame([(n, tokens / n if n else None)], "n long, avgdl double")
         postings = self._alive(held, self._table(held, "postings", _POSTINGS)).select("term", "doc_id", "tf")
         lengths = self._alive(held, self._table(held, "docs", _DOCS)).select("doc_id", "dl")
-        return bm25.Index(postings, lengths, bm25.weighted(df, F.lit(n)), corpus)
+        return bm25.Index(postings, lengths, bm25.weighted(df, F.lit(n)), corpus, n)
 
     def vacuum(self, keep: int = 1) -> None:
         """Delete what none of the last ``keep`` versions names. Not while a writer is at work."""
