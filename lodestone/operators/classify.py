@@ -8,21 +8,28 @@ read and applied as any other, as a projection that adds a probability.
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bm25 import kept
+
 
 def terms(text: Column) -> Column:
     """Words without their punctuation, in lower case, the shape of each (all capitals, its last signs, digits), and how much of the text these are, in tenths. A null text counts as empty."""
     words = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
+    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x != "")
+    # Bound as a lambda's argument, words and lines are made once; named again in place of it, they would be made anew for each use.
+    return F.element_at(F.transform(F.array(F.struct(words.alias("words"), lines.alias("lines"))), lambda x: _terms(x["words"], x["lines"])), 1)
+
+
+def _terms(words: Column, lines: Column) -> Column:
     bare = F.transform(words, lambda w: F.lower(F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")))
     case = lambda w: F.when(w.rlike(r"^[^\p{Ll}]*\p{Lu}{2}[^\p{Ll}]*$"), "CAPS").when(w.rlike(r"\p{N}"), "NUMBER").when(w.rlike(r"\p{L}"), "word").otherwise("signs")
     shape = F.transform(words, lambda w: F.concat(F.lit("shape "), case(w), F.lit(" "), F.regexp_extract(w, r"([^\p{L}\p{N}]{0,2})$", 1)))
-    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x != "")
     tenths = lambda name, n, of: F.concat(F.lit(f"share {name} "), F.coalesce(F.round(10 * n / F.nullif(of, F.lit(0))), F.lit(0.0)).cast("int").cast("string"))
     hit = lambda pattern: F.size(F.filter(words, lambda w: w.rlike(pattern)))
     shares = [
@@ -42,7 +49,10 @@ def fit(rows: DataFrame, text: str, label: str, size: int = 1 << 14, strength: f
     share = held.agg(F.avg("label")).scalar()
     held = held.withColumn("weight", F.when(F.col("label") > 0, 0.5 / share).otherwise(0.5 / (1 - share)))
     hashed = HashingTF(inputCol="terms", outputCol="features", numFeatures=size, binary=True)
-    return Pipeline(stages=[hashed, LogisticRegression(weightCol="weight", regParam=strength, elasticNetParam=sparse, maxIter=rounds)]).fit(held)
+    learner = LogisticRegression(weightCol="weight", regParam=strength, elasticNetParam=sparse, maxIter=rounds)
+    # Training passes over its rows more than once; their hashed words are made in the first.
+    with kept(hashed.transform(held).select("features", "label", "weight")) as features:
+        return PipelineModel(stages=[hashed, learner.fit(features)])
 
 
 def probability(rows: DataFrame, model: PipelineModel, text: str, name: str = "probability") -> DataFrame:

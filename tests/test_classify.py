@@ -36,3 +36,19 @@ def test_terms(spark):
     got = spark.createDataFrame([("Stop!! THE a1, ...",), (None,)], "t string").select(classify.terms(F.col("t")).alias("x")).collect()
     assert got[0].x[:7] == ["stop", "the", "a1", "shape word !!", "shape CAPS ", "shape NUMBER ,", "shape signs .."]
     assert [x.split()[0] for x in got[1].x] == ["share"] * 5 + ["length"]
+
+
+def test_words_are_made_once_and_texts_read_once(spark):
+    """A text is split in words and in lines once for all its terms, and training makes its rows' terms once."""
+    rows = spark.createDataFrame([(i, f"word{i % 3} SIGN {i}", i % 2) for i in range(40)], "doc_id long, text string, label int").repartition(2)
+    plan = rows.select(classify.terms(F.col("text")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 2
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(text):
+        seen.add(1)
+        return text
+
+    classify.fit(rows.withColumn("text", F.udf(read, "string")("text")), "text", "label")
+    # Words and lines are two uses of a text.
+    assert seen.value <= 80
