@@ -70,10 +70,10 @@ def term_counts(docs: DataFrame, text: str = "text", id_col: str = "doc_id", mar
     return held.select("doc_id", F.explode(T.tokens(body)).alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
 
 
-def build(docs: DataFrame, text: str = "text", id_col: str = "doc_id", markdown: bool = True, eps: float = 0.25) -> Index:
-    """Each part that is read apart tokenises anew, unless the postings are kept (``kept``)."""
+def build(docs: DataFrame, text: str = "text", id_col: str = "doc_id", markdown: bool = True, eps: float = 0.25, counts: DataFrame | None = None) -> Index:
+    """Each part that is read apart tokenises anew, unless the postings are kept (``kept``) or ``counts`` are the documents' term counts out of a table."""
     size = docs.count()
-    postings = term_counts(docs, text, id_col, markdown, size)
+    postings = term_counts(docs, text, id_col, markdown, size) if counts is None else counts
     per_doc = postings.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
     lengths = docs.select(F.col(id_col).alias("doc_id")).join(per_doc, "doc_id", "left").select("doc_id", F.coalesce("dl", F.lit(0)).alias("dl"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))

@@ -95,13 +95,13 @@ def collection_stats(rows: DataFrame, by: str, vec: str) -> DataFrame:
     return rows.groupBy(by).agg(F.count("*").alias("n"), F.max(F.size(vec)).cast("long").alias("dim"))
 
 
-def hashed_vectors(docs: DataFrame, text: str = "text", id_col: str = "doc_id", dim: int = 64) -> DataFrame:
-    """(id, v): a deterministic stand-in for an embedding model: terms hashed to signed dimensions by their MD5, unit length. Terms meet by document once, each dimension being a sum of its own."""
+def hashed_vectors(docs: DataFrame, text: str = "text", id_col: str = "doc_id", dim: int = 64, counts: DataFrame | None = None) -> DataFrame:
+    """(id, v): a deterministic stand-in for an embedding model: terms hashed to signed dimensions by their MD5, unit length. Terms meet by document once, each dimension being a sum of its own. ``counts``: the documents' term counts, where they are at hand."""
     digits = F.lit("0123456789abcdef")
     digit = lambda i: F.position(F.substring("h", i, 1), digits).cast("long") - 1  # noqa: E731  the i-th hexadecimal digit
     at = ((digit(1) * 16 + digit(2)) * 16 + digit(3)) * 16 + digit(4)
     signed = F.when(digit(5) % 2 == 0, F.col("tf")).otherwise(-F.col("tf")).cast("double")
-    terms = term_counts(docs, text, id_col).select(F.col("doc_id").alias("id"), "tf", F.md5(F.col("term").cast("binary")).alias("h"))
+    terms = (term_counts(docs, text, id_col) if counts is None else counts).select(F.col("doc_id").alias("id"), "tf", F.md5(F.col("term").cast("binary")).alias("h"))
     cells = terms.select("id", (at % dim).alias("at"), signed.alias("x"))
     by_doc = cells.groupBy("id").agg(*[F.sum(F.when(F.col("at") == i, F.col("x")).otherwise(0.0)).alias(f"x{i}") for i in range(dim)])
     return by_doc.select("id", V.normalised(F.array(*[f"x{i}" for i in range(dim)])).alias("v"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import bm25, chats, dense, fusion, models, rerank, verify
-from ..sources.corpus import Params
+from ..sources.corpus import Params, stored
 from .relational import table
 
 
@@ -19,8 +19,10 @@ def answer(queries: DataFrame, docs: DataFrame, params: Params = Params(), tempe
     """
     asked = queries.where(F.length(F.trim("query")) > 0)
     k = params.k_papers
-    lexical = bm25.search(bm25.build(docs, markdown=False), bm25.query_terms(asked, "query"), 2 * k)
-    near = dense.knn(dense.hashed_vectors(asked, "query", "query_id").withColumnRenamed("id", "query_id"), dense.hashed_vectors(docs), 2 * k, sizes=(asked.count(), docs.count()))
+    # Both searches read the documents' term counts: made once, then a table.
+    counts = stored(bm25.term_counts(docs))
+    lexical = bm25.search(bm25.build(docs, markdown=False, counts=counts), bm25.query_terms(asked, "query"), 2 * k)
+    near = dense.knn(dense.hashed_vectors(asked, "query", "query_id").withColumnRenamed("id", "query_id"), dense.hashed_vectors(docs, counts=counts), 2 * k, sizes=(asked.count(), docs.count()))
     fused = fusion.fuse(lexical, near.withColumnRenamed("id", "doc_id"), k, (params.lexical_weight, params.dense_weight))
     cand = fused.select("query_id", F.col("rank").alias("orig_rank"), "doc_id").join(docs.select("doc_id", "text"), "doc_id").join(asked, "query_id")
     best = rerank.rerank(rerank.candidates(cand, params.max_rerank), params.n_final)

@@ -555,3 +555,16 @@ def test_claims_keep_digits_and_lose_spaces(spark):
     t = " ".join(f"{i} is the number of this sentence {i}." for i in range(25)) + "  A last one, with spaces behind it   "
     want = [f"{i} is the number of this sentence {i}." for i in range(25)] + ["A last one, with spaces behind it"]
     assert one(spark, T.claims(F.col("t")), t=t) == want
+
+
+def test_index_and_vectors_of_kept_counts_split_no_text(spark, tmp_path):
+    """Out of a table of term counts come the index and the vectors that the texts give, and no text is split for them."""
+    docs = spark.createDataFrame([(i, f"Document {i} tells of w{i} and of w{i % 5}.") for i in range(30)], "doc_id long, text string")
+    bm25.term_counts(docs).write.parquet(str(tmp_path / "c"))
+    counts = spark.read.parquet(str(tmp_path / "c"))
+    rows = lambda x: sorted(map(str, x.collect()))
+    made, anew = bm25.build(docs, markdown=False, counts=counts), bm25.build(docs, markdown=False)
+    for name in ("postings", "docs", "terms", "corpus"):
+        assert "split(" not in getattr(made, name)._jdf.queryExecution().optimizedPlan().toString()
+        assert rows(getattr(made, name)) == rows(getattr(anew, name))
+    assert rows(dense.hashed_vectors(docs, counts=counts)) == rows(dense.hashed_vectors(docs))
