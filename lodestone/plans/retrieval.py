@@ -14,7 +14,7 @@ from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import bm25, cells, dense, fusion, rerank, verify
 from ..operators import evalset as E
-from ..sources.corpus import Params
+from ..sources.corpus import Params, stored
 from .relational import table
 from .textual import TOK, _TOK
 
@@ -301,7 +301,8 @@ def retrieval_hit_rate(spark, sf):
     found = held.select("doc_id", "table", F.concat(windows("used", "w", " "), windows("lengths", "c", "")).alias("h"))
     marked = F.expr(f"filter(array_distinct(h), x -> getbit(table[cast(pmod(x, {slots}) div 64 as int)], cast(pmod(x, {slots}) % 64 as int)) = 1)")
     met = found.select("doc_id", F.explode(marked).alias("h")).join(lead, "h").select("doc_id", "query_id", "passage")
-    truth = met.join(docs, "doc_id").where(F.contains("text", F.col("passage"))).select("query_id", "doc_id").distinct()
+    # Some rows a passage, written once: each use of them would make the windows of all documents anew.
+    truth = stored(met.join(docs, "doc_id").where(F.contains("text", F.col("passage"))).select("query_id", "doc_id").distinct())
     return E.retrieval(_lexical(spark, sf, 10), truth, 10)
 
 

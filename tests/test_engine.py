@@ -568,3 +568,11 @@ def test_index_and_vectors_of_kept_counts_split_no_text(spark, tmp_path):
         assert "split(" not in getattr(made, name)._jdf.queryExecution().optimizedPlan().toString()
         assert rows(getattr(made, name)) == rows(getattr(anew, name))
     assert rows(dense.hashed_vectors(docs, counts=counts)) == rows(dense.hashed_vectors(docs))
+
+
+def test_hit_rate_makes_windows_once(spark, sf):
+    """The documents that hold a passage are found once and kept: no later use hashes windows anew."""
+    from lodestone import catalog
+
+    plan = catalog.QUERIES["retrieval_hit_rate"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64" not in plan
