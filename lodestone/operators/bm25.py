@@ -6,6 +6,7 @@ most some hundred thousand are broadcast, more are dealt by the term.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from contextlib import contextmanager
 from dataclasses import dataclass
 
@@ -24,18 +25,29 @@ FEW_TERMS = 1 << 18
 
 @dataclass(frozen=True)
 class Index:
-    """postings(term, doc_id, tf), docs(doc_id, dl), terms(term, df, idf), corpus(n, avgdl). ``size``: the number of documents, where it is known."""
+    """postings(term, doc_id, tf), docs(doc_id, dl), terms(term, df, idf), corpus(n, avgdl). ``size``: the number of documents, where it is known.
+    ``over``: makes the same index over its postings, and over their counts by term, out of tables."""
 
     postings: DataFrame
     docs: DataFrame
     terms: DataFrame
     corpus: DataFrame
     size: int | None = None
+    over: Callable[..., Index] | None = None
 
     def write(self, path: str) -> None:
-        with kept(self.postings):
-            for name in ("postings", "docs", "terms", "corpus"):
-                getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        """The postings are written first and all else is made of them as they lie there, their counts by term once (``counts``), so nothing is kept in memory."""
+        spark = self.postings.sparkSession
+
+        def put(rows: DataFrame, name: str) -> DataFrame:
+            rows.write.mode("overwrite").parquet(f"{path}/{name}")
+            return spark.read.schema(rows.schema).parquet(f"{path}/{name}")
+
+        held, postings = self, put(self.postings, "postings")
+        if self.over is not None:
+            held = self.over(postings, put(term_totals(postings), "counts"))
+        for name in ("docs", "terms", "corpus"):
+            put(getattr(held, name), name)
 
     @classmethod
     def read(cls, spark, path: str) -> Index:
@@ -70,16 +82,24 @@ def term_counts(docs: DataFrame, text: str = "text", id_col: str = "doc_id", mar
     return held.select("doc_id", F.explode(T.tokens(body)).alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
 
 
+def term_totals(postings: DataFrame) -> DataFrame:
+    """(term, df, cf): documents that hold a term, and how often they do."""
+    return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
 def build(docs: DataFrame, text: str = "text", id_col: str = "doc_id", markdown: bool = True, eps: float = 0.25, counts: DataFrame | None = None) -> Index:
     """Each part that is read apart tokenises anew, unless the postings are kept (``kept``) or ``counts`` are the documents' term counts out of a table."""
     size = docs.count()
+
+    def over(postings: DataFrame, df: DataFrame) -> Index:
+        per_doc = postings.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
+        lengths = docs.select(F.col(id_col).alias("doc_id")).join(per_doc, "doc_id", "left").select("doc_id", F.coalesce("dl", F.lit(0)).alias("dl"))
+        n = docs.agg(F.count("*")).scalar()
+        corpus = df.agg(F.coalesce(F.sum("cf"), F.lit(0)).alias("cf")).select(n.alias("n"), (F.col("cf") / F.nullif(n, F.lit(0))).alias("avgdl"))
+        return Index(postings, lengths, weighted(df, n, eps), corpus, size, over)
+
     postings = term_counts(docs, text, id_col, markdown, size) if counts is None else counts
-    per_doc = postings.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
-    lengths = docs.select(F.col(id_col).alias("doc_id")).join(per_doc, "doc_id", "left").select("doc_id", F.coalesce("dl", F.lit(0)).alias("dl"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-    n = docs.agg(F.count("*")).scalar()
-    corpus = df.agg(F.coalesce(F.sum("cf"), F.lit(0)).alias("cf")).select(n.alias("n"), (F.col("cf") / F.nullif(n, F.lit(0))).alias("avgdl"))
-    return Index(postings, lengths, weighted(df, n, eps), corpus, size)
+    return over(postings, term_totals(postings))
 
 
 def weighted(df: DataFrame, n: Column, eps: float = 0.25) -> DataFrame:

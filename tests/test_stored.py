@@ -222,3 +222,23 @@ def test_an_index_reads_its_texts_once(spark, tmp_path, kind):
         index.write(str(tmp_path / "i")) if kind == "write" else BlockIndex.build(index, str(tmp_path / "i"))
         assert not index.postings.storageLevel.useMemory
     assert seen.value == 40
+
+
+def test_writing_an_index_keeps_nothing_in_memory(spark, tmp_path, monkeypatch):
+    """Its parts are made of the postings as written; a text without words, a null and an overwritten index included."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from lodestone.operators import bm25
+
+    def never(self, *_):
+        raise AssertionError("kept in memory")
+
+    for texts in (["cat cat", "dog"], ["cat dog dog", "", None, "cat", "fish cow", "cow"]):
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        index = bm25.build(docs, markdown=False)
+        with monkeypatch.context() as m:
+            m.setattr(DataFrame, "persist", never)
+            index.write(str(tmp_path / "i"))
+        back = bm25.Index.read(spark, str(tmp_path / "i"))
+        for part in ("postings", "docs", "terms", "corpus"):
+            assert sorted(map(str, getattr(back, part).collect())) == sorted(map(str, getattr(index, part).collect()))
