@@ -125,12 +125,14 @@ def search(index: Index, terms: DataFrame, k: int = 10, k1: float = 1.5, b: floa
     asked = terms.select("term").distinct()
     size = index.docs.count() if index.size is None else index.size
     n = terms.agg(F.count("*").alias("rows"), F.countDistinct("query_id").alias("queries")).first()
+    few = n.rows <= FEW_TERMS
     # A posting's weight is made once, only for terms that some query holds. A task sums the scores of its own documents, so of a bounded number of pairs:
-    # some query terms are met where the documents lie; many meet the postings by term, and their pairs are dealt anew.
-    held = index.postings.join(asked, "term", "left_semi").join(index.terms.join(asked, "term", "left_semi").select("term", "idf"), "term")
+    # some query terms are met where the postings and the documents lie, so no task holds a frequent term's postings; many meet them by term, and their
+    # pairs are dealt anew.
+    known = index.terms.join(F.broadcast(asked) if few else asked, "term", "left_semi").select("term", "idf")
+    held = index.postings.join(F.broadcast(known), "term") if few else index.postings.join(asked, "term", "left_semi").join(known, "term")
     held = dealt(held, size * n.queries, PAIR_BLOCK, "doc_id").join(dealt(index.docs, size * n.queries, PAIR_BLOCK, "doc_id"), "doc_id")
     w = weight(F.col("idf"), F.col("tf"), F.col("dl"), avgdl, k1, b)
-    few = n.rows <= FEW_TERMS
     hits = held.select("term", "doc_id", w.alias("w")).join(F.broadcast(terms) if few else terms, "term")
     hits = hits if few else dealt(hits, size * n.queries, PAIR_BLOCK, "query_id", "doc_id")
     scored = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qtf") * F.col("w")), 6).alias("score"))

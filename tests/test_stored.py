@@ -242,3 +242,19 @@ def test_writing_an_index_keeps_nothing_in_memory(spark, tmp_path, monkeypatch):
         back = bm25.Index.read(spark, str(tmp_path / "i"))
         for part in ("postings", "docs", "terms", "corpus"):
             assert sorted(map(str, getattr(back, part).collect())) == sorted(map(str, getattr(index, part).collect()))
+
+
+def test_few_query_terms_meet_postings_where_they_lie(spark, tmp_path):
+    """No task gathers and sorts a frequent term's postings."""
+    from lodestone.operators import bm25
+
+    docs = spark.createDataFrame([(i, f"cat w{i}") for i in range(40)], "doc_id long, text string")
+    terms = bm25.query_terms(spark.createDataFrame([(1, "cat w3"), (2, "w7 dog")], "query_id long, query string"), "query")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = bm25.search(bm25.build(docs, markdown=False), terms, 3)
+        assert "SortMergeJoin [term" not in found._jdf.queryExecution().executedPlan().toString()
+        got = rows_of(found.select("query_id", "rank", "doc_id"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == ["(1, 1, 3)", "(1, 2, 0)", "(1, 3, 1)", "(2, 1, 7)"]
