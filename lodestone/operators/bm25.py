@@ -131,7 +131,9 @@ def search(index: Index, terms: DataFrame, k: int = 10, k1: float = 1.5, b: floa
     # pairs are dealt anew.
     known = index.terms.join(F.broadcast(asked) if few else asked, "term", "left_semi").select("term", "idf")
     held = index.postings.join(F.broadcast(known), "term") if few else index.postings.join(asked, "term", "left_semi").join(known, "term")
-    held = dealt(held, size * n.queries, PAIR_BLOCK, "doc_id").join(dealt(index.docs, size * n.queries, PAIR_BLOCK, "doc_id"), "doc_id")
+    # A task's documents, at most PAIR_BLOCK, are a hash table that its postings pass by, so these are not sorted.
+    lengths = dealt(index.docs, size * n.queries, PAIR_BLOCK, "doc_id").hint("shuffle_hash")
+    held = dealt(held, size * n.queries, PAIR_BLOCK, "doc_id").join(lengths, "doc_id")
     w = weight(F.col("idf"), F.col("tf"), F.col("dl"), avgdl, k1, b)
     hits = held.select("term", "doc_id", w.alias("w")).join(F.broadcast(terms) if few else terms, "term")
     hits = hits if few else dealt(hits, size * n.queries, PAIR_BLOCK, "query_id", "doc_id")

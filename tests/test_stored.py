@@ -258,3 +258,20 @@ def test_few_query_terms_meet_postings_where_they_lie(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert got == ["(1, 1, 3)", "(1, 2, 0)", "(1, 3, 1)", "(2, 1, 7)"]
+
+
+def test_postings_pass_by_their_documents_unsorted(spark):
+    """A scoring task holds its documents' lengths; its postings are not sorted to meet them."""
+    from lodestone.operators import bm25
+
+    docs = spark.createDataFrame([(i, f"cat w{i}") for i in range(40)], "doc_id long, text string")
+    terms = bm25.query_terms(spark.createDataFrame([(1, "cat w3"), (2, "w7 dog")], "query_id long, query string"), "query")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = bm25.search(bm25.build(docs, markdown=False), terms, 3)
+        met = [x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Join [doc_id" in x and "Inner" in x]
+        assert met and all("ShuffledHashJoin" in x and "BuildRight" in x for x in met)
+        got = rows_of(found.select("query_id", "rank", "doc_id"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == ["(1, 1, 3)", "(1, 2, 0)", "(1, 3, 1)", "(2, 1, 7)"]
