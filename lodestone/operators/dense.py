@@ -58,10 +58,14 @@ def knn(queries: DataFrame, rows: DataFrame, k: int, distinct_from_self: bool =
     k = min(k, limit)
     n_queries, n_rows = sizes or (queries.count(), rows.count())
     nr, nq = max(1, -(-n_rows // ROW_BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
-    left = queries.select("query_id", "v", F.pmod(F.xxhash64("query_id"), F.lit(nq)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nr - 1))).alias("rb"))
-    right = rows.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(nr)).cast("int").alias("rb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))).alias("qb"))
+    part = lambda id, n: F.pmod(F.xxhash64(id), F.lit(n)).cast("int")
+    qb, rb = part("query_id", nq) * nr, part("id", nr)
+    left = queries.select("query_id", "v", F.explode(F.sequence(qb, qb + (nr - 1))).alias("block"))
+    right = rows.select("id", "v", F.explode(F.sequence(rb, rb + nr * (nq - 1), F.lit(nr))).alias("block"))
     best, schema = block_search(queries, rows, k, distinct_from_self)
-    found = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInArrow(best, schema)
+    # Dealt by number and not by hash, so no task gathers and sorts several pairs of blocks.
+    left, right = (side.repartitionById(nr * nq, F.col("block")) for side in (left, right))
+    found = left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(best, schema)
     order = W.partitionBy("query_id").orderBy("distance", "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 

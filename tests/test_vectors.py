@@ -78,3 +78,27 @@ def test_index_of_no_rows(spark, clusters, tmp_path):
     rows, queries = clusters
     few = VectorIndex.build(rows.limit(3), str(tmp_path / "few"), 16, stretches=4)
     assert few.search(queries, 5, 16).groupBy("query_id").count().where("count <> 3").isEmpty()
+
+
+def test_a_task_of_the_block_search_holds_one_pair_of_blocks(spark, monkeypatch):
+    """However many blocks there are; dealt by hash, some tasks held several."""
+    import pyarrow as pa
+
+    rows = spark.range(70).select("id", F.array(*[(F.col("id") * p % 7).cast("double") for p in (1, 3, 5)]).alias("v"))
+    asked = rows.where("id % 5 = 0").withColumnRenamed("id", "query_id")
+    plain = sorted(map(str, dense.knn(asked, rows, 6).collect()))
+    monkeypatch.setattr(dense, "ROW_BLOCK", 5)
+    monkeypatch.setattr(dense, "QUERY_BLOCK", 4)
+    assert sorted(map(str, dense.knn(asked, rows, 6).collect())) == plain
+
+    def where(queries, rows, k, distinct_from_self=False):
+        def best(q, r):
+            from pyspark import TaskContext
+
+            return pa.table({"query_id": [TaskContext.get().partitionId()], "id": [r.num_rows], "distance": [0.0]})
+
+        return best, "query_id long, id long, distance double"
+
+    monkeypatch.setattr(dense, "block_search", where)
+    tasks = [x.query_id for x in dense.knn(asked, rows, 100).collect()]
+    assert len(tasks) > 40 and len(set(tasks)) == len(tasks)
