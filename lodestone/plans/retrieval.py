@@ -206,6 +206,19 @@ def hybrid_overlap(spark, sf):
     return fusion.overlap(lexical, dn, fusion.fuse(lexical, dn, 30))
 
 
+#: Rows (query, paper) that are few enough to be sent to all tasks, some ten MB with a query's tokens in each, and papers whose texts one task works on.
+FEW_PAPERS, PAPER_BLOCK = 1 << 16, 1 << 10
+
+
+def _with_texts(spark, sf, wanted, each):
+    """wanted(doc_id, ..), of at most ``each`` rows a query, with the texts. A selection of few rows is sent to the texts, and only those it names are
+    dealt on; for a larger one the texts are dealt. So no task gathers or sorts more texts as there are more documents."""
+    docs, n = table(spark, sf, "documents").select("doc_id", "text"), _asked(spark, sf).count() * each
+    if n <= FEW_PAPERS:
+        return bm25.dealt(docs.join(F.broadcast(wanted), "doc_id"), n, PAPER_BLOCK, "doc_id")
+    return bm25.dealt(docs, docs.count(), bm25.DOC_BLOCK, "doc_id").join(wanted, "doc_id")
+
+
 def _candidates(spark, sf):
     """The papers each query selected, as rerank candidates with their texts."""
     f = _fused(spark, sf).select("query_id", F.col("rank").alias("orig_rank"), "doc_id")
@@ -325,7 +338,7 @@ def funnel_chunks(spark, sf):
     asked = _asked(spark, sf).select("query_id", rerank.distinct_tokens(F.col("query")).alias("query_tokens"))
     wanted = selected.join(asked, "query_id").groupBy("doc_id").agg(F.collect_list(F.struct("query_id", "query_tokens")).alias("queries"))
     # One plan selects the papers: each is cut and tokenised once and meets the queries that selected it, at most the query set.
-    words = table(spark, sf, "documents").join(wanted, "doc_id").select("doc_id", "queries", F.filter(F.split("text", r"[ \t\n]+"), lambda x: x != "").alias("w"))
+    words = _with_texts(spark, sf, wanted, P.k_papers).select("doc_id", "queries", F.filter(F.split("text", r"[ \t\n]+"), lambda x: x != "").alias("w"))
     chunks = words.select("doc_id", "queries", F.posexplode(C.fixed(F.col("w"), 200, 40)).alias("chunk_index", "c"))
     pairs = chunks.select("doc_id", "chunk_index", rerank.distinct_tokens(F.col("c.text")).alias("text_tokens"), "queries").select("doc_id", "chunk_index", "text_tokens", F.inline("queries"))
     scored = pairs.withColumn("score", F.round(rerank.held_share()(F.lit(None), F.lit(None)), 6))

@@ -36,3 +36,24 @@ def test_no_pairs_and_no_python(spark, name):
     p = plan(catalog.QUERIES[name](spark, SF))
     assert "CartesianProduct" not in p and "NestedLoop" not in p
     assert "Python" not in p and "Pandas" not in p and "Arrow" not in p.replace("ArrowEval", "Arrow")
+
+
+@pytest.mark.parametrize("name", ["funnel_chunks"])
+def test_selected_papers_are_sent_to_their_texts(spark, name, monkeypatch):
+    """The texts are not gathered and sorted to meet the papers that were selected; a selection of many rows meets dealt texts and gives the same."""
+    from lodestone.plans import retrieval
+
+    f = spark.createDataFrame([(q, r, (7 * q + 3 * r) % 200) for q in range(40) for r in range(1, 9)], "query_id long, rank int, doc_id long")
+    monkeypatch.setattr(retrieval, "_fused", lambda *_: f)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sent = retrieval.QUERIES[name](spark, SF)
+        met = [x for x in plan(sent).splitlines() if "Join [doc_id" in x]
+        assert met and all("BroadcastHashJoin" in x for x in met)
+        rows = sorted(map(str, sent.collect()))
+        monkeypatch.setattr(retrieval, "FEW_PAPERS", 0)
+        dealt = retrieval.QUERIES[name](spark, SF)
+        assert "BroadcastHashJoin [doc_id" not in plan(dealt) and "REPARTITION_BY_NUM" in plan(dealt)
+        assert rows and sorted(map(str, dealt.collect())) == rows
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
