@@ -224,7 +224,7 @@ def _candidates(spark, sf):
     f = _fused(spark, sf).select("query_id", F.col("rank").alias("orig_rank"), "doc_id")
     # A paper meets the queries that selected it, at most the query set, as one row, so it is tokenised once and the selection is made once.
     wanted = f.groupBy("doc_id").agg(F.collect_list(F.struct("query_id", "orig_rank")).alias("queries"))
-    docs = table(spark, sf, "documents").select("doc_id", "text").join(wanted, "doc_id")
+    docs = _with_texts(spark, sf, wanted, P.k_papers)
     pairs = docs.withColumn("text_tokens", rerank.distinct_tokens(F.col("text"))).select("doc_id", "text", "text_tokens", F.inline("queries"))
     asked = _asked(spark, sf).withColumn("query_tokens", rerank.distinct_tokens(F.col("query")))
     return pairs.join(asked, "query_id")
@@ -267,7 +267,7 @@ ve AS (SELECT answer_id, claim_idx, claim, max(s) AS max_score, coalesce(string_
 
 def _verified(spark, sf):
     """The best paper as the answer, checked against the next five: an extractive stand-in for a generator. Six papers of a query meet in a row."""
-    f = _fused(spark, sf).where("rank <= 6").join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    f = _with_texts(spark, sf, _fused(spark, sf).where("rank <= 6"), 6)
     rows = f.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("p"))
     docs = F.transform(F.filter("p", lambda x: x["rank"] > 1), lambda x: F.struct((x["rank"] - 1).alias("doc_idx"), x["text"].alias("text")))
     answers = rows.select(F.col("query_id").alias("answer_id"), F.get(F.filter("p", lambda x: x["rank"] == 1), F.lit(0))["text"].alias("answer"), docs.alias("docs"))

@@ -38,7 +38,7 @@ def test_no_pairs_and_no_python(spark, name):
     assert "Python" not in p and "Pandas" not in p and "Arrow" not in p.replace("ArrowEval", "Arrow")
 
 
-@pytest.mark.parametrize("name", ["funnel_chunks"])
+@pytest.mark.parametrize("name", ["funnel_chunks", "token_budget_cut", "claim_grounding"])
 def test_selected_papers_are_sent_to_their_texts(spark, name, monkeypatch):
     """The texts are not gathered and sorted to meet the papers that were selected; a selection of many rows meets dealt texts and gives the same."""
     from lodestone.plans import retrieval
