@@ -73,13 +73,27 @@ def dealt(rows: DataFrame, n: int, block: int, *key: str) -> DataFrame:
     return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // block)), *key)
 
 
-def term_counts(docs: DataFrame, text: str = "text", id_col: str = "doc_id", markdown: bool = False, size: int | None = None) -> DataFrame:
+def cell(doc_id: str, n: int) -> Column:
+    return F.pmod(F.hash(doc_id), F.lit(n)).alias("cell")
+
+
+def placed() -> Column:
+    """A document's place, from 0, by its length in its cell."""
+    return (F.row_number().over(W.partitionBy("cell").orderBy("dl", "doc_id")) - 1).cast("long")
+
+
+def term_counts(docs: DataFrame, text: str = "text", id_col: str = "doc_id", markdown: bool = False, size: int | None = None, cells: tuple[int, int] | None = None) -> DataFrame:
     """(term, doc_id, tf). Everything else is derived from this table with its counts. Texts are dealt by document before their words are counted, so
-    a task counts those of some thousand documents, whatever the input, and hands on no row a word. ``size``: the number of documents, if it is known."""
-    size = docs.count() if size is None else size
-    held = dealt(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")), size, DOC_BLOCK, "doc_id")
+    a task counts those of some thousand documents, whatever the input, and hands on no row a word. ``size``: the number of documents, if it is known.
+    ``cells``: so many tasks and cells, by which the texts are dealt instead; each row then has its cell, its document's length dl and its place by length in the cell."""
     body = T.clean_markdown(F.col("text")) if markdown else F.col("text")
-    return held.select("doc_id", F.explode(T.tokens(body)).alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    held = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
+    if cells is None:
+        held, key, words = dealt(held, docs.count() if size is None else size, DOC_BLOCK, "doc_id"), [], T.tokens(body)
+    else:
+        held, key, words = held.withColumn("cell", cell("doc_id", cells[1])).repartition(cells[0], "cell"), ["cell", "dl", "place"], F.col("words")
+        held = held.select("cell", "doc_id", T.tokens(body).alias("words")).withColumn("dl", F.size("words").cast("long")).withColumn("place", placed())
+    return held.select(*key, "doc_id", F.explode(words).alias("term")).groupBy(*key, "term", "doc_id").agg(F.count("*").alias("tf"))
 
 
 def term_totals(postings: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import bm25
-from ..operators.blockmax import BlockIndex
+from ..operators.blockmax import BlockIndex, cells
 from ..operators import summaries as S
 from ..operators.segments import SegmentedIndex
 from ..sources import corpus
@@ -77,20 +77,21 @@ def changed_index(spark, sf):
 def _block_search(spark, sf):
     """Passages of a text as queries hold forty words and more, most of them frequent; only narrow blocks bound these."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    index = BlockIndex.build(bm25.build(docs, markdown=False), work_dir(spark), width=2)
-    return index.search(bm25.query_terms(retrieval._asked(spark, sf), "query"), 10)
+    counts = bm25.term_counts(docs, cells=cells(spark, docs.count()))
+    index = BlockIndex.build(bm25.build(docs, markdown=False, counts=counts), work_dir(spark), width=2)
+    return index.begun(bm25.query_terms(retrieval._asked(spark, sf), "query"), 10)
 
 
 @query(retrieval.ORACLES["bm25_topk"])
 def blockmax_topk(spark, sf):
     """The lexical search by blocks of postings: the rows of ``bm25_topk``."""
-    return _block_search(spark, sf)[0]
+    return _block_search(spark, sf).best()
 
 
 @query("SELECT count(DISTINCT item_id) AS n_queries, true AS under_half FROM benchmark")
 def blockmax_share(spark, sf):
     """Fewer than half of the queries' postings are scored for it."""
-    share = _block_search(spark, sf)[1]
+    share = _block_search(spark, sf).share()
     return share.agg(F.count("*").alias("n_queries"), (F.sum("n_scored") < 0.5 * F.sum("n_postings")).alias("under_half"))
 
 

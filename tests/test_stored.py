@@ -275,3 +275,33 @@ def test_postings_pass_by_their_documents_unsorted(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert got == ["(1, 1, 3)", "(1, 2, 0)", "(1, 3, 1)", "(2, 1, 7)"]
+
+
+@pytest.mark.parametrize("dealt", [True, False])
+def test_blocks_are_searched_where_they_lie(spark, tmp_path, monkeypatch, dealt):
+    """No row of a (query, block) or of a chosen block's posting is shuffled; several buckets, cells that share one, and a search written back."""
+    from lodestone.operators import blockmax, bm25
+
+    monkeypatch.setattr(blockmax, "CELL", 16)
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(i, " ".join(rng.choices([f"w{j}" for j in range(30)], [1 / (j + 1) for j in range(30)], k=rng.randint(0, 20)))) for i in range(200)], "doc_id long, text string")
+    terms = bm25.query_terms(spark.createDataFrame([(1, "w0 w9 w0"), (2, "w3 w4 w29"), (3, "w1 none")], "query_id int, q string"), "q")
+    counts = bm25.term_counts(docs, cells=blockmax.cells(spark, 200)) if dealt else None
+    index = bm25.build(docs, markdown=False, counts=counts)
+    tables = spark.catalog.listTables()
+    blocks = blockmax.BlockIndex.build(index, str(tmp_path / "b"), 2)
+    assert spark.catalog.listTables() == tables
+    plan = lambda x: x._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        begun = blocks.begun(terms, 4, first=2)
+        assert "Exchange hashpartitioning" not in plan(begun.open_)
+        with blockmax.met_by_cell(spark):
+            assert "Exchange hashpartitioning" not in plan(begun.rest())
+        found, share = begun.best(), begun.share()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert rows_of(found) == rows_of(bm25.search(bm25.build(docs, markdown=False), terms, 4))
+    have = index.postings.join(terms, "term").groupBy("query_id").count()
+    assert {r.query_id: r.n_postings for r in share.collect()} == {r.query_id: r["count"] for r in have.collect()}
+    assert all(r.n_scored <= r.n_postings for r in share.collect())
