@@ -7,8 +7,11 @@ watermark has passed it: a timer stands at the end of the request as known so
 far and is moved when an earlier row or end comes. What comes after a request's
 end is left out; the request is remembered until a second timer forgets it.
 
-State of a key: its rows until the outcome, then one small value. Rows without
-a key, time or number are dropped; a row that repeats another counts once.
+Requests share a key of the state by hash (``GROUPS``), so that frames of many
+are folded at once and not each by calls of its own; a key's timer stands at the
+first end of any. State of a key: the rows of its requests until their outcomes,
+then their ids. Rows without a key, time or number are dropped; a row that
+repeats another counts once.
 """
 
 from __future__ import annotations
@@ -16,12 +19,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+#: Keys of the state, whatever the number of requests.
+GROUPS = 1 << 10
 OUT = "request_id {kind}, status string, started timestamp, ended timestamp, n_tokens long, answer string"
 
 
@@ -40,57 +47,113 @@ def fold(rows: list[tuple[int, int, str, str]], timeout: int) -> tuple[str, int,
     return "abandoned", started, started + timeout, tokens
 
 
+def folded(rows: pd.DataFrame, timeout: int) -> pd.DataFrame:
+    """rows(request_id, at, seq, type, payload) of many requests -> (request_id, status, started, ended, n_tokens, answer), as ``fold`` has them; times in microseconds."""
+    rows = rows.drop_duplicates().sort_values(["at", "seq"], kind="stable", ignore_index=True)
+    code, ids = pd.factorize(rows.request_id)
+    at, kind, n = rows["at"].to_numpy(), rows["type"].to_numpy(), len(ids)
+    started = at[np.unique(code, return_index=True)[1]] if n else at
+    within = at <= started[code] + timeout
+    done = np.flatnonzero(within & (kind == "done"))
+    which, nth = np.unique(code[done], return_index=True)
+    stop = np.full(n, len(rows))
+    stop[which] = done[nth]
+    ended = started + timeout
+    ended[which] = at[done[nth]]
+    token = within & (kind == "token") & (np.arange(len(rows)) < stop[code])
+    answers = [[] for _ in range(n)]
+    for c, payload in zip(code[token], rows.payload.to_numpy()[token]):
+        answers[c].append(payload or "")
+    status = np.where(stop < len(rows), "complete", "abandoned")
+    return pd.DataFrame({"request_id": ids, "status": status, "started": started, "ended": ended, "n_tokens": [len(x) for x in answers], "answer": ["".join(x) for x in answers]})
+
+
+def _packed(frame: pd.DataFrame) -> tuple[bytes]:
+    table = pa.Table.from_pandas(frame, preserve_index=False)
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema) as w:
+        w.write_table(table)
+    return (out.getvalue().to_pybytes(),)
+
+
+def _unpacked(state) -> pd.DataFrame | None:
+    frames = [pa.ipc.open_stream(x[0]).read_pandas() for x in state.get()]
+    return pd.concat(frames, ignore_index=True) if frames else None
+
+
 class Requests(StatefulProcessor):
-    """One request a key; times in microseconds, timers in milliseconds."""
+    """Many requests a key; times in microseconds, timers in milliseconds."""
 
-    def __init__(self, key: str, timeout: int, remember: int) -> None:
-        self.key, self.timeout, self.remember = key, timeout, remember
+    def __init__(self, timeout: int, remember: int) -> None:
+        self.timeout, self.remember = timeout, remember
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getListState("rows", "at long, seq long, type string, payload string")
-        self.about = handle.getValueState("about", "first long, due long, over boolean")
+        self.rows = handle.getListState("rows", "frame binary")
+        self.over = handle.getListState("over", "frame binary")
+        self.timer = handle.getValueState("timer", "at long")
+
+    def _wake(self, at: int, before: int | None) -> None:
+        if at != before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(at)
+            self.timer.update((at,))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first, due, over = self.about.get() or (None, None, False)
-        if not over:
-            new = [(int(r.at), int(r.seq), r.type, r.payload) for frame in rows for r in frame.itertuples()]
-            done = [r[0] for r in new if r[2] == "done"]
-            first = min([r[0] for r in new] + ([first] if first is not None else []))
-            # An end beyond the timeout never counts, however early rows may still come.
-            ends = [x for x in done if x <= first + self.timeout]
-            now = min([first + self.timeout, *ends] + ([due] if due is not None else []))
-            if now != due:
-                if due is not None:
-                    self.handle.deleteTimer(-(-due // 1000))
-                self.handle.registerTimer(-(-now // 1000))
-            self.rows.appendList(new)
-            self.about.update((first, now, False))
+        (before,) = self.timer.get() or (None,)
+        soon = [before] if before is not None else []
+        for frame in rows:
+            # No request ends before its first row of type done, nor before the timeout of its first row.
+            ends = [frame["at"].min() + self.timeout, *frame["at"][frame["type"] == "done"].nsmallest(1)]
+            soon.append(-(-int(min(ends)) // 1000))
+            self.rows.appendValue(_packed(frame[["request_id", "at", "seq", "type", "payload"]]))
+        if soon:
+            self._wake(min(soon), before)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        first, due, over = self.about.get() or (None, None, True)
-        if over:
-            self.about.clear()
-            return
-        status, started, ended, tokens = fold(list(self.rows.get()), self.timeout)
-        self.rows.clear()
-        self.about.update((first, due, True))
-        self.handle.registerTimer(expiredTimerInfo.getExpiryTimeInMs() + self.remember // 1000)
-        at = lambda x: pd.Timestamp(x, unit="us", tz="UTC")
-        yield pd.DataFrame({self.key: [key[0]], "status": [status], "started": [at(started)], "ended": [at(ended)], "n_tokens": [len(tokens)], "answer": ["".join(tokens)]})
+        now = timerValues.getCurrentWatermarkInMs()
+        rows, over = _unpacked(self.rows), _unpacked(self.over)
+        waits, made = [], None
+        if rows is not None and over is not None:
+            rows = rows[~rows.request_id.isin(over.request_id)]
+        if rows is not None:
+            found = folded(rows, self.timeout)
+            due = -(-found.ended // 1000)
+            made = found[due <= now]
+            rows = rows[~rows.request_id.isin(made.request_id)]
+            self.rows.clear()
+            if len(rows):
+                self.rows.appendValue(_packed(rows))
+                waits.append(int(due[due > now].min()))
+        held = over[over.until > now] if over is not None else None
+        if made is not None and len(made):
+            new = pd.DataFrame({"request_id": made.request_id, "until": -(-made.ended // 1000) + self.remember // 1000})
+            held = new if held is None else pd.concat([held, new], ignore_index=True)
+        self.over.clear()
+        if held is not None and len(held):
+            self.over.appendValue(_packed(held))
+            # Those that could be forgotten already go with the next watermark.
+            waits.append(max(int(held.until.min()), now + 1))
+        self.timer.clear()
+        if waits:
+            self._wake(min(waits), None)
+        if made is not None and len(made):
+            yield made.assign(started=pd.to_datetime(made.started, unit="us", utc=True), ended=pd.to_datetime(made.ended, unit="us", utc=True))
 
 
 def _whole(events: DataFrame) -> DataFrame:
     return events.select("request_id", "ts", F.unix_micros("ts").alias("at"), F.col("seq").cast("long").alias("seq"), F.col("type").cast("string").alias("type"), F.col("payload").cast("string").alias("payload")).where("request_id is not null and ts is not null and seq is not null")
 
 
-def outcomes(events: DataFrame, timeout: str, late: str = "10 minutes", remember: str = "1 day") -> DataFrame:
+def outcomes(events: DataFrame, timeout: str, late: str = "10 minutes", remember: str = "1 day", groups: int = GROUPS) -> DataFrame:
     """events(request_id, seq, ts, type, payload) as a stream -> (request_id, status, started, ended, n_tokens, answer), one row for each request that the watermark has passed."""
     kind = dict(events.dtypes)["request_id"]
     rows = _whole(events).withWatermark("ts", late)
-    work = Requests("request_id", micros(events, timeout), micros(events, remember))
-    return rows.groupBy("request_id").transformWithStateInPandas(work, OUT.format(kind=kind), "append", "eventTime")
+    work = Requests(micros(events, timeout), micros(events, remember))
+    held = rows.withColumn("held_by", F.pmod(F.xxhash64("request_id"), F.lit(groups)))
+    return held.groupBy("held_by").transformWithStateInPandas(work, OUT.format(kind=kind), "append", "eventTime")
 
 
 def micros(df: DataFrame, interval: str) -> int:

@@ -83,3 +83,32 @@ def test_rocksdb_setting_is_put_back(spark):
     with R.rocksdb(spark):
         assert "RocksDB" in spark.conf.get(name)
     assert spark.conf.get(name, None) == before
+
+
+def test_many_requests_are_folded_at_once(rows):
+    """As one by one, with ties of time, repeats and rows out of order."""
+    import pandas as pd
+
+    whole = [(k, round((ts - T0) / timedelta(microseconds=1)), seq, kind, payload) for k, seq, ts, kind, payload in rows if None not in (k, seq, ts)]
+    for cut in (len(whole), 1, 0):
+        got = R.folded(pd.DataFrame(whole[:cut], columns=["request_id", "at", "seq", "type", "payload"]), 600_000_000)
+        want = plain([(k, seq, T0 + timedelta(microseconds=at), kind, payload) for k, at, seq, kind, payload in whole[:cut]], 600_000_000)
+        assert sorted(got.itertuples(index=False, name=None)) == want
+
+
+def test_requests_share_a_few_keys_of_the_state(spark, tmp_path):
+    """Forty requests in three keys, file by file: each has one outcome, and what comes after it is left out until the request is forgotten, which opens it anew."""
+    files = [[(f"r{i}", 0, T0 + timedelta(seconds=i), "token", "a") for i in range(40)]]
+    files += [[("far", 0, T0 + timedelta(hours=1), "status", None)]]
+    # r0 is over and remembered, r1 is too.
+    files += [[("r0", 1, T0 + timedelta(hours=1), "done", None), ("far", 1, T0 + timedelta(hours=2), "done", None)]]
+    files += [[("far", 2, T0 + timedelta(hours=9), "status", None)], [("r1", 2, T0 + timedelta(hours=9, seconds=1), "done", None)], [("last", 0, T0 + timedelta(hours=20), "status", None)]]
+    for part in files:
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        frame = R.outcomes(S.read(spark, str(tmp_path / "in"), spark.createDataFrame([], SCHEMA).schema), "10 minutes", late="1 minute", remember="3 hours", groups=3)
+        with R.rocksdb(spark):
+            q = frame.writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start()
+            q.awaitTermination()
+    found = [(r[0], r[1], r[4]) for r in told(spark.read.schema(frame.schema).parquet(str(tmp_path / "out")))]
+    again = [("far", "abandoned", 0), ("r1", "complete", 0)]
+    assert sorted(found) == sorted([(f"r{i}", "abandoned", 1) for i in range(40)] + again)
